@@ -6,18 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import byte_bpe, exact_dedup, line_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op6_line_dedup": line_dedup.op6_line_dedup,
+        "op8_byte_bpe": byte_bpe.op8_byte_bpe,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_line_dedup": line_dedup.ORACLE,
         "op10_exact_dedup": exact_dedup.ORACLE,
     }
