@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, line_dedup
+from . import byte_bpe, exact_dedup, line_dedup, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_packing": packing.op2_packing,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op8_byte_bpe": byte_bpe.op8_byte_bpe,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
