@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, line_dedup, packing
+from . import byte_bpe, exact_dedup, language_id, line_dedup, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op2_packing": packing.op2_packing,
+        "op3_language_id": language_id.op3_language_id,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op8_byte_bpe": byte_bpe.op8_byte_bpe,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
