@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, language_id, line_dedup, packing
+from . import byte_bpe, exact_dedup, language_id, line_dedup, packing, quality, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,8 @@ def queries() -> dict[str, Query]:
     return {
         "op2_packing": packing.op2_packing,
         "op3_language_id": language_id.op3_language_id,
+        "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+        "op5_quality": quality.op5_quality,
         "op6_line_dedup": line_dedup.op6_line_dedup,
         "op8_byte_bpe": byte_bpe.op8_byte_bpe,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
@@ -23,6 +25,8 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+        "op5_quality": quality.op5_quality,
         "op6_line_dedup": line_dedup.ORACLE,
         "op10_exact_dedup": exact_dedup.ORACLE,
     }
