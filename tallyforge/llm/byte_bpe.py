@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import map_rows
 from .tokens import CachedEncoder, alphabet, merge_ranks, slices, tokenizer
 
 #: Characters of a word that is encoded in one go; longer ones are halved.
@@ -105,7 +106,7 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
                 ids = own.encode(texts[a:b])
                 yield pd.DataFrame({"doc_id": pdf["doc_id"].iloc[a:b].array, "ids": ids, "decoded": [decode(path, x) for x in ids]})
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, ids binary, decoded string")
+    return map_rows(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), run, "ids binary, decoded string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -126,8 +127,8 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                     }
                 )
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, schema)
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return map_rows(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), run, schema)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,3 +57,9 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """Just the named columns, so that extra columns can't clash with an operator's own."""
     return df.select(*columns)
+
+
+def map_rows(df: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInPandas`` whose ``doc_id`` comes and goes as text: pandas has no null among whole numbers."""
+    out = df.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, f"doc_id string, {schema}")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, crc_mod
+from .common import bytes_of, crc_mod, map_rows
 
 #: Bytes of context.
 ORDER = 3
@@ -205,8 +205,8 @@ def predict(docs: DataFrame, model: PpmModel) -> DataFrame:
                 score[at] = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
             yield pdf[kept].assign(lang_pred=pred, score=score)
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"), "lang_pred string, score double"])
-    return docs.select(*docs.columns, has_letters(F.col("text")).alias("lettered")).mapInPandas(run, schema)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("doc_id", "text")), "lang_pred string, score double"])
+    return map_rows(docs.select(*docs.columns, has_letters(F.col("text")).alias("lettered")), run, schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

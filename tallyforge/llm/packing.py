@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, map_rows
 from .tokens import CachedEncoder, merge_ranks, slices, tokenizer
 
 CAPACITY = 2048
@@ -128,7 +128,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 offset[own] = at[k] + within % use[k] * n
             yield pdf.drop(columns=["task", "rank", "first"]).assign(sequence_id=sequence, offset=offset)
 
-    kept = [f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema if f.name not in ("task", "rank")]
+    kept = [f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema if f.name not in ("doc_id", "task", "rank")]
     joined = pieces.join(firsts.select("length", "task", "first"), ["length", "task"]).select(*pieces.columns, "first")
     return joined.mapInPandas(place, ", ".join([*kept, "sequence_id long", "offset long"]))
 
@@ -160,7 +160,7 @@ def cut_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
         own, end = CachedEncoder(path, str.split, _word_ids(path)), end_id.to_bytes(4, "little")
         task, ranks = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for pdf in batches:
-            texts, ids = pdf["text"].tolist(), pdf["doc_id"].astype(object).tolist()
+            texts, ids = pdf["text"].tolist(), pdf["doc_id"].tolist()
             for a, b in slices(texts):
                 rows = []
                 for doc_id, tokens in zip(ids[a:b], own.encode(texts[a:b]), strict=True):
@@ -168,12 +168,12 @@ def cut_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
                     for piece, start in enumerate(range(0, len(tokens), 4 * capacity)):
                         part = tokens[start : start + 4 * capacity]
                         n = len(part) // 4
-                        rows.append((None if pd.isna(doc_id) else doc_id, piece, start // 4, n, zlib.crc32(part), task, ranks[n]))
+                        rows.append((doc_id, piece, start // 4, n, zlib.crc32(part), task, ranks[n]))
                         ranks[n] += 1
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"]).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, schema)
+    schema = "piece int, start long, length long, ids_crc32 long, task int, rank long"
+    return map_rows(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), run, schema)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:

@@ -162,16 +162,19 @@ def grade(docs: DataFrame, model: OrdinalModel, select_grade: int = SELECT_GRADE
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("expected_grade double, tail_probability double, selected boolean")
+    def grades(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = shared.value
         features = Features(own.weights != 0)
-        for pdf in batches:
-            scores = np.array([own.weights[list(features(x or ""))].sum() for x in pdf["text"]])
+        for texts in batches:
+            scores = np.array([own.weights[list(features(x or ""))].sum() for x in texts])
             tails = own.tails(scores)
-            yield pdf.assign(expected_grade=tails.sum(axis=1), tail_probability=tails[:, select_grade - 1], selected=tails[:, select_grade - 1] >= probability)
+            upper = tails[:, select_grade - 1]
+            yield pd.DataFrame({"expected_grade": tails.sum(axis=1), "tail_probability": upper, "selected": upper >= probability})
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "expected_grade double, tail_probability double, selected boolean"])
-    return docs.mapInPandas(run, schema)
+    row = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["text"])
+    graded = row.select("row", grades("text").alias("grades"))
+    return graded.select(*(F.col("row")[c].alias(c) for c in docs.columns), "grades.expected_grade", "grades.tail_probability", "grades.selected")
 
 
 def trained(spark: SparkSession, docs: DataFrame, sf_dir: str) -> OrdinalModel:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, cut
+from .common import bytes_of, cut, map_rows
 from .rolling import PrefixHash, mix, signed
 from .runs import repeated_windows
 
@@ -272,7 +272,7 @@ def digests(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group:
             yield out
 
     marked = mark_repeats(docs.select("doc_id", "text"), length, anchor, group).select(F.col("row.doc_id").alias("doc_id"), "bytes", "spans")
-    return marked.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_rows(marked, run, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
