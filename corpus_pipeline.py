@@ -1,8 +1,63 @@
-"""A training-corpus pipeline over ``documents``."""
+"""A training-corpus pipeline over ``documents``: from raw texts to packed token sequences.
 
-STAGES = []
+``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a
+DataFrame, which is written as Parquet and read again as the next one's docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallyforge.llm import line_dedup, near_dedup, packing, quality, suffix_dedup
+from tallyforge.llm.common import cut, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal classifier, fitted on the labels, selects."""
+    graded = quality.grade(docs.select(*COLUMNS), quality.trained(spark, docs, sf_dir))
+    return graded.where("selected").select(*COLUMNS)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without their hosts' boilerplate lines."""
+    kept = line_dedup.line_dedup(docs)
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    return near_dedup.near_dedup(docs.select(*COLUMNS))
+
+
+def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that stand anywhere else."""
+    return suffix_dedup.suffix_dedup(docs.select(*COLUMNS))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces and their places in sequences."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", select_quality),
+    ("line dedup", drop_lines),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("suffix-array dedup", drop_passages),
+    ("best-fit packing", pack),
+]
+#: The classifier, the set comparison and the tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each result written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir), "".join(c if c.isalnum() else "_" for c in name))
+    return docs
