@@ -130,7 +130,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     kept = [f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema if f.name not in ("doc_id", "task", "rank")]
     joined = pieces.join(firsts.select("length", "task", "first"), ["length", "task"]).select(*pieces.columns, "first")
-    return joined.mapInPandas(place, ", ".join([*kept, "sequence_id long", "offset long"]))
+    return map_rows(joined, place, ", ".join([*kept, "sequence_id long", "offset long"]))
 
 
 def _word_ids(path: str):
