@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..catalog import Catalog
-from . import views
+from . import operators, views
 
-MODULES = (views,)
+MODULES = (views, operators)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
