@@ -2,13 +2,16 @@
 
 The filter holds quantised counts of words and of pairs of words: a gram of count c is
 entered once for each level up to 1 + floor(log_BASE c), and its count is read back by
-probing level after level until one is missing.  Its size follows the grams, up to a
-bound, so it can be broadcast.  The probability of a word after another interpolates the
+probing level after level until one is missing.  Its size follows the grams, so that
+its false positives don't grow with the input.  A small filter is broadcast; of a larger
+one each region is a row of a table, and the distinct grams of packs of texts are sent to
+the regions and their levels back (:func:`_with_levels`).  The probability of a word after another interpolates the
 pair's relative frequency, rounded down, with the add-one frequency of the word.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +30,13 @@ LEAST_PAIR = 2
 PAIR_WEIGHT = 0.6
 BITS_PER_ENTRY = 10
 PROBES = 5
-#: Most bits of the filter (64 MB); beyond it false positives grow instead.
+#: Most bits of a filter that is broadcast (64 MB); a larger one is probed region by region.
 MOST_BITS = 1 << 29
 #: The filter's regions, which are filled apart; a power of 2, and their least size in bits.
 REGIONS = 256
 LEAST_REGION = 1024
+#: Bytes of texts whose distinct grams are looked up together in a filter that isn't broadcast.
+PACK_BYTES = 8_000_000
 #: No count of 64 bits has a higher level.
 TOP_LEVEL = 108
 #: Words whose exact counts are broadcast (16 bytes each); more are joined.
@@ -60,9 +65,13 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(counts) / np.log(BASE) + 1e-9).astype("i8")
 
 
+def _region(grams: np.ndarray) -> np.ndarray:
+    return grams >> np.uint64(64 - REGIONS.bit_length() + 1)
+
+
 def _places(grams: np.ndarray, level: int | np.ndarray, bits: int) -> np.ndarray:
     """The filter's bits for grams at a level, a column for each probe; all lie in the gram's region."""
-    region = grams >> np.uint64(64 - REGIONS.bit_length() + 1)
+    region = _region(grams)
     size = np.uint64(bits // REGIONS)
     h = mix(grams + np.asarray(level, "u8") * np.uint64(0x9E3779B97F4A7C15))
     step = mix(h) | np.uint64(1)
@@ -70,11 +79,13 @@ def _places(grams: np.ndarray, level: int | np.ndarray, bits: int) -> np.ndarray
 
 
 class LogFrequencyFilter:
-    def __init__(self, data: np.ndarray):
-        self.data, self.bits = data, 8 * len(data)
+    """A whole filter, or the part from bit ``first`` on of one of ``bits`` bits."""
+
+    def __init__(self, data: np.ndarray, bits: int | None = None, first: int = 0):
+        self.data, self.bits, self.first = data, bits or 8 * len(data), np.uint64(first)
 
     def has(self, grams: np.ndarray, level: int) -> np.ndarray:
-        at = _places(grams, level, self.bits)
+        at = _places(grams, level, self.bits) - self.first
         return ((self.data[(at >> np.uint64(3)).astype("i8")] >> (at & np.uint64(7)).astype("u1")) & 1).all(axis=1)
 
     def levels(self, grams: np.ndarray) -> np.ndarray:
@@ -88,10 +99,20 @@ class LogFrequencyFilter:
         return out
 
 
-def filter_bits(entries: int, most: int = MOST_BITS) -> int:
-    """Bits for so many entries, whole bytes in each region, ``most`` at most."""
+class KnownLevels:
+    """Levels that were looked up before, of sorted grams."""
+
+    def __init__(self, grams: np.ndarray, level: np.ndarray):
+        self.grams, self.level = grams, level
+
+    def levels(self, grams: np.ndarray) -> np.ndarray:
+        return self.level[np.searchsorted(self.grams, grams)]
+
+
+def filter_bits(entries: int) -> int:
+    """Bits for so many entries, whole bytes in each region."""
     unit = 8 * REGIONS
-    return min(max(LEAST_REGION // 8, -(-entries * BITS_PER_ENTRY // unit)) * unit, most)
+    return max(LEAST_REGION // 8, -(-entries * BITS_PER_ENTRY // unit)) * unit
 
 
 def count_grams(texts: DataFrame) -> DataFrame:
@@ -104,34 +125,57 @@ def count_grams(texts: DataFrame) -> DataFrame:
                 token, counts = tokens(data[a:b])
                 for size, grams in ((1, token), (2, pairs(token, counts))):
                     gram, n = np.unique(grams, return_counts=True)
-                    yield pd.DataFrame({"region": (gram >> np.uint64(64 - REGIONS.bit_length() + 1)).astype("i4"), "size": size, "gram": signed(gram), "n": n})
+                    yield pd.DataFrame({"region": _region(gram).astype("i4"), "size": size, "gram": signed(gram), "n": n})
 
     counted = texts.select("bytes").mapInPandas(run, "region int, size int, gram long, n long")
     return counted.repartition("region").groupBy("region", "size", "gram").agg(F.sum("n").alias("n"))
 
 
-def build_filter(grams: DataFrame, bits: int) -> LogFrequencyFilter:
-    """The filter of ``bits`` bits over (region, gram, n); each task fills the regions that it has."""
+def fill_regions(grams: DataFrame, bits: int) -> DataFrame:
+    """region and bits of the filter of ``bits`` bits over (gram, n); regions without grams have no row.
+
+    Each task fills its share of the regions that it has grams of, and the shares are united.
+    """
     share = bits // REGIONS // 8
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own: dict[int, np.ndarray] = {}
         for pdf in batches:
-            gram, level, region = pdf["gram"].to_numpy().view("u8"), levels_of(pdf["n"].to_numpy()), pdf["region"].to_numpy()
+            gram, level = pdf["gram"].to_numpy().view("u8"), levels_of(pdf["n"].to_numpy())
+            region = _region(gram)
             for r in np.unique(region):
-                data = own.setdefault(int(r), np.zeros(8 * share, bool))
-                for k in range(1, int(level[region == r].max()) + 1):
-                    at = _places(gram[(region == r) & (level >= k)], k, bits)
-                    data[(at - np.uint64(int(r) * 8 * share)).ravel().astype("i8")] = True
-        yield pd.DataFrame({"region": list(own), "bits": [np.packbits(x, bitorder="little").tobytes() for x in own.values()]})
+                data = own.setdefault(int(r), np.zeros(share, "u1"))
+                mine = region == r
+                for k in range(1, int(level[mine].max()) + 1):
+                    at = (_places(gram[mine & (level >= k)], k, bits) - r * np.uint64(8 * share)).ravel()
+                    np.bitwise_or.at(data, (at >> np.uint64(3)).astype("i8"), np.uint8(1) << (at & np.uint64(7)).astype("u1"))
+        yield pd.DataFrame({"region": list(own), "bits": [x.tobytes() for x in own.values()]})
+
+    def unite(pdf: pd.DataFrame) -> pd.DataFrame:
+        data = np.zeros(share, "u1")
+        for x in pdf["bits"]:
+            data |= np.frombuffer(x, "u1")
+        return pd.DataFrame({"region": pdf["region"].iloc[:1], "bits": [data.tobytes()]})
+
+    schema = "region int, bits binary"
+    return cut(grams.select("gram", "n").mapInPandas(fill, schema).groupBy("region").applyInPandas(unite, schema), "filter")
 
+
+def read_filter(regions: DataFrame, bits: int) -> LogFrequencyFilter:
+    """All regions in one place."""
+    share = bits // REGIONS // 8
     data = np.zeros(bits // 8, "u1")
-    for row in grams.repartition("region").mapInPandas(fill, "region int, bits binary").collect():  # MOST_BITS at most
+    for row in regions.toLocalIterator():  # a part of the table at a time
         a = row["region"] * share
-        data[a : a + share] |= np.frombuffer(row["bits"], "u1")
+        data[a : a + share] = np.frombuffer(row["bits"], "u1")
     return LogFrequencyFilter(data)
 
 
+def build_filter(grams: DataFrame, bits: int) -> LogFrequencyFilter:
+    """The filter of ``bits`` bits over (gram, n) in one place."""
+    return read_filter(fill_regions(grams, bits), bits)
+
+
 class WordCounts:
     """Exact counts of words by hash, both sorted by the hash as a signed number."""
 
@@ -152,9 +196,9 @@ def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class LanguageModel:
-    def __init__(self, spark: SparkSession, words: DataFrame, n_tokens: int, n_words: int, filter_: LogFrequencyFilter, most_words: int = BROADCAST_WORDS):
-        self.words, self.n_tokens, self.n_words = words, n_tokens, n_words
-        self.filter = spark.sparkContext.broadcast(filter_)
+    def __init__(self, spark: SparkSession, words: DataFrame, n_tokens: int, n_words: int, regions: DataFrame, bits: int, most_words: int = BROADCAST_WORDS, most_bits: int = MOST_BITS):
+        self.words, self.n_tokens, self.n_words, self.regions, self.bits = words, n_tokens, n_words, regions, bits
+        self.filter = spark.sparkContext.broadcast(read_filter(regions, bits)) if bits <= most_bits else None
         self.counts = None
         if n_words <= most_words:
             rows = words.orderBy("gram").mapInPandas(_packed, "grams binary, counts binary").collect()  # 16 bytes a word
@@ -169,11 +213,11 @@ def train(texts: DataFrame, most_words: int = BROADCAST_WORDS, most_bits: int =
     one = F.col("size") == 1
     level = 1 + F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BASE)) + 1e-9)
     entries, n_tokens, n_words = grams.agg(F.sum(level), F.sum(F.when(one, F.col("n"))), F.count(F.when(one, 1))).first()
-    filter_ = build_filter(grams, filter_bits(int(entries or 0), most_bits))
-    return LanguageModel(texts.sparkSession, grams.where(one).select("gram", "n"), int(n_tokens or 0), n_words, filter_, most_words)
+    bits = filter_bits(int(entries or 0))
+    return LanguageModel(texts.sparkSession, grams.where(one).select("gram", "n"), int(n_tokens or 0), n_words, fill_regions(grams, bits), bits, most_words, most_bits)
 
 
-def _model_score(token: np.ndarray, counts: np.ndarray, filter_: LogFrequencyFilter, n_tokens: int, n_words: int) -> np.ndarray:
+def _model_score(token: np.ndarray, counts: np.ndarray, filter_: LogFrequencyFilter | KnownLevels, n_tokens: int, n_words: int) -> np.ndarray:
     """log10 probability of each text.
 
     The word's count is rounded down to its level in the word's own frequency, and up to
@@ -195,35 +239,99 @@ def _model_score(token: np.ndarray, counts: np.ndarray, filter_: LogFrequencyFil
     return np.add.reduceat(np.log10(p), np.cumsum(counts) - counts)
 
 
+def _grams_of(token: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """All grams that :func:`_model_score` asks for, sorted."""
+    return np.unique(np.concatenate([token, [START], pairs(token, counts)]))
+
+
+def _with_levels(rows: DataFrame, model: LanguageModel) -> DataFrame:
+    """Packs of ``rows`` (doc_id, held_out, bytes), as arrays, with ``parts``: (region, levels) of the pack's sorted grams.
+
+    A region's bits come before the packs' grams in one sorted partition, so a task has one
+    region in memory; a gram goes out once for each pack and comes back as one byte.
+    """
+    bits, share = model.bits, model.bits // REGIONS // 8
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            data = pdf["bytes"].tolist()
+            for a, b in blocks(data, PACK_BYTES):
+                own = {c: [pdf[c].iloc[a:b].tolist()] for c in ("doc_id", "held_out", "bytes")}
+                yield pd.DataFrame({"pack": [uuid.uuid4().hex], **own})
+
+    packs = cut(rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(gather, "pack string, doc_id array<string>, held_out array<boolean>, bytes array<binary>"), "packs")
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for pack, texts in zip(pdf["pack"], pdf["bytes"], strict=True):
+                grams = _grams_of(*tokens(list(texts)))
+                region, starts = np.unique(_region(grams), return_index=True)
+                yield pd.DataFrame({"region": region.astype("i4"), "pack": pack, "data": [x.tobytes() for x in np.split(grams, starts[1:])]})
+
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, own = -1, None
+        for pdf in batches:
+            out = []
+            for region, pack, data in pdf.itertuples(index=False):
+                if pack == "":
+                    at, own = region, LogFrequencyFilter(np.frombuffer(data, "u1"), bits, region * 8 * share)
+                else:
+                    grams = np.frombuffer(data, "u8")
+                    level = own.levels(grams) if region == at else np.zeros(len(grams), "i8")
+                    out.append((pack, region, level.astype("u1").tobytes()))
+            yield pd.DataFrame(out, columns=["pack", "region", "levels"])
+
+    asked = packs.select("pack", "bytes").mapInPandas(ask, "region int, pack string, data binary")
+    met = model.regions.select("region", F.lit("").alias("pack"), F.col("bits").alias("data")).unionByName(asked)
+    answered = met.repartition("region").sortWithinPartitions("region", "pack").mapInPandas(answer, "pack string, region int, levels binary")
+    parts = answered.groupBy("pack").agg(F.collect_list(F.struct("region", "levels")).alias("parts"))
+    return packs.join(parts.hint("merge"), "pack")
+
+
 def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """n_tokens, n_known, train_tokens, base_score and score of each row of ``docs`` (doc_id, held_out, text).
 
     Null and empty texts have one token, their end.  Rows are independent, so repeated
     ones and null ids are scored alike; an empty table gives an empty result.  Exact word
-    counts are broadcast while they are few, else joined (:data:`BROADCAST_WORDS`).
+    counts are broadcast while they are few, else joined (:data:`BROADCAST_WORDS`), and so
+    is the filter (:data:`MOST_BITS`).
     """
     filter_, exact, n, v = model.filter, model.counts, model.n_tokens, model.n_words
     rows = docs.select("doc_id", "held_out", bytes_of(F.col("text")).alias("bytes"))
 
+    def scored(out: pd.DataFrame, token: np.ndarray, counts: np.ndarray, own: LogFrequencyFilter | KnownLevels) -> pd.DataFrame:
+        out = out.assign(n_tokens=counts, train_tokens=n, score=_model_score(token, counts, own, n, v))
+        starts = np.cumsum(counts) - counts
+        if exact is None:
+            some = [np.unique(token[i:j], return_counts=True) for i, j in zip(starts, starts + counts, strict=True)]
+            return out.assign(grams=[signed(x) for x, _ in some], times=[x for _, x in some])
+        c = exact.value.of(token)
+        return out.assign(n_known=np.add.reduceat((c > 0).astype("i8"), starts), base_score=np.add.reduceat(np.log10((c + 1) / (n + v + 1)), starts))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = filter_.value
         for pdf in batches:
             data = pdf["bytes"].tolist()
             for a, b in blocks(data):
-                token, counts = tokens(data[a:b])
-                out = pdf.iloc[a:b].drop(columns="bytes").assign(n_tokens=counts, train_tokens=n, score=_model_score(token, counts, own, n, v))
-                starts = np.cumsum(counts) - counts
-                if exact is None:
-                    ends = starts + counts
-                    some = [np.unique(token[i:j], return_counts=True) for i, j in zip(starts, ends, strict=True)]
-                    yield out.assign(grams=[signed(x) for x, _ in some], times=[x for _, x in some])
-                else:
-                    c = exact.value.of(token)
-                    yield out.assign(n_known=np.add.reduceat((c > 0).astype("i8"), starts), base_score=np.add.reduceat(np.log10((c + 1) / (n + v + 1)), starts))
+                yield scored(pdf.iloc[a:b].drop(columns="bytes"), *tokens(data[a:b]), filter_.value)
+
+    def run_packs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for x in pdf.itertuples():
+                token, counts = tokens(list(x.bytes))
+                level = np.concatenate([np.frombuffer(p["levels"], "u1") for p in sorted(x.parts, key=lambda p: p["region"])]).astype("i8")
+                out = pd.DataFrame({"doc_id": list(x.doc_id), "held_out": list(x.held_out)})
+                yield scored(out, token, counts, KnownLevels(_grams_of(token, counts), level))
+
+    def mapped(columns: str) -> DataFrame:
+        schema = f"held_out boolean, n_tokens long, train_tokens long, score double, {columns}"
+        if filter_ is not None:
+            return map_rows(rows, run, schema)
+        out = _with_levels(rows, model).mapInPandas(run_packs, f"doc_id string, {schema}")
+        return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
     if exact is not None:
-        return map_rows(rows, run, "held_out boolean, n_tokens long, train_tokens long, score double, n_known long, base_score double")
-    listed = map_rows(rows, run, "held_out boolean, n_tokens long, train_tokens long, score double, grams array<long>, times array<long>")
+        return mapped("n_known long, base_score double")
+    listed = mapped("grams array<long>, times array<long>")
     listed = cut(listed.withColumn("row", F.expr("uuid()")), "listed")
     each = listed.select("row", F.explode(F.arrays_zip("grams", "times")).alias("x")).select("row", F.col("x.grams").alias("gram"), F.col("x.times").alias("times"))
     counted = each.join(model.words.hint("merge"), "gram", "left").groupBy("row").agg(

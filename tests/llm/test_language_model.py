@@ -58,6 +58,20 @@ def test_filter_reads_back_rounded_counts(spark):
     assert (lm.build_filter(frame, lm.filter_bits(entries)).levels(other) == 0).mean() > 0.97
 
 
+@pytest.mark.parametrize("most_words", [4_000_000, 5])
+def test_a_filter_too_large_to_broadcast_scores_alike(spark, monkeypatch, most_words):
+    monkeypatch.setattr(lm, "PACK_BYTES", 500)
+    r = random.Random(5)
+    rows = corpus() + [(300 + i, " ".join(f"v{r.randint(0, 3000)}" for _ in range(300)), i % 5 == 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    texts = docs.where(~F.col("held_out")).select(bytes_of(F.col("text")).alias("bytes"))
+    whole, apart = lm.train(texts), lm.train(texts, most_words, most_bits=1 << 13)
+    assert whole.filter is not None and apart.filter is None
+    assert apart.bits == whole.bits > 1 << 13
+    plain = lambda model: sorted(((*(r[c] for c in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens")), round(r["base_score"], 6), round(r["score"], 9)) for r in lm.score(docs, model).collect()), key=str)
+    assert plain(apart) == plain(whole)
+
+
 def test_words_after_a_history_sum_to_one_at_most(spark):
     docs = spark.createDataFrame([(f"a b a c a d {i % 3}",) for i in range(50)], "text string")
     model = lm.train(docs.select(bytes_of(F.col("text")).alias("bytes")))
