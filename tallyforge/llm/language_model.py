@@ -24,19 +24,17 @@ from .rolling import blocks, mix, signed, words
 
 #: Quotient of the counts of neighbouring levels.
 BASE = 1.5
-#: Pairs of words seen less often are treated as unseen.
-LEAST_PAIR = 2
 #: Weight of the pair's frequency.
 PAIR_WEIGHT = 0.6
 BITS_PER_ENTRY = 10
 PROBES = 5
-#: Most bits of a filter that is broadcast (64 MB); a larger one is probed region by region.
-MOST_BITS = 1 << 29
+#: Most bits of a filter that is broadcast (128 MB); a larger one is probed region by region.
+MOST_BITS = 1 << 30
 #: The filter's regions, which are filled apart; a power of 2, and their least size in bits.
 REGIONS = 256
 LEAST_REGION = 1024
 #: Bytes of texts whose distinct grams are looked up together in a filter that isn't broadcast.
-PACK_BYTES = 8_000_000
+PACK_BYTES = 2_000_000
 #: No count of 64 bits has a higher level.
 TOP_LEVEL = 108
 #: Words whose exact counts are broadcast (16 bytes each); more are joined.
@@ -121,7 +119,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             data = pdf["bytes"].tolist()
-            for a, b in blocks(data, 16_000_000):
+            for a, b in blocks(data, 8_000_000):
                 token, counts = tokens(data[a:b])
                 for size, grams in ((1, token), (2, pairs(token, counts))):
                     gram, n = np.unique(grams, return_counts=True)
@@ -209,7 +207,7 @@ class LanguageModel:
 
 def train(texts: DataFrame, most_words: int = BROADCAST_WORDS, most_bits: int = MOST_BITS) -> LanguageModel:
     """The model of all ``bytes`` of ``texts``; none give one that has seen nothing."""
-    grams = cut(count_grams(texts).where((F.col("size") == 1) | (F.col("n") >= LEAST_PAIR)), "grams")
+    grams = cut(count_grams(texts), "grams")
     one = F.col("size") == 1
     level = 1 + F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BASE)) + 1e-9)
     entries, n_tokens, n_words = grams.agg(F.sum(level), F.sum(F.when(one, F.col("n"))), F.count(F.when(one, 1))).first()

@@ -72,6 +72,14 @@ def test_a_filter_too_large_to_broadcast_scores_alike(spark, monkeypatch, most_w
     assert plain(apart) == plain(whole)
 
 
+def test_pairs_seen_once_are_known(spark):
+    kinds = [f"k{i}" for i in range(200)]
+    docs = spark.createDataFrame([(1, " ".join(kinds), False), (2, " ".join(kinds[::-1]), True)], SCHEMA)
+    model = lm.train(docs.where("not held_out").select(bytes_of(F.col("text")).alias("bytes")))
+    got = {r["doc_id"]: r["score"] for r in lm.score(docs, model).collect()}
+    assert got[1] > got[2] + 200  # ten times as likely a word on average
+
+
 def test_words_after_a_history_sum_to_one_at_most(spark):
     docs = spark.createDataFrame([(f"a b a c a d {i % 3}",) for i in range(50)], "text string")
     model = lm.train(docs.select(bytes_of(F.col("text")).alias("bytes")))
