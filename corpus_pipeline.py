@@ -13,6 +13,9 @@ from tallyforge.llm import line_dedup, near_dedup, packing, quality, suffix_dedu
 from tallyforge.llm.common import cut, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Words of a passage that may not be left twice, and the bytes that so many have at least, in any language.
+PASSAGE_WORDS = 51
+PASSAGE_BYTES = 2 * PASSAGE_WORDS - 1
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +36,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that stand anywhere else."""
-    return suffix_dedup.suffix_dedup(docs.select(*COLUMNS))
+    """Documents without the passages of more than 50 words that stand anywhere else."""
+    return suffix_dedup.suffix_dedup(docs.select(*COLUMNS), length=PASSAGE_BYTES, anchor=32, least_words=PASSAGE_WORDS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

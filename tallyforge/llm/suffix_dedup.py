@@ -239,18 +239,23 @@ def mark_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, gr
     return rows.join(by_text.hint("merge"), ["k1", "k2"], "left").select("row", "bytes", "spans")
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP, least_words: int = 0) -> DataFrame:
     """``docs`` without the bytes that repeated passages cover; a character that loses a byte goes.
 
+    Stretches of fewer than ``least_words`` words (parts of words count) stay.
+
     ``text`` changes and, where there is one, ``n_chars``; all rows and other columns stay.
     A text left empty is the empty text, and a null text stays null.  See
     :func:`mark_repeats` for the rest.
     """
     marked = mark_repeats(docs, length, anchor, group)
 
+    def gone(data: bytes, spans: list) -> list[tuple[int, int]]:
+        return [(a, b) for a, b in removed_stretches(spans, length) if len(data[a:b].split()) >= least_words]
+
     @F.pandas_udf("string")
     def kept(data: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([x.decode("utf-8", "ignore") if s is None else _without(x, removed_stretches(s, length)).decode("utf-8", "ignore") for x, s in zip(data, spans, strict=True)], dtype="object")
+        return pd.Series([x.decode("utf-8", "ignore") if s is None else _without(x, gone(x, s)).decode("utf-8", "ignore") for x, s in zip(data, spans, strict=True)], dtype="object")
 
     text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(kept("bytes", "spans"))
     out = marked.select("row", text.alias("new_text"))

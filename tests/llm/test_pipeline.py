@@ -48,3 +48,13 @@ def test_packed_ids_are_those_of_the_last_texts(stages):
         ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
         for start, (length, crc) in packed[doc_id].items():
             assert zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids[start : start + length])) == crc
+
+
+def test_a_shared_passage_of_51_words_goes_and_shorter_ones_stay(spark):
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    long, short, tiny = words("p", 51), words("q", 45), " ".join("abcdefghijklmnopqrstuvwxyz"[i % 26] for i in [*range(26), *range(1, 51, 2)])
+    texts = [f"{words(f'{x}a', 60)} {long} {words(f'{x}b', 60)} {short} {words(f'{x}c', 60)} {tiny} {words(f'{x}d', 60)}" for x in ("one", "two")]
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r["text"] for r in corpus_pipeline.drop_passages(spark, docs, SF).collect()]
+    assert len(got) == 2
+    assert all(long not in x and tiny not in x and short in x for x in got)
