@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -16,12 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (local tests) a temporary one is set.
+    Only where a local session (tests) names none a temporary one is set; on a cluster
+    that is an error, since executors can't see the driver's own disk.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyforge-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -54,9 +59,44 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % n
 
 
-def only(df: DataFrame, *columns: str) -> DataFrame:
-    """Just the named columns, so that extra columns can't clash with an operator's own."""
-    return df.select(*columns)
+#: Rows of one key that may meet in one task, and keys with more that a broadcast may hold.
+LEAST_SPREAD, MOST_HOT = 400, 4096
+
+
+def join_spread(many: DataFrame, one: DataFrame, on: list[str], n: str | None, by: list[str], total: int, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one``, which has a row a key; ``many`` has ``total`` rows.
+
+    Keys of more than max(LEAST_SPREAD, total / MOST_HOT) rows, of which there are at most
+    MOST_HOT, are told to all tasks; their rows are dealt by the columns ``by`` to as many
+    copies of the key's row as that takes.  ``n`` is a column of ``one`` with the key's rows
+    in ``many`` and not in the result; without it they are counted.
+    """
+    limit = max(LEAST_SPREAD, total // MOST_HOT)
+    counted = many.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")) if n is None else one.select(*on, F.col(n).alias("_n"))
+    hot = counted.where(F.col("_n") > limit).select(*on, F.ceil(F.col("_n") / limit).cast("int").alias("_copies"))
+    salt = F.coalesce(F.pmod(F.xxhash64(*by), F.col("_copies")), F.lit(0)).cast("int")
+    salted = many.join(F.broadcast(hot), on, "left").withColumn("_salt", salt).drop("_copies")
+    salts = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_copies"), F.lit(1)) - 1))
+    copied = (one if n is None else one.drop(n)).join(F.broadcast(hot), on, "left").withColumn("_salt", salts).drop("_copies")
+    return salted.join(copied.hint("merge"), [*on, "_salt"], how).drop("_salt")
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let Python workers get whole texts in batches of few rows, unless the session already asks for fewer; bounds memory alone."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, rows)
+
+
+def release_memory() -> None:
+    """Give back what a finished task no longer holds; Python workers live on and share an executor's memory."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def map_rows(df: DataFrame, run, schema: str) -> DataFrame:

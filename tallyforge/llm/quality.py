@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut, release_memory, small_batches
+
 #: log2 of the number of hashed weights.
 BITS = 20
 #: Expected rated documents of each grade that the fit uses; bounds what reaches the driver.
@@ -28,7 +30,11 @@ STEPS = 120
 SELECT_GRADE = 2
 SELECT_PROBABILITY = 0.5
 #: Words whose features a worker keeps; bounds memory alone.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
+#: Drawn ids (12 bytes each) that are sent to every task; more are joined.
+MOST_DRAWN = 200_000
+#: Columns that :func:`grade` makes; input columns of these names are replaced.
+MADE = ("expected_grade", "tail_probability", "selected")
 
 
 def rating(quality: Column, toxic: Column) -> Column:
@@ -148,7 +154,9 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, per_grade: int
         for pdf in batches:
             yield pd.DataFrame({"grade": pdf["grade"], "f": [np.fromiter(features(x), "int32").tobytes() for x in pdf["text"]]})
 
-    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(drawn, "doc_id").select("grade", "text").mapInPandas(run, "grade int, f binary").toPandas()
+    ids = cut(drawn.select("doc_id", "grade"), "drawn")
+    ids = F.broadcast(ids) if ids.count() <= MOST_DRAWN else ids.hint("merge")  # the texts of others stay where they are
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id").select("grade", "text").mapInPandas(run, "grade int, f binary").toPandas()
     grades = sample["grade"].to_numpy("int64")
     importance = np.array([1 / share[g] for g in grades]) ** 0.5  # half way to equal shares
     return fit([np.frombuffer(x, "int32") for x in sample["f"]], grades, importance, n_grades)
@@ -157,8 +165,9 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, per_grade: int
 def grade(docs: DataFrame, model: OrdinalModel, select_grade: int = SELECT_GRADE, probability: float = SELECT_PROBABILITY) -> DataFrame:
     """``docs`` with ``expected_grade``, ``tail_probability`` (of ``select_grade`` or more) and ``selected``.
 
-    Null text counts as empty and is graded like any other; rows are independent; the
-    other columns of ``docs`` are kept as they are.
+    Null text counts as empty and is graded like any other; rows are independent, so
+    repeated rows are graded alike; an empty table gives an empty result; the other columns
+    of ``docs`` are kept as they are, but for those named like the new ones, which go.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -171,10 +180,13 @@ def grade(docs: DataFrame, model: OrdinalModel, select_grade: int = SELECT_GRADE
             tails = own.tails(scores)
             upper = tails[:, select_grade - 1]
             yield pd.DataFrame({"expected_grade": tails.sum(axis=1), "tail_probability": upper, "selected": upper >= probability})
+        del features
+        release_memory()
 
-    row = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["text"])
+    kept = [c for c in docs.columns if c not in MADE]
+    row = docs.select(F.struct(F.lit(1).alias("_"), *(docs[c] for c in kept)).alias("row"), docs["text"])
     graded = row.select("row", grades("text").alias("grades"))
-    return graded.select(*(F.col("row")[c].alias(c) for c in docs.columns), "grades.expected_grade", "grades.tail_probability", "grades.selected")
+    return graded.select(*(F.col("row")[c].alias(c) for c in kept), "grades.expected_grade", "grades.tail_probability", "grades.selected")
 
 
 def trained(spark: SparkSession, docs: DataFrame, sf_dir: str) -> OrdinalModel:
@@ -184,5 +196,6 @@ def trained(spark: SparkSession, docs: DataFrame, sf_dir: str) -> OrdinalModel:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return grade(docs, trained(spark, docs, sf_dir)).drop("text")
