@@ -1,9 +1,10 @@
 """Exact dedup over a persistent digest index.
 
-The index holds one row per digest and batch of arrivals, bucketed and sorted by
-digest, so that looking a new batch up in it is a sort-merge anti join that
-shuffles the batch's digests alone.  Rows are reduced to one per digest before
-they are shuffled; a text that a third of all rows share costs one row a task.
+The index is bucketed and sorted by digest, so that looking a new batch up in it shuffles
+the batch's digests alone and never the index: a sort-merge semi join finds what is known
+of the batch, a sort-merge anti join what is new, and only the batch's rows are appended.
+Rows are reduced to one per digest before they are shuffled; a text that a third of all
+rows share costs one row a task, and its rows are dealt to several tasks at the end.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, cut, shared_folder
+from .common import bytes_of, cut, join_spread, shared_folder
 
 
 def text_digest(text: Column) -> Column:
@@ -25,35 +26,43 @@ class DigestIndex:
     """Digests seen so far, in a bucketed and sorted table at ``path``.
 
     ``path`` lies in storage that all executors share.  A later session opens the
-    same index by giving the same path and bucket count.  Columns: ``digest``,
-    ``keep_id`` (largest id of the batch that brought the digest) and ``rows`` (how
-    many rows that batch held).
+    same index by giving the same path and bucket count.  Columns: ``digest``, ``rows``
+    (how many rows of one batch held it) and ``keep_id`` (the row that stays: the largest
+    id of the first batch that held it), which counts only where ``first`` is true; later
+    batches add rows of their own, so nothing is ever rewritten.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 32):
         self.spark, self.path, self.buckets = spark, path, buckets
         self.name = f"digest_index_{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}"
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.name} (digest STRING, keep_id BIGINT, rows BIGINT) USING parquet "
+            f"CREATE TABLE IF NOT EXISTS {self.name} (digest STRING, keep_id BIGINT, rows BIGINT, first BOOLEAN) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def known(self, batch: DataFrame) -> DataFrame:
+        """digest, old_id and old_rows of the digests of ``batch`` (one row a digest) that the index holds."""
+        met = self.table().join(batch.select("digest").hint("merge"), "digest", "left_semi")
+        return met.groupBy("digest").agg(F.max(F.when(F.col("first"), F.col("keep_id"))).alias("old_id"), F.sum("rows").alias("old_rows"))
+
     def unseen(self, batch: DataFrame) -> DataFrame:
         """Rows of ``batch`` (one per digest) whose digest the index lacks."""
         return batch.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
 
-    def append(self, batch: DataFrame) -> DataFrame:
-        """Add the digests that are new; returns the index as it then is."""
-        new = self.unseen(batch.select("digest", "keep_id", "rows"))
+    def append(self, batch: DataFrame) -> None:
+        """Add ``batch`` (digest, keep_id, rows, first; one row a digest)."""
         (
-            new.repartition(self.buckets, "digest").write.mode("append").format("parquet")
+            batch.select("digest", "keep_id", "rows", "first").repartition(self.buckets, "digest").write.mode("append").format("parquet")
             .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
         )
         self.spark.catalog.refreshTable(self.name)
-        return self.table()
+
+    def forget(self) -> None:
+        """Take the table out of the catalog; its files stay, and the index can be opened again by its path."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
 def digest_groups(docs: DataFrame) -> DataFrame:
@@ -66,33 +75,38 @@ def digest_groups(docs: DataFrame) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """Mark the copies among ``docs`` and against what ``index`` held before; append the new digests.
+    """Mark the copies among ``docs`` and against what ``index`` held before; append what is new.
 
     One row per input row: doc_id, keep_id, group_size, kept, text_sha256.  A text
     that the index knew from an earlier batch keeps that earlier row, so none of the
-    new rows stays; otherwise the row with the largest doc_id stays.
+    new rows stays; otherwise the row with the largest doc_id stays.  ``group_size``
+    counts the rows of all batches so far.
 
     Null text counts as empty; null doc_id sorts below every id (keep_id is null only
     if all of a group's ids are).  Of rows repeated with the same text and id, one is
     kept.  An empty table gives an empty result.  Extra columns are ignored.
     """
+    batch = cut(digest_groups(docs), "batch")
+    earlier = cut(index.known(batch), "known")  # only what this batch meets, as it was before
+    unseen = index.unseen(batch).select("digest", "keep_id", "rows", F.lit(True).alias("first"))
+    again = batch.join(earlier.select("digest"), "digest", "left_semi").select("digest", "keep_id", "rows", F.lit(False).alias("first"))
+    index.append(cut(unseen.unionByName(again), "arrivals"))
+    groups = batch.join(earlier, "digest", "left").select(
+        "digest",
+        "rows",
+        F.coalesce("old_rows", F.lit(0)).alias("old_rows"),
+        F.col("old_rows").isNotNull().alias("known"),
+        F.when(F.col("old_rows").isNotNull(), F.col("old_id")).otherwise(F.col("keep_id")).alias("keep_id"),
+    )
+    groups = groups.withColumn("group_size", F.col("rows") + F.col("old_rows"))
     rows = (
         docs.select("doc_id", text_digest(F.col("text")).alias("digest"))
         .groupBy("digest", "doc_id")
         .agg(F.count(F.lit(1)).alias("copies"))
     )
-    batch = cut(digest_groups(docs), "batch")
-    earlier = index.table().select("digest", F.col("keep_id").alias("old_id"), F.col("rows").alias("old_rows"), F.lit(True).alias("known"))
-    earlier = cut(earlier, "known")  # as it was before this batch
-    index.append(batch)
-    groups = batch.join(earlier, "digest", "left").select(
-        "digest",
-        F.when(F.col("known"), F.col("old_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        (F.col("rows") + F.coalesce("old_rows", F.lit(0))).alias("group_size"),
-        F.coalesce("known", F.lit(False)).alias("known"),
-    )
+    total = batch.agg(F.sum("rows")).first()[0] or 0
     return (
-        rows.join(groups, "digest")
+        join_spread(rows, groups.drop("old_rows"), ["digest"], "rows", ["doc_id"], total)
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
         .select(
             "doc_id",
@@ -108,7 +122,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents`` as one batch into a fresh index."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     index = DigestIndex(spark, f"{shared_folder(spark)}/digest_index/{uuid.uuid4().hex}")
-    return exact_dedup(docs, index)
+    marked = exact_dedup(docs, index)
+    index.forget()  # the result doesn't read it
+    return marked
 
 
 ORACLE = """

@@ -26,9 +26,29 @@ def test_later_batches_meet_the_index(spark, tmp_path):
     again = {r["doc_id"]: r for r in exact_dedup(spark.createDataFrame([(8, "a", ""), (9, "c", "")], SCHEMA), DigestIndex(spark, path, 4)).collect()}
     assert (again[8]["kept"], again[8]["keep_id"], again[8]["group_size"]) == (False, 1, 2)
     assert again[9]["kept"]
-    assert DigestIndex(spark, path, 4).table().count() == 3
-    plan = DigestIndex(spark, path, 4).unseen(spark.createDataFrame([("x",)], "digest string"))._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and plan.count("hashpartitioning") == 1  # the index itself is not shuffled
+    third = {r["doc_id"]: r for r in exact_dedup(spark.createDataFrame([(20, "a", ""), (21, "a", ""), (22, "c", ""), (23, "d", "")], SCHEMA), DigestIndex(spark, path, 4)).collect()}
+    assert [(third[i]["kept"], third[i]["keep_id"], third[i]["group_size"]) for i in (20, 21, 22, 23)] == [(False, 1, 4), (False, 1, 4), (False, 9, 2), (True, 23, 1)]
+    fourth = exact_dedup(spark.createDataFrame([(30, "a", "")], SCHEMA), DigestIndex(spark, path, 4)).first()
+    assert (fourth["keep_id"], fourth["group_size"]) == (1, 5)
+
+
+def test_the_index_is_not_shuffled(spark, tmp_path):
+    index = DigestIndex(spark, f"file://{tmp_path}/i", 4)
+    exact_dedup(spark.createDataFrame([(i, str(i), "") for i in range(9)], SCHEMA), index)
+    batch = spark.createDataFrame([("x",)], "digest string")
+    for found in (index.unseen(batch), index.known(batch)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and plan.count("hashpartitioning") == 1  # the batch's digests alone
+    index.forget()
+    assert not spark.catalog.tableExists(index.name)
+    assert DigestIndex(spark, f"file://{tmp_path}/i", 4).table().count() == 9
+
+
+def test_a_text_of_very_many_rows_is_dealt_out(spark, tmp_path):
+    rows = [(i, "same", "") for i in range(1500)] + [(5000 + i, f"own {i}", "") for i in range(100)]
+    got = exact_dedup(spark.createDataFrame(rows, SCHEMA), DigestIndex(spark, f"file://{tmp_path}/i", 4)).collect()
+    assert len(got) == 1600 and [r["doc_id"] for r in got if r["kept"] and r["group_size"] > 1] == [1499]
+    assert {r["group_size"] for r in got} == {1500, 1}
 
 
 def test_empty_table(spark, tmp_path):
