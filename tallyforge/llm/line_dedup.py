@@ -1,10 +1,11 @@
 """Site-relative line dedup, in DataFrame functions alone.
 
-A line is boilerplate of its host if it stands on more than ``ratio`` of the host's
-pages (and on ``min_pages`` at least, so that a small host's few copies of one page
-don't make all its lines boilerplate).  Lines are counted by host and digest after a
-partial aggregation in each task, so neither a large host nor a line that stands on
-every page meets in one task as rows.
+A line is boilerplate of its host if the share of the host's pages that hold it exceeds
+``ratio``.  On hosts of few pages a share says little, so there the line must also stand on
+more than FLOOR pages or more than half of them, whichever is less, and on LEAST_PAGES.
+Lines are counted by host and digest after a partial aggregation in each task, so neither a
+large host nor a line that stands on every page meets in one task as rows, and texts stay
+where they are: the boilerplate found is sent to them.
 """
 
 from __future__ import annotations
@@ -12,8 +13,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import cut
+
 RATIO = 0.1
-MIN_PAGES = 10
+#: Pages that a line of a small host must exceed, unless it stands on more than half; and the least in any case.
+FLOOR = 5
+LEAST_PAGES = 3
+#: Digests of boilerplate (16 bytes each) that are sent to every task; more are joined.
+MOST_BROADCAST = 500_000
+#: Pages of a host that meet in one task if the boilerplate is joined.
+PAGES_A_TASK = 20_000
 
 
 def _lines(text: Column) -> Column:
@@ -24,35 +33,49 @@ def _digest(line: Column) -> Column:
     return F.unhex(F.md5(F.encode(line, "UTF-8")))
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``host`` and ``drop``, the digests of its boilerplate lines.
+def boilerplate(pages: DataFrame, ratio: float = RATIO, floor: int = FLOOR, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """``host``, its ``total`` pages and ``drop``, the digests of its boilerplate lines.
 
     As each line of ``drop`` takes ``ratio`` of the host's pages, the array holds at most
     (distinct lines of an average page) / ``ratio`` digests, whatever the host's size.
     """
     distinct = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), _digest))
-    counts = pages.select("host", F.explode(distinct).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    counts = pages.select("host", F.explode(distinct).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
     totals = pages.groupBy(F.col("host").alias("t_host")).agg(F.count(F.lit(1)).alias("total"))
+    exceeds = F.greatest(F.col("total") * F.lit(ratio), F.least(F.col("total") * 0.5, F.lit(float(floor))))
     return (
         counts.join(totals, F.col("host").eqNullSafe(F.col("t_host")))
-        .where(F.col("n") > F.col("total") * F.lit(ratio))
+        .where(F.col("n") > exceeds)
         .groupBy("host")
-        .agg(F.collect_list("line").alias("drop"))
+        .agg(F.first("total").alias("total"), F.collect_list("line").alias("drop"))
     )
 
 
-def line_dedup(docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def line_dedup(docs: DataFrame, ratio: float = RATIO, floor: int = FLOOR, least_pages: int = LEAST_PAGES, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """``docs`` without their hosts' boilerplate lines; ``source`` is the host.
 
     Adds ``n_lines`` and ``n_dropped`` and changes ``text``; the other columns of
     documents are kept and extra ones dropped.  Null text stays null (no lines), a null
-    source is a host of its own, blank lines are neither counted nor dropped, a line
-    repeated in one page counts once and goes everywhere, a page of boilerplate alone
-    becomes empty, and repeated rows are pages of their own.
+    source is a host of its own, blank lines (nothing or spaces only; a tab is no space)
+    are neither counted nor dropped, a line repeated in one page counts once and goes
+    everywhere, a page of boilerplate alone becomes empty, repeated rows are pages of
+    their own, a text of any length is worked on whole, and an empty table gives an empty
+    result.
     """
     pages = docs.select(F.col("source").alias("host"), "text")
-    found = boilerplate(pages, ratio, min_pages).select(F.col("host").alias("b_host"), "drop")
-    joined = docs.select("doc_id", "text", "lang", "source", "n_chars").join(found, F.col("source").eqNullSafe(F.col("b_host")), "left")
+    found = cut(boilerplate(pages, ratio, floor, least_pages), "boilerplate").select(F.col("host").alias("b_host"), "total", "drop")
+    digests = found.agg(F.sum(F.size("drop"))).first()[0] or 0
+    own = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    same = F.col("source").eqNullSafe(F.col("b_host"))
+    if digests <= most_broadcast:
+        joined = own.join(F.broadcast(found), same, "left")
+    else:  # a large host's pages go to several tasks, each with a copy of its list
+        parts = F.greatest(F.lit(1), F.ceil(F.col("total") / PAGES_A_TASK)).cast("int")
+        hot = found.where(parts > 1).select("b_host", parts.alias("parts"))
+        salt = F.coalesce(F.pmod(F.xxhash64("doc_id", F.length("text")), F.col("parts")), F.lit(0)).alias("salt")
+        salted = own.join(F.broadcast(hot), same, "left").select(*own.columns, salt)
+        copied = found.select("b_host", "drop", F.explode(F.sequence(F.lit(0), parts - 1)).alias("b_salt"))
+        joined = salted.join(copied.hint("merge"), same & (F.col("salt") == F.col("b_salt")), "left")
     lines = _lines(F.col("text"))
     left = F.when(F.col("drop").isNull(), lines).otherwise(F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("drop"), _digest(x))))
     return joined.select(
@@ -78,7 +101,7 @@ counts AS (
 totals AS (SELECT source, count(*) AS total FROM pages GROUP BY ALL),
 found AS (
   SELECT c.source, list(c.line) AS bad FROM counts c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
-  WHERE c.n >= {MIN_PAGES} AND c.n > t.total * {RATIO} GROUP BY ALL),
+  WHERE c.n >= {LEAST_PAGES} AND c.n > greatest(t.total * {RATIO}, least(t.total * 0.5, {FLOOR})) GROUP BY ALL),
 kept AS (
   SELECT p.doc_id, p.lines, CASE WHEN f.bad IS NULL THEN p.lines ELSE list_filter(p.lines, lambda x: NOT list_contains(f.bad, x)) END AS ok
   FROM pages p LEFT JOIN found f ON p.source IS NOT DISTINCT FROM f.source)

@@ -5,7 +5,7 @@ from tallyforge.llm.line_dedup import line_dedup
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, host string, line string"
 
 
-def brute(rows, ratio, least):
+def brute(rows, ratio, floor, least):
     pages, lines = Counter(), Counter()
     for _, text, _, source, *_ in rows:
         pages[source] += 1
@@ -18,7 +18,7 @@ def brute(rows, ratio, least):
             out.append((doc_id, None, 0, 0))
             continue
         own = text.split("\n")
-        kept = [x for x in own if not (lines[source, x] >= least and lines[source, x] > ratio * pages[source])]
+        kept = [x for x in own if not (lines[source, x] >= least and lines[source, x] > max(ratio * pages[source], min(0.5 * pages[source], floor)))]
         out.append((doc_id, "\n".join(kept), len(own), len(own) - len(kept)))
     return sorted(out, key=str)
 
@@ -30,9 +30,28 @@ def rows():
 
 
 def test_equals_brute_force(spark):
-    for ratio, least in ((0.1, 10), (0.3, 2), (0.99, 1)):
-        got = line_dedup(spark.createDataFrame(rows(), SCHEMA).repartition(3), ratio, least)
-        assert sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in got.collect()), key=str) == brute(rows(), ratio, least)
+    for ratio, floor, least in ((0.1, 10, 3), (0.3, 5, 2), (0.99, 0, 1)):
+        for most in (500_000, 0):  # boilerplate sent to all tasks, and joined
+            got = line_dedup(spark.createDataFrame(rows(), SCHEMA).repartition(3), ratio, floor, least, most)
+            assert sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in got.collect()), key=str) == brute(rows(), ratio, floor, least)
+
+
+def test_small_hosts_lose_what_stands_on_most_pages_only(spark):
+    pages = [(10 * n + i, f"menu {n}\nsome {n}.{i // 2}\nown {n}.{i}", "en", f"host{n}", 1, "", "") for n in (1, 2, 4, 8) for i in range(n)]
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup(spark.createDataFrame(pages, SCHEMA)).collect()}
+    assert got == {10 * n + i: int(n >= 4) for n in (1, 2, 4, 8) for i in range(n)}
+
+
+def test_very_long_text_and_blank_lines(spark):
+    own = "\n".join(f"line {i} " + "x" * 60 for i in range(20_000))
+    pages = [(i, f"menu\n\t\n  \n{own if i == 0 else i}", "en", "a", 1, "", "") for i in range(12)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup(spark.createDataFrame(pages, SCHEMA)).collect()}
+    assert got[0] == "  \n" + own and got[3] == "  \n3"  # a line with a tab isn't blank
+
+
+def test_texts_are_not_shuffled(spark):
+    plan = line_dedup(spark.createDataFrame(rows(), SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
 
 
 def test_empty_table(spark):
