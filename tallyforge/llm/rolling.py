@@ -6,8 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-_MULTIPLIER = 0x9E3779B97F4A7C15
-_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
+_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: ASCII white space, which ends words.
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -23,27 +22,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_OF_BYTE = mix(np.arange(1, 257, dtype="u8") * np.uint64(_MULTIPLIER))
-_powers = [np.ones(1, "u8"), np.ones(1, "u8")]
+_OF_BYTE = [mix(np.arange(1, 257, dtype="u8") * np.uint64(m)) for m in _MULTIPLIERS]
+#: Powers of each multiplier and of its inverse, as far as any block needed them; longer arrays are made anew.
+_POWERS = [[np.ones(1, "u8"), np.ones(1, "u8")] for _ in _MULTIPLIERS]
+_MOST_POWERS = 2_100_000
 
 
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of the multiplier and of its inverse."""
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_MULTIPLIER, _INVERSE)):
+def _powers(n: int, which: int) -> list[np.ndarray]:
+    """The first ``n`` powers of a multiplier and of its inverse."""
+    kept = _POWERS[which]
+    if len(kept[0]) < n:
+        grown = []
+        for base in (_MULTIPLIERS[which], pow(_MULTIPLIERS[which], -1, 1 << 64)):
             steps = np.full(n, base, "u8")
             steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
+            grown.append(np.multiply.accumulate(steps))
+        if n > _MOST_POWERS:
+            return grown
+        _POWERS[which] = kept = grown
+    return [x[:n] for x in kept]
 
 
 class PrefixHash:
-    """64-bit hash of ``data[a:b]`` for any arrays of a and b, alike wherever the bytes stand."""
+    """64-bit hash of ``data[a:b]`` for any arrays of a and b, alike wherever the bytes stand; ``which`` of two that are unrelated."""
 
-    def __init__(self, data: np.ndarray):
-        up, self.down = _grown(len(data) + 1)
+    def __init__(self, data: np.ndarray, which: int = 0):
+        up, self.down = _powers(len(data) + 1, which)
         self.sums = np.zeros(len(data) + 1, "u8")
-        np.cumsum(_OF_BYTE[data] * up[:-1], out=self.sums[1:])
+        np.cumsum(_OF_BYTE[which][data] * up[:-1], out=self.sums[1:])
 
     def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix((self.sums[b] - self.sums[a]) * self.down[a])

@@ -25,8 +25,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from .common import bytes_of, cut, map_rows
+from .common import bytes_of, cut, join_spread, map_rows, release_memory, small_batches
 from .rolling import PrefixHash, mix, signed
 from .runs import repeated_windows
 
@@ -38,7 +39,9 @@ GROUP = 400
 #: Bytes of a shard, about.
 SHARD_BYTES = 256_000
 #: Bytes of text that are searched for anchors at once; bounds memory alone.
-BLOCK = 2_000_000
+BLOCK = 500_000
+#: Multipliers that tell equal contents at unequal places apart.
+_PLACE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 _PART = "part long, k1 long, k2 long, lo int, off int, open boolean, bytes binary"
 _SPAN = "k1 long, k2 long, lo int, hi int"
@@ -65,7 +68,7 @@ def _segments(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int,
 
 
 def anchored_runs(segments: list[bytes], length: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """Runs of passages by elected anchor: segment, first passage, passages, anchor's place after the first, hashes of anchor and content."""
+    """Runs of passages by elected anchor: segment, first passage, passages, anchor's place after the first, hash of the anchor and two of the content."""
     data = np.frombuffer(b"".join(segments), "u1")
     sizes = np.array([len(x) for x in segments])
     ends = np.cumsum(sizes)
@@ -74,37 +77,46 @@ def anchored_runs(segments: list[bytes], length: int, anchor: int) -> tuple[np.n
     each = hashes.each(anchor)
     n, width = len(each), length - anchor + 1
     most = np.uint64(0xFFFFFFFF)
-    rank = (each & ~most) | (most - np.arange(n, dtype="u8"))  # of equal ones the last is elected
     padded = np.full(-(-n // width) * width, ~np.uint64(0))
-    padded[:n] = rank
+    padded[:n] = (each & ~most) | (most - np.arange(n, dtype="u8"))  # of equal ones the last is elected
     rows = padded.reshape(-1, width)
-    forward = np.minimum.accumulate(rows, axis=1).ravel()[width - 1 : n]
-    least = np.minimum(np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()[: n - width + 1], forward)
+    least = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()[: n - width + 1]
+    np.minimum.accumulate(rows, axis=1, out=rows)
+    least = np.minimum(least, padded[width - 1 : n])
+    del padded, rows
     fits = np.zeros(len(data) + 1, "i4")
     np.add.at(fits, starts, 1)
     np.add.at(fits, ends - length + 1, -1)
     first = np.flatnonzero(np.cumsum(fits)[: n - width + 1] > 0)
     place = (most - (least[first] & most)).astype("i8")
-    breaks = np.flatnonzero((place[1:] != place[:-1]) | (first[1:] != first[:-1] + 1) | np.isin(first[1:], starts)) + 1
+    del least, fits
+    new_text = np.zeros(len(data) + 1, bool)
+    new_text[starts] = True
+    breaks = np.flatnonzero((place[1:] != place[:-1]) | (first[1:] != first[:-1] + 1) | new_text[first[1:]]) + 1
     a, b = np.concatenate([[0], breaks]), np.concatenate([breaks, [len(first)]])
     lo, count, place = first[a], b - a, place[a]
     of = np.searchsorted(ends, lo, side="right")
-    content = mix(hashes.of(lo, lo + count + length - 1) ^ (place - lo).astype("u8") * np.uint64(0x9E3779B97F4A7C15))
-    return of, lo - starts[of], count, place - lo, each[place], content
+    stop, off = lo + count + length - 1, (place - lo).astype("u8")
+    anchors, content = each[place], mix(hashes.of(lo, stop) ^ off * _PLACE[0])
+    del hashes, each
+    again = mix(PrefixHash(data, 1).of(lo, stop) ^ off * _PLACE[1])
+    return of, lo - starts[of], count, place - lo, anchors, content, again
 
 
 def find_runs(docs: DataFrame, length: int, anchor: int) -> DataFrame:
-    """anchor, content, k1, k2, lo, n, off of each run of the texts (k1, k2, bytes)."""
+    """anchor, content, content2, k1, k2, lo, n, off of each run of the texts (k1, k2, bytes); equal contents are told by 128 bits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             k1, k2 = pdf["k1"].to_numpy(), pdf["k2"].to_numpy()
             for segments in _segments(pdf["bytes"].tolist(), length):
-                of, lo, n, off, anchors, content = anchored_runs([x for _, _, x in segments], length, anchor)
+                of, lo, n, off, anchors, content, again = anchored_runs([x for _, _, x in segments], length, anchor)
                 row = np.array([i for i, _, _ in segments])[of]
-                yield pd.DataFrame({"anchor": signed(anchors), "content": signed(content), "k1": k1[row], "k2": k2[row], "lo": lo + np.array([a for _, a, _ in segments])[of], "n": n, "off": off})
+                start = np.array([a for _, a, _ in segments])[of]
+                yield pd.DataFrame({"anchor": signed(anchors), "content": signed(content), "content2": signed(again), "k1": k1[row], "k2": k2[row], "lo": lo + start, "n": n, "off": off})
+        release_memory()
 
-    return docs.mapInPandas(run, "anchor long, content long, k1 long, k2 long, lo int, n int, off int")
+    return docs.mapInPandas(run, "anchor long, content long, content2 long, k1 long, k2 long, lo int, n int, off int")
 
 
 def split_parts(parts: Iterator[tuple], cell: int, length: int, anchor: int) -> Iterator[dict]:
@@ -159,34 +171,46 @@ def _indexed(parts: DataFrame, length: int) -> DataFrame:
     return parts.withColumn("shard", shard).groupBy("shard").applyInPandas(mark, _SPAN)
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
-    """k1, k2, lo, hi: first and last of passages that also start elsewhere, in each text (k1, k2, bytes)."""
+def text_counts(docs: DataFrame) -> DataFrame:
+    """k1, k2, ``rows`` and ``row`` (one of them) of each text (k1, k2, row)."""
+    return cut(docs.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("rows"), F.min("row").alias("row")), "texts")
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP, texts: DataFrame | None = None) -> DataFrame:
+    """k1, k2, lo, hi: first and last of passages that also start elsewhere, in each text (k1, k2, row, bytes); ``texts`` is from :func:`text_counts`."""
+    texts = text_counts(docs) if texts is None else texts
+    same = ["anchor", "content", "content2"]
     runs = cut(find_runs(docs, length, anchor), "runs")
-    classes = runs.groupBy("anchor", "content").agg(
-        F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("k1", "k2", "lo", "n", "off"))
-    )
-    several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor")
-    whole = classes.where("copies > 1").select("anchor", "content")
-    spans = [cut(runs.join(whole.hint("merge"), ["anchor", "content"]).select("k1", "k2", "lo", (F.col("lo") + F.col("n") - 1).alias("hi")), "whole")]
-    chosen = classes.join(several.hint("merge"), "anchor").groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "n", "off", (F.col("copies") == 1).alias("open"))).alias("runs"))
+    classes = cut(runs.groupBy(*same).agg(F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("k1", "k2", "lo", "n", "off"))), "classes")
+    several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    whole = classes.where("copies > 1").select(*same, "copies")
+    found = join_spread(runs, whole, same, "copies", ["k1", "k2", "lo"], runs.count())
+    spans = [cut(found.select("k1", "k2", "lo", (F.col("lo") + F.col("n") - 1).alias("hi")), "whole")]
+    open_ = join_spread(classes, several, ["anchor"], "kinds", ["k1", "k2", "lo"], classes.count())
+    chosen = open_.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "n", "off", (F.col("copies") == 1).alias("open"))).alias("runs"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         before = None
         for pdf in batches:
             parts = []
             for x in pdf.itertuples():
-                if (x.k1, x.k2) != before:  # of copies of a text, which follow each other, one is enough
+                if (x.k1, x.k2) != before:  # of rows that are repeated whole, which follow each other, one is enough
                     parts += [(x.k1, x.k2, r["lo"], r["off"], r["open"], x.bytes[r["lo"] : r["lo"] + r["n"] + length - 1]) for r in x.runs]
                 before = (x.k1, x.k2)
             yield from _in_frames(split_parts(iter(parts), cell, length, anchor))
+        release_memory()
 
     cell = -(-(length - anchor + 1) // 2)
-    parts = cut(docs.join(chosen.hint("merge"), ["k1", "k2"]).select("k1", "k2", "bytes", "runs").mapInPandas(read, _PART), "parts")
+    chosen = chosen.join(texts.select("k1", "k2", "row").hint("merge"), ["k1", "k2"])
+    holding = docs.join(chosen.hint("merge"), ["k1", "k2", "row"])  # one row of each text, wherever its copies are
+    parts = cut(holding.select("k1", "k2", "bytes", "runs").mapInPandas(read, _PART), "parts")
     while True:
-        counts = cut(parts.groupBy("part").agg(F.count(F.lit(1)).alias("members"), F.max("open").alias("any")).where("members > 1 AND any").select("part", "members"), "counts")
-        shared = parts.join(counts.hint("merge"), "part")
-        if cell == 1:
-            spans.append(shared.where("open").select("k1", "k2", "lo", F.col("lo").alias("hi")))
+        counts = cut(parts.groupBy("part").agg(F.count(F.lit(1)).alias("members"), F.max("open").alias("any")).where("members > 1 AND any").select("part", F.col("members").alias("n"), "members"), "counts")
+        shared = join_spread(parts, counts, ["part"], "n", ["k1", "k2", "lo"], parts.count())
+        if cell == 1:  # a part is one passage, so its bytes decide
+            passages = cut(shared.where("members > 1").select(F.sha2("bytes", 256).alias("sha"), "k1", "k2", "lo", "open"), "passages")
+            again = passages.groupBy("sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+            spans.append(join_spread(passages.where("open"), again, ["sha"], "n", ["k1", "k2", "lo"], passages.count()).select("k1", "k2", "lo", F.col("lo").alias("hi")))
             break
         spans.append(cut(_indexed(cut(shared.where(F.col("members") <= group).drop("members"), "shards"), length), "spans"))
         if counts.where(F.col("members") > group).isEmpty():
@@ -228,15 +252,20 @@ def mark_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, gr
     """``docs`` with ``bytes`` (UTF-8 of the text) and ``spans``, the (lo, hi) passages that stand elsewhere (null: none).
 
     Null and empty texts and those shorter than ``length`` hold no passage.  Rows that
-    repeat a whole text repeat its passages.  Ids are not used, so they may be null or
-    repeat; the other columns of ``docs`` are kept, whatever their names.  An empty table
-    gives an empty result.
+    repeat a whole text repeat its passages.  Ids are not used but to deal a text's copies
+    out, so they may be null or repeat; the other columns of ``docs`` are kept, whatever
+    their names.  An empty table gives an empty result.
     """
     own = bytes_of(docs["text"])
-    found = repeated_spans(docs.select(*_keys(own), own.alias("bytes")), length, anchor, group)
+    row = F.xxhash64(*(docs[c] for c in docs.columns if c != "text" and not isinstance(docs.schema[c].dataType, MapType)), F.lit(0)).alias("row")
+    keyed = docs.select(*_keys(own), own.alias("bytes"), row)
+    texts = text_counts(keyed)
+    found = repeated_spans(keyed, length, anchor, group, texts)
     by_text = found.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), own.alias("bytes"), *_keys(own))
-    return rows.join(by_text.hint("merge"), ["k1", "k2"], "left").select("row", "bytes", "spans")
+    marked = cut(texts.select("k1", "k2", "rows").join(by_text.hint("merge"), ["k1", "k2"], "left"), "marked")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), own.alias("bytes"), *_keys(own), row.alias("deal"))
+    total = marked.agg(F.sum("rows")).first()[0] or 0
+    return join_spread(rows, marked, ["k1", "k2"], "rows", ["deal"], total).select("row", "bytes", "spans")
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP, least_words: int = 0) -> DataFrame:
@@ -281,4 +310,5 @@ def digests(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
