@@ -67,9 +67,14 @@ class Catalog:
             F.coalesce("brands", F.array().cast("array<string>")).alias("target_audience"),
             F.col("types").alias("archetypes"),
             trends.alias("trends"),
-            F.when(k % 4 == 0, F.col("o_orderdate") + F.expr("INTERVAL 7 DAYS")).alias("synced_to_ssll_at"),
-            F.when(k % 5 == 0, F.col("o_orderdate") + F.expr("INTERVAL 9 DAYS")).alias("synced_to_aw_at"),
+            F.when(k % 4 == 0, F.col("o_orderdate") + F.expr("INTERVAL 7 DAYS")).alias("synced_to_channel1_at"),
+            F.when(k % 5 == 0, F.col("o_orderdate") + F.expr("INTERVAL 9 DAYS")).alias("synced_to_channel2_at"),
             F.concat(F.lit("note "), k.cast("string")).alias("raw_content"),
+            F.when(k % 23 != 0, F.concat(F.lit("rec"), k.cast("string"))).alias("record_id"),
+            (F.col("o_orderdate") + F.expr("INTERVAL 1 DAYS")).alias("ingested_at"),
+            (F.col("o_orderdate") + F.expr("INTERVAL 11 DAYS")).alias("updated_at"),
+            F.when(k % 5 != 4, F.col("o_orderdate") + F.expr("INTERVAL 3 DAYS")).alias("annotated_at"),
+            F.when(k % 3 == 0, F.col("o_orderdate") + F.expr("INTERVAL 5 DAYS")).alias("audience_inferred_at"),
         )
 
     def projects(self) -> DataFrame:
@@ -84,7 +89,7 @@ class Catalog:
             F.lit("xiaohongshu").alias("platform"),
             "created_seq",
             F.when(p != "FURNITURE", F.lit('{"爆": 270, "大爆": 380}')).alias("tier_thresholds"),
-            F.when(p != "HOUSEHOLD", F.md5(F.encode(p, "UTF-8"))).alias("aw_project_id"),
+            F.when(p != "HOUSEHOLD", F.md5(F.encode(p, "UTF-8"))).alias("channel2_project_id"),
         )
 
     def accounts(self) -> DataFrame:
@@ -142,15 +147,17 @@ notes AS (
     o_orderkey % 17 = 0 AS synthetic,
     coalesce(brands, []) AS target_audience, types AS archetypes,
     CASE o_orderkey % 6 WHEN 0 THEN ['通用'] WHEN 1 THEN ['时代语言范式'] WHEN 2 THEN ['节日', '时代语言范式'] WHEN 3 THEN ['行业事件', NULL] WHEN 5 THEN ['时事热点'] END AS trends,
-    CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate + INTERVAL 7 DAY END AS synced_to_ssll_at,
-    CASE WHEN o_orderkey % 5 = 0 THEN o_orderdate + INTERVAL 9 DAY END AS synced_to_aw_at,
-    'note ' || o_orderkey AS raw_content
+    CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate + INTERVAL 7 DAY END AS synced_to_channel1_at,
+    CASE WHEN o_orderkey % 5 = 0 THEN o_orderdate + INTERVAL 9 DAY END AS synced_to_channel2_at,
+    'note ' || o_orderkey AS raw_content, CASE WHEN o_orderkey % 23 <> 0 THEN 'rec' || o_orderkey END AS record_id,
+    o_orderdate + INTERVAL 1 DAY AS ingested_at, o_orderdate + INTERVAL 11 DAY AS updated_at,
+    CASE WHEN o_orderkey % 5 <> 4 THEN o_orderdate + INTERVAL 3 DAY END AS annotated_at, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate + INTERVAL 5 DAY END AS audience_inferred_at
   FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN lines ON l_orderkey = o_orderkey),
 projects AS (
   SELECT c_mktsegment AS project_id, 'brand ' || c_mktsegment AS brand,
     CASE WHEN c_mktsegment IN ('HOUSEHOLD', 'FURNITURE') THEN 'home' ELSE 'trade' END AS category, 'xiaohongshu' AS platform,
     min(c_custkey) AS created_seq, CASE WHEN c_mktsegment <> 'FURNITURE' THEN 270 END AS th_hit, CASE WHEN c_mktsegment <> 'FURNITURE' THEN 380 END AS th_mega,
-    CASE WHEN c_mktsegment <> 'HOUSEHOLD' THEN md5(c_mktsegment) END AS aw_project_id
+    CASE WHEN c_mktsegment <> 'HOUSEHOLD' THEN md5(c_mktsegment) END AS channel2_project_id
   FROM customer GROUP BY c_mktsegment),
 items AS (
   SELECT o_orderkey AS item_id, o_custkey AS batch_id, CASE o_orderstatus WHEN 'F' THEN 'approved' WHEN 'P' THEN 'needs_revision' ELSE 'pending' END AS status, o_orderdate AS created_at FROM orders),

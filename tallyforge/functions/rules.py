@@ -14,13 +14,14 @@ def _map(values: Mapping) -> Column:
     return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
 
 
-def extract_tier(tokens: Column, rules: Sequence[tuple[str, str, str]], default: str | None = None) -> Column:
-    """Tier of a status: each token takes the first rule (contains or exact, needle, tier) that fits, the highest rank wins."""
+def extract_tier(tokens: Column, rules: Sequence[tuple[Sequence[str], str]], default: str | None = None) -> Column:
+    """Tier of a status: each token takes the first rule (needles, tier) that it contains a needle of, the highest rank wins."""
 
     def of(token: Column) -> Column:
         out = F.lit(None).cast("string")
-        for how, needle, tier in reversed(rules):
-            out = F.when(F.contains(token, F.lit(needle)) if how == "contains" else token == needle, tier).otherwise(out)
+        for needles, tier in reversed(rules):
+            for needle in needles:
+                out = F.when(F.contains(token, F.lit(needle)), tier).otherwise(out)
         return out
 
     rank = lambda tier: F.coalesce(F.try_element_at(_map(V.TIER_RANK), tier), F.lit(0))
@@ -29,8 +30,9 @@ def extract_tier(tokens: Column, rules: Sequence[tuple[str, str, str]], default:
 
 
 def map_intent(values: Column, mapping: Mapping[str, str]) -> Column:
-    """The one intent that all values map to, mixed for several, other if none is mapped, null without values."""
-    mapped = F.array_distinct(F.filter(F.transform(values, lambda v: F.try_element_at(_map(mapping), v)), lambda v: v.isNotNull()))
+    """The one intent that all values map to (a value that is an intent maps to itself), mixed for several, other if none is, null without values."""
+    as_intent = lambda v: F.coalesce(F.try_element_at(_map(mapping), v), v) if mapping else v
+    mapped = F.array_distinct(F.filter(F.transform(values, as_intent), lambda v: v.isin(*V.INTENTS)))
     return F.when(F.coalesce(F.size(values), F.lit(0)) <= 0, None).when(F.size(mapped) == 1, mapped[0]).when(F.size(mapped) > 1, "mixed").otherwise("other")
 
 
@@ -94,31 +96,32 @@ def migrate_scalar(value: Column, moves: Mapping[str, str | None]) -> Column:
     return F.nullif(F.coalesce(F.try_element_at(_map({k: v or "" for k, v in moves.items()}), value), value), F.lit(""))
 
 
-#: How a comment's role is written before its text.
-ROLE_PREFIXES = {"贴主": "贴主", "楼主": "贴主", "作者": "贴主", "运营": "运营", "路人": "路人", "素人": "素人"}
+#: How a commenter's name begins, and the role it means; any other name is 素人.
+ROLE_PREFIXES = {"贴主": "贴主", "原帖作者": "贴主", "运营": "运营", "客服": "运营"}
+PLAIN_ROLE = "素人"
 
 
 def comment_lines(block: Column) -> Column:
     """role and content of each line of a block of comments, in order; blank and number-only lines go.
 
-    "1. name: text" and "(1) name | text" lose number and name (20 characters at most before a
-    colon); a bar comes before a colon.
+    "1. name: text" and "(1)、name | text" lose number and name (a name before a colon has 20
+    characters at most); a bar comes before a colon.
     """
+    strip = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
     def parse(line: Column) -> Column:
-        rest = F.trim(F.regexp_replace(line, r"^\s*(?:\d+\s*[.、)）]|[(（]\d+[)）])\s*", ""))
-        barred = F.regexp_extract(rest, r"^([^|｜]*)[|｜](.*)$", 1), F.regexp_extract(rest, r"^([^|｜]*)[|｜](.*)$", 2)
-        named = F.regexp_extract(rest, r"^([^:：]{1,20})[:：](.*)$", 1), F.regexp_extract(rest, r"^([^:：]{1,20})[:：](.*)$", 2)
-        bar, colon = rest.rlike(r"[|｜]"), rest.rlike(r"^[^:：]{1,20}[:：]")
-        name = F.trim(F.when(bar, barred[0]).when(colon, named[0]).otherwise(""))
-        role = F.lit("素人")
-        for prefix, value in ROLE_PREFIXES.items():
+        rest = F.regexp_replace(line, r"(?U)^\(?\d+\)?[.、]\s*", "")
+        bar, colon = F.contains(rest, F.lit("|")), rest.rlike(r"(?U)^[^:：]{1,20}[:：]\s*.+$")
+        name = strip(F.when(bar, F.substring_index(rest, "|", 1)).when(colon, F.regexp_extract(rest, r"^([^:：]{1,20})[:：]", 1)).otherwise(""))
+        said = strip(F.when(bar, F.regexp_replace(rest, r"^[^|]*\|", "")).otherwise(F.regexp_replace(rest, r"^[^:：]{1,20}[:：]", "")))
+        role = F.lit(None).cast("string")
+        for prefix, value in reversed(ROLE_PREFIXES.items()):
             role = F.when(name.startswith(prefix), value).otherwise(role)
-        content = F.trim(F.when(bar, barred[1]).when(colon, named[1]).otherwise(rest))
-        return F.struct(role.alias("role"), content.alias("content"))
+        content = F.when(bar | (colon & (role.isNotNull() | (said != ""))), said).otherwise(rest)
+        return F.struct(F.coalesce(role, F.lit(PLAIN_ROLE)).alias("role"), content.alias("content"))
 
-    lines = F.filter(F.split(block, "\n"), lambda x: (F.trim(x) != "") & ~F.trim(x).rlike(r"^[(（]?\d+[.、)）]?$"))
-    return F.filter(F.transform(lines, parse), lambda c: c["content"] != "")
+    lines = F.transform(F.split(block, "\r\n|[\n\r\\x0B\\f\\x1c-\\x1e\\x85\u2028\u2029]"), strip)
+    return F.transform(F.filter(lines, lambda x: (x != "") & ~x.rlike(r"(?U)^\d+[.、]?$")), parse)
 
 
 def comments(notes: DataFrame, block: str = "comment_block") -> DataFrame:
@@ -127,26 +130,95 @@ def comments(notes: DataFrame, block: str = "comment_block") -> DataFrame:
     return parsed.select(F.format_string("%s_c%d", F.col("note_id").cast("string"), F.col("at") + 1).alias("comment_id"), "note_id", (F.col("at") + 1).alias("comment_order"), "c.role", "c.content")
 
 
-def annotation_errors(row: Mapping[str, Column], closed: Mapping[str, Sequence[str]], negative_levers: Sequence[str]) -> Column:
-    """What is wrong with an annotation: closed sets, one or two trends, 通用 alone, lever against valence."""
-    trends = row["trends"]
-    checks = [F.when(row[c].isNotNull() & ~row[c].isin(*allowed), f"{c} not in vocabulary") for c, allowed in closed.items()]
+#: Levers by the valence that must go with them.
+LEVER_VALENCE = {
+    "negative": ("焦虑撬动", "羞耻撬动", "恐惧撬动", "愤怒撬动", "罪恶感撬动"),
+    "positive": ("造梦投射", "认同感建立", "归属感建立", "共鸣释放", "虚荣撬动"),
+    "neutral": ("好奇驱动", "信息差利用"),
+}
+
+
+def annotation_errors(row: Mapping[str, Column], closed: Mapping[str, Sequence[str]]) -> Column:
+    """What is wrong with an annotation, as names of its broken rules.
+
+    ``closed``: allowed values of lever, valence, intensity, archetypes, trends and
+    content_format.  Scalars must be there and allowed; one or two archetypes and one or
+    more trends, all allowed, 通用 alone; a lever goes with its valence.
+    """
+    outside = lambda c: ~F.coalesce(row[c].isin(*closed[c]), F.lit(False))
+    count = lambda c: F.coalesce(F.size(row[c]), F.lit(0))
+    strange = lambda c: F.exists(row[c], lambda x: ~F.coalesce(x.isin(*closed[c]), F.lit(False)))
+    checks = [F.when(outside(c), c) for c in ("lever", "valence", "intensity")]
     checks += [
-        F.when(~F.coalesce(F.size(trends), F.lit(0)).between(1, 2), "one or two trends wanted"),
-        F.when(F.array_contains(trends, V.ANY_TREND) & (F.size(trends) > 1), f"{V.ANY_TREND} excludes others"),
-        F.when(row["lever"].isin(*negative_levers) & (row["valence"] == "positive"), "lever and valence disagree"),
+        F.when(~count("archetypes").between(1, 2), "archetypes: one or two").when(strange("archetypes"), "archetypes"),
+        F.when(count("trends") < 1, "trends: missing").when(strange("trends"), "trends"),
+        F.when((count("trends") > 1) & F.array_contains(row["trends"], V.ANY_TREND), "trends: exclusive"),
+        F.when(outside("content_format"), "content_format"),
+        *(F.when(row["lever"].isin(*levers) & ~row["valence"].eqNullSafe(F.lit(valence)), "lever against valence") for valence, levers in LEVER_VALENCE.items()),
     ]
     return F.array_compact(F.array(*checks))
 
 
-def reference_sample(row: Mapping[str, Column]) -> Column:
-    """A note as a reference sample: title from its first line, quality by tier, lineage as JSON."""
-    first = F.left(F.trim(F.element_at(F.split(row["raw_content"], "\n"), 1)), F.lit(80))
+def lesson_errors(lesson: Mapping[str, Column]) -> Column:
+    """Names of a lesson's texts that are missing or blank."""
+    return F.array_compact(F.array(*(F.when(F.trim(F.coalesce(c, F.lit(""))) == "", name) for name, c in lesson.items())))
+
+
+def reference_sample(row: Mapping[str, Column], comments_: Column, origin: str = "synced") -> Column:
+    """A note as a reference sample.
+
+    Title from its first line (80 characters at most), quality by tier, comments with a
+    text as (text, role, pinned), tags of its ``origin`` and tier, lineage as JSON.
+    """
+    first = F.left(F.substring_index(F.coalesce(row["raw_content"], F.lit("")), "\n", 1), F.lit(80))
     quality = F.when(row["tier"] == V.MEGA_HIT, 200).when(row["tier"] == V.HIT, 100).otherwise(0)
-    return F.struct(F.when(first != "", first).otherwise("未命名样本").alias("title"), row["raw_content"].alias("content_text"), quality.alias("quality_score"), F.to_json(F.struct(row["note_id"].alias("note_id"), row["tier"].alias("tier"))).alias("lineage"))
+    told = F.filter(comments_, lambda c: F.coalesce(c["content"], F.lit("")) != "")
+    top = F.transform(told, lambda c: F.struct(c["content"].alias("text"), c["role"].alias("role"), F.coalesce(c["pinned"], F.lit(False)).alias("pinned")))
+    return F.struct(
+        F.when(first != "", first).otherwise("未命名样本").alias("title"),
+        F.coalesce(row["raw_content"], F.lit("")).alias("content_text"),
+        F.coalesce(top, F.array().cast("array<struct<text:string,role:string,pinned:boolean>>")).alias("top_comments"),
+        F.array_compact(F.array(F.lit(origin), F.nullif(row["tier"], F.lit("")))).alias("tags"),
+        quality.alias("quality_score"),
+        F.to_json(F.struct(row["note_id"].alias("note_id"), row["project_id"].alias("project_id"), row["tier"].alias("tier"), row["intent"].alias("intent"))).alias("lineage"),
+    )
 
 
-def audience_disagrees(shares: Column, declared: Column, least: float = 0.7) -> Column:
-    """Whether a gender that holds more than ``least`` of the audience differs from the declared one."""
-    top = F.array_max(F.transform(F.map_entries(shares), lambda e: F.struct(e["value"].alias("share"), e["key"].alias("key"))))
-    return F.coalesce((top["share"] > least) & (top["key"] != declared), F.lit(False))
+def majority(shares: Column) -> Column:
+    """The name with the greatest share of a map, the first by its name of equal ones."""
+    best = F.array_sort(F.map_entries(shares), lambda a, b: F.when(a["value"] > b["value"], -1).when(a["value"] < b["value"], 1).when(a["key"] < b["key"], -1).otherwise(1))
+    return F.try_element_at(best, F.lit(1))["key"]
+
+
+def audience_calibration(gender: Column, age: Column, city: Column, inferred_gender: Column, inferred_ages: Column, inferred_cities: Column, most: float = 0.7) -> Column:
+    """Whether an inferred audience agrees with the measured one: age_match, gender_match and city_match.
+
+    A gender of more than ``most`` is the audience's, else it is mixed; the first inferred
+    age band must be the greatest measured one, and the greatest city among those inferred.
+    """
+    share = lambda name: F.coalesce(F.try_element_at(gender, F.lit(name)), F.lit(0.0))
+    measured = F.when(share("female") > most, "female").when(share("male") > most, "male").otherwise("mixed")
+    return F.struct(
+        (majority(age) == F.try_element_at(inferred_ages, F.lit(1))).alias("age_match"),
+        (measured == inferred_gender).alias("gender_match"),
+        F.array_contains(inferred_cities, majority(city)).alias("city_match"),
+    )
+
+
+def audience_flags(targets: Column, inferred_gender: Column, inferred_ages: Column, gender_of: Mapping[str, str], ages_of: Mapping[str, Sequence[str]]) -> Column:
+    """Where an inferred audience contradicts the targeted one: structs of type and severity.
+
+    ``gender_of`` and ``ages_of`` say what a target implies.  Genders contradict (high) if
+    one is implied and another inferred; ages (medium) if implied and inferred ones share none.
+    """
+    wanted = F.array_distinct(F.filter(F.transform(targets, lambda t: F.try_element_at(_map(gender_of), t)), lambda g: g.isNotNull()))
+    gender = F.when(F.size(wanted) == 1, wanted[0])
+    bands = F.create_map(*(x for t, own in ages_of.items() for x in (F.lit(t), F.array(*map(F.lit, own)))))
+    ages = F.flatten(F.filter(F.transform(targets, lambda t: F.try_element_at(bands, t)), lambda a: a.isNotNull()))
+    flag = lambda kind, severity: F.struct(F.lit(kind).alias("type"), F.lit(severity).alias("severity"))
+    return F.array_compact(
+        F.array(
+            F.when((inferred_gender != "mixed") & (gender != inferred_gender), flag("gender_mismatch", "high")),
+            F.when((F.size(ages) > 0) & (F.size(inferred_ages) > 0) & ~F.arrays_overlap(ages, inferred_ages), flag("age_no_overlap", "medium")),
+        )
+    )

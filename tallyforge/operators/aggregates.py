@@ -34,45 +34,71 @@ def sorted_set(c: Column) -> Column:
 def percentiles(df: DataFrame, by: Sequence[str], value: str, points: Sequence[float]) -> DataFrame:
     """Exact percentiles with linear interpolation of each group, and n; null where it has no values.
 
-    ``percentile`` merges counts of values, so a group's rows are combined before the shuffle.
+    From :func:`value_ranks`: values are counted, and only the counts near the wanted ranks
+    are looked at, so no task holds a group's values.  ``value`` is numeric.
     """
-    names = [F.percentile(F.col(value), F.lit(p)).alias(f"p{round(100 * p)}") for p in points]
-    return df.groupBy(*by).agg(F.count(value).alias("n"), *names)
+    ranks = value_ranks(df.select(*by, F.col(value).cast("double").alias(value)), value, by=by)
+    v, total = F.col(value), F.col("total")
+    below = total - F.col("before") - F.col("n")  # values less than this one
+    held = lambda k: (below <= k) & (k < below + F.col("n"))
+    out = []
+    for p in points:
+        at = F.lit(p) * (total - 1)
+        low, high = F.max(F.when(held(F.floor(at)), v)), F.max(F.when(held(F.ceil(at)), v))
+        part = F.max(at - F.floor(at))
+        out.append(((1 - part) * low + part * high).alias(f"p{round(100 * p)}"))
+    found = ranks.groupBy(*by).agg(F.max("total").alias("n"), *out)
+    empty = df.groupBy(*by).agg(F.count(value).alias("_n")).where("_n = 0").select(*by, F.lit(0).cast("bigint").alias("n"), *(F.lit(None).cast("double").alias(f"p{round(100 * p)}") for p in points))
+    return found.unionByName(empty)
 
 
 def upper_median(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """The value at index n // 2 of each group's sorted values."""
-    own = Window.partitionBy(*by).orderBy(value)
-    ranked = df.where(F.col(value).isNotNull()).select(*by, value, F.row_number().over(own).alias("k"), F.count(F.lit(1)).over(Window.partitionBy(*by)).alias("n"))
-    return ranked.where(F.col("k") == F.floor(F.col("n") / 2) + 1).select(*by, F.col(value).alias("median"))
+    """The value at index n // 2 of each group's sorted (numeric) values, from :func:`value_ranks`."""
+    below, at = F.col("total") - F.col("before") - F.col("n"), F.floor(F.col("total") / 2)
+    return value_ranks(df, value, by=by).where((below <= at) & (at < below + F.col("n"))).select(*by, F.col(value).alias("median"))
 
 
 def distribution(df: DataFrame, columns: Sequence[str], cap: int | None = None) -> DataFrame:
-    """How often each value of each column occurs: column, value, n and its rank by count; ``cap`` values of each.
+    """How often each value of each column occurs: column, value, n and its rank by count (ties by value); ``cap`` values of each.
 
-    One pass over the table whatever the number of columns; nulls count as "".
+    One pass over the table whatever the number of columns; nulls count as "".  With a
+    ``cap`` Spark keeps so many of a column in each task; without one ranks are added up by
+    buckets of counts, so that a column of very many values is not sorted in one task.
     """
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("value")) for c in columns))).alias("p")
     counts = df.select(pairs).groupBy("p.column", "p.value").agg(F.count(F.lit(1)).alias("n"))
-    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value")))
-    return ranked if cap is None else ranked.where(F.col("rank") <= cap)
+    if cap is not None:
+        ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value")))
+        return ranked.where(F.col("rank") <= cap)
+    # values of one count are dealt to buckets by how they begin, which keeps their order
+    placed = counts.withColumn("first", F.left("value", F.lit(2)))
+    sums = placed.groupBy(F.col("column").alias("c"), F.col("n").alias("m"), F.col("first").alias("f")).agg(F.count(F.lit(1)).alias("own"))
+    above = sums.select("c", "m", "f", (F.sum("own").over(Window.partitionBy("c").orderBy(F.desc("m"), "f").rowsBetween(Window.unboundedPreceding, 0)) - F.col("own")).alias("above"))
+    within = F.row_number().over(Window.partitionBy("column", "n", "first").orderBy("value"))
+    joined = placed.withColumn("within", within).join(above, (F.col("column") == F.col("c")) & (F.col("n") == F.col("m")) & (F.col("first") == F.col("f")))
+    return joined.select("column", "value", "n", (F.col("within") + F.col("above")).cast("int").alias("rank"))
 
 
-def value_ranks(df: DataFrame, value: str, extra: Sequence[Column] = ()) -> DataFrame:
-    """One row for each value (numbers of 0 or more), from the largest: n, how many rows come ``before`` it, and the ``total``.
+def value_ranks(df: DataFrame, value: str, extra: Sequence[Column] = (), by: Sequence[str] = ()) -> DataFrame:
+    """One row for each value of each group, from the largest: n, how many rows come ``before`` it, and the ``total``.
 
     Rows are first counted by value in every task.  Only those counts are then numbered, by
-    buckets of magnitude (64 for each factor of e): each adds up the few buckets above it,
-    so no task sees all values.
+    buckets of magnitude (64 for each factor of e, either side of 0): each adds up the few
+    buckets above it, so no task sees all values of a group.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"), *extra)
-    placed = counts.withColumn("bucket", F.floor(F.log(F.col(value).cast("double") + 1) * 64))
-    sums = placed.groupBy(F.col("bucket").alias("b")).agg(F.sum("n").alias("own"))
-    every = Window.orderBy(F.desc("b"))
-    above = sums.select("b", (F.sum("own").over(every) - F.col("own")).alias("above"), F.sum("own").over(Window.partitionBy()).alias("total"))
-    within = Window.partitionBy("bucket").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
-    joined = placed.withColumn("within", F.coalesce(F.sum("n").over(within), F.lit(0))).join(above, F.col("bucket") == F.col("b"))
-    return joined.withColumn("before", F.col("within") + F.col("above")).drop("bucket", "b", "within", "above")
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"), *extra)
+    v = F.col(value).cast("double")
+    placed = counts.withColumn("bucket", F.signum(v) * F.floor(F.log(F.abs(v) + 1) * 64))
+    sums = placed.groupBy(*(F.col(c).alias(f"_{c}") for c in by), F.col("bucket").alias("b")).agg(F.sum("n").alias("own"))
+    group = [f"_{c}" for c in by]
+    every = Window.partitionBy(*group).orderBy(F.desc("b")) if by else Window.orderBy(F.desc("b"))
+    above = sums.select(*group, "b", (F.sum("own").over(every) - F.col("own")).alias("above"), F.sum("own").over(Window.partitionBy(*group)).alias("total"))
+    within = Window.partitionBy(*by, "bucket").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
+    same = F.col("bucket") == F.col("b")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    joined = placed.withColumn("within", F.coalesce(F.sum("n").over(within), F.lit(0))).join(above, same)
+    return joined.withColumn("before", F.col("within") + F.col("above")).drop("bucket", "b", "within", "above", *group)
 
 
 def ntile_end(total: Column, tiles: int, tile: int) -> Column:

@@ -1,7 +1,8 @@
 """Keyed state: upserts, audit diffs, cascades and constraint checks.
 
-Tables are whole frames; :func:`write` replaces one in a single rename, so readers see the
-old or the new one.
+Tables are whole frames.  :func:`write` replaces one by two renames whose results are
+checked: between them the table is away for a moment, and if the second fails the old one
+is put back.
 """
 
 from __future__ import annotations
@@ -108,20 +109,55 @@ def violations(table: DataFrame, key: str, closed: Mapping[str, Sequence[str]] |
 
 
 def write(table: DataFrame, path: str) -> None:
-    """Replace the Parquet table at ``path``: written beside it, then renamed into its place."""
+    """Replace the Parquet table at ``path``: written beside it, then swapped in by renames.
+
+    Nothing is deleted before the new table is in place.  Readers that begin between the two
+    renames find no table and have to try again; those that began before read the old files
+    until these are deleted.  If a rename fails the old table stays at ``path`` (or, should
+    putting it back fail too, beside it, as the error says), and the error is raised.
+    """
     spark = table.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     beside, old = f"{path}.{uuid.uuid4().hex}", f"{path}.{uuid.uuid4().hex}"
     table.write.parquet(beside)
     fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(hadoop(path)):
-        fs.rename(hadoop(path), hadoop(old))
-    fs.rename(hadoop(beside), hadoop(path))
-    fs.delete(hadoop(old), True)
+    there = fs.exists(hadoop(path))
+    if there:
+        _move(fs, hadoop(path), hadoop(old))
+    try:
+        _move(fs, hadoop(beside), hadoop(path))
+    except Exception as failed:
+        if there and not _moved(fs, hadoop(old), hadoop(path)):
+            raise OSError(f"{path} could not be replaced; its old table is at {old}") from failed
+        raise
+    if there:
+        fs.delete(hadoop(old), True)
+
+
+def _moved(fs, source, target) -> bool:
+    return not fs.exists(target) and bool(fs.rename(source, target))
+
+
+def _move(fs, source, target) -> None:
+    if not _moved(fs, source, target):
+        raise OSError(f"could not rename {source.toString()} to {target.toString()}")
 
 
 def copy_missing(source: DataFrame, target: DataFrame, key: Sequence[str]) -> tuple[DataFrame, dict[str, int]]:
-    """``target`` with the rows it lacks, and counts that reconcile the copy."""
+    """``target`` with the rows it lacks, and counts that reconcile the copy, taken in one pass over the keys of both."""
     missing = source.join(target.select(*key), list(key), "left_anti")
-    before, read, added = target.count(), source.count(), missing.count()
+    sides = source.select(F.lit(1).alias("s"), F.lit(0).alias("t"), F.lit(0).alias("m")).unionByName(target.select(F.lit(0).alias("s"), F.lit(1).alias("t"), F.lit(0).alias("m")))
+    counts = sides.unionByName(missing.select(F.lit(0).alias("s"), F.lit(0).alias("t"), F.lit(1).alias("m"))).agg(F.sum("s"), F.sum("t"), F.sum("m")).first()
+    read, before, added = (int(x or 0) for x in counts)
     return target.unionByName(missing, allowMissingColumns=True), {"read": read, "before": before, "added": added, "after": before + added}
+
+
+def fill(table: DataFrame, column: str, value: Column, where: Column | None = None) -> DataFrame:
+    """``column`` set to ``value`` where it is null (and ``where`` holds)."""
+    return update(table, F.col(column).isNull() & (F.lit(True) if where is None else where), {column: value})
+
+
+def column_difference(table: DataFrame, declared: Sequence[str]) -> DataFrame:
+    """column and side of what ``table`` and a declaration don't share: undeclared or missing."""
+    rows = [(c, "undeclared") for c in sorted({*table.columns} - {*declared})] + [(c, "missing") for c in sorted({*declared} - {*table.columns})]
+    return table.sparkSession.createDataFrame(rows, "column string, side string")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import vocabulary as V
 from ..functions import predicates as P
 from ..operators import aggregates as A
+from .views import borrowable
 
 FUNNEL = (V.FLOP, V.PRE_HIT, V.HIT, V.MEGA_HIT)
 
@@ -107,39 +108,55 @@ def top_hits(notes: DataFrame, k: int = 8) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("interactions"), "note_id")))  # k rows
 
 
-def overview(notes: DataFrame, projects: DataFrame, cards: DataFrame) -> DataFrame:
-    """All the dashboard's figures in one row: one pass over the notes, one over each other table."""
+def overview(notes: DataFrame, projects: DataFrame, lessons: DataFrame, cache: DataFrame, as_of: Column) -> DataFrame:
+    """All the dashboard's figures in one row: one scan and one aggregation of the notes, one count of each other table.
+
+    A note is spread over its audiences, and what is counted by note counts at the first of
+    them; levers and audiences come from small closed sets, of which each task keeps one.
+    """
     tier = F.col("tier")
-    figures = notes.agg(
-        F.count(F.lit(1)).alias("notes"),
-        A.count_where(P.hit(tier)).alias("hits_all"),
-        A.count_where(P.verified_hit(tier, F.col("tier_source"), F.col("flags"))).alias("hits_real"),
-        F.count("intent").alias("essence_done"),
-        F.coalesce(F.sum("impressions"), F.lit(0)).alias("impressions"),
-        F.coalesce(F.sum("reads"), F.lit(0)).alias("reads"),
-        F.coalesce(F.sum("interactions"), F.lit(0)).alias("interactions"),
+    spread = notes.select("tier", "tier_source", "flags", "intent", "publish_time", "audience_inferred_at", "impressions", "reads", "interactions", "lever", F.posexplode_outer("target_audience").alias("at", "audience"))
+    head = F.coalesce(F.col("at"), F.lit(0)) == 0
+    total = lambda c: F.coalesce(F.sum(F.when(head, F.col(c))), F.lit(0))
+    kinds = lambda c: F.size(F.collect_set(F.when(P.filled(F.col(c)), F.col(c)))).cast("bigint")
+    figures = spread.agg(
+        F.count_if(head).alias("notes"),
+        F.count_if(head & P.hit(tier)).alias("hits_all"),
+        F.count_if(head & P.verified_hit(tier, F.col("tier_source"), F.col("flags"))).alias("hits_real"),
+        F.count_if(head & borrowable()).alias("borrowable_cards"),
+        F.count(F.when(head, F.col("intent"))).alias("essence_done"),
+        F.count(F.when(head, F.col("audience_inferred_at"))).alias("audience_tracked"),
+        total("impressions").alias("impressions"),
+        total("reads").alias("reads"),
+        total("interactions").alias("interactions"),
         F.coalesce(F.max("interactions"), F.lit(0)).alias("top_interactions"),
-        F.count_distinct(F.when(P.filled(F.col("lever")), F.col("lever"))).alias("levers"),
+        kinds("lever").alias("levers"),
+        kinds("audience").alias("audiences"),
     )
-    audiences = notes.select(F.explode("target_audience").alias("a")).where(P.filled(F.col("a"))).agg(F.count_distinct("a").alias("audiences"))
     one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    return figures.crossJoin(audiences).crossJoin(one(projects, "projects")).crossJoin(one(cards, "borrowable_cards"))
+    return figures.crossJoin(one(projects, "projects")).crossJoin(one(lessons, "cards")).crossJoin(one(cache, "librarian")).withColumn("as_of", as_of)
 
 
-def system_pulse(notes: DataFrame, projects: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """Freshness of every table in one row."""
+def system_pulse(notes: DataFrame, projects: DataFrame, snapshots: DataFrame, audits: DataFrame, runs: DataFrame, as_of: Column) -> DataFrame:
+    """Freshness of every table in one row, one aggregation a table."""
     own = notes.agg(
         F.count(F.lit(1)).alias("notes_total"),
-        F.max("publish_time").alias("last_update"),
-        F.count("intent").alias("annotated_n"),
-        F.count("synced_to_ssll_at").alias("ssll_n"),
-        F.max("synced_to_ssll_at").alias("ssll_last"),
-        F.count("synced_to_aw_at").alias("aw_n"),
-        F.max("synced_to_aw_at").alias("aw_last"),
+        F.max("updated_at").alias("last_update"),
+        F.max("ingested_at").alias("last_ingest"),
+        F.count("record_id").alias("source_n"),
+        F.count("annotated_at").alias("annotated_n"),
+        F.max("annotated_at").alias("annotated_last"),
+        F.count("synced_to_channel1_at").alias("channel1_n"),
+        F.max("synced_to_channel1_at").alias("channel1_last"),
+        F.count("synced_to_channel2_at").alias("channel2_n"),
+        F.max("synced_to_channel2_at").alias("channel2_last"),
         F.count_distinct("account_id").alias("accounts_n"),
     )
-    taken = snapshots.agg(F.count(F.lit(1)).alias("snaps_n"), F.max("collected_at").alias("snaps_last"))
-    return own.crossJoin(taken).crossJoin(projects.agg(F.count(F.lit(1)).alias("projects_n")))
+    seen = lambda df, at, name: df.agg(F.count(F.lit(1)).alias(f"{name}_n"), *([F.max(at).alias(f"{name}_last")] if at else []))
+    tables = (seen(snapshots, "collected_at", "snaps"), seen(audits, "occurred_at", "audit"), seen(projects, None, "projects"), seen(runs, None, "pipeline_runs"))
+    for t in tables:
+        own = own.crossJoin(t)
+    return own.withColumn("server_now", as_of)
 
 
 def monthly(notes: DataFrame) -> DataFrame:

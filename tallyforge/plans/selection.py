@@ -14,7 +14,7 @@ from ..sources.scratch import materialised
 
 def push_pool(candidates: DataFrame, per_project: int = 5, quota: int = 5, cap: int = 20, least: float = 0.5) -> DataFrame:
     """Unsynced candidates of ``least`` score: diverse by lever within a project, then projects in turn up to ``cap``."""
-    due = candidates.where(F.col("synced_to_aw_at").isNull() & (F.col("injection_score") >= least))
+    due = candidates.where(F.col("synced_to_channel2_at").isNull() & (F.col("injection_score") >= least))
     diverse = diversity_pick(due, ["project_id"], "lever", [F.desc("injection_score"), F.asc("note_id")], per_project)
     return round_robin(diverse, "project_id", "injection_score", "note_id", quota, cap)
 
@@ -54,10 +54,16 @@ def revised_in_good_batch(items: DataFrame) -> DataFrame:
 
 
 def negatives(items: DataFrame, versions: DataFrame, seen: DataFrame) -> DataFrame:
-    """item_id and source (A, B or C): each item under the first source that has it, without those seen before."""
-    sources = zip("ABC", (replaced_by_hand(versions), corrected(versions), revised_in_good_batch(items)))
-    parts = [df.withColumn("source", F.lit(s)) for s, df in sources]
-    union = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """item_id and source (A, B or C): each item under the first source that has it, without those seen before.
+
+    A is :func:`replaced_by_hand` and B :func:`corrected`, found in one pass over the
+    versions; C is :func:`revised_in_good_batch`.
+    """
+    manual = F.col("engine") == "manual"
+    told = (F.col("engine") != "manual") & ~P.blank(F.col("feedback"))
+    firsts = versions.groupBy("item_id").agg(_first(manual).alias("manual"), _first(~manual).alias("engine"), _first(told).alias("told"), F.min("version_num").alias("first"))
+    source = F.when(F.col("engine") < F.col("manual"), "A").when(F.col("first") < F.col("told"), "B")
+    union = firsts.select("item_id", source.alias("source")).where(F.col("source").isNotNull()).unionByName(revised_in_good_batch(items).withColumn("source", F.lit("C")))
     return union.groupBy("item_id").agg(F.min("source").alias("source")).join(seen.select("item_id"), "item_id", "left_anti")
 
 
@@ -71,14 +77,21 @@ def recommended_thresholds(notes: DataFrame, current_hit: float, current_mega: f
 def push_eligible(notes: DataFrame, as_of: Column, days: int = 365) -> DataFrame:
     """Notes to push on the first channel; synthetic ones are only kept out as hits."""
     fresh = F.col("publish_time") >= as_of - F.make_dt_interval(F.lit(days))
-    ok = P.one_of(F.col("tier"), V.BORROWABLE) & (F.col("tier_source") != V.INFERRED) & fresh & F.col("synced_to_ssll_at").isNull()
+    ok = P.one_of(F.col("tier"), V.BORROWABLE) & (F.col("tier_source") != V.INFERRED) & fresh & F.col("synced_to_channel1_at").isNull()
     return notes.where(ok & ~(P.synthetic(F.col("flags")) & P.hit(F.col("tier"))))
 
 
 def to_retract(notes: DataFrame, samples: DataFrame) -> DataFrame:
-    """Samples pushed of notes that have since turned out synthetic hits."""
-    fake = notes.where(P.synthetic(F.col("flags")) & P.hit(F.col("tier"))).select("note_id")
-    return samples.join(fake, "note_id", "left_semi")
+    """Samples pushed of notes that have since turned out synthetic hits.
+
+    A sample names its note in ``note_id`` or, if it is old, only under note_id in the JSON
+    of its ``lineage``; without such a column only the first counts.
+    """
+    fake = notes.where(P.synthetic(F.col("flags")) & P.hit(F.col("tier"))).select(F.col("note_id").cast("string").alias("_fake"))
+    named = F.col("note_id").cast("string")
+    if "lineage" in samples.columns:
+        named = F.coalesce(named, F.get_json_object("lineage", "$.note_id"))
+    return samples.join(fake, named == F.col("_fake"), "left_semi")
 
 
 def undecided(items: DataFrame, evaluations: DataFrame) -> DataFrame:
@@ -88,9 +101,85 @@ def undecided(items: DataFrame, evaluations: DataFrame) -> DataFrame:
     return items.withColumn("decision", decision).where(F.col("decision").isNotNull()).join(done, "item_id", "left_anti").select("item_id", "decision")
 
 
-def cached_selection_key(brief: Column, consumer: Column, version: Column) -> Column:
-    """Content address of a selection: the first 32 hex digits of SHA-256 over its sorted JSON."""
-    return F.left(F.sha2(F.encode(F.to_json(F.struct(brief.alias("brief"), consumer.alias("consumer"), version.alias("version"))), "UTF-8"), 256), F.lit(32))
+#: The parts of a brief that its digest is taken of.
+BRIEF_KEYS = (
+    "brand", "project_name", "system_prompt", "system_prompt_tone", "system_prompt_exec", "tactics", "calibration_notes",
+    "tactic", "key_messages", "target_audience", "tone", "extra_instructions", "draft_topic",
+    "consumer", "project_id",
+)
+
+
+def brief_digest(brief: dict[str, Column]) -> Column:
+    """First 32 hex digits of SHA-256 over a brief's JSON, its keys sorted and absent ones null.
+
+    ``brief`` holds columns of texts, or of arrays of texts, by key; others are ignored.
+    """
+    text = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    listed = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, text), ", "), F.lit("]"))
+
+    def value(key: str) -> Column:
+        if key not in brief:
+            return F.lit("null")
+        c = brief[key]
+        return F.coalesce(listed(c) if key in ARRAY_BRIEFS else text(c), F.lit("null"))
+
+    parts = [x for k in sorted(BRIEF_KEYS) for x in (F.lit(f'{", " if k != min(BRIEF_KEYS) else ""}"{k}": '), value(k))]
+    return F.left(F.sha2(F.encode(F.concat(F.lit("{"), *parts, F.lit("}")), "UTF-8"), 256), F.lit(32))
+
+
+#: Parts of a brief that are arrays.
+ARRAY_BRIEFS = ("key_messages",)
+
+
+def library_version(cards: DataFrame, as_of: Column) -> DataFrame:
+    """One row, ``version``: how many cards there are, when the last was curated, and the month."""
+    last = F.coalesce(F.max("curated_at"), F.lit("none"))
+    return cards.agg(F.concat_ws(":", F.count(F.lit(1)).cast("string"), last, F.date_format(as_of, "yyyy-MM")).alias("version"))
+
+
+def cache_key(consumer: Column, project: Column, digest: Column, version: Column) -> Column:
+    """Content address of a selection: SHA-256 over consumer, project, brief and library version."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("None"))
+    return F.sha2(F.encode(F.concat_ws("|", text(consumer), text(project), digest, version), "UTF-8"), 256)
+
+
+def cache_hits(requests: DataFrame, cache: DataFrame) -> DataFrame:
+    """Requests (with ``cache_key``) with the ``selected`` of the cache, null where it has none."""
+    return requests.join(cache.select("cache_key", "selected"), "cache_key", "left")
+
+
+def best_cards(cards: DataFrame, cap: int = 50) -> DataFrame:
+    """The ``cap`` curated cards of the highest rank_score (ties by note_id)."""
+    return cards.where(F.coalesce("is_curated", F.lit(False))).orderBy(F.desc_nulls_last("rank_score"), "note_id").limit(cap)
+
+
+def mixed_examples(items: DataFrame, native: int = 2, synced: int = 3, source: str = "library") -> DataFrame:
+    """Each project's newest positives, ``native`` of its own before ``synced`` from the library: project_id, item_id, place."""
+    own = F.col("external_source").eqNullSafe(source)
+    newest = Window.partitionBy("project_id", "from_library").orderBy(F.desc("created_at"), F.desc("item_id"))
+    ranked = items.where(F.col("example_label") == "positive").withColumn("from_library", own).withColumn("k", F.row_number().over(newest))
+    kept = ranked.where(F.col("k") <= F.when(F.col("from_library"), synced).otherwise(native))
+    place = F.row_number().over(Window.partitionBy("project_id").orderBy("from_library", "k"))
+    return kept.select("project_id", "item_id", place.alias("place"))
+
+
+def next_job(jobs: DataFrame) -> DataFrame:
+    """The queued job that is due: the highest priority, then the oldest."""
+    return jobs.where(F.col("status") == "queued").orderBy(F.desc("priority"), "created_at", "job_id").limit(1)
+
+
+def any_of(df: DataFrame, conditions: list[Column], key: str) -> DataFrame:
+    """Keys of the rows that meet any of ``conditions``, each once, in one scan."""
+    wanted = F.lit(False)
+    for c in conditions:
+        wanted = wanted | F.coalesce(c, F.lit(False))
+    return df.where(wanted).select(key).distinct()
+
+
+def flagged(df: DataFrame, flags: str, severity: str) -> DataFrame:
+    """Rows whose JSON array ``flags`` holds an object of that severity."""
+    found = F.from_json(flags, "array<struct<severity:string>>")
+    return df.where(F.exists(F.coalesce(found, F.array().cast("array<struct<severity:string>>")), lambda f: f["severity"].eqNullSafe(severity)))
 
 
 def prunable(cache: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
@@ -107,6 +196,11 @@ def reach_estimate(notes: DataFrame) -> DataFrame:
     return own.crossJoin(per_hit).select("project_id", "hits", F.when(guessed, F.round(F.col("hits") * F.col("per_hit")).cast("bigint")).otherwise(F.col("impressions")).alias("reach"), guessed.alias("is_estimate"))
 
 
+def with_project(notes: DataFrame, projects: DataFrame) -> DataFrame:
+    """Notes with their project's brand and platform, null where it is unknown."""
+    return notes.join(projects.select("project_id", "brand", "platform"), "project_id", "left")
+
+
 def batch_item_counts(items: DataFrame, batches: DataFrame) -> DataFrame:
     """Items of each wanted batch, in all and by status."""
     status = F.col("status")
@@ -131,16 +225,6 @@ def daily_hit_rate(logs: DataFrame, hits: str, total: str) -> DataFrame:
     return day.withColumn("hit_rate", F.round(A.ratio(F.col("hits"), F.col("total")), 3))
 
 
-def check_rows(checks: list[tuple[str, DataFrame, int, int]]) -> DataFrame:
-    """One row for each (name, frame whose rows count, warn above, fail above): name, found, status."""
-    out = None
-    for name, df, warn, fail in checks:
-        n = F.col("found")
-        row = df.agg(F.count(F.lit(1)).alias("found")).select(F.lit(name).alias("name"), "found", F.when(n > fail, "fail").when(n > warn, "warn").otherwise("pass").alias("status"))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
 def restrict(df: DataFrame, members: DataFrame, user: str, workspace: str = "workspace_id") -> DataFrame:
     """Rows of the workspaces that ``user`` belongs to."""
     return df.join(members.where(F.col("user_id") == user).select(workspace).distinct(), workspace, "left_semi")

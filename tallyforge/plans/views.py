@@ -36,10 +36,10 @@ def data_health(projects: DataFrame, notes: DataFrame) -> DataFrame:
         A.ratio(F.count("tier"), n).alias("tier_coverage_rate"),
         A.ratio(F.count("lever"), n).alias("essence_coverage_rate"),
         A.ratio(F.count("account_id"), n).alias("account_link_rate"),
-        F.count("synced_to_ssll_at").alias("synced_to_ssll"),
-        F.count("synced_to_aw_at").alias("synced_to_aw"),
+        F.count("synced_to_channel1_at").alias("synced_to_channel1"),
+        F.count("synced_to_channel2_at").alias("synced_to_channel2"),
     )
-    return projects.select("project_id", "brand").join(counts, "project_id", "left").fillna(0, ["total", "synced_to_ssll", "synced_to_aw"])
+    return projects.select("project_id", "brand").join(counts, "project_id", "left").fillna(0, ["total", "synced_to_channel1", "synced_to_channel2"])
 
 
 def account_rates(accounts: DataFrame, notes: DataFrame, least: int = 5) -> DataFrame:
@@ -71,18 +71,24 @@ def _eligible(notes: DataFrame) -> DataFrame:
     return notes.where(P.one_of(F.col("tier"), V.BORROWABLE) & ~F.col("tier_source").eqNullSafe(V.INFERRED) & F.col("publish_time").isNotNull())
 
 
+def borrowable() -> Column:
+    """What makes a note a lesson card; see :func:`lesson_cards`."""
+    worth = P.one_of(F.col("tier"), V.BORROWABLE) & ~F.col("tier_source").eqNullSafe(V.INFERRED) & F.col("publish_time").isNotNull()
+    return worth & ~(P.synthetic(F.col("flags")) & P.hit(F.col("tier")))
+
+
 def injection_candidates(notes: DataFrame, projects: DataFrame, rates: DataFrame, as_of: Column, recency: str = "half_life") -> DataFrame:
     """Notes of the last year that may be injected, with their score.
 
     ``recency`` is "half_life" (by trends) or the older "linear".
     """
     fresh = _eligible(notes).where((F.col("publish_time") > as_of - F.expr("INTERVAL 1 YEAR")) & ~P.synthetic(F.col("flags")))
-    mapped = projects.where(F.col("aw_project_id").isNotNull()).select("project_id", "brand", "category", "aw_project_id")
+    mapped = projects.where(F.col("channel2_project_id").isNotNull()).select("project_id", "brand", "category", "channel2_project_id")
     age = S.age_months(as_of, F.col("publish_time"))
     weight = S.decay(age, S.half_life(F.col("trends"))) if recency == "half_life" else S.linear_recency(as_of, F.col("publish_time"))
     scored = fresh.join(mapped, "project_id").withColumn("recency_weight", weight).join(rates.select("account_id", "personal_rate"), "account_id", "left")
     return scored.select(
-        "note_id", "project_id", "raw_content", "tier", "tier_source", "lever", "target_audience", "publish_time", "synced_to_aw_at", "account_id", "brand", "category", "aw_project_id", "recency_weight",
+        "note_id", "project_id", "raw_content", "tier", "tier_source", "lever", "target_audience", "publish_time", "synced_to_channel2_at", "account_id", "brand", "category", "channel2_project_id", "recency_weight",
         F.coalesce("personal_rate", F.lit(S.NO_RATE)).alias("account_rate"),
         S.rank_score(F.col("recency_weight"), F.col("tier"), F.col("tier_source"), F.col("personal_rate")).alias("injection_score"),
     )
@@ -91,7 +97,7 @@ def injection_candidates(notes: DataFrame, projects: DataFrame, rates: DataFrame
 def lesson_cards(notes: DataFrame, projects: DataFrame, rates: DataFrame, annotations: DataFrame, as_of: Column) -> DataFrame:
     """All notes worth borrowing from, however old, with the lessons curated for them."""
     synthetic = P.synthetic(F.col("flags"))
-    kept = _eligible(notes).where(~(synthetic & P.hit(F.col("tier")))).withColumn("recency_weight", S.decay(S.age_months(as_of, F.col("publish_time")), 60.0))
+    kept = notes.where(borrowable()).withColumn("recency_weight", S.decay(S.age_months(as_of, F.col("publish_time")), 60.0))
     lessons = annotations.select(F.col("note_id").alias("lesson_of"), "hook_type", "curated_at")
     joined = kept.join(projects.select("project_id", "brand", "category"), "project_id").join(lessons, F.col("note_id") == F.col("lesson_of"), "left").join(rates.select("account_id", "personal_rate"), "account_id", "left")
     return joined.select(
@@ -108,27 +114,27 @@ def lesson_cards(notes: DataFrame, projects: DataFrame, rates: DataFrame, annota
 def sync_status(projects: DataFrame, notes: DataFrame, candidates: DataFrame, as_of: Column) -> DataFrame:
     """What is synced and what is pending on both channels, hits and references apart."""
     hit, reference = P.hit(F.col("tier")), F.col("tier").eqNullSafe(V.REFERENCE)
-    first, second = F.col("synced_to_ssll_at"), F.col("synced_to_aw_at")
+    first, second = F.col("synced_to_channel1_at"), F.col("synced_to_channel2_at")
     # the first channel drops rows without a source or date on purpose
     due = F.coalesce((F.col("tier_source") != V.INFERRED) & (F.col("publish_time") >= as_of - F.expr("INTERVAL 1 YEAR")), F.lit(False)) & first.isNull()
     candidate = F.col("candidate").isNotNull() & second.isNull()
     rows = notes.join(candidates.select(F.col("note_id").alias("candidate")), F.col("note_id") == F.col("candidate"), "left")
     counts = {
         "total_hits": hit,
-        "synced_to_ssll": hit & first.isNotNull(),
-        "synced_to_aw": hit & second.isNotNull(),
-        "pending_ssll_sync": hit & due & ~P.synthetic(F.col("flags")),
-        "pending_aw_sync": hit & candidate,
+        "synced_to_channel1": hit & first.isNotNull(),
+        "synced_to_channel2": hit & second.isNotNull(),
+        "pending_channel1_sync": hit & due & ~P.synthetic(F.col("flags")),
+        "pending_channel2_sync": hit & candidate,
         "total_reference": reference,
-        "synced_reference_to_ssll": reference & first.isNotNull(),
-        "pending_reference_ssll": reference & due,
-        "synced_reference_to_aw": reference & second.isNotNull(),
-        "pending_reference_aw": reference & candidate,
+        "synced_reference_to_channel1": reference & first.isNotNull(),
+        "pending_reference_channel1": reference & due,
+        "synced_reference_to_channel2": reference & second.isNotNull(),
+        "pending_reference_channel2": reference & candidate,
     }
     found = rows.groupBy("project_id").agg(
         *(A.count_where(c).alias(k) for k, c in counts.items()),
-        F.max(F.when(hit, first)).alias("last_hit_sync_to_ssll_at"),
-        F.max(F.when(hit, second)).alias("last_hit_sync_to_aw_at"),
+        F.max(F.when(hit, first)).alias("last_hit_sync_to_channel1_at"),
+        F.max(F.when(hit, second)).alias("last_hit_sync_to_channel2_at"),
     )
     return projects.select("project_id", "brand").join(found, "project_id", "left").fillna(0, list(counts))
 
@@ -183,3 +189,15 @@ def pool_saturation(pool: DataFrame, by: str, kind: str, order: list[Column], si
     return whole.join(largest, by, "left").select(
         by, "active_count", "kinds", F.size("kinds").alias("distinct_count"), most.alias("top_count"), F.round(most / F.col("active_count"), 2).alias("dominant_ratio")
     )
+
+
+def label_accuracy(inferred: DataFrame, actual: DataFrame, groups: DataFrame) -> DataFrame:
+    """category, total, matches and accuracy of ``inferred`` labels against the ``lang`` that is so, by the category of their source."""
+    right = F.col("inferred") == F.col("lang")
+    joined = inferred.join(actual, "doc_id").join(groups, "source")
+    return joined.groupBy("category").agg(F.count(F.lit(1)).alias("total"), A.count_where(right).alias("matches"), A.ratio(A.count_where(right), F.count(F.lit(1))).alias("accuracy"))
+
+
+def ordered(view: DataFrame, by: list[Column]) -> DataFrame:
+    """A view's rows in order; ``by`` must end with a key, so that ties have one order."""
+    return view.orderBy(*by)

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..catalog import Catalog
-from . import operators, views
+from . import operators, rules, store, views
 
-MODULES = (views, operators)
+MODULES = (views, operators, rules, store)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

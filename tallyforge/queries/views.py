@@ -32,6 +32,16 @@ def cards(c: Catalog):
     return W.lesson_cards(c.notes(), c.projects(), rates(c), annotations(c), as_of())
 
 
+def overview(c: Catalog):
+    """The annotations are the lessons, and every ninth event a cached selection."""
+    return D.overview(c.notes(), c.projects(), annotations(c), c.table("events").where("event_id % 9 = 0"), as_of())
+
+
+def pulse(c: Catalog):
+    events = c.table("events")
+    return D.system_pulse(c.notes(), c.projects(), events.select(F.col("ts").alias("collected_at")), events.where("event_id % 5 = 0").select(F.col("ts").alias("occurred_at")), events.where("event_id % 8 = 0"), as_of())
+
+
 def prompts(c: Catalog):
     outputs = c.table("orders").where(F.col("o_orderkey") % 2 == 0).select((F.col("o_orderkey") % 500).alias("output_id")).distinct().select("output_id", (F.col("output_id") % 20).alias("run_id"), (F.col("output_id") % 3).alias("version"))
     runs = c.projects().select(F.col("created_seq").alias("run_id"), F.col("project_id").alias("run_project"))
@@ -52,7 +62,7 @@ QUERIES = {
     "v_prompt_performance": prompts,
     "v_model_comparison": lambda c: W.model_comparison(c.versions(), c.items(), c.notes()),
     "v_pool_saturation": lambda c: W.pool_saturation(c.notes().where(F.col("tier_source") == "状态字段").withColumn("kind", F.when(F.col("note_id") % 3 != 0, F.col("lever"))), "project_id", "kind", [F.desc("publish_time"), F.desc("note_id")]),
-    "v_dash_overview": lambda c: D.overview(c.notes(), c.projects(), cards(c)),
+    "v_dash_overview": lambda c: overview(c),
     "v_dash_levers": lambda c: D.levers(c.notes()),
     "v_dash_projects": lambda c: D.project_cards(c.notes(), c.projects()),
     "v_dash_matrix": lambda c: D.matrix(c.notes()),
@@ -67,7 +77,7 @@ QUERIES = {
     "v_dash_audience_perf": lambda c: D.tag_performance(c.notes(), "target_audience", "audience", 10),
     "v_dash_format_perf": lambda c: D.format_performance(c.notes()),
     "v_dash_reach_concentration": lambda c: D.reach_concentration(c.notes()),
-    "v_dash_system_pulse": lambda c: D.system_pulse(c.notes(), c.projects(), c.table("events").select(F.col("ts").alias("collected_at"))),
+    "v_dash_system_pulse": lambda c: pulse(c),
     "v_dash_monthly": lambda c: D.monthly(c.notes()),
     "v_dash_pub_activity": lambda c: D.publishing_activity(c.notes()),
 }
@@ -91,10 +101,10 @@ _WEIGHTED = {"half_life": f"power(0.5, {_AGE} / ({_HALF}))", "linear": f"greates
 
 def _candidates(recency: str) -> str:
     return f"""candidates AS (
-  SELECT note_id, project_id, raw_content, tier, tier_source, lever, target_audience, publish_time, synced_to_aw_at, account_id, brand, category, aw_project_id,
+  SELECT note_id, project_id, raw_content, tier, tier_source, lever, target_audience, publish_time, synced_to_channel2_at, account_id, brand, category, channel2_project_id,
     {_WEIGHTED[recency]} AS recency_weight, coalesce(personal_rate, 0.3) AS account_rate, {_WEIGHTED[recency]} + {_BONUS} AS injection_score
   FROM notes JOIN projects USING (project_id) LEFT JOIN (SELECT account_id, personal_rate FROM rates) USING (account_id)
-  WHERE tier IN ('爆', '大爆', '参考') AND tier_source IS DISTINCT FROM '数值推断' AND publish_time > {_AS_OF} - INTERVAL 1 YEAR AND aw_project_id IS NOT NULL AND NOT synthetic)"""
+  WHERE tier IN ('爆', '大爆', '参考') AND tier_source IS DISTINCT FROM '数值推断' AND publish_time > {_AS_OF} - INTERVAL 1 YEAR AND channel2_project_id IS NOT NULL AND NOT synthetic)"""
 
 
 _CARDS = f"""cards AS (
@@ -104,7 +114,7 @@ _CARDS = f"""cards AS (
   FROM notes JOIN projects USING (project_id) LEFT JOIN (SELECT account_id, personal_rate FROM rates) USING (account_id)
   WHERE tier IN ('爆', '大爆', '参考') AND tier_source IS DISTINCT FROM '数值推断' AND NOT (synthetic AND tier <> '参考'))"""
 _IMPLIED = "CASE WHEN interactions >= th_mega THEN '大爆' WHEN interactions >= th_hit THEN '爆' ELSE '趴' END"
-_DUE = f"synced_to_ssll_at IS NULL AND tier_source <> '数值推断' AND publish_time >= {_AS_OF} - INTERVAL 1 YEAR"
+_DUE = f"synced_to_channel1_at IS NULL AND tier_source <> '数值推断' AND publish_time >= {_AS_OF} - INTERVAL 1 YEAR"
 
 
 def _sql(body: str, *more: str) -> str:
@@ -116,7 +126,7 @@ ORACLES = {
       count(*) FILTER (WHERE tier = '爆') AS count_hit, count(*) FILTER (WHERE tier = '大爆') AS count_mega, count(tier) AS count_labelled, avg(interactions) FILTER (WHERE tier = '爆') AS avg_interactions_hit
       FROM projects p LEFT JOIN notes n ON n.project_id = p.project_id GROUP BY p.project_id"""),
     "v_data_health": _sql("""SELECT p.project_id, any_value(brand) AS brand, count(note_id) AS total, count(impressions) / nullif(count(note_id), 0) AS data_recovery_rate, count(tier) / nullif(count(note_id), 0) AS tier_coverage_rate,
-      count(lever) / nullif(count(note_id), 0) AS essence_coverage_rate, count(account_id) / nullif(count(note_id), 0) AS account_link_rate, count(synced_to_ssll_at) AS synced_to_ssll, count(synced_to_aw_at) AS synced_to_aw
+      count(lever) / nullif(count(note_id), 0) AS essence_coverage_rate, count(account_id) / nullif(count(note_id), 0) AS account_link_rate, count(synced_to_channel1_at) AS synced_to_channel1, count(synced_to_channel2_at) AS synced_to_channel2
       FROM projects p LEFT JOIN notes n ON n.project_id = p.project_id GROUP BY p.project_id"""),
     "v_account_rates": _sql("SELECT * FROM rates", _RATES),
     "v_evaluator_calibration": _sql("""SELECT evaluator_type, evaluator_id, count(*) AS total_evaluations, count(*) FILTER (WHERE was_correct) AS correct_predictions, avg(CASE WHEN was_correct THEN 1.0 ELSE 0.0 END) AS accuracy_rate,
@@ -124,13 +134,13 @@ ORACLES = {
       count(*) FILTER (WHERE decision = 'reject' AND actual_tier IN ('爆', '大爆')) / nullif(count(*) FILTER (WHERE decision = 'reject'), 0) AS reject_hit_rate
       FROM evaluations WHERE was_correct IS NOT NULL GROUP BY ALL"""),
     "v_sync_status": _sql(f"""SELECT p.project_id, any_value(p.brand) AS brand, count(*) FILTER (WHERE n.tier IN ('爆', '大爆')) AS total_hits,
-      count(*) FILTER (WHERE n.tier IN ('爆', '大爆') AND synced_to_ssll_at IS NOT NULL) AS synced_to_ssll, count(*) FILTER (WHERE n.tier IN ('爆', '大爆') AND n.synced_to_aw_at IS NOT NULL) AS synced_to_aw,
-      count(*) FILTER (WHERE n.tier IN ('爆', '大爆') AND NOT synthetic AND {_DUE}) AS pending_ssll_sync,
-      count(*) FILTER (WHERE n.tier IN ('爆', '大爆') AND i.note_id IS NOT NULL AND n.synced_to_aw_at IS NULL) AS pending_aw_sync,
-      max(synced_to_ssll_at) FILTER (WHERE n.tier IN ('爆', '大爆')) AS last_hit_sync_to_ssll_at, max(n.synced_to_aw_at) FILTER (WHERE n.tier IN ('爆', '大爆')) AS last_hit_sync_to_aw_at,
-      count(*) FILTER (WHERE n.tier = '参考') AS total_reference, count(*) FILTER (WHERE n.tier = '参考' AND synced_to_ssll_at IS NOT NULL) AS synced_reference_to_ssll,
-      count(*) FILTER (WHERE n.tier = '参考' AND {_DUE}) AS pending_reference_ssll, count(*) FILTER (WHERE n.tier = '参考' AND n.synced_to_aw_at IS NOT NULL) AS synced_reference_to_aw,
-      count(*) FILTER (WHERE n.tier = '参考' AND i.note_id IS NOT NULL AND n.synced_to_aw_at IS NULL) AS pending_reference_aw
+      count(*) FILTER (WHERE n.tier IN ('爆', '大爆') AND synced_to_channel1_at IS NOT NULL) AS synced_to_channel1, count(*) FILTER (WHERE n.tier IN ('爆', '大爆') AND n.synced_to_channel2_at IS NOT NULL) AS synced_to_channel2,
+      count(*) FILTER (WHERE n.tier IN ('爆', '大爆') AND NOT synthetic AND {_DUE}) AS pending_channel1_sync,
+      count(*) FILTER (WHERE n.tier IN ('爆', '大爆') AND i.note_id IS NOT NULL AND n.synced_to_channel2_at IS NULL) AS pending_channel2_sync,
+      max(synced_to_channel1_at) FILTER (WHERE n.tier IN ('爆', '大爆')) AS last_hit_sync_to_channel1_at, max(n.synced_to_channel2_at) FILTER (WHERE n.tier IN ('爆', '大爆')) AS last_hit_sync_to_channel2_at,
+      count(*) FILTER (WHERE n.tier = '参考') AS total_reference, count(*) FILTER (WHERE n.tier = '参考' AND synced_to_channel1_at IS NOT NULL) AS synced_reference_to_channel1,
+      count(*) FILTER (WHERE n.tier = '参考' AND {_DUE}) AS pending_reference_channel1, count(*) FILTER (WHERE n.tier = '参考' AND n.synced_to_channel2_at IS NOT NULL) AS synced_reference_to_channel2,
+      count(*) FILTER (WHERE n.tier = '参考' AND i.note_id IS NOT NULL AND n.synced_to_channel2_at IS NULL) AS pending_reference_channel2
       FROM projects p LEFT JOIN notes n ON n.project_id = p.project_id LEFT JOIN (SELECT note_id FROM candidates) i ON i.note_id = n.note_id GROUP BY p.project_id""".replace("AND tier_source", "AND n.tier_source").replace("AND publish_time", "AND n.publish_time"), _RATES, _candidates("half_life")),
     "v_injection_candidates": _sql("SELECT * FROM candidates", _RATES, _candidates("half_life")),
     "v_injection_candidates_linear": _sql("SELECT note_id, recency_weight, injection_score FROM candidates", _RATES, _candidates("linear")),
@@ -150,7 +160,7 @@ ORACLES = {
       FROM (SELECT *, count(*) OVER (PARTITION BY project_id, kind) AS n FROM top5) GROUP BY project_id""", """top5 AS (SELECT * FROM (SELECT project_id, CASE WHEN note_id % 3 <> 0 THEN lever END AS kind,
       row_number() OVER (PARTITION BY project_id ORDER BY publish_time DESC, note_id DESC) AS rn FROM notes WHERE tier_source = '状态字段') WHERE rn <= 5)"""),
     "v_dash_overview": _sql(f"""SELECT (SELECT count(*) FROM projects) AS projects, (SELECT count(*) FROM notes) AS notes, (SELECT count(*) FROM notes WHERE tier IN ('爆', '大爆')) AS hits_all,
-      (SELECT count(*) FROM notes WHERE {_VERIFIED}) AS hits_real, (SELECT count(*) FROM cards) AS borrowable_cards, (SELECT count(intent) FROM notes) AS essence_done, (SELECT CAST(sum(impressions) AS BIGINT) FROM notes) AS impressions,
+      (SELECT count(*) FROM notes WHERE {_VERIFIED}) AS hits_real, (SELECT count(*) FROM cards) AS borrowable_cards, (SELECT count(*) FROM notes WHERE note_id % 7 = 0) AS cards, (SELECT count(*) FROM events WHERE event_id % 9 = 0) AS librarian, (SELECT count(audience_inferred_at) FROM notes) AS audience_tracked, {_AS_OF} AS as_of, (SELECT count(intent) FROM notes) AS essence_done, (SELECT CAST(sum(impressions) AS BIGINT) FROM notes) AS impressions,
       (SELECT CAST(sum(reads) AS BIGINT) FROM notes) AS reads, (SELECT CAST(sum(interactions) AS BIGINT) FROM notes) AS interactions, (SELECT max(interactions) FROM notes) AS top_interactions,
       (SELECT count(DISTINCT lever) FROM notes WHERE lever <> '') AS levers, (SELECT count(DISTINCT a) FROM (SELECT unnest(target_audience) AS a FROM notes) WHERE a <> '') AS audiences""", _RATES, _CARDS),
     "v_dash_levers": _sql("SELECT lever, count(*) AS n FROM notes WHERE lever <> '' GROUP BY lever"),
@@ -170,9 +180,10 @@ ORACLES = {
     "v_dash_reach_concentration": _sql(f"""SELECT max(cnt) AS total_notes, CAST(max(total) AS BIGINT) AS total_imp, round(100.0 * sum(impressions) FILTER (WHERE pct <= 1) / max(total), 1) AS top1_share, round(100.0 * sum(impressions) FILTER (WHERE pct <= 5) / max(total), 1) AS top5_share,
       round(100.0 * sum(impressions) FILTER (WHERE pct <= 10) / max(total), 1) AS top10_share, round(100.0 * sum(impressions) FILTER (WHERE {_REAL}) / max(total), 1) AS hit_reach_share, round(100.0 * count(*) FILTER (WHERE {_REAL}) / max(cnt), 2) AS hit_note_pct
       FROM (SELECT impressions, tier, synthetic, ntile(100) OVER (ORDER BY impressions DESC) AS pct, sum(impressions) OVER () AS total, count(*) OVER () AS cnt FROM notes WHERE impressions > 0)"""),
-    "v_dash_system_pulse": _sql("""SELECT (SELECT count(*) FROM notes) AS notes_total, (SELECT max(publish_time) FROM notes) AS last_update, (SELECT count(intent) FROM notes) AS annotated_n, (SELECT count(synced_to_ssll_at) FROM notes) AS ssll_n,
-      (SELECT max(synced_to_ssll_at) FROM notes) AS ssll_last, (SELECT count(synced_to_aw_at) FROM notes) AS aw_n, (SELECT max(synced_to_aw_at) FROM notes) AS aw_last, (SELECT count(DISTINCT account_id) FROM notes) AS accounts_n,
-      (SELECT count(*) FROM events) AS snaps_n, (SELECT max(ts) FROM events) AS snaps_last, (SELECT count(*) FROM projects) AS projects_n"""),
+    "v_dash_system_pulse": _sql("""SELECT (SELECT count(*) FROM notes) AS notes_total, (SELECT max(updated_at) FROM notes) AS last_update, (SELECT max(ingested_at) FROM notes) AS last_ingest, (SELECT count(record_id) FROM notes) AS source_n, (SELECT count(annotated_at) FROM notes) AS annotated_n, (SELECT max(annotated_at) FROM notes) AS annotated_last, (SELECT count(synced_to_channel1_at) FROM notes) AS channel1_n,
+      (SELECT max(synced_to_channel1_at) FROM notes) AS channel1_last, (SELECT count(synced_to_channel2_at) FROM notes) AS channel2_n, (SELECT max(synced_to_channel2_at) FROM notes) AS channel2_last, (SELECT count(DISTINCT account_id) FROM notes) AS accounts_n,
+      (SELECT count(*) FROM events) AS snaps_n, (SELECT max(ts) FROM events) AS snaps_last, (SELECT count(*) FROM events WHERE event_id % 5 = 0) AS audit_n, (SELECT max(ts) FROM events WHERE event_id % 5 = 0) AS audit_last,
+      (SELECT count(*) FROM events WHERE event_id % 8 = 0) AS pipeline_runs_n, TIMESTAMP '2001-08-02 00:00:00' AS server_now, (SELECT count(*) FROM projects) AS projects_n"""),
     "v_dash_monthly": _sql(f"""SELECT strftime(mon, '%Y-%m') AS ym, notes, impressions, hits, CAST(sum(impressions) OVER (ORDER BY mon) AS BIGINT) AS cum_impressions FROM (
       SELECT date_trunc('month', publish_time) AS mon, count(*) AS notes, CAST(coalesce(sum(impressions), 0) AS BIGINT) AS impressions, count(*) FILTER (WHERE {_REAL}) AS hits FROM notes GROUP BY 1)"""),
     "v_dash_pub_activity": _sql("SELECT strftime(publish_time, '%Y-%m') AS ym, CAST(isodow(publish_time) AS INTEGER) AS dow, count(*) AS n FROM notes GROUP BY ALL"),

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """``df`` written under ``spark.checkpoint.dir`` and read back; a temporary folder where none is set (tests)."""
+    """``df`` written under ``spark.checkpoint.dir`` and read back; a temporary folder where a local session (tests) sets none."""
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
+            if not context.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="tallyforge-"))
         folder = context.getCheckpointDir()
     path = f"{folder}/tables/{uuid.uuid4().hex}"

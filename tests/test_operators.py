@@ -2,13 +2,17 @@ import json
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.functions import predicates as P
 from tallyforge.operators import aggregates as A
 from tallyforge.operators import ranking as K
 from tallyforge.operators import state as T
+from tallyforge.plans import annotation as N
+from tallyforge.plans import health as H
 from tallyforge.plans import selection as S
+from tallyforge.sources import onboarding as O
 from tallyforge.sources import records as Q
 from tallyforge.streaming import windows as W
 
@@ -101,9 +105,9 @@ def test_threads(spark):
 
 CONFIG = {
     "project_id": "p",
-    "field_mapping": {"正文": {"target": "raw_content"}, "互动": {"target": "interactions", "type": "numeric"}, "曝光": {"target": "impressions", "type": "numeric"}, "发布": {"target": "publish_time", "type": "date"}},
-    "tier_extraction": {"source_column": "状态", "rules": [{"match_contains": "爆贴", "tier": "爆"}]},
-    "intent_mapping": {"column": "类型", "values": {"流量帖": "traffic"}},
+    "field_mapping": {"正文": "raw_content", "互动": "interactions", "曝光": "impressions", "发布": "publish_time", "状态": "_status_raw", "类型": "_intent_raw"},
+    "tier_extraction": {"rules": [{"match_contains": ["爆贴"], "tier": "爆"}]},
+    "intent_mapping": {"流量帖": "traffic"},
     "tier_thresholds": {"爆": 100, "大爆": 1000},
     "project_specific_fields_to_raw_extra": ["备注"],
 }
@@ -119,14 +123,128 @@ def test_ingest(spark, tmp_path):
     ]
     (tmp_path / "r.jsonl").write_text("\n".join(json.dumps(r, ensure_ascii=False) for r in rows))
     mapping = Q.load_mapping(CONFIG, "p")
-    parts = Q.route(Q.transform(Q.read_json_lines(spark, f"file://{tmp_path}/r.jsonl"), mapping), ["interactions", "impressions"])
+    records = Q.read_json_lines(spark, f"file://{tmp_path}/r.jsonl")
+    parts = Q.route(Q.transform(records, mapping))
     got = {r["note_id"]: r for r in parts["accepted"].collect()}
     assert {k: (r["interactions"], r["tier"], r["tier_source"], r["intent"]) for k, r in got.items()} == {"p_r1": (1200, "爆", "状态字段", "traffic"), "p_r2": (150, "爆", "数值推断", None)}
-    assert json.loads(got["p_r1"]["raw_extra"]) == {"备注": '"x"'}
+    assert json.loads(got["p_r1"]["raw_extra"]) == {"备注": '"x"', "_tier_source_raw": '["爆贴"]'}
     assert sorted((r["record_id"], r["reason"]) for r in parts["quarantine"].collect()) == [("r3", "undeclared fields"), ("r4", "missing raw_content")]
     assert [r["record_id"] for r in parts["placeholders"].collect()] == ["r5"]
     taken = Q.metric_rows(parts["accepted"], F.lit("2024-01-02 00:00:00").cast("timestamp")).collect()
-    assert {r["note_id"]: r["window_label"] for r in taken} == {"p_r1": "24h", "p_r2": "ad_hoc"}
+    assert {r["note_id"]: (r["window_label"], r["hours_since_publish"]) for r in taken} == {"p_r1": ("24h", 24), "p_r2": ("ad_hoc", None)}
+    some, columns = Q.sample(records, 2)
+    assert len(some) == 2 and set(columns) <= {"正文", "互动", "状态", "类型", "备注", "发布", "曝光", "odd"}
+    assert Q.union(records, records.limit(1)).count() == 6
+    Q.write_dead_letters(parts["quarantine"], f"file://{tmp_path}/dead")
+    Q.write_dead_letters(parts["quarantine"], f"file://{tmp_path}/dead")
+    assert spark.read.json(f"file://{tmp_path}/dead").count() == 4
+
+
+def test_csv_records(spark, tmp_path):
+    (tmp_path / "r.csv").write_text('id,正文,互动\nr1,"a, ""b""",7\nr2,,\n')
+    got = {r["record_id"]: r["fields"] for r in Q.read_csv(spark, "id", f"file://{tmp_path}/r.csv").collect()}
+    assert {k: json.loads(v) for k, v in got["r1"].items()} == {"正文": 'a, "b"', "互动": "7"} and got["r2"] == {}
+
+
+@pytest.mark.parametrize("change", [{"project_id": "q"}, {"field_mapping": {}}, {"tier_extraction": {"source": "状态"}}, {"tier_extraction": {"rules": [{"match_contains": ["x"], "tier": "好"}]}}, {"intent_mapping": {"x": "y"}}, {"tier_thresholds": {"好": 1}}, {"field_mapping": {"a": {"target": "b", "type": "blob"}}}])
+def test_wrong_mappings_are_refused(change):
+    with pytest.raises(ValueError):
+        Q.load_mapping(CONFIG | change, "p")
+
+
+def test_cron_gate():
+    assert [Q.runs_now(i, s) for i, s in (("on_demand", True), ("on_demand", False), ("daily", True), (None, True))] == [False, True, True, True]
+
+
+def test_onboarding(spark):
+    fields = lambda **kw: {k: json.dumps(v, ensure_ascii=False) for k, v in kw.items()}
+    rows = [(str(i), fields(正文=f"text {i}", 状态="爆贴" if i % 2 else "趴", 类型=["traffic", "流量帖"], 备注=i)) for i in range(6)]
+    records = spark.createDataFrame(rows, Q.SCHEMA)
+    made = O.draft("p", records, {"正文": "raw_content", "状态": "_status_raw", "类型": "_intent_raw"}, cap=3)
+    assert made["project_specific_fields_to_raw_extra"] == ["备注"] and made["intent_mapping"] == {"traffic": "traffic", "流量帖": O.PENDING}
+    found = O.validate(made, ["正文", "新列", "_record_id"])
+    assert found["errors"] == [] and found["uncovered_columns"] == ["新列"] and len(found["pending"]) == 3
+    wrong = O.validate({"intent_mapping": {"a": "b"}, "category": "x", "direction_decomposition": {"d": {"sub_directions": [{"name": "s", "content_format": "vlog", "intent_override": "mixed"}]}}}, vocabulary={"category": ["y"], "content_format": ["story"]})
+    assert wrong["errors"] == ["category: 'x'", "intent_mapping[a]: 'b'", "direction[d/s].content_format: 'vlog'"]
+    assert O.validate(None)["errors"]
+    same = O.compare(made, made)
+    assert same["diffs"] == ["tier_thresholds"] and O.compare(made, made | {"field_mapping": {"x": "y"}, "tier_thresholds": {}})["diffs"][0] == "field_mapping: missing ['x'], extra ['正文', '状态', '类型']"
+
+
+def test_answers_are_tried_once_more(spark):
+    def ask(prompts):
+        if any("boom" in p for p in prompts):
+            raise RuntimeError("down")
+        return ['```json\n{"x": "good"}\n```' if "wrong:" in p or "fine" in p else "no json" if "none" in p else '{"x": "bad"}' for p in prompts]
+
+    rows = [("1", "fine"), ("2", "none"), ("3", "bad"), ("4", "boom")]
+    prompts = spark.createDataFrame(rows, "id string, prompt string").repartition(4, "id")
+    wrong = lambda j: F.when(F.get_json_object(j, "$.x") != "good", F.array(F.lit("x is bad"))).otherwise(F.array().cast("array<string>"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        valid, failed = N.with_retry(prompts, ask, wrong)
+        assert sorted((r["id"], r["answer"], r["retried"]) for r in valid.collect()) == [("1", '{"x": "good"}', False), ("2", '{"x": "good"}', True), ("3", '{"x": "good"}', True)]
+        assert [(r["id"], r["errors"]) for r in failed.collect()] == [("4", ["call failed"])]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_prompts_that_leak_are_refused(spark):
+    fine = spark.createDataFrame([("a", "brand")], "id string, context string")
+    assert N.guarded(fine).count() == 1
+    with pytest.raises(Exception, match="leaks performance"):
+        N.guarded(fine.withColumn("context", F.lit("互动数 9"))).collect()
+
+
+def test_lessons_and_exit_codes(spark):
+    lessons = spark.createDataFrame([("a", " h ", "s", "w", "t"), ("b", "", "s", "w", "t")], "note_id string, hook_type string, structure string, why_it_worked string, transferable_tactic string")
+    assert [tuple(r) for r in N.valid_lessons(lessons).collect()] == [("a", "h", "s", "w", "t")]
+    outcome = lambda *x: H.exit_code(spark.createDataFrame([(o,) for o in x], "outcome string"))
+    assert [outcome("ok", "hygiene"), outcome("systemic"), outcome("systemic", "ok"), outcome("content", "content"), outcome()] == [1, 1, 0, 0, 0]
+
+
+def test_reports(spark):
+    assert H.report(spark.createDataFrame([("a|b", None)], "x string, y int"), "t") == "# t\n\n| x | y |\n| --- | --- |\n| a\\|b |  |"
+    with pytest.raises(ValueError):
+        H.report(spark.range(9), "t", 8)
+
+
+def test_a_failed_write_keeps_the_old_table(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/t"
+    T.write(spark.range(3).toDF("k"), path)
+    real, calls = T._moved, []
+
+    def second_fails(fs, source, target):
+        calls.append(source.toString())
+        return False if len(calls) == 2 else real(fs, source, target)
+
+    monkeypatch.setattr(T, "_moved", second_fails)
+    with pytest.raises(OSError, match="could not rename"):
+        T.write(spark.range(9).toDF("k"), path)
+    assert len(calls) == 3 and spark.read.parquet(path).count() == 3
+    monkeypatch.setattr(T, "_moved", lambda *a: False)
+    with pytest.raises(OSError):
+        T.write(spark.range(9).toDF("k"), path)
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_ranks_and_percentiles_of_groups(spark):
+    r = random.Random(3)
+    rows = [(g, r.choice([r.randint(-50, 50), r.randint(0, 10**6)])) for g in "abc" for _ in range(r.randint(1, 200))] + [("d", None)]
+    df = spark.createDataFrame(rows, "g string, v long")
+    by = {}
+    for g, v in rows:
+        by.setdefault(g, []).extend([v] if v is not None else [])
+    got = {x["g"]: x for x in A.percentiles(df, ["g"], "v", [0.25, 0.9]).collect()}
+    assert got.keys() == by.keys() and got["d"]["p25"] is None
+    for g in "abc":
+        assert got[g]["n"] == len(by[g]) and got[g]["p25"] == pytest.approx(np.percentile(by[g], 25)) and got[g]["p90"] == pytest.approx(np.percentile(by[g], 90))
+    median = {x["g"]: x["median"] for x in A.upper_median(df, ["g"], "v").collect()}
+    assert median == {g: sorted(own)[len(own) // 2] for g, own in by.items() if own}
+    ranks = sorted((x["column"], x["rank"], x["value"], x["n"]) for x in A.distribution(df, ["g", "v"]).collect())
+    for c, own in (("g", [g for g, _ in rows]), ("v", ["" if v is None else str(v) for _, v in rows])):
+        counted = sorted(((-own.count(x), x) for x in set(own)))
+        assert [(k, x, n) for col, k, x, n in ranks if col == c] == [(i + 1, x, -m) for i, (m, x) in enumerate(counted)]
 
 
 def test_streaming_upsert_and_windows(spark, tmp_path):
