@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import tempfile
@@ -31,22 +32,39 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Tables that :func:`cut` has written, by the name of what they were made for ("" by default).
+_tables: dict[str, list[str]] = {}
+_owner = [""]
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back, which ends its lineage there.
 
-    A lost executor then costs a re-read, not a recomputation.  Remove the tables
-    with :func:`clear_scratch` once their results are written.
+    A lost executor then costs a re-read, not a recomputation.  The tables stay until
+    :func:`drop_tables` is called for their owner (:func:`owned_by`), or the folder is cleared.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/scratch/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.setdefault(_owner[-1], []).append(path)
     return spark.read.parquet(path)
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete every table that :func:`cut` has written in this shared folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/scratch")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+@contextlib.contextmanager
+def owned_by(owner: str):
+    """Tables that are written meanwhile are the owner's."""
+    _owner.append(owner)
+    try:
+        yield
+    finally:
+        _owner.pop()
+
+
+def drop_tables(spark: SparkSession, owner: str) -> None:
+    """Delete the owner's tables; what still reads them must have been written before."""
+    for name in _tables.pop(owner, []):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bytes_of(text: Column) -> Column:

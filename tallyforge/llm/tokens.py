@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words in the cache above which those not used just now are dropped; bounds memory alone.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: White space to Python but not to the tokenizers' patterns: such texts are encoded whole.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -77,9 +77,9 @@ class MergeRanks:
         """Ids of one pre-token."""
         return [self.ids[x] for x in self.bpe._encode_single_piece(piece)]
 
-    def text(self, text: str) -> list[int]:
+    def array(self, text: str) -> np.ndarray:
         """Ids of a text under the byte-level pre-tokenizer."""
-        return [self.ids[x] for x in self.bpe.encode_ordinary(text)]
+        return self.lookup[self.bpe.encode_ordinary(text)]
 
 
 # Fixed value: the byte-level pre-tokenizer's pattern.
