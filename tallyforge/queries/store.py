@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..catalog import NOTES_SQL, Catalog
+from ..functions import ids as I
 from ..operators import aggregates as A
 from ..operators import state as T
 from ..plans import annotation as N
@@ -161,6 +164,7 @@ QUERIES = {
     "r23_sub_directions": _subs,
     "r24_uncurated": lambda c: N.uncurated(cards(c).withColumn("note_id", F.col("source_note_id")), 15).select("note_id"),
     "r25_unthreaded": _unthreaded,
+    "f_id_uuid5": lambda c: c.table("customer").select("c_custkey", I.uuid5(uuid.NAMESPACE_URL, F.when(F.col("c_custkey") % 9 != 0, F.col("c_name"))).alias("id")),
     "d3_with_parents": _children,
     "d4_update": _updated,
     "d10_pending": lambda c: H.pending_annotations(c.notes()),
@@ -270,6 +274,8 @@ ORACLES = {
       SELECT note_id, CASE lever WHEN '1-URGENT' THEN ['a', 'b'][note_id % 2 + 1] ELSE 'c' END AS direction_subtype FROM notes WHERE lever IN ('1-URGENT', '2-HIGH') AND note_id % 3 <> 0)"""),
     "r24_uncurated": _sql("SELECT source_note_id AS note_id FROM cards WHERE NOT is_curated ORDER BY rank_score DESC, source_note_id LIMIT 15", _RATES, _CARDS),
     "r25_unthreaded": "SELECT l_orderkey AS note_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderkey % 4 <> 0 GROUP BY l_orderkey HAVING count(*) FILTER (WHERE l_returnflag = 'R') = 0",
+    "f_id_uuid5": """SELECT c_custkey, CASE WHEN c_custkey % 9 <> 0 THEN left(h, 8) || '-' || h[9:12] || '-5' || h[14:16] || '-' || ['8', '9', 'a', 'b'][(instr('0123456789abcdef', h[17]) - 1) % 4 + 1] || h[18:20] || '-' || h[21:32] END AS id
+      FROM (SELECT c_custkey, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(c_name)) AS h FROM customer)""",
     "d3_with_parents": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')",
     "d4_update": "SELECT s_suppkey, CASE WHEN s_nationkey < 5 THEN upper(s_name) ELSE s_name END AS s_name, CASE WHEN s_nationkey < 5 THEN -1 ELSE s_nationkey END AS s_nationkey FROM supplier",
     "d10_pending": _sql("SELECT project_id, count(*) AS notes, count(*) FILTER (WHERE annotated_at IS NULL) AS pending FROM notes GROUP BY project_id"),

@@ -1,10 +1,12 @@
 import json
 import random
+import uuid
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyforge.functions import ids as I
 from tallyforge.functions import predicates as P
 from tallyforge.operators import aggregates as A
 from tallyforge.operators import ranking as K
@@ -261,3 +263,9 @@ def test_streaming_upsert_and_windows(spark, tmp_path):
     q = counts.writeStream.outputMode("complete").format("memory").queryName("w").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r["k"], r["n"]) for r in spark.table("w").collect()) == [(1, 2), (2, 1)]
+
+
+def test_name_based_ids(spark):
+    names = ["a", "", "中文", None]
+    got = spark.createDataFrame([(x,) for x in names], "n string").select(I.uuid5(uuid.NAMESPACE_DNS, F.col("n")).alias("id")).collect()
+    assert [r["id"] for r in got] == [None if x is None else str(uuid.uuid5(uuid.NAMESPACE_DNS, x)) for x in names]
