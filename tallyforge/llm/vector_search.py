@@ -2,26 +2,28 @@
 
 Vectors are dealt to shards of bounded size.  In each shard a directed graph is grown in
 batches: a greedy search of the graph so far proposes neighbours for a point, and of them,
-nearest first, those stay that no kept one is much nearer to (relaxed pruning).  Queries
-beam-search the graph of every shard, and the best of all shards are ranked by exact
-scores.  One more coordinate makes all vectors equally long, so that the nearest are
+nearest first, those stay that no kept one is much nearer to (relaxed pruning).  One task
+reads a shard's graph once and lets all queries stream past it in blocks, each by beam
+search, and the best of all shards are ranked by exact scores.  One more coordinate makes all vectors equally long, so that the nearest are
 those of the largest inner product.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release_memory
 
 TOP = 20
 QUERY_STEP = 20
-SHARD_ROWS = 8192
-#: Queries that search a shard's graph in one task.
-QUERY_ROWS = 4096
+SHARD_ROWS = 16384
+#: Queries that search a shard's graph at once; bounds memory alone.
+QUERY_ROWS = 512
 DEGREE = 32
 BEAM = 128
 BUILD_BEAM = 80
@@ -146,6 +148,30 @@ def _vectors(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), "f8").reshape(len(column), -1)
 
 
+class ShardGraph:
+    """A shard's graph from its rows (at, vector, rows, entry, near), and its points' exact vectors."""
+
+    def __init__(self, graph: pd.DataFrame, longest: float):
+        graph = graph.sort_values("at")
+        self.exact = _vectors(graph["vector"])
+        self.points = _augmented(self.exact.astype("f4"), longest)
+        self.near = np.frombuffer(b"".join(graph["near"]), "i4").reshape(len(graph), -1)
+        self.entry, self.rows = int(graph["entry"].to_numpy(bool).argmax()), graph["rows"].tolist()
+
+    def answers(self, queries: pd.DataFrame, top: int) -> pd.DataFrame:
+        """query, query_id, vec_id and score of the ``top`` found for each of (query, query_id, vector), by exact scores."""
+        asking = _vectors(queries["vector"])
+        ends = np.concatenate([asking.astype("f4"), np.zeros((len(asking), 1), "f4")], axis=1)
+        found, _ = beam_search(self.points, self.near, self.entry, ends, BEAM)
+        out = []
+        for i, (query, query_id) in enumerate(zip(queries["query"], queries["query_id"], strict=True)):
+            at = found[i][found[i] >= 0]
+            scores = self.exact[at] @ asking[i]
+            ranked = sorted((-s, r["vec_id"]) for s, k in zip(scores.tolist(), at, strict=True) for r in self.rows[k] if r["row"] != query)
+            out += [(query, query_id, v, -s) for s, v in ranked[:top]]
+        return pd.DataFrame(out, columns=["query", "query_id", "vec_id", "score"])
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """row, vec_id, vector (doubles as bytes) and length of the rows that take part.
 
@@ -166,7 +192,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return kept.where(F.col("dimension") == (common["dimension"] if common else 0))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id and score of the ``top`` nearest rows of ``vectors`` found for each of ``queries``.
 
     Both as from :func:`usable`.  A query's own row is no candidate, others of its id are.
@@ -178,40 +204,38 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, shard_rows:
     least = vectors.withColumn("k", F.row_number().over(same)).where(F.col("k") <= top + 1)
     points = cut(least.groupBy("vector").agg(F.collect_list(F.struct("vec_id", "row")).alias("rows"), F.max("length").alias("length")), "points")
     n, longest = points.agg(F.count(F.lit(1)), F.max("length")).first()
-    m = queries.count()
-    if not n or not m:
+    if not n:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shards, asked = -(-n // shard_rows), -(-m // query_rows)
+    shards = -(-n // shard_rows)
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         graph, entry = build_graph(_augmented(_vectors(pdf["vector"]).astype("f4"), longest))
-        return pdf.assign(entry=np.arange(len(pdf)) == entry, near=[x.astype("i4").tobytes() for x in graph])
+        at = np.arange(len(pdf))
+        return pdf.assign(at=at, entry=at == entry, near=[x.astype("i4").tobytes() for x in graph])
 
     kept = "shard int, vector binary, rows array<struct<vec_id:bigint,row:string>>"
     sharded = points.select(F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int").alias("shard"), "vector", "rows")
-    graphs = cut(sharded.groupBy("shard").applyInPandas(build, f"{kept}, entry boolean, near binary"), "graphs")
-
-    def search(graph: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        columns = ["query", "query_id", "vec_id", "score"]
-        if not len(graph) or not len(own):
-            return pd.DataFrame(columns=columns)
-        exact, asking = _vectors(graph["vector"]), _vectors(own["vector"])
-        near = np.frombuffer(b"".join(graph["near"]), "i4").reshape(len(graph), -1)
-        ends = np.concatenate([asking.astype("f4"), np.zeros((len(own), 1), "f4")], axis=1)
-        found, _ = beam_search(_augmented(exact.astype("f4"), longest), near, int(graph["entry"].to_numpy().argmax()), ends, BEAM)
-        out = []
-        rows = graph["rows"].tolist()
-        for i, (query, query_id) in enumerate(zip(own["row"], own["vec_id"], strict=True)):
-            at = found[i][found[i] >= 0]
-            scores = exact[at] @ asking[i]
-            ranked = sorted(((-s, r["vec_id"]) for s, k in zip(scores.tolist(), at, strict=True) for r in rows[k] if r["row"] != query))
-            out += [(query, query_id, v, -s) for s, v in ranked[:top]]
-        return pd.DataFrame(out, columns=columns)
-
-    block = F.pmod(F.xxhash64("row"), F.lit(asked)).cast("int")
-    left = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))))
-    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), block.alias("block"), "row", "vec_id", "vector")
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(search, "query string, query_id long, vec_id long, score double")
+    graphs = cut(sharded.repartitionByRange(shards, "shard").groupBy("shard").applyInPandas(build, f"{kept}, at int, entry boolean, near binary"), "graphs")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard, held, graph = -1, [], None
+        for pdf in batches:
+            for (of, kind), own in pdf.groupby(["shard", "kind"]):
+                if kind == 0:
+                    if of != shard:
+                        shard, held, graph = of, [], None
+                    held.append(own)
+                elif of == shard:  # else a shard without points
+                    graph = graph or ShardGraph(pd.concat(held), longest)
+                    held = []
+                    for a in range(0, len(own), QUERY_ROWS):
+                        yield graph.answers(own.iloc[a : a + QUERY_ROWS], top)
+        release_memory()
+
+    left = graphs.select("shard", F.lit(0).alias("kind"), "at", "vector", "rows", "entry", "near", F.lit("").alias("query"), F.lit(0).cast("long").alias("query_id"))
+    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.lit(0).alias("at"), "vector", F.col("row").alias("query"), F.col("vec_id").alias("query_id"))
+    met = left.unionByName(right, allowMissingColumns=True).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "kind", "at")
+    found = met.mapInPandas(search, "query string, query_id long, vec_id long, score double")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 

@@ -25,7 +25,7 @@ def brute(ids, x, top=20):
 def test_recall_and_scores(spark):
     r = np.random.default_rng(4)
     x = r.normal(size=(3000, 24)) * r.uniform(0.5, 2, (3000, 1))
-    got = run(spark, [(i, v.tolist()) for i, v in enumerate(x)], shard_rows=1000, query_rows=64)
+    got = run(spark, [(i, v.tolist()) for i, v in enumerate(x)], shard_rows=1000)
     want = brute(list(range(3000)), x)
     assert len(got) == 20 * len(want)
     by = {}
