@@ -333,6 +333,10 @@ def _comment_rows(c: Catalog):
     return R.comments(notes)
 
 
+def _preflight(c: Catalog):
+    return Q.preflight(records(c), mapping()).withColumns({k: F.array_join(k, ";") for k in ("blocking", "warnings")})
+
+
 def _stated(columns: dict[str, tuple[int, str]]) -> str:
     n = len(RECORDS)
     cases = lambda j: " ".join(f"WHEN {i} THEN {_literal(r[j])}" for i, r in enumerate(RECORDS))
@@ -354,6 +358,7 @@ QUERIES = {name: run for name, (run, _) in CYCLES.items()} | {
     "c11_c17_routes": _routed,
     "c20_metric_rows": _metrics,
     "c22_comment_ids": _comment_rows,
+    "r16_preflight": _preflight,
     "a14_column_values": lambda c: Q.column_values(records(c), 3),
     "io4_fields": lambda c: Q.fields(records(c)).select("column", "records", F.array_join("kinds", ";").alias("kinds")),
 }
@@ -380,6 +385,8 @@ ORACLES = {name: sql for name, (_, sql) in CYCLES.items()} | {
     "c20_metric_rows": f"SELECT {KEY}, 'ad_hoc' AS window_label, interactions, CAST(CASE WHEN {KEY} % {len(RECORDS)} = 8 THEN 7 END AS DOUBLE) AS likes FROM (SELECT {KEY}, {_stated({'interactions': (4, 'DOUBLE')})} FROM {TABLE}) WHERE interactions IS NOT NULL",
     "c22_comment_ids": f"""SELECT {KEY} || '_c' || n AS comment_id, {KEY} AS note_id, CAST(n AS INTEGER) AS comment_order, role, content FROM {TABLE} JOIN
       (VALUES (0, 1, '素人', 'x'), (0, 2, '贴主', 'y'), (3, 1, '素人', 'solo')) t(k, n, role, content) ON {KEY} % 4 = k""",
+    "r16_preflight": f"""SELECT count(*) AS rows, count(*) FILTER (WHERE k < 10) AS accepted, count(*) FILTER (WHERE k = 10) AS undeclared, count(*) FILTER (WHERE k = 10) AS lost, count(*) FILTER (WHERE k = 11) AS anomalies,
+      count(*) FILTER (WHERE k > 11) AS placeholders, CAST(0 AS BIGINT) AS other_intents, CAST(0 AS BIGINT) AS unknown_directions, 'notes would be lost' AS blocking, 'anomalies' AS warnings FROM (SELECT {KEY} % {len(RECORDS)} AS k FROM {TABLE})""",
     "a14_column_values": f"""SELECT "column", value, n, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS k FROM (
       SELECT c AS "column", v AS value, count(*) AS n FROM {TABLE} JOIN (VALUES {_cell_rows(_VALUES)}) t(i, c, v) ON {KEY} % {len(RECORDS)} = i GROUP BY ALL)) WHERE k <= 3""",
     "io4_fields": f"""SELECT c AS "column", count(*) AS records, array_to_string(list_sort(list(DISTINCT v)), ';') AS kinds FROM {TABLE} JOIN (VALUES {_cell_rows(_KINDS)}) t(i, c, v) ON {KEY} % {len(RECORDS)} = i GROUP BY c""",

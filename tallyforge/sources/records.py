@@ -264,6 +264,38 @@ def runs_now(sync_interval: str | None, scheduled: bool) -> bool:
     return not (scheduled and sync_interval == "on_demand")
 
 
+def preflight(records: DataFrame, mapping: Mapping_) -> DataFrame:
+    """What ingesting would do, in one row and one pass: counts, ``blocking`` problems and ``warnings``.
+
+    rows, accepted, undeclared, lost (undeclared, but with a text), anomalies (a signal but
+    no text), placeholders, other_intents and unknown_directions (of accepted rows).  Lost
+    notes and an empty source block; anomalies, intents and directions that the mapping
+    doesn't know are warned of.
+    """
+    rows = transform(records, mapping)
+    drift, text = F.size("undeclared") > 0, ~C.is_null_token(F.col("raw_content"))
+    signal = F.lit(False)
+    for c in SIGNALS:
+        if c in rows.columns:
+            signal = signal | F.col(c).isNotNull()
+    direction = C.flatten_cell(F.get_json_object("raw_extra", "$._direction_raw"))
+    known = [*mapping.directions, *mapping.excluded]
+    fine = ~drift & text
+    one = rows.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(fine).alias("accepted"),
+        F.count_if(drift).alias("undeclared"),
+        F.count_if(drift & text).alias("lost"),
+        F.count_if(~drift & ~text & signal).alias("anomalies"),
+        F.count_if(~drift & ~text & ~signal).alias("placeholders"),
+        F.count_if(fine & (F.col("intent") == "other")).alias("other_intents"),
+        F.count_if(fine & direction.isNotNull() & ~F.coalesce(direction.isin(*known), F.lit(False))).alias("unknown_directions"),
+    )
+    blocking = [F.when(F.col("rows") == 0, "no rows"), F.when(F.col("lost") > 0, "notes would be lost")]
+    warned = [F.when(F.col(c) > 0, c) for c in ("anomalies", "other_intents", "unknown_directions")]
+    return one.withColumns({"blocking": F.array_compact(F.array(*blocking)), "warnings": F.array_compact(F.array(*warned))})
+
+
 def write_dead_letters(failures: DataFrame, path: str) -> None:
     """Append failed rows as JSON lines."""
     failures.write.mode("append").json(path)
