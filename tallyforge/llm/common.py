@@ -32,6 +32,10 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/scratch/{spark.sparkContext.applicationId}"
+
+
 #: Tables that :func:`cut` has written, by the name of what they were made for ("" by default).
 _tables: dict[str, list[str]] = {}
 _owner = [""]
@@ -44,7 +48,7 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     :func:`drop_tables` is called for their owner (:func:`owned_by`), or the folder is cleared.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/scratch/{tag}-{uuid.uuid4().hex}"
+    path = f"{_scratch(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _tables.setdefault(_owner[-1], []).append(path)
     return spark.read.parquet(path)
@@ -63,8 +67,18 @@ def owned_by(owner: str):
 def drop_tables(spark: SparkSession, owner: str) -> None:
     """Delete the owner's tables; what still reads them must have been written before."""
     for name in _tables.pop(owner, []):
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete_path(spark, name)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete every table that :func:`cut` has written in this application; call it once results are written."""
+    delete_path(spark, _scratch(spark))
+    _tables.clear()
+
+
+def delete_path(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bytes_of(text: Column) -> Column:

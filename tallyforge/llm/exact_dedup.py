@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, cut, join_spread, shared_folder
+from .common import bytes_of, cut, delete_path, join_spread, shared_folder
 
 
 def text_digest(text: Column) -> Column:
@@ -60,9 +60,11 @@ class DigestIndex:
         )
         self.spark.catalog.refreshTable(self.name)
 
-    def forget(self) -> None:
-        """Take the table out of the catalog; its files stay, and the index can be opened again by its path."""
+    def forget(self, files: bool = False) -> None:
+        """Take the table out of the catalog; the index can be opened again by its path, unless its ``files`` go too."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        if files:
+            delete_path(self.spark, self.path)
 
 
 def digest_groups(docs: DataFrame) -> DataFrame:
@@ -123,7 +125,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     index = DigestIndex(spark, f"{shared_folder(spark)}/digest_index/{uuid.uuid4().hex}")
     marked = exact_dedup(docs, index)
-    index.forget()  # the result doesn't read it
+    index.forget(files=True)  # the result doesn't read it
     return marked
 
 
