@@ -40,6 +40,8 @@ GROUP = 400
 SHARD_BYTES = 256_000
 #: Bytes of text that are searched for anchors at once; bounds memory alone.
 BLOCK = 500_000
+#: Repeated anchors that are broadcast.
+MOST_KEYS = 1_000_000
 #: Multipliers that tell equal contents at unequal places apart.
 _PLACE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -176,15 +178,28 @@ def text_counts(docs: DataFrame) -> DataFrame:
     return cut(docs.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("rows"), F.min("row").alias("row")), "texts")
 
 
+def with_repeated(rows: DataFrame, key: str, by: list[str]) -> DataFrame:
+    """Rows whose ``key`` another row has too.
+
+    Up to MOST_KEYS such keys (8 bytes each) are sent to the rows; of more the rows are
+    shuffled by key, and those of a hot key dealt out by ``by``.
+    """
+    shared = cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows_of_key")).where("rows_of_key > 1"), "shared")
+    if shared.count() <= MOST_KEYS:
+        return rows.join(F.broadcast(shared.select(key)), key)
+    return join_spread(rows, shared, [key], "rows_of_key", by, rows.count())
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP, texts: DataFrame | None = None) -> DataFrame:
     """k1, k2, lo, hi: first and last of passages that also start elsewhere, in each text (k1, k2, row, bytes); ``texts`` is from :func:`text_counts`."""
     texts = text_counts(docs) if texts is None else texts
     same = ["anchor", "content", "content2"]
     runs = cut(find_runs(docs, length, anchor), "runs")
-    classes = cut(runs.groupBy(*same).agg(F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("k1", "k2", "lo", "n", "off"))), "classes")
+    met = cut(with_repeated(runs, "anchor", ["k1", "k2", "lo"]), "met")  # of runs by themselves no more is asked
+    classes = cut(met.groupBy(*same).agg(F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in ("k1", "k2", "lo", "n", "off"))), "classes")
     several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     whole = classes.where("copies > 1").select(*same, "copies")
-    found = join_spread(runs, whole, same, "copies", ["k1", "k2", "lo"], runs.count())
+    found = join_spread(met, whole, same, "copies", ["k1", "k2", "lo"], met.count())
     spans = [cut(found.select("k1", "k2", "lo", (F.col("lo") + F.col("n") - 1).alias("hi")), "whole")]
     open_ = join_spread(classes, several, ["anchor"], "kinds", ["k1", "k2", "lo"], classes.count())
     chosen = open_.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "n", "off", (F.col("copies") == 1).alias("open"))).alias("runs"))

@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from tallyforge.llm import suffix_dedup as suffix_module
 from tallyforge.llm.runs import repeated_windows
 from tallyforge.llm.suffix_dedup import digests, suffix_dedup
 
@@ -63,3 +64,18 @@ def test_windows_equal_brute_force():
         n = r.randint(1, 8)
         seen = Counter(x[i : i + n] for x in texts for i in range(len(x) - n + 1))
         assert [list(x) for x in repeated_windows(texts, n)] == [[seen[x[i : i + n]] > 1 for i in range(len(x) - n + 1)] for x in texts]
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_repeated_anchors_joined_and_broadcast(spark, monkeypatch, most):
+    monkeypatch.setattr(suffix_module, "MOST_KEYS", most)
+    rows = corpus(4)
+    got = digests(spark.createDataFrame(rows, SCHEMA).repartition(3), length=40, anchor=8)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 40)
+
+
+def test_a_text_of_very_many_rows_is_dealt_out(spark):
+    text = "one text that very many rows hold, long enough to be a passage of its own"
+    rows = [(i, text) for i in range(900)] + [(5000 + i, f"own {i} " * 12) for i in range(20)]
+    got = {r["doc_id"]: r["n_removed"] for r in digests(spark.createDataFrame(rows, SCHEMA).repartition(5), length=40, anchor=8).collect()}
+    assert len(got) == 920 and {got[i] for i in range(900)} == {len(text)}
