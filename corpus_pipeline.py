@@ -1,17 +1,23 @@
 """A training-corpus pipeline over ``documents``: from raw texts to packed token sequences.
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a
-DataFrame, which is written as Parquet and read again as the next one's docs.
+DataFrame, which is written as Parquet and read again as the next one's docs.  So a stage
+may delete the tables that earlier ones needed: write a stage's result before calling a
+later stage.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import line_dedup, near_dedup, packing, quality, suffix_dedup
-from tallyforge.llm.common import cut, table
+from tallyforge.llm.common import cut, drop_tables, owned_by, small_batches, table
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Words of a passage that may not be left twice, and the bytes that so many have at least, in any language.
 PASSAGE_WORDS = 51
@@ -19,40 +25,77 @@ PASSAGE_BYTES = 2 * PASSAGE_WORDS - 1
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal classifier, fitted on the labels, selects."""
+    """Documents that the ordinal classifier, fitted on the labels, selects.
+
+    A null or empty text is graded like any other, repeated rows alike; extra columns go;
+    an empty table stays empty.  Without labels all grades are equally likely, and none is
+    selected.
+    """
+    small_batches(spark)
     graded = quality.grade(docs.select(*COLUMNS), quality.trained(spark, docs, sf_dir))
     return graded.where("selected").select(*COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their hosts' boilerplate lines."""
+    """Documents without their hosts' boilerplate lines.
+
+    No row goes: a page of boilerplate alone becomes empty, a null text stays null; a null
+    source is a host, repeated rows are pages of their own, extra columns go.
+    """
     kept = line_dedup.line_dedup(docs)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
+    """One document of each class of near copies, that of the least doc_id.
+
+    Null and empty texts are copies of each other, a null id counts as greatest, one of
+    rows repeated whole stays; extra columns go.
+    """
+    small_batches(spark)
     return near_dedup.near_dedup(docs.select(*COLUMNS))
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of more than 50 words that stand anywhere else."""
+    """Documents without the passages of more than 50 words that stand anywhere else.
+
+    No row goes: a text of such passages alone becomes empty, a null text stays null;
+    repeated rows hold each other's passages; extra columns go.
+    """
+    small_batches(spark)
     return suffix_dedup.suffix_dedup(docs.select(*COLUMNS), length=PASSAGE_BYTES, anchor=32, least_words=PASSAGE_WORDS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces and their places in sequences."""
+    """The documents' pieces and their places in sequences.
+
+    A null or empty text is one end token; null and repeated ids and repeated rows are
+    documents of their own; an empty table gives no pieces.
+    """
     import public_tokenizers
 
+    small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+def _stage(k: int, name: str, run: Stage) -> tuple[str, Stage]:
+    """A stage that first deletes what earlier stages left in the shared folder, since their results are written by now."""
+
+    def cleaned(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for earlier in range(k):
+            drop_tables(spark, f"stage {earlier}")
+        with owned_by(f"stage {k}"):
+            return run(spark, docs, sf_dir)
+
+    return name, functools.wraps(run)(cleaned)
+
+
 STAGES = [
-    ("quality classifier", select_quality),
-    ("line dedup", drop_lines),
-    ("n-gram Jaccard join", drop_near_copies),
-    ("suffix-array dedup", drop_passages),
-    ("best-fit packing", pack),
+    _stage(0, "quality classifier", select_quality),
+    _stage(1, "line dedup", drop_lines),
+    _stage(2, "n-gram Jaccard join", drop_near_copies),
+    _stage(3, "suffix-array dedup", drop_passages),
+    _stage(4, "best-fit packing", pack),
 ]
 #: The classifier, the set comparison and the tokenizer are beyond SQL.
 ORACLE_SQL = None
