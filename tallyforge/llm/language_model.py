@@ -1,47 +1,60 @@
 """LM scoring with a log-frequency Bloom filter.
 
-The filter holds quantised counts of words and of pairs of words: a gram of count c is
+The filter holds quantised counts of runs of two and three words: a gram of count c is
 entered once for each level up to 1 + floor(log_BASE c), and its count is read back by
-probing level after level until one is missing.  Its size follows the grams, so that
-its false positives don't grow with the input.  A small filter is broadcast; of a larger
-one each region is a row of a table, and the distinct grams of packs of texts are sent to
-the regions and their levels back (:func:`_with_levels`).  The probability of a word after another interpolates the
-pair's relative frequency, rounded down, with the add-one frequency of the word.
+probing level after level until one is missing.  Words by themselves have exact counts
+beside it, which the base score asks for, and which are quantised in the same way.  Grams are dealt to regions by
+their hash; each region is counted and filled in one task and as large as its entries ask
+for, so that false positives don't grow with the input.  A small model is broadcast, a few
+megabytes at a time; of a larger one each region stays a row of a table, and the distinct
+grams of packs of texts are sent to the regions and their levels back
+(:func:`_with_answers`).
+
+The probability of a word leans on what was seen after the same history:
+p(w | h) = (c(h w) + STRENGTH p(w | shorter h)) / (c(h) + STRENGTH), from two words of
+history down to the add-one frequency of the word.  A history never seen leaves all weight
+to the shorter one, and a frequent one takes nearly all.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, crc_mod, cut, map_rows
-from .rolling import blocks, mix, signed, words
+from .common import bytes_of, crc_mod, cut, map_rows, release_memory, small_batches
+from .rolling import blocks, mix, words
 
 #: Quotient of the counts of neighbouring levels.
-BASE = 1.5
-#: Weight of the pair's frequency.
-PAIR_WEIGHT = 0.6
-BITS_PER_ENTRY = 10
-PROBES = 5
-#: Most bits of a filter that is broadcast (128 MB); a larger one is probed region by region.
-MOST_BITS = 1 << 30
-#: The filter's regions, which are filled apart; a power of 2, and their least size in bits.
-REGIONS = 256
-LEAST_REGION = 1024
-#: Bytes of texts whose distinct grams are looked up together in a filter that isn't broadcast.
-PACK_BYTES = 2_000_000
+BASE = 2.0
+#: Occurrences that the shorter history's probability counts as.
+STRENGTH = 10.0
+BITS_PER_ENTRY = 6
+PROBES = 4
+#: Bits of the filter that hold all of a gram's probes, and so lie side by side in memory.
+LINE = 512
+#: Bytes of training text for each region, and the least number of regions; a power of 2 is taken.
+REGION_BYTES = 4_000_000
+LEAST_REGIONS = 64
+#: Bytes of filter and word counts that are broadcast at most; larger models are asked region by region.
+MOST_BYTES = 192_000_000
+#: About the bytes of one broadcast.
+PART_BYTES = 8_000_000
+#: Bytes of texts whose grams are counted, scored, or looked up together; bound memory alone.
+COUNT_BLOCK, SCORE_BLOCK, PACK_BYTES = 3_000_000, 400_000, 2_000_000
+#: Counts of words from here on are kept apart; smaller ones take a byte.
+LARGE = 255
 #: No count of 64 bits has a higher level.
-TOP_LEVEL = 108
-#: Words whose exact counts are broadcast (16 bytes each); more are joined.
-BROADCAST_WORDS = 4_000_000
+TOP_LEVEL = 64
 
 #: A text's end is a token, its start only comes before others; no word hashes to them but by chance.
 END, START = np.uint64(0), np.uint64(0x5851F42D4C957F2D)
+_STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -50,12 +63,26 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(word, np.cumsum(counts), END), counts + 1
 
 
-def pairs(token: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Hash of each token with the one before it."""
+@dataclass
+class Runs:
+    """Grams that end at each token: of two words, and of three where the text has as many (``long``), its start included."""
+
+    pair: np.ndarray
+    triple: np.ndarray
+    long: np.ndarray
+
+
+def runs(token: np.ndarray, counts: np.ndarray) -> Runs:
+    first = np.cumsum(counts) - counts
     before = np.empty_like(token)
     before[1:] = token[:-1]
-    before[np.cumsum(counts) - counts] = START
-    return mix(before * np.uint64(0xD6E8FEB86659FD93) + token)
+    before[first] = START
+    pair = mix(before * _STEP + token)
+    history = np.zeros_like(pair)
+    history[1:] = pair[:-1]
+    long = np.ones(len(token), bool)
+    long[first] = False
+    return Runs(pair, mix(history * _STEP + token), long)
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
@@ -63,192 +90,295 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(counts) / np.log(BASE) + 1e-9).astype("i8")
 
 
-def _region(grams: np.ndarray) -> np.ndarray:
-    return grams >> np.uint64(64 - REGIONS.bit_length() + 1)
+def least_count(level: np.ndarray) -> np.ndarray:
+    """The least count of each level; 0 of level 0."""
+    return np.where(level > 0, np.ceil(BASE ** (level - 1.0) - 1e-9), 0.0)
 
 
-def _places(grams: np.ndarray, level: int | np.ndarray, bits: int) -> np.ndarray:
-    """The filter's bits for grams at a level, a column for each probe; all lie in the gram's region."""
-    region = _region(grams)
-    size = np.uint64(bits // REGIONS)
-    h = mix(grams + np.asarray(level, "u8") * np.uint64(0x9E3779B97F4A7C15))
-    step = mix(h) | np.uint64(1)
-    return np.stack([region * size + (h + np.uint64(i) * step) % size for i in range(PROBES)], axis=-1)
+def most_count(level: np.ndarray) -> np.ndarray:
+    """The greatest count of each level."""
+    return np.where(level > 0, np.ceil(BASE**level.astype("f8") - 1e-9) - 1, 0.0)
 
 
-class LogFrequencyFilter:
-    """A whole filter, or the part from bit ``first`` on of one of ``bits`` bits."""
+@dataclass(frozen=True)
+class Regions:
+    """How hashes are dealt to 2 ** ``bits`` regions.  48 bits beyond those tell a region's grams apart."""
 
-    def __init__(self, data: np.ndarray, bits: int | None = None, first: int = 0):
-        self.data, self.bits, self.first = data, bits or 8 * len(data), np.uint64(first)
+    bits: int
 
-    def has(self, grams: np.ndarray, level: int) -> np.ndarray:
-        at = _places(grams, level, self.bits) - self.first
-        return ((self.data[(at >> np.uint64(3)).astype("i8")] >> (at & np.uint64(7)).astype("u1")) & 1).all(axis=1)
+    @property
+    def dropped(self) -> np.uint64:
+        return np.uint64(max(0, 16 - self.bits))
 
-    def levels(self, grams: np.ndarray) -> np.ndarray:
-        """Highest level of each gram before the first that is missing; 0 for unseen ones."""
-        out, todo = np.zeros(len(grams), "i8"), np.arange(len(grams))
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        return (grams >> np.uint64(64 - self.bits)).astype("i8")
+
+    def narrow(self, grams: np.ndarray) -> np.ndarray:
+        return grams >> self.dropped << self.dropped
+
+    def split(self, sorted_grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The regions that occur and where each begins and ends."""
+        region, start = np.unique(self.of(sorted_grams), return_index=True)
+        return region, np.append(start, len(sorted_grams))
+
+    def packed(self, grams: np.ndarray) -> bytes:
+        """Narrowed grams of one region, six bytes each."""
+        return np.ascontiguousarray((grams >> self.dropped).astype("<u8").view("u1").reshape(-1, 8)[:, :6]).tobytes()
+
+    def unpacked(self, data: bytes, region: int) -> np.ndarray:
+        out = np.zeros((len(data) // 6, 8), "u1")
+        out[:, :6] = np.frombuffer(data, "u1").reshape(-1, 6)
+        within = (1 << 64 - self.bits) - 1
+        return ((out.view("<u8").ravel() << self.dropped) & np.uint64(within)) | np.uint64(region << 64 - self.bits)
+
+
+def regions_for(n_bytes: int) -> Regions:
+    """Regions of about REGION_BYTES of text each."""
+    return Regions((max(LEAST_REGIONS, -(-n_bytes // REGION_BYTES)) - 1).bit_length())
+
+
+def _lines(grams: np.ndarray, lines: np.ndarray | int) -> np.ndarray:
+    """The line of each gram among its region's."""
+    return (mix(grams ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(32)) * np.asarray(lines, "u8") >> np.uint64(32)
+
+
+def _probes(grams: np.ndarray, level: int) -> np.ndarray:
+    """The bits within its line that a gram at a level has, a row for each probe."""
+    h = mix(grams + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+    return np.stack([(h >> np.uint64(9 * i)) & np.uint64(LINE - 1) for i in range(PROBES)])
+
+
+def fill(grams: np.ndarray, counts: np.ndarray, bits_per_entry: int = BITS_PER_ENTRY) -> np.ndarray:
+    """The filter of one region's grams as bytes."""
+    level = levels_of(counts) if len(counts) else np.zeros(0, "i8")
+    lines = max(1, -(-int(level.sum()) * bits_per_entry // LINE))
+    bits = np.zeros(lines * LINE, bool)
+    first = _lines(grams, lines) * np.uint64(LINE)
+    for k in range(1, int(level.max(initial=0)) + 1):
+        own = level >= k
+        for probe in _probes(grams[own], k):
+            bits[first[own] + probe] = True
+    return np.packbits(bits, bitorder="little")
+
+
+@dataclass
+class Part:
+    """Some neighbouring regions of the model: filters, words and their exact counts."""
+
+    first: int
+    lines: np.ndarray
+    data: np.ndarray
+    word: np.ndarray
+    count: np.ndarray
+    large: dict[int, int]
+
+    def levels(self, grams: np.ndarray, regions: Regions) -> np.ndarray:
+        """Highest level of each gram of these regions before the first that is missing; 0 for unseen ones."""
+        of = regions.of(grams) - self.first
+        starts = np.cumsum(self.lines) - self.lines
+        at = (starts[of] + _lines(grams, self.lines[of]).astype("i8")) * (LINE // 8)
+        out, todo = np.zeros(len(grams), "u1"), np.arange(len(grams))
         for level in range(1, TOP_LEVEL + 1):
-            todo = todo[self.has(grams[todo], level)]
+            probe = _probes(grams[todo], level)
+            byte = self.data[at[todo] + (probe >> np.uint64(3)).astype("i8")]
+            todo = todo[((byte >> (probe & np.uint64(7)).astype("u1")) & 1).all(axis=0)]
             if not len(todo):
                 break
             out[todo] = level
         return out
 
+    def counts(self, word: np.ndarray) -> np.ndarray:
+        if not len(self.word):
+            return np.zeros(len(word), "i8")
+        at = np.minimum(np.searchsorted(self.word, word), len(self.word) - 1)
+        out = np.where(self.word[at] == word, self.count[at], 0).astype("i8")
+        for i in np.flatnonzero(out == LARGE):
+            out[i] = self.large[int(at[i])]
+        return out
 
-class KnownLevels:
-    """Levels that were looked up before, of sorted grams."""
 
-    def __init__(self, grams: np.ndarray, level: np.ndarray):
-        self.grams, self.level = grams, level
+def part_of(rows: list, first: int, last: int) -> Part:
+    """Regions ``first`` to ``last`` from their rows (region, bits, words, counts); those without a row are empty."""
+    filters = {r["region"]: np.frombuffer(r["bits"], "u1") for r in rows}
+    own = [filters.get(i, np.zeros(LINE // 8, "u1")) for i in range(first, last + 1)]
+    word = np.concatenate([np.zeros(0, "u8"), *(np.frombuffer(r["words"], "u8") for r in rows)])
+    count = np.concatenate([np.zeros(0, "i8"), *(np.frombuffer(r["counts"], "i8") for r in rows)])
+    large = {int(i): int(count[i]) for i in np.flatnonzero(count >= LARGE)}
+    return Part(first, np.array([len(x) * 8 // LINE for x in own]), np.concatenate(own), word, np.minimum(count, LARGE).astype("u1"), large)
 
-    def levels(self, grams: np.ndarray) -> np.ndarray:
-        return self.level[np.searchsorted(self.grams, grams)]
 
+class WholeModel:
+    """All parts at hand; looks grams and words up in sorted order, a part at a time."""
 
-def filter_bits(entries: int) -> int:
-    """Bits for so many entries, whole bytes in each region."""
-    unit = 8 * REGIONS
-    return max(LEAST_REGION // 8, -(-entries * BITS_PER_ENTRY // unit)) * unit
+    def __init__(self, parts: list[Part], regions: Regions):
+        self.parts, self.regions = parts, regions
 
+    def _each(self, keys: np.ndarray, ask, dtype: str) -> np.ndarray:
+        kinds, of = np.unique(keys, return_inverse=True)
+        out, region = np.zeros(len(kinds), dtype), self.regions.of(kinds)
+        for part in self.parts:
+            a, b = np.searchsorted(region, [part.first, part.first + len(part.lines)])
+            if a < b:
+                out[a:b] = ask(part, kinds[a:b])
+        return out[of]
 
-def count_grams(texts: DataFrame) -> DataFrame:
-    """region, size (1 or 2 words), gram and n over all ``bytes``."""
+    def levels(self, grams: np.ndarray) -> np.ndarray:
+        return self._each(self.regions.narrow(grams), lambda part, x: part.levels(x, self.regions), "u1")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            data = pdf["bytes"].tolist()
-            for a, b in blocks(data, 8_000_000):
-                token, counts = tokens(data[a:b])
-                for size, grams in ((1, token), (2, pairs(token, counts))):
-                    gram, n = np.unique(grams, return_counts=True)
-                    yield pd.DataFrame({"region": _region(gram).astype("i4"), "size": size, "gram": signed(gram), "n": n})
+    def counts(self, word: np.ndarray) -> np.ndarray:
+        return self._each(word, Part.counts, "i8")
 
-    counted = texts.select("bytes").mapInPandas(run, "region int, size int, gram long, n long")
-    return counted.repartition("region").groupBy("region", "size", "gram").agg(F.sum("n").alias("n"))
 
+class Answers:
+    """Levels and counts that were looked up before, of sorted grams and words."""
 
-def fill_regions(grams: DataFrame, bits: int) -> DataFrame:
-    """region and bits of the filter of ``bits`` bits over (gram, n); regions without grams have no row.
+    def __init__(self, grams: np.ndarray, level: np.ndarray, word: np.ndarray, count: np.ndarray, regions: Regions):
+        self.grams, self.level, self.word, self.count, self.regions = grams, level, word, count, regions
 
-    Each task fills its share of the regions that it has grams of, and the shares are united.
-    """
-    share = bits // REGIONS // 8
+    def levels(self, grams: np.ndarray) -> np.ndarray:
+        return self.level[np.searchsorted(self.grams, self.regions.narrow(grams))]
 
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own: dict[int, np.ndarray] = {}
-        for pdf in batches:
-            gram, level = pdf["gram"].to_numpy().view("u8"), levels_of(pdf["n"].to_numpy())
-            region = _region(gram)
-            for r in np.unique(region):
-                data = own.setdefault(int(r), np.zeros(share, "u1"))
-                mine = region == r
-                for k in range(1, int(level[mine].max()) + 1):
-                    at = (_places(gram[mine & (level >= k)], k, bits) - r * np.uint64(8 * share)).ravel()
-                    np.bitwise_or.at(data, (at >> np.uint64(3)).astype("i8"), np.uint8(1) << (at & np.uint64(7)).astype("u1"))
-        yield pd.DataFrame({"region": list(own), "bits": [x.tobytes() for x in own.values()]})
+    def counts(self, word: np.ndarray) -> np.ndarray:
+        return self.count[np.searchsorted(self.word, word)]
 
-    def unite(pdf: pd.DataFrame) -> pd.DataFrame:
-        data = np.zeros(share, "u1")
-        for x in pdf["bits"]:
-            data |= np.frombuffer(x, "u1")
-        return pd.DataFrame({"region": pdf["region"].iloc[:1], "bits": [data.tobytes()]})
 
-    schema = "region int, bits binary"
-    return cut(grams.select("gram", "n").mapInPandas(fill, schema).groupBy("region").applyInPandas(unite, schema), "filter")
+@dataclass
+class LanguageModel:
+    """The regions' table (region, bits, words, counts), totals, and the parts if they are broadcast."""
 
+    table: DataFrame
+    regions: Regions
+    n_tokens: int
+    n_words: int
+    n_bytes: int
+    parts: list | None = None
 
-def read_filter(regions: DataFrame, bits: int) -> LogFrequencyFilter:
-    """All regions in one place."""
-    share = bits // REGIONS // 8
-    data = np.zeros(bits // 8, "u1")
-    for row in regions.toLocalIterator():  # a part of the table at a time
-        a = row["region"] * share
-        data[a : a + share] = np.frombuffer(row["bits"], "u1")
-    return LogFrequencyFilter(data)
+    def at_hand(self) -> WholeModel:
+        return WholeModel([x.value for x in self.parts], self.regions)
 
 
-def build_filter(grams: DataFrame, bits: int) -> LogFrequencyFilter:
-    """The filter of ``bits`` bits over (gram, n) in one place."""
-    return read_filter(fill_regions(grams, bits), bits)
+def count_regions(texts: DataFrame, regions: Regions, bits_per_entry: int = BITS_PER_ENTRY) -> DataFrame:
+    """The table of :class:`LanguageModel` over all ``bytes``, with ``tokens`` and ``kinds`` of words.
 
+    A task sends each region one row for each block of texts, in which a gram comes once;
+    nothing but a gram's own blocks makes its region larger.
+    """
 
-class WordCounts:
-    """Exact counts of words by hash, both sorted by the hash as a signed number."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            data = pdf["bytes"].tolist()
+            for a, b in blocks(data, COUNT_BLOCK):
+                token, counts = tokens(data[a:b])
+                own = runs(token, counts)
+                grams = regions.narrow(np.concatenate([own.pair, own.triple[own.long], np.full(len(counts), START)]))
+                del own
+                gram, n = np.unique(grams, return_counts=True)
+                word, times = np.unique(token, return_counts=True)
+                del grams, token
+                region, at = regions.split(gram)
+                rows = {int(r): [b"", b"", regions.packed(gram[i:j]), _often(n[i:j])] for r, i, j in zip(region, at, at[1:], strict=False)}
+                region, at = regions.split(word)
+                for r, i, j in zip(region, at, at[1:], strict=False):
+                    rows.setdefault(int(r), [b"", b"", b"", b""])[:2] = word[i:j].tobytes(), times[i:j].astype("u4").tobytes()
+                yield pd.DataFrame([(r, *x) for r, x in rows.items()], columns=["region", "words", "times", "grams", "often"])
+        release_memory()
 
-    def __init__(self, gram: np.ndarray, n: np.ndarray):
-        self.gram, self.n = gram, n
+    def unite(pdf: pd.DataFrame) -> pd.DataFrame:
+        region = int(pdf["region"].iloc[0])
+        word, times = _summed(np.frombuffer(b"".join(pdf["words"]), "u8"), np.frombuffer(b"".join(pdf["times"]), "u4"))
+        n = np.concatenate([_counts(x, len(g) // 6) for x, g in zip(pdf["often"], pdf["grams"], strict=True)])
+        gram, n = _summed(regions.unpacked(b"".join(pdf["grams"]), region), n)
+        out = (region, fill(gram, n, bits_per_entry).tobytes(), word.tobytes(), times.tobytes(), int(times.sum()), len(word))
+        return pd.DataFrame([out], columns=["region", "bits", "words", "counts", "tokens", "kinds"])
 
-    def of(self, gram: np.ndarray) -> np.ndarray:
-        if not len(self.gram):
-            return np.zeros(len(gram), "i8")
-        gram = signed(gram)
-        at = np.minimum(np.searchsorted(self.gram, gram), len(self.gram) - 1)
-        return np.where(self.gram[at] == gram, self.n[at], 0)
+    sent = texts.select("bytes").mapInPandas(run, "region int, words binary, times binary, grams binary, often binary")
+    return cut(sent.groupBy("region").applyInPandas(unite, "region int, bits binary, words binary, counts binary, tokens long, kinds long"), "model")
 
 
-def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame({"grams": [pdf["gram"].to_numpy("i8").tobytes()], "counts": [pdf["n"].to_numpy("i8").tobytes()]})
+def _often(n: np.ndarray) -> bytes:
+    """The counts that are not 1, each after its index."""
+    at = np.flatnonzero(n != 1)
+    return np.stack([at, n[at]], axis=1).astype("u4").tobytes()
 
 
-class LanguageModel:
-    def __init__(self, spark: SparkSession, words: DataFrame, n_tokens: int, n_words: int, regions: DataFrame, bits: int, most_words: int = BROADCAST_WORDS, most_bits: int = MOST_BITS):
-        self.words, self.n_tokens, self.n_words, self.regions, self.bits = words, n_tokens, n_words, regions, bits
-        self.filter = spark.sparkContext.broadcast(read_filter(regions, bits)) if bits <= most_bits else None
-        self.counts = None
-        if n_words <= most_words:
-            rows = words.orderBy("gram").mapInPandas(_packed, "grams binary, counts binary").collect()  # 16 bytes a word
-            gram, n = (np.concatenate([np.zeros(0, "i8"), *(np.frombuffer(r[c], "i8") for r in rows)]) for c in ("grams", "counts"))
-            del rows
-            self.counts = spark.sparkContext.broadcast(WordCounts(gram, n))
-
-
-def train(texts: DataFrame, most_words: int = BROADCAST_WORDS, most_bits: int = MOST_BITS) -> LanguageModel:
-    """The model of all ``bytes`` of ``texts``; none give one that has seen nothing."""
-    grams = cut(count_grams(texts), "grams")
-    one = F.col("size") == 1
-    level = 1 + F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BASE)) + 1e-9)
-    entries, n_tokens, n_words = grams.agg(F.sum(level), F.sum(F.when(one, F.col("n"))), F.count(F.when(one, 1))).first()
-    bits = filter_bits(int(entries or 0))
-    return LanguageModel(texts.sparkSession, grams.where(one).select("gram", "n"), int(n_tokens or 0), n_words, fill_regions(grams, bits), bits, most_words, most_bits)
+def _counts(often: bytes, size: int) -> np.ndarray:
+    out, own = np.ones(size, "i8"), np.frombuffer(often, "u4").reshape(-1, 2)
+    out[own[:, 0]] = own[:, 1]
+    return out
+
 
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their counts."""
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order].astype("i8")
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, "i8")
+    return keys[first], np.add.reduceat(n, first) if len(first) else np.zeros(0, "i8")
 
-def _model_score(token: np.ndarray, counts: np.ndarray, filter_: LogFrequencyFilter | KnownLevels, n_tokens: int, n_words: int) -> np.ndarray:
-    """log10 probability of each text.
 
-    The word's count is rounded down to its level in the word's own frequency, and up to
-    the next level below the pair's, which keeps the frequencies of a history below one.
+def train(texts: DataFrame, most_bytes: int = MOST_BYTES, bits_per_entry: int = BITS_PER_ENTRY) -> LanguageModel:
+    """The model of all ``bytes`` of ``texts``; none give one that has seen nothing."""
+    n_bytes = texts.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    regions = regions_for(int(n_bytes))
+    table = count_regions(texts, regions, bits_per_entry)
+    size, n_tokens, n_words = table.agg(F.sum(F.octet_length("bits") + F.octet_length("words") * 9 / 8), F.sum("tokens"), F.sum("kinds")).first()
+    model = LanguageModel(table, regions, int(n_tokens or 0), int(n_words or 0), int(size or 0))
+    if model.n_bytes <= most_bytes:
+        model.parts = _broadcast(model)
+    return model
+
+
+def _broadcast(model: LanguageModel) -> list:
+    """The table's regions in order, a few megabytes at a time, so that the driver never holds more than those."""
+    context, n = model.table.sparkSession.sparkContext, 1 << model.regions.bits
+    step = max(1, n * PART_BYTES // max(model.n_bytes, 1))
+    out = []
+    for first in range(0, n, step):
+        last = min(n, first + step) - 1
+        rows = model.table.where(F.col("region").between(first, last)).select("region", "bits", "words", "counts").collect()
+        out.append(context.broadcast(part_of(sorted(rows, key=lambda r: r["region"]), first, last)))
+    return out
+
+
+def model_score(token: np.ndarray, counts: np.ndarray, times: np.ndarray, levels, n_tokens: int, n_words: int) -> np.ndarray:
+    """log10 probability of each text; ``times`` are the tokens' own counts, ``levels`` gives the level of any runs.
+
+    A run's count is rounded down and a history's up, which keeps the probabilities after
+    a history from adding up to more than one.
     """
-    kinds, at = np.unique(np.concatenate([token, [START]]), return_inverse=True)
-    level = filter_.levels(kinds)
-    at, start = at[:-1], at[-1]
-    level[start] = 0
-    word = (np.where(level > 0, BASE ** (level - 1.0), 0.0) + 1) / (n_tokens + n_words + 1)
-    before = np.empty_like(at)
-    before[1:] = at[:-1]
-    before[np.cumsum(counts) - counts] = start
-    both, of = np.unique(pairs(token, counts), return_inverse=True)
-    pair_level = filter_.levels(both)[of]
-    history = BASE ** level[before].astype("f8")
-    known = np.where((pair_level > 0) & (level[before] > 0), np.minimum(1.0, BASE ** (pair_level - 1.0) / history), 0.0)
-    p = PAIR_WEIGHT * known + (1 - PAIR_WEIGHT) * word[at]
-    return np.add.reduceat(np.log10(p), np.cumsum(counts) - counts)
-
-
-def _grams_of(token: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """All grams that :func:`_model_score` asks for, sorted."""
-    return np.unique(np.concatenate([token, [START], pairs(token, counts)]))
-
-
-def _with_levels(rows: DataFrame, model: LanguageModel) -> DataFrame:
-    """Packs of ``rows`` (doc_id, held_out, bytes), as arrays, with ``parts``: (region, levels) of the pack's sorted grams.
-
-    A region's bits come before the packs' grams in one sorted partition, so a task has one
-    region in memory; a gram goes out once for each pack and comes back as one byte.
+    own, n = runs(token, counts), len(token)
+    first = np.cumsum(counts) - counts
+    level = levels(np.concatenate([[START], own.pair, own.triple]))
+    start, pair, triple = level[0], level[1 : n + 1], level[n + 1 :]
+    word = np.where(times > 0, levels_of(np.maximum(times, 1)), 0).astype("u1")
+    p = (least_count(word) + 1) / (n_tokens + n_words + 1)
+    history = np.empty_like(word)
+    history[1:] = word[:-1]
+    history[first] = start
+    p = _leaning(p, pair, history)
+    history = np.zeros_like(pair)
+    history[1:] = pair[:-1]
+    history[~own.long] = 0
+    return np.add.reduceat(np.log10(_leaning(p, triple, history)), first)
+
+
+def _leaning(shorter: np.ndarray, level: np.ndarray, history: np.ndarray) -> np.ndarray:
+    seen = np.where(history > 0, np.minimum(least_count(level), most_count(history)), 0)
+    return np.where(history > 0, (seen + STRENGTH * shorter) / (most_count(history) + STRENGTH), shorter)
+
+
+def _asked(token: np.ndarray, counts: np.ndarray, regions: Regions) -> tuple[np.ndarray, np.ndarray]:
+    """All grams that :func:`model_score` asks for and all words, each sorted."""
+    own = runs(token, counts)
+    return np.unique(regions.narrow(np.concatenate([[START], own.pair, own.triple]))), np.unique(token)
+
+
+def _with_answers(rows: DataFrame, model: LanguageModel) -> DataFrame:
+    """Packs of ``rows`` (doc_id, held_out, bytes), as arrays, with ``parts``: (region, levels, counts) of the pack's sorted grams and words.
+
+    A region's row of the model comes before the packs' in one sorted partition, so a task
+    has one region in memory; a gram goes out once for each pack and comes back as one byte.
     """
-    bits, share = model.bits, model.bits // REGIONS // 8
+    regions = model.regions
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -262,27 +392,30 @@ def _with_levels(rows: DataFrame, model: LanguageModel) -> DataFrame:
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for pack, texts in zip(pdf["pack"], pdf["bytes"], strict=True):
-                grams = _grams_of(*tokens(list(texts)))
-                region, starts = np.unique(_region(grams), return_index=True)
-                yield pd.DataFrame({"region": region.astype("i4"), "pack": pack, "data": [x.tobytes() for x in np.split(grams, starts[1:])]})
+                sent: dict[int, list[bytes]] = {}
+                for k, x in enumerate(_asked(*tokens(list(texts)), regions)):
+                    for r, i, j in zip(*(lambda region, at: (region, at[:-1], at[1:]))(*regions.split(x)), strict=True):
+                        sent.setdefault(int(r), [b"", b""])[k] = x[i:j].tobytes() if k else regions.packed(x[i:j])
+                yield pd.DataFrame([(r, pack, *x, b"") for r, x in sent.items()], columns=["region", "pack", "grams", "words", "counts"])
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, own = -1, None
         for pdf in batches:
             out = []
-            for region, pack, data in pdf.itertuples(index=False):
-                if pack == "":
-                    at, own = region, LogFrequencyFilter(np.frombuffer(data, "u1"), bits, region * 8 * share)
-                else:
-                    grams = np.frombuffer(data, "u8")
-                    level = own.levels(grams) if region == at else np.zeros(len(grams), "i8")
-                    out.append((pack, region, level.astype("u1").tobytes()))
-            yield pd.DataFrame(out, columns=["pack", "region", "levels"])
-
-    asked = packs.select("pack", "bytes").mapInPandas(ask, "region int, pack string, data binary")
-    met = model.regions.select("region", F.lit("").alias("pack"), F.col("bits").alias("data")).unionByName(asked)
-    answered = met.repartition("region").sortWithinPartitions("region", "pack").mapInPandas(answer, "pack string, region int, levels binary")
-    parts = answered.groupBy("pack").agg(F.collect_list(F.struct("region", "levels")).alias("parts"))
+            for x in pdf.itertuples(index=False):
+                if x.pack == "":
+                    at, own = x.region, part_of([{"region": x.region, "bits": x.grams, "words": x.words, "counts": x.counts}], x.region, x.region)
+                    continue
+                grams, word = regions.unpacked(x.grams, x.region), np.frombuffer(x.words, "u8")
+                level = own.levels(grams, regions) if x.region == at else np.zeros(len(grams), "u1")
+                count = own.counts(word) if x.region == at else np.zeros(len(word), "i8")
+                out.append((x.pack, x.region, level.tobytes(), count.astype("i8").tobytes()))
+            yield pd.DataFrame(out, columns=["pack", "region", "levels", "counts"])
+
+    asked = packs.select("pack", "bytes").mapInPandas(ask, "region int, pack string, grams binary, words binary, counts binary")
+    met = model.table.select("region", F.lit("").alias("pack"), F.col("bits").alias("grams"), "words", "counts").unionByName(asked)
+    answered = met.repartition("region").sortWithinPartitions("region", "pack").mapInPandas(answer, "pack string, region int, levels binary, counts binary")
+    parts = answered.groupBy("pack").agg(F.collect_list(F.struct("region", "levels", "counts")).alias("parts"))
     return packs.join(parts.hint("merge"), "pack")
 
 
@@ -290,56 +423,54 @@ def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """n_tokens, n_known, train_tokens, base_score and score of each row of ``docs`` (doc_id, held_out, text).
 
     Null and empty texts have one token, their end.  Rows are independent, so repeated
-    ones and null ids are scored alike; an empty table gives an empty result.  Exact word
-    counts are broadcast while they are few, else joined (:data:`BROADCAST_WORDS`), and so
-    is the filter (:data:`MOST_BITS`).
+    ones and null ids are scored alike; extra columns are ignored; an empty table gives an
+    empty result.  The model is broadcast while it is small, else asked region by region.
     """
-    filter_, exact, n, v = model.filter, model.counts, model.n_tokens, model.n_words
+    n, v, regions = model.n_tokens, model.n_words, model.regions
     rows = docs.select("doc_id", "held_out", bytes_of(F.col("text")).alias("bytes"))
 
-    def scored(out: pd.DataFrame, token: np.ndarray, counts: np.ndarray, own: LogFrequencyFilter | KnownLevels) -> pd.DataFrame:
-        out = out.assign(n_tokens=counts, train_tokens=n, score=_model_score(token, counts, own, n, v))
-        starts = np.cumsum(counts) - counts
-        if exact is None:
-            some = [np.unique(token[i:j], return_counts=True) for i, j in zip(starts, starts + counts, strict=True)]
-            return out.assign(grams=[signed(x) for x, _ in some], times=[x for _, x in some])
-        c = exact.value.of(token)
-        return out.assign(n_known=np.add.reduceat((c > 0).astype("i8"), starts), base_score=np.add.reduceat(np.log10((c + 1) / (n + v + 1)), starts))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            data = pdf["bytes"].tolist()
-            for a, b in blocks(data):
-                yield scored(pdf.iloc[a:b].drop(columns="bytes"), *tokens(data[a:b]), filter_.value)
+    def scored(out: pd.DataFrame, token: np.ndarray, counts: np.ndarray, own: WholeModel | Answers) -> pd.DataFrame:
+        starts, c = np.cumsum(counts) - counts, own.counts(token)
+        return out.assign(
+            n_tokens=counts,
+            n_known=np.add.reduceat((c > 0).astype("i8"), starts),
+            train_tokens=n,
+            base_score=np.add.reduceat(np.log10((c + 1) / (n + v + 1)), starts),
+            score=model_score(token, counts, c, own.levels, n, v),
+        )
+
+    schema = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    if model.parts is not None:
+        shared = LanguageModel(None, regions, n, v, model.n_bytes, model.parts)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            release_memory()
+            own = shared.at_hand()
+            for pdf in batches:
+                data = pdf["bytes"].tolist()
+                for a, b in blocks(data, SCORE_BLOCK):
+                    yield scored(pdf.iloc[a:b].drop(columns="bytes"), *tokens(data[a:b]), own)
+            release_memory()
+
+        return map_rows(rows, run, schema)
 
     def run_packs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for x in pdf.itertuples():
                 token, counts = tokens(list(x.bytes))
-                level = np.concatenate([np.frombuffer(p["levels"], "u1") for p in sorted(x.parts, key=lambda p: p["region"])]).astype("i8")
+                parts = sorted(x.parts, key=lambda p: p["region"])
+                level, count = (np.frombuffer(b"".join(p[c] for p in parts), t) for c, t in (("levels", "u1"), ("counts", "i8")))
+                grams, word = _asked(token, counts, regions)
                 out = pd.DataFrame({"doc_id": list(x.doc_id), "held_out": list(x.held_out)})
-                yield scored(out, token, counts, KnownLevels(_grams_of(token, counts), level))
-
-    def mapped(columns: str) -> DataFrame:
-        schema = f"held_out boolean, n_tokens long, train_tokens long, score double, {columns}"
-        if filter_ is not None:
-            return map_rows(rows, run, schema)
-        out = _with_levels(rows, model).mapInPandas(run_packs, f"doc_id string, {schema}")
-        return out.withColumn("doc_id", F.col("doc_id").cast("long"))
-
-    if exact is not None:
-        return mapped("n_known long, base_score double")
-    listed = mapped("grams array<long>, times array<long>")
-    listed = cut(listed.withColumn("row", F.expr("uuid()")), "listed")
-    each = listed.select("row", F.explode(F.arrays_zip("grams", "times")).alias("x")).select("row", F.col("x.grams").alias("gram"), F.col("x.times").alias("times"))
-    counted = each.join(model.words.hint("merge"), "gram", "left").groupBy("row").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(n + v + 1)))).alias("base_score"),
-    )
-    return listed.drop("grams", "times").join(counted.hint("merge"), "row").drop("row")
+                yield scored(out, token, counts, Answers(grams, level, word, count, regions))
+        release_memory()
+
+    out = _with_answers(rows, model).mapInPandas(run_packs, f"doc_id string, {schema}")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark, 500)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"))
     model = train(docs.where(~F.col("held_out")).select(bytes_of(F.col("text")).alias("bytes")))
     return score(docs, model).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
