@@ -109,8 +109,10 @@ def fit(features: list[np.ndarray], grades: np.ndarray, importance: np.ndarray,
     owner = np.repeat(np.arange(len(features)), [len(x) for x in features])
     often = np.bincount(columns, minlength=1 << BITS) >= MIN_DOCUMENTS
     keep = often[columns]
-    names, columns = np.unique(columns[keep], return_inverse=True)
-    owner = owner[keep]
+    names = np.flatnonzero(often)
+    place = np.cumsum(often) - 1  # of a weight among those that are kept
+    columns, owner = place[columns[keep]], owner[keep]
+    del place, keep, often
     importance = importance / importance.sum()
     w, n, k = np.zeros(len(names)), len(features), np.arange(n_grades - 1)
     m1, m2, t1, t2 = np.zeros_like(w), np.zeros_like(w), np.zeros_like(thresholds), np.zeros_like(thresholds)
@@ -159,7 +161,13 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, per_grade: int
     sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id").select("grade", "text").mapInPandas(run, "grade int, f binary").toPandas()
     grades = sample["grade"].to_numpy("int64")
     importance = np.array([1 / share[g] for g in grades]) ** 0.5  # half way to equal shares
-    return fit([np.frombuffer(x, "int32") for x in sample["f"]], grades, importance, n_grades)
+    features = [np.frombuffer(x, "int32") for x in sample["f"]]
+    del sample
+    release_memory()
+    model = fit(features, grades, importance, n_grades)
+    del features
+    release_memory()
+    return model
 
 
 def grade(docs: DataFrame, model: OrdinalModel, select_grade: int = SELECT_GRADE, probability: float = SELECT_PROBABILITY) -> DataFrame:
