@@ -19,12 +19,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, crc_mod, map_rows
+from .common import bytes_of, crc_mod, release_memory, small_batches
 
 #: Bytes of context.
 ORDER = 3
 #: Expected bytes of training text for each language; bounds the model, whatever the corpus.
 TRAIN_BYTES = 2_000_000
+#: Bytes of a piece of text that is drawn for training, so that few long texts don't decide alone.
+PIECE = 4096
 #: Bytes scored at once; bounds memory alone.
 BLOCK = 1_000_000
 _PAD = b"\n" * ORDER
@@ -166,14 +168,16 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def train(labelled: DataFrame, train_bytes: int = TRAIN_BYTES) -> PpmModel:
-    """Trees from a sample by doc_id's hash of about ``train_bytes`` for each value of ``lang`` in (doc_id, text, lang)."""
+    """Trees from about ``train_bytes`` for each value of ``lang`` in (doc_id, text, lang), drawn as pieces of texts by the hash of doc_id and piece."""
     rows = labelled.where(F.col("lang").isNotNull()).select("doc_id", "lang", bytes_of(F.col("text")).alias("bytes"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("bytes")).alias("n")).collect()}
     share = F.lit(0.0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, min(1.0, train_bytes / max(n, 1))).otherwise(share)
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    counts = drawn.select("lang", "bytes").mapInPandas(_count, "lang string, order int, gram long, n long")
+    pieces = F.sequence(F.lit(0), F.floor((F.octet_length("bytes") - 1) / PIECE).cast("int"))
+    chosen = F.filter(pieces, lambda k: F.pmod(F.xxhash64("doc_id", k), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    drawn = rows.where(F.octet_length("bytes") > 0).withColumn("share", share).select("lang", "bytes", F.explode(chosen).alias("k"))
+    counts = drawn.select("lang", F.substring("bytes", F.col("k") * PIECE + 1, F.lit(PIECE)).alias("bytes")).mapInPandas(_count, "lang string, order int, gram long, n long")
     summed = counts.groupBy("lang", "order", "gram").agg(F.sum("n").alias("n")).toPandas()
     return PpmModel(summed, sorted(summed["lang"].unique()))
 
@@ -183,33 +187,37 @@ def has_letters(text: Column) -> Column:
 
 
 def predict(docs: DataFrame, model: PpmModel) -> DataFrame:
-    """``docs`` (doc_id, text and any others) with ``lang_pred`` and ``score`` in place of text.
+    """``docs`` (text and any others) with ``lang_pred`` and ``score`` in place of text; columns named like those are replaced.
 
     score is the posterior of the language under equal priors.  Null, empty and letterless
     texts are ``und`` with score 0, as are all if nothing was learned; ties go to the first
-    language by name; repeated rows are predicted alike.
+    language by name; repeated rows are predicted alike, ids may be null; an empty table
+    gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [c for c in docs.columns if c != "text"]
+    kept = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double")
+    def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = shared.value
-        for pdf in batches:
-            lettered = pdf["lettered"].to_numpy(bool)
-            pred, score = np.full(len(pdf), "und", object), np.zeros(len(pdf))
-            at = np.flatnonzero(lettered)
+        for texts in batches:
+            pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+            at = np.flatnonzero(texts.notna())
             if own.langs and len(at):
-                bits = own.code_lengths([x.encode() for x in pdf["text"].iloc[at]])
-                best = bits.argmin(axis=1)
-                pred[at] = np.array(own.langs, object)[best]
+                bits = own.code_lengths([x.encode() for x in texts.iloc[at]])
+                pred[at] = np.array(own.langs, object)[bits.argmin(axis=1)]
                 score[at] = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
-            yield pdf[kept].assign(lang_pred=pred, score=score)
+            yield pd.DataFrame({"lang_pred": pred, "score": score})
+        release_memory()
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in ("doc_id", "text")), "lang_pred string, score double"])
-    return map_rows(docs.select(*docs.columns, has_letters(F.col("text")).alias("lettered")), run, schema)
+    text = F.when(has_letters(docs["text"]), docs["text"])
+    row = docs.select(F.struct(F.lit(1).alias("_"), *(docs[c] for c in kept)).alias("row"), text.alias("text"))
+    out = row.select("row", predicted("text").alias("p"))
+    return out.select(*(F.col("row")[c].alias(c) for c in kept), "p.lang_pred", "p.score")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"))
     model = train(docs.where(~F.col("held_out")))
     return predict(docs.select("doc_id", "held_out", "text"), model)

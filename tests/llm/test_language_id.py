@@ -70,6 +70,20 @@ def test_held_out_accuracy_and_odd_rows(spark):
     assert all(0 <= r[2] <= 1 for r in out)
 
 
+def test_columns_named_like_the_result_are_replaced(spark):
+    docs = spark.createDataFrame(corpus(), SCHEMA)
+    named = docs.select("doc_id", "text", F.lit("old").alias("lang_pred"), "score", F.lit(1).alias("lettered"), F.lit(2).alias("row"))
+    out = predict(named, train(docs))
+    assert out.columns == ["doc_id", "lettered", "row", "lang_pred", "score"]
+    assert {r["lang_pred"] for r in out.collect()} == set(WORDS)
+
+
+def test_a_language_of_few_long_texts_is_learned(spark):
+    rows = [(i, "der und haus mit " * 20_000, "de", "") for i in range(2)] + [(10 + i, "the and house with", "en", "") for i in range(20)]
+    model = train(spark.createDataFrame(rows, SCHEMA), train_bytes=40_000)
+    assert model.langs == ["de", "en"]
+
+
 def test_nothing_to_learn(spark):
     none = spark.createDataFrame([], SCHEMA)
     model = train(none)
