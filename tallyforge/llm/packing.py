@@ -19,10 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows
-from .tokens import CachedEncoder, merge_ranks, slices, tokenizer
+from .common import cut, map_rows, release_memory, small_batches
+from .tokens import CachedEncoder, merge_ranks, slices
 
 CAPACITY = 2048
+#: Rows of a task's and length's first rank that are broadcast.
+MOST_FIRSTS = 200_000
 
 
 @dataclass(frozen=True)
@@ -129,10 +131,20 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pdf.drop(columns=["task", "rank", "first"]).assign(sequence_id=sequence, offset=offset)
 
     kept = [f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema if f.name not in ("doc_id", "task", "rank")]
-    joined = pieces.join(firsts.select("length", "task", "first"), ["length", "task"]).select(*pieces.columns, "first")
+    joined = place_in_length(pieces, firsts).select(*pieces.columns, "first")
     return map_rows(joined, place, ", ".join([*kept, "sequence_id long", "offset long"]))
 
 
+def place_in_length(pieces: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``pieces`` with ``first``: how many pieces of their length the tasks before theirs made.
+
+    ``firsts`` has a row for each task and length, 16 bytes each: at most MOST_FIRSTS of them
+    are sent to every task, more are joined, a task's pieces of a length with one row.
+    """
+    first = firsts.select("length", "task", "first")
+    return pieces.join(F.broadcast(first) if first.count() <= MOST_FIRSTS else first.hint("merge"), ["length", "task"])
+
+
 def _word_ids(path: str):
     """Ids of a word under the lower-casing word tokenizer; None for words that its library must see."""
     import re
@@ -171,6 +183,8 @@ def cut_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
                         rows.append((doc_id, piece, start // 4, n, zlib.crc32(part), task, ranks[n]))
                         ranks[n] += 1
                 yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
+        del own
+        release_memory()
 
     schema = "piece int, start long, length long, ids_crc32 long, task int, rank long"
     return map_rows(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), run, schema)
@@ -187,6 +201,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -60,3 +60,18 @@ def test_every_piece_is_used_once():
 
 def test_empty_table(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_places_joined_instead_of_broadcast(spark, monkeypatch):
+    import tallyforge.llm.packing as module
+
+    monkeypatch.setattr(module, "MOST_FIRSTS", 0)
+    docs = spark.createDataFrame([(i, "word " * (i % 50)) for i in range(300)], "doc_id long, text string").repartition(5)
+    got = pack_documents(docs, PATH, capacity=64).collect()
+    used = {}
+    for r in got:
+        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert len(got) == 300
+    for own in used.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and sum(n for _, n in own) <= 64
