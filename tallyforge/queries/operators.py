@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from .. import vocabulary as V
 from ..catalog import NOTES_SQL, Catalog
 from ..functions import cleanse as C
-from ..functions import predicates as P
 from ..functions import rules as R
 from ..operators import aggregates as A
 from ..operators import ranking as K
