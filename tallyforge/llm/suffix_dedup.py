@@ -38,6 +38,8 @@ ANCHOR = 64
 GROUP = 400
 #: Bytes of a shard, about.
 SHARD_BYTES = 256_000
+#: Shards of one task, about; sorting suffixes takes seconds a megabyte, so tasks are sized by that, not by bytes.
+TASK_SHARDS = 8
 #: Bytes of text that are searched for anchors at once; bounds memory alone.
 BLOCK = 500_000
 #: Repeated anchors that are broadcast.
@@ -169,8 +171,9 @@ def _indexed(parts: DataFrame, length: int) -> DataFrame:
                 rows += [(x.k1, x.k2, x.lo + a, x.lo + b) for a, b in _ranges(marked)]
         return pd.DataFrame(rows, columns=["k1", "k2", "lo", "hi"])
 
-    shard = F.pmod(F.xxhash64("part"), F.lit(max(1, size // SHARD_BYTES)))
-    return parts.withColumn("shard", shard).groupBy("shard").applyInPandas(mark, _SPAN)
+    shards = max(1, size // SHARD_BYTES)
+    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("part"), F.lit(shards))).repartition(max(1, shards // TASK_SHARDS), "shard")
+    return dealt.groupBy("shard").applyInPandas(mark, _SPAN)
 
 
 def text_counts(docs: DataFrame) -> DataFrame:
