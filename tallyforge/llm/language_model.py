@@ -46,7 +46,7 @@ MOST_BYTES = 192_000_000
 #: About the bytes of one broadcast.
 PART_BYTES = 8_000_000
 #: Bytes of texts whose grams are counted, scored, or looked up together; bound memory alone.
-COUNT_BLOCK, SCORE_BLOCK, PACK_BYTES = 3_000_000, 400_000, 2_000_000
+COUNT_BLOCK, SCORE_BLOCK, PACK_BYTES = 3_000_000, 250_000, 2_000_000
 #: Counts of words from here on are kept apart; smaller ones take a byte.
 LARGE = 255
 #: No count of 64 bits has a higher level.
@@ -336,6 +336,8 @@ def _broadcast(model: LanguageModel) -> list:
         last = min(n, first + step) - 1
         rows = model.table.where(F.col("region").between(first, last)).select("region", "bits", "words", "counts").collect()
         out.append(context.broadcast(part_of(sorted(rows, key=lambda r: r["region"]), first, last)))
+        del rows
+    release_memory()
     return out
 
 
@@ -470,7 +472,7 @@ def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark, 500)
+    small_batches(spark, 250)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"))
     model = train(docs.where(~F.col("held_out")).select(bytes_of(F.col("text")).alias("bytes")))
     return score(docs, model).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
