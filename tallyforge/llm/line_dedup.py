@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import MOST_HOT, cut
 
 RATIO = 0.1
 #: Pages that a line of a small host must exceed, unless it stands on more than half; and the least in any case.
@@ -64,13 +64,13 @@ def line_dedup(docs: DataFrame, ratio: float = RATIO, floor: int = FLOOR, least_
     """
     pages = docs.select(F.col("source").alias("host"), "text")
     found = cut(boilerplate(pages, ratio, floor, least_pages), "boilerplate").select(F.col("host").alias("b_host"), "total", "drop")
-    digests = found.agg(F.sum(F.size("drop"))).first()[0] or 0
+    digests, listed = (x or 0 for x in found.agg(F.sum(F.size("drop")), F.sum("total")).first())
     own = docs.select("doc_id", "text", "lang", "source", "n_chars")
     same = F.col("source").eqNullSafe(F.col("b_host"))
     if digests <= most_broadcast:
         joined = own.join(F.broadcast(found), same, "left")
-    else:  # a large host's pages go to several tasks, each with a copy of its list
-        parts = F.greatest(F.lit(1), F.ceil(F.col("total") / PAGES_A_TASK)).cast("int")
+    else:  # a large host's pages go to several tasks, each with a copy of its list; at most MOST_HOT hosts are large
+        parts = F.greatest(F.lit(1), F.ceil(F.col("total") / max(PAGES_A_TASK, listed // MOST_HOT))).cast("int")
         hot = found.where(parts > 1).select("b_host", parts.alias("parts"))
         salt = F.coalesce(F.pmod(F.xxhash64("doc_id", F.length("text")), F.col("parts")), F.lit(0)).alias("salt")
         salted = own.join(F.broadcast(hot), same, "left").select(*own.columns, salt)
