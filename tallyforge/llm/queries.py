@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, language_id, language_model, line_dedup, near_dedup, packing, quality, suffix_dedup, vector_search
+from . import byte_bpe, conversations, exact_dedup, language_id, language_model, line_dedup, near_dedup, packing, quality, suffix_dedup, vector_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,7 @@ def queries() -> dict[str, Query]:
         "op8_byte_bpe": byte_bpe.op8_byte_bpe,
         "op9_ngram_join": near_dedup.op9_ngram_join,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "op11_conversation_repair": conversations.op11_conversation_repair,
     }
 
 
