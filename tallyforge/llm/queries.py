@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, conversations, exact_dedup, language_id, language_model, line_dedup, near_dedup, packing, quality, resampling, suffix_dedup, vector_search
+from . import byte_bpe, conversations, exact_dedup, language_id, language_model, line_dedup, near_dedup, packing, passage_graph, quality, resampling, suffix_dedup, vector_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op9_ngram_join": near_dedup.op9_ngram_join,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
         "op11_conversation_repair": conversations.op11_conversation_repair,
+        "op12_passage_graph": passage_graph.op12_passage_graph,
         "op13_importance_resampling": resampling.op13_importance_resampling,
     }
 
@@ -32,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_line_dedup": line_dedup.ORACLE,
         "op10_exact_dedup": exact_dedup.ORACLE,
+        "op12_passage_graph": passage_graph.ORACLE,
     }
