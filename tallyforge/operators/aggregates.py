@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialised
+
 
 def ratio(x: Column, n: Column) -> Column:
     """x / n as a double; null where n is null or 0."""
@@ -62,43 +64,52 @@ def distribution(df: DataFrame, columns: Sequence[str], cap: int | None = None)
     """How often each value of each column occurs: column, value, n and its rank by count (ties by value); ``cap`` values of each.
 
     One pass over the table whatever the number of columns; nulls count as "".  With a
-    ``cap`` Spark keeps so many of a column in each task; without one ranks are added up by
-    buckets of counts, so that a column of very many values is not sorted in one task.
+    ``cap`` Spark keeps so many of a column in each task; without one ranks come from
+    :func:`ordinals`, so that a column of very many values is not sorted in one task.
     """
     pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("value")) for c in columns))).alias("p")
     counts = df.select(pairs).groupBy("p.column", "p.value").agg(F.count(F.lit(1)).alias("n"))
     if cap is not None:
         ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value")))
         return ranked.where(F.col("rank") <= cap)
-    # values of one count are dealt to buckets by how they begin, which keeps their order
-    placed = counts.withColumn("first", F.left("value", F.lit(2)))
-    sums = placed.groupBy(F.col("column").alias("c"), F.col("n").alias("m"), F.col("first").alias("f")).agg(F.count(F.lit(1)).alias("own"))
-    above = sums.select("c", "m", "f", (F.sum("own").over(Window.partitionBy("c").orderBy(F.desc("m"), "f").rowsBetween(Window.unboundedPreceding, 0)) - F.col("own")).alias("above"))
-    within = F.row_number().over(Window.partitionBy("column", "n", "first").orderBy("value"))
-    joined = placed.withColumn("within", within).join(above, (F.col("column") == F.col("c")) & (F.col("n") == F.col("m")) & (F.col("first") == F.col("f")))
-    return joined.select("column", "value", "n", (F.col("within") + F.col("above")).cast("int").alias("rank"))
+    placed = ordinals(counts, ["column"], [F.desc("n"), F.asc("value")])
+    return placed.select("column", "value", "n", (F.col("before") + 1).cast("int").alias("rank"))
+
+
+def ordinals(df: DataFrame, by: Sequence[str], order: Sequence[Column], weight: str | None = None) -> DataFrame:
+    """``df`` with how many rows (or how much ``weight``) come ``before`` each in its group's order, and the group's ``total``.
+
+    The rows are sorted by ranges of group and order, whose splitters Spark draws from a
+    sample, so that values however close or alike are dealt out evenly.  Each range is
+    numbered in its own task, and starts where the ranges of its group before it end, one
+    sum a group and range.  Rows that ``order`` doesn't tell apart are numbered in any order
+    and meet in one range: count them first where they may be many.  The sorted rows are
+    written to the shared folder, so that both readings of them see the same ranges.
+    """
+    one = F.lit(1) if weight is None else F.col(weight)
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = df.repartitionByRange(parts, *(F.asc(c) for c in by), *order).withColumn("_range", F.spark_partition_id())
+    held = materialised(ranged)
+    sums = held.groupBy(*by, "_range").agg(F.sum(one).alias("_own"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    ahead = F.sum("_own").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_range").alias("_of"), F.coalesce(ahead, F.lit(0)).alias("_ahead"), F.sum("_own").over(group).alias("total"))
+    same = F.col("_range") == F.col("_of")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    within = F.sum(one).over(Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    numbered = held.withColumn("_within", F.coalesce(within, F.lit(0))).join(sums, same)
+    return numbered.select(*df.columns, (F.col("_within") + F.col("_ahead")).alias("before"), "total")
 
 
 def value_ranks(df: DataFrame, value: str, extra: Sequence[Column] = (), by: Sequence[str] = ()) -> DataFrame:
     """One row for each value of each group, from the largest: n, how many rows come ``before`` it, and the ``total``.
 
-    Rows are first counted by value in every task.  Only those counts are then numbered, by
-    buckets of magnitude (64 for each factor of e, either side of 0): each adds up the few
-    buckets above it, so no task sees all values of a group.
+    Rows are counted by value in every task before those counts are put in order by ranges
+    (:func:`ordinals`), so no task sees all values of a group, nor all rows of a value.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"), *extra)
-    v = F.col(value).cast("double")
-    placed = counts.withColumn("bucket", F.signum(v) * F.floor(F.log(F.abs(v) + 1) * 64))
-    sums = placed.groupBy(*(F.col(c).alias(f"_{c}") for c in by), F.col("bucket").alias("b")).agg(F.sum("n").alias("own"))
-    group = [f"_{c}" for c in by]
-    every = Window.partitionBy(*group).orderBy(F.desc("b")) if by else Window.orderBy(F.desc("b"))
-    above = sums.select(*group, "b", (F.sum("own").over(every) - F.col("own")).alias("above"), F.sum("own").over(Window.partitionBy(*group)).alias("total"))
-    within = Window.partitionBy(*by, "bucket").orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
-    same = F.col("bucket") == F.col("b")
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    joined = placed.withColumn("within", F.coalesce(F.sum("n").over(within), F.lit(0))).join(above, same)
-    return joined.withColumn("before", F.col("within") + F.col("above")).drop("bucket", "b", "within", "above", *group)
+    return ordinals(counts, by, [F.desc(value)], "n")
 
 
 def ntile_end(total: Column, tiles: int, tile: int) -> Column:
