@@ -1,11 +1,14 @@
 """Approximate nearest neighbours by largest inner product over robust-pruned graphs.
 
-Vectors are dealt to shards of bounded size.  In each shard a directed graph is grown in
-batches: a greedy search of the graph so far proposes neighbours for a point, and of them,
-nearest first, those stay that no kept one is much nearer to (relaxed pruning).  One task
-reads a shard's graph once and lets all queries stream past it in blocks, each by beam
-search, and the best of all shards are ranked by exact scores.  One more coordinate makes all vectors equally long, so that the nearest are
-those of the largest inner product.
+Vectors are dealt to bands of length, each at most twice as long as another of its band, and
+the bands to shards of bounded size.  In each shard a directed graph is grown in batches: a
+greedy search of the graph so far proposes neighbours for a point, and of them, nearest
+first, those stay that no kept one is much nearer to (relaxed pruning).  One task reads a
+shard's graph once and lets all queries stream past it in blocks, each by beam search, and
+the best of all shards are ranked by exact scores.  Within a band one more coordinate makes
+all vectors equally long, so that the nearest are those of the largest inner product; as
+lengths differ so little there, it leaves the distances their precision.  Bands of few
+vectors share shards that are compared whole, as is a shard for a query that finds too few.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from .common import cut, release_memory
 TOP = 20
 QUERY_STEP = 20
 SHARD_ROWS = 16384
+#: Points of a band that make a graph worth while; smaller bands share shards that are compared whole.
+GRAPH_ROWS = 1024
 #: Queries that search a shard's graph at once; bounds memory alone.
 QUERY_ROWS = 512
 DEGREE = 32
@@ -139,9 +144,17 @@ def build_graph(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM
     return graph, entry
 
 
-def _augmented(vectors: np.ndarray, longest: float) -> np.ndarray:
-    rest = np.sqrt(np.maximum(longest**2 - (vectors.astype("f8") ** 2).sum(axis=1), 0))
-    return np.concatenate([vectors, rest[:, None].astype("f4")], axis=1)
+def _augmented(vectors: np.ndarray, band: int) -> np.ndarray:
+    """Vectors of a band, scaled to less than 1, and one more coordinate that brings their length to 1."""
+    scaled = np.ldexp(vectors, -(band + 1))
+    rest = np.sqrt(np.maximum(1 - (scaled**2).sum(axis=1), 0))
+    return np.concatenate([scaled, rest[:, None]], axis=1).astype("f4")
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length 1, whatever their size."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.sqrt((scaled**2).sum(axis=1, keepdims=True))
 
 
 def _vectors(column: pd.Series) -> np.ndarray:
@@ -149,72 +162,110 @@ def _vectors(column: pd.Series) -> np.ndarray:
 
 
 class ShardGraph:
-    """A shard's graph from its rows (at, vector, rows, entry, near), and its points' exact vectors."""
+    """A shard's graph from its rows (at, vector, rows, band, entry, near), and its points' exact vectors; without a graph it is compared whole."""
 
-    def __init__(self, graph: pd.DataFrame, longest: float):
+    def __init__(self, graph: pd.DataFrame):
         graph = graph.sort_values("at")
         self.exact = _vectors(graph["vector"])
-        self.points = _augmented(self.exact.astype("f4"), longest)
-        self.near = np.frombuffer(b"".join(graph["near"]), "i4").reshape(len(graph), -1)
-        self.entry, self.rows = int(graph["entry"].to_numpy(bool).argmax()), graph["rows"].tolist()
+        self.rows = graph["rows"].tolist()
+        self.near = None
+        if len(graph["near"].iloc[0]):
+            self.points = _augmented(self.exact, int(graph["band"].iloc[0]))
+            self.near = np.frombuffer(b"".join(graph["near"]), "i4").reshape(len(graph), -1)
+            self.entry = int(graph["entry"].to_numpy(bool).argmax())
 
     def answers(self, queries: pd.DataFrame, top: int) -> pd.DataFrame:
         """query, query_id, vec_id and score of the ``top`` found for each of (query, query_id, vector), by exact scores."""
         asking = _vectors(queries["vector"])
-        ends = np.concatenate([asking.astype("f4"), np.zeros((len(asking), 1), "f4")], axis=1)
-        found, _ = beam_search(self.points, self.near, self.entry, ends, BEAM)
-        out = []
+        if self.near is not None:
+            ends = np.concatenate([_unit(asking), np.zeros((len(asking), 1))], axis=1).astype("f4")
+            found, _ = beam_search(self.points, self.near, self.entry, ends, BEAM)
+        out, every = [], np.arange(len(self.rows))
         for i, (query, query_id) in enumerate(zip(queries["query"], queries["query_id"], strict=True)):
-            at = found[i][found[i] >= 0]
-            scores = self.exact[at] @ asking[i]
+            at = every if self.near is None else found[i][found[i] >= 0]
+            if len(at) <= top:  # a part of the graph that can't be left
+                at = every
+            with np.errstate(over="ignore", invalid="ignore"):
+                scores = self.exact[at] @ asking[i]
+            scores[np.isnan(scores)] = -np.inf  # infinities of both signs
+            if len(at) > BEAM:
+                least = np.argpartition(-scores, top)[: top + 1]  # a point may be the query's own row alone
+                keep = scores >= scores[least].min()
+                at, scores = at[keep], scores[keep]
             ranked = sorted((-s, r["vec_id"]) for s, k in zip(scores.tolist(), at, strict=True) for r in self.rows[k] if r["row"] != query)
             out += [(query, query_id, v, -s) for s, v in ranked[:top]]
         return pd.DataFrame(out, columns=["query", "query_id", "vec_id", "score"])
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """row, vec_id, vector (doubles as bytes) and length of the rows that take part.
+    """row, vec_id, vector (doubles as bytes) and band (whole part of the binary logarithm of its length) of the rows that take part.
 
     Those have an id and a vector that is not null, empty or zero, without null or
     non-finite components, of the most frequent dimension (of equals the smallest).
     """
 
-    @F.pandas_udf("vector binary, length double")
+    def band(x: np.ndarray) -> int:
+        most = np.abs(x).max()
+        fraction, exponent = np.frexp(most)  # no square of a component can overflow or vanish
+        return int(exponent + np.floor(np.log2(fraction) + np.log2(((x / most) ** 2).sum()) / 2))
+
+    @F.pandas_udf("vector binary, band int")
     def packed(column: pd.Series) -> pd.DataFrame:
-        out = [(x.tobytes(), float(np.sqrt((x * x).sum()))) for x in (np.asarray(v, "f8") for v in column)]
-        return pd.DataFrame(out, columns=["vector", "length"])
+        return pd.DataFrame([(x.tobytes(), band(x)) for x in (np.asarray(v, "f8") for v in column)], columns=["vector", "band"])
 
     x = F.col("embedding")
     good = F.col("vec_id").isNotNull() & (F.size(x) > 0) & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where(good)
-    kept = cut(rows.select("vec_id", F.size(x).alias("dimension"), packed(x).alias("p")).select(F.expr("uuid()").alias("row"), "vec_id", "dimension", "p.vector", "p.length"), "vectors")
+    kept = cut(rows.select("vec_id", F.size(x).alias("dimension"), packed(x).alias("p")).select(F.expr("uuid()").alias("row"), "vec_id", "dimension", "p.vector", "p.band"), "vectors")
     common = kept.groupBy("dimension").count().orderBy(F.desc("count"), "dimension").first()
     return kept.where(F.col("dimension") == (common["dimension"] if common else 0))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def bands_to_shards(counts: dict[int, int], shard_rows: int, graph_rows: int) -> dict[int, tuple[int, int, bool]]:
+    """First shard, how many, and whether they have graphs, of each band (by its points; there are at most 2,100 bands)."""
+    out, next_, room = {}, 0, 0
+    for band, n in sorted(counts.items()):
+        if n >= graph_rows:
+            out[band] = next_, -(-n // shard_rows), True
+            next_ += out[band][1]
+    shared = next_ - 1
+    for band, n in sorted(counts.items()):
+        if n < graph_rows:
+            if n > room:
+                shared, room = shared + 1, max(graph_rows, shard_rows // 4)
+            room -= n
+            out[band] = shared, 1, False
+    return out
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, shard_rows: int = SHARD_ROWS, graph_rows: int = GRAPH_ROWS) -> DataFrame:
     """query_id, rank, vec_id and score of the ``top`` nearest rows of ``vectors`` found for each of ``queries``.
 
     Both as from :func:`usable`.  A query's own row is no candidate, others of its id are.
     Equal scores go by the smaller vec_id; rows of equal vectors are one point of the graph
-    that keeps the ``top`` + 1 least ids, more of which can't be in any answer.  No rows
-    give no result.
+    that keeps the ``top`` + 1 least ids, more of which can't be in any answer.  Lengths may
+    differ as much as doubles can.  No rows give no result.
     """
+    spark = vectors.sparkSession
     same = Window.partitionBy("vector").orderBy("vec_id", "row")
     least = vectors.withColumn("k", F.row_number().over(same)).where(F.col("k") <= top + 1)
-    points = cut(least.groupBy("vector").agg(F.collect_list(F.struct("vec_id", "row")).alias("rows"), F.max("length").alias("length")), "points")
-    n, longest = points.agg(F.count(F.lit(1)), F.max("length")).first()
-    if not n:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shards = -(-n // shard_rows)
+    points = cut(least.groupBy("vector").agg(F.collect_list(F.struct("vec_id", "row")).alias("rows"), F.first("band").alias("band")), "points")
+    dealt = bands_to_shards({r["band"]: r["count"] for r in points.groupBy("band").count().collect()}, shard_rows, graph_rows)
+    if not dealt:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    shards = max(first + n for first, n, _ in dealt.values())
+    told = spark.createDataFrame([(b, *x) for b, x in dealt.items()], "band int, first int, n int, graphed boolean")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        graph, entry = build_graph(_augmented(_vectors(pdf["vector"]).astype("f4"), longest))
         at = np.arange(len(pdf))
+        if not pdf["graphed"].iloc[0]:
+            return pdf.assign(at=at, entry=False, near=b"")
+        graph, entry = build_graph(_augmented(_vectors(pdf["vector"]), int(pdf["band"].iloc[0])))
         return pdf.assign(at=at, entry=at == entry, near=[x.astype("i4").tobytes() for x in graph])
 
-    kept = "shard int, vector binary, rows array<struct<vec_id:bigint,row:string>>"
-    sharded = points.select(F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int").alias("shard"), "vector", "rows")
+    kept = "shard int, vector binary, rows array<struct<vec_id:bigint,row:string>>, band int, graphed boolean"
+    shard = (F.col("first") + F.pmod(F.xxhash64("vector"), F.col("n"))).cast("int").alias("shard")
+    sharded = points.join(F.broadcast(told), "band").select(shard, "vector", "rows", "band", "graphed")
     graphs = cut(sharded.repartitionByRange(shards, "shard").groupBy("shard").applyInPandas(build, f"{kept}, at int, entry boolean, near binary"), "graphs")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -226,13 +277,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = TOP, shard_rows:
                         shard, held, graph = of, [], None
                     held.append(own)
                 elif of == shard:  # else a shard without points
-                    graph = graph or ShardGraph(pd.concat(held), longest)
+                    graph = graph or ShardGraph(pd.concat(held))
                     held = []
                     for a in range(0, len(own), QUERY_ROWS):
                         yield graph.answers(own.iloc[a : a + QUERY_ROWS], top)
         release_memory()
 
-    left = graphs.select("shard", F.lit(0).alias("kind"), "at", "vector", "rows", "entry", "near", F.lit("").alias("query"), F.lit(0).cast("long").alias("query_id"))
+    left = graphs.select("shard", F.lit(0).alias("kind"), "at", "vector", "rows", "band", "entry", "near", F.lit("").alias("query"), F.lit(0).cast("long").alias("query_id"))
     right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.lit(0).alias("at"), "vector", F.col("row").alias("query"), F.col("vec_id").alias("query_id"))
     met = left.unionByName(right, allowMissingColumns=True).repartitionByRange(shards, "shard").sortWithinPartitions("shard", "kind", "at")
     found = met.mapInPandas(search, "query string, query_id long, vec_id long, score double")

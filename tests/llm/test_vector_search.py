@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.llm.vector_search import nearest, usable
@@ -42,6 +43,29 @@ def test_recall_and_scores(spark):
     assert hit >= 0.95 * len(got)
 
 
+def recall(got, want):
+    by = {}
+    for g in got:
+        by.setdefault(g["query_id"], set()).add(g["vec_id"])
+    assert all(len(by.get(q, ())) == 20 for q in want)
+    return sum(len(by[q] & {v for _, v in w}) for q, w in want.items()) / (20 * len(want))
+
+
+@pytest.mark.parametrize("lengths", ["one long", "one very long", "log-normal", "huge"])
+def test_lengths_may_differ(spark, lengths):
+    r = np.random.default_rng(7)
+    x = r.normal(size=(3000, 32))
+    if lengths == "log-normal":
+        x *= np.exp(r.normal(0, 2, (3000, 1)))
+    elif lengths == "huge":
+        x = x[:60]
+        x[7], x[8] = 1e25, 2e25
+    else:
+        x[1234] *= 100 if lengths == "one long" else 1_000_000
+    got = run(spark, [(i, v.tolist()) for i, v in enumerate(x)], shard_rows=1024, graph_rows=512)
+    assert recall(got, brute(list(range(len(x))), x)) >= 0.95
+
+
 def test_ties_copies_and_broken_vectors(spark):
     good = [(i, [1.0, 0.0]) for i in range(100, 140)] + [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (41, [0.0, 1.0])]
     bad = [(0, None), (40, []), (60, [0.0, 0.0]), (80, [None, 1.0]), (1, [float("nan"), 1.0]), (2, [float("inf"), 1.0]), (3, [1.0, 2.0, 3.0]), (None, [9.0, 9.0])]
