@@ -1,5 +1,7 @@
 import hashlib
 
+import pytest
+
 from tallyforge.llm.exact_dedup import DigestIndex, exact_dedup
 
 SCHEMA = "doc_id long, text string, digest string"
@@ -32,6 +34,28 @@ def test_later_batches_meet_the_index(spark, tmp_path):
     assert (fourth["keep_id"], fourth["group_size"]) == (1, 5)
 
 
+def test_a_batch_that_is_offered_again_gets_its_result_again(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/i"
+    offer = lambda rows, name: sorted(map(tuple, exact_dedup(spark.createDataFrame(rows, SCHEMA), DigestIndex(spark, path, 4), name).collect()), key=str)
+    one, two = [(1, "a", ""), (2, "b", ""), (3, "a", "")], [(4, "a", ""), (5, "c", ""), (6, None, "")]
+    first = offer(one, "one")
+    assert [x[3] for x in first] == [False, True, True]
+
+    def die(self, batch, number, append=DigestIndex.append):
+        append(self, batch.where("digest > '8'"), number)  # part of the rows
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(DigestIndex, "append", die)
+        with pytest.raises(RuntimeError):
+            offer(two, "two")
+    second = offer(two, "two")  # the job is run again
+    assert [(x[0], x[1], x[2], x[3]) for x in second] == [(4, 3, 3, False), (5, 5, 1, True), (6, 6, 1, True)]
+    assert (offer(one, "one"), offer(two, "two")) == (first, second)  # also after a later batch
+    assert DigestIndex(spark, path, 4).table().count() == 5
+    assert [x[3] for x in offer(one, None)] == [False, False, False]
+
+
 def test_the_index_is_not_shuffled(spark, tmp_path):
     index = DigestIndex(spark, f"file://{tmp_path}/i", 4)
     exact_dedup(spark.createDataFrame([(i, str(i), "") for i in range(9)], SCHEMA), index)
