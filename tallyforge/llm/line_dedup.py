@@ -1,8 +1,9 @@
 """Site-relative line dedup, in DataFrame functions alone.
 
 A line is boilerplate of its host if the share of the host's pages that hold it exceeds
-``ratio``.  On hosts of few pages a share says little, so there the line must also stand on
-more than FLOOR pages or more than half of them, whichever is less, and on LEAST_PAGES.
+``ratio``; what stands on one page alone repeats nothing and stays, however small the host.
+A caller may also ask for a ``floor``: then, on hosts of few pages, the line must exceed so
+many pages or half of them, whichever is less.
 Lines are counted by host and digest after a partial aggregation in each task, so neither a
 large host nor a line that stands on every page meets in one task as rows, and texts stay
 where they are: the boilerplate found is sent to them.
@@ -16,9 +17,8 @@ from pyspark.sql import functions as F
 from .common import MOST_HOT, cut
 
 RATIO = 0.1
-#: Pages that a line of a small host must exceed, unless it stands on more than half; and the least in any case.
-FLOOR = 5
-LEAST_PAGES = 3
+#: Pages that a line must be on at least.
+LEAST_PAGES = 2
 #: Digests of boilerplate (16 bytes each) that are sent to every task; more are joined.
 MOST_BROADCAST = 500_000
 #: Pages of a host that meet in one task if the boilerplate is joined.
@@ -33,7 +33,7 @@ def _digest(line: Column) -> Column:
     return F.unhex(F.md5(F.encode(line, "UTF-8")))
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, floor: int = FLOOR, least_pages: int = LEAST_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, ratio: float = RATIO, floor: int = 0, least_pages: int = LEAST_PAGES) -> DataFrame:
     """``host``, its ``total`` pages and ``drop``, the digests of its boilerplate lines.
 
     As each line of ``drop`` takes ``ratio`` of the host's pages, the array holds at most
@@ -42,7 +42,9 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, floor: int = FLOOR, leas
     distinct = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), _digest))
     counts = pages.select("host", F.explode(distinct).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
     totals = pages.groupBy(F.col("host").alias("t_host")).agg(F.count(F.lit(1)).alias("total"))
-    exceeds = F.greatest(F.col("total") * F.lit(ratio), F.least(F.col("total") * 0.5, F.lit(float(floor))))
+    exceeds = F.col("total") * F.lit(ratio)
+    if floor:
+        exceeds = F.greatest(exceeds, F.least(F.col("total") * 0.5, F.lit(float(floor))))
     return (
         counts.join(totals, F.col("host").eqNullSafe(F.col("t_host")))
         .where(F.col("n") > exceeds)
@@ -51,7 +53,7 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, floor: int = FLOOR, leas
     )
 
 
-def line_dedup(docs: DataFrame, ratio: float = RATIO, floor: int = FLOOR, least_pages: int = LEAST_PAGES, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def line_dedup(docs: DataFrame, ratio: float = RATIO, floor: int = 0, least_pages: int = LEAST_PAGES, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """``docs`` without their hosts' boilerplate lines; ``source`` is the host.
 
     Adds ``n_lines`` and ``n_dropped`` and changes ``text``; the other columns of
@@ -101,7 +103,7 @@ counts AS (
 totals AS (SELECT source, count(*) AS total FROM pages GROUP BY ALL),
 found AS (
   SELECT c.source, list(c.line) AS bad FROM counts c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
-  WHERE c.n >= {LEAST_PAGES} AND c.n > greatest(t.total * {RATIO}, least(t.total * 0.5, {FLOOR})) GROUP BY ALL),
+  WHERE c.n >= {LEAST_PAGES} AND c.n > t.total * {RATIO} GROUP BY ALL),
 kept AS (
   SELECT p.doc_id, p.lines, CASE WHEN f.bad IS NULL THEN p.lines ELSE list_filter(p.lines, lambda x: NOT list_contains(f.bad, x)) END AS ok
   FROM pages p LEFT JOIN found f ON p.source IS NOT DISTINCT FROM f.source)

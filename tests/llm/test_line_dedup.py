@@ -36,10 +36,15 @@ def test_equals_brute_force(spark):
             assert sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in got.collect()), key=str) == brute(rows(), ratio, floor, least)
 
 
-def test_small_hosts_lose_what_stands_on_most_pages_only(spark):
-    pages = [(10 * n + i, f"menu {n}\nsome {n}.{i // 2}\nown {n}.{i}", "en", f"host{n}", 1, "", "") for n in (1, 2, 4, 8) for i in range(n)]
-    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup(spark.createDataFrame(pages, SCHEMA)).collect()}
-    assert got == {10 * n + i: int(n >= 4) for n in (1, 2, 4, 8) for i in range(n)}
+def test_the_ratio_decides_on_hosts_of_every_size(spark):
+    pages = [(100 * n + i, f"menu {n}\nsome {n}.{i // 2}\nown {n}.{i}", "en", f"host{n}", 1, "", "") for n in (1, 2, 4, 8, 40) for i in range(n)]
+    pages = [(d, x + ("\nfifth" if d >= 4000 and d % 100 < 5 else ""), *rest) for d, x, *rest in pages]
+    docs = spark.createDataFrame(pages, SCHEMA)
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup(docs).collect()}
+    # what two of up to 19 pages share exceeds a tenth of them, as does what 5 of 40 do; 2 of 40 don't
+    assert got == {100 * n + i: {1: 0, 40: 1 + (i < 5)}.get(n, 2) for n in (1, 2, 4, 8, 40) for i in range(n)}
+    floored = {r["doc_id"]: r["n_dropped"] for r in line_dedup(docs, floor=5, least_pages=3).collect()}
+    assert floored == {100 * n + i: int(n >= 4) for n in (1, 2, 4, 8, 40) for i in range(n)}
 
 
 def test_very_long_text_and_blank_lines(spark):
