@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, release_memory, small_batches
+from .common import cut, in_small_batches, release_memory
 from .tokens import alphabet, merge_ranks, slices, tokenizer
 
 #: Bytes of a part that is encoded in one go.
@@ -273,8 +273,8 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     return _ids(docs, path, made, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+@in_small_batches()
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
+import functools
 import gc
 import tempfile
 import uuid
@@ -36,9 +38,9 @@ def _scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/scratch/{spark.sparkContext.applicationId}"
 
 
-#: Tables that :func:`cut` has written, by the name of what they were made for ("" by default).
-_tables: dict[str, list[str]] = {}
-_owner = [""]
+#: Tables that :func:`cut` has written, by run and what they were made for ("" by default).
+_tables: dict[tuple[str, str], list[str]] = {}
+_owner: contextvars.ContextVar[tuple[str, str]] = contextvars.ContextVar("owner", default=("", ""))
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
@@ -50,23 +52,23 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{_scratch(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _tables.setdefault(_owner[-1], []).append(path)
+    _tables.setdefault(_owner.get(), []).append(path)
     return spark.read.parquet(path)
 
 
 @contextlib.contextmanager
-def owned_by(owner: str):
-    """Tables that are written meanwhile are the owner's."""
-    _owner.append(owner)
+def owned_by(owner: str, run: str = ""):
+    """Tables that are written meanwhile (by this thread) are the owner's, in that run."""
+    before = _owner.set((run, owner))
     try:
         yield
     finally:
-        _owner.pop()
+        _owner.reset(before)
 
 
-def drop_tables(spark: SparkSession, owner: str) -> None:
+def drop_tables(spark: SparkSession, owner: str, run: str = "") -> None:
     """Delete the owner's tables; what still reads them must have been written before."""
-    for name in _tables.pop(owner, []):
+    for name in _tables.pop((run, owner), []):
         delete_path(spark, name)
 
 
@@ -113,11 +115,31 @@ def join_spread(many: DataFrame, one: DataFrame, on: list[str], n: str | None, b
     return salted.join(copied.hint("merge"), [*on, "_salt"], how).drop("_salt")
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Let Python workers get whole texts in batches of few rows, unless the session already asks for fewer; bounds memory alone."""
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000):
+    """Meanwhile Python workers get whole texts in batches of few rows, unless the session asks for fewer anyway; bounds memory alone."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > rows:
+    before = spark.conf.get(name)
+    if int(before) > rows:
         spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def in_small_batches(rows: int = 2000):
+    """For functions of (spark, ...) that return a frame: it is written by :func:`small_batches` and read back, so that the session's setting is as before."""
+
+    def wrap(run):
+        @functools.wraps(run)
+        def written(spark: SparkSession, *args):
+            with small_batches(spark, rows):
+                return cut(run(spark, *args), run.__name__)
+
+        return written
+
+    return wrap
 
 
 def release_memory() -> None:

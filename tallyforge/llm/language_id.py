@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, crc_mod, release_memory, small_batches
+from .common import bytes_of, crc_mod, in_small_batches, release_memory
 
 #: Bytes of context.
 ORDER = 3
@@ -216,8 +216,8 @@ def predict(docs: DataFrame, model: PpmModel) -> DataFrame:
     return out.select(*(F.col("row")[c].alias(c) for c in kept), "p.lang_pred", "p.score")
 
 
+@in_small_batches()
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"))
     model = train(docs.where(~F.col("held_out")))
     return predict(docs.select("doc_id", "held_out", "text"), model)

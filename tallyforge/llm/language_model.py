@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, crc_mod, cut, map_rows, release_memory, small_batches
+from .common import bytes_of, crc_mod, cut, in_small_batches, map_rows, release_memory
 from .rolling import blocks, mix, words
 
 #: Quotient of the counts of neighbouring levels.
@@ -471,8 +471,8 @@ def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+@in_small_batches(250)
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark, 250)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"))
     model = train(docs.where(~F.col("held_out")).select(bytes_of(F.col("text")).alias("bytes")))
     return score(docs, model).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

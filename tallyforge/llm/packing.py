@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_rows, release_memory, small_batches
+from .common import cut, in_small_batches, map_rows, release_memory
 from .tokens import CachedEncoder, merge_ranks, slices
 
 CAPACITY = 2048
@@ -200,8 +200,8 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
     return pack(cut(cut_documents(docs, path, capacity, end_id), "pieces"), capacity)
 
 
+@in_small_batches()
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, release_memory, small_batches
+from .common import cut, in_small_batches, release_memory
 
 #: log2 of the number of hashed weights.
 BITS = 20
@@ -203,7 +203,7 @@ def trained(spark: SparkSession, docs: DataFrame, sf_dir: str) -> OrdinalModel:
     return train(docs, labels.select("doc_id", rating(F.col("quality"), F.col("toxic")).alias("grade")))
 
 
+@in_small_batches()
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return grade(docs, trained(spark, docs, sf_dir)).drop("text")

@@ -27,8 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
-from .common import bytes_of, cut, join_spread, map_rows, release_memory, small_batches
-from .rolling import PrefixHash, mix, signed
+from .common import bytes_of, cut, in_small_batches, join_spread, map_rows, release_memory
+from .rolling import WHITE, PrefixHash, mix, signed
 from .runs import repeated_windows
 
 LENGTH = 400
@@ -247,6 +247,49 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     return out
 
 
+def whole_word_spans(docs: DataFrame, texts: DataFrame, spans: DataFrame, length: int, size: int) -> DataFrame:
+    """Spans (k1, k2, lo, hi) of those windows of ``size`` words inside the stretches of ``spans`` that stand elsewhere, each as one whole.
+
+    A stretch may be made of short repeats side by side; a window of words only counts if
+    another place has all of it.  As any such window lies in a stretch at both its places, it
+    is enough to count those there, 128 bits each; a text's rows are places of their own.
+    """
+    by_text = spans.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    chosen = cut(by_text.join(texts.hint("merge"), ["k1", "k2"]), "stretches")
+    if chosen.count() <= MOST_KEYS:  # then other texts aren't shuffled
+        docs = docs.join(F.broadcast(chosen.select("k1", "k2")), ["k1", "k2"], "left_semi")
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before = None
+        for pdf in batches:
+            for k1, k2, data, own, rows in zip(pdf["k1"], pdf["k2"], pdf["bytes"], pdf["spans"], pdf["rows"], strict=True):
+                if (k1, k2) == before:  # a row that is repeated whole
+                    continue
+                before = k1, k2
+                for a, b in removed_stretches(own, length):
+                    flags = np.concatenate([[True], WHITE[np.frombuffer(data[a:b], "u1")], [True]])
+                    edges = np.flatnonzero(flags[1:] != flags[:-1])
+                    starts, ends = edges[::2], edges[1::2]
+                    # of a word that the stretch cuts, only the part inside counts for nothing
+                    if a and not WHITE[data[a - 1]] and len(starts) and starts[0] == 0:
+                        starts, ends = starts[1:], ends[1:]
+                    if b < len(data) and not WHITE[data[b]] and len(ends) and ends[-1] == b - a:
+                        starts, ends = starts[:-1], ends[:-1]
+                    n = len(starts) - size + 1
+                    if n <= 0:
+                        continue
+                    part = np.frombuffer(data[a:b], "u1")
+                    first, last = starts[:n], ends[size - 1 :]
+                    yield pd.DataFrame({"h1": signed(PrefixHash(part).of(first, last)), "h2": signed(PrefixHash(part, 1).of(first, last)), "k1": k1, "k2": k2, "a": (first + a).astype("i4"), "b": (last + a).astype("i4"), "rows": rows})
+        release_memory()
+
+    held = docs.join(chosen.hint("merge"), ["k1", "k2", "row"]).select("k1", "k2", "bytes", "spans", "rows")
+    found = cut(held.mapInPandas(windows, "h1 long, h2 long, k1 long, k2 long, a int, b int, rows long"), "windows")
+    again = cut(found.groupBy("h1", "h2").agg(F.sum("rows").alias("places"), F.count(F.lit(1)).alias("n")).where("places > 1").select("h1", "h2", "n"), "places")
+    kept = join_spread(found.drop("rows"), again, ["h1", "h2"], "n", ["k1", "k2", "a"], found.count())
+    return kept.select("k1", "k2", F.col("a").alias("lo"), (F.col("b") - length).alias("hi"))
+
+
 def removed_stretches(spans: list, length: int) -> list[tuple[int, int]]:
     """Maximal byte stretches [a, b) that the passages of (lo, hi) spans cover."""
     out: list[tuple[int, int]] = []
@@ -266,9 +309,12 @@ def _without(data: bytes, stretches: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, data[at:]])
 
 
-def mark_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP) -> DataFrame:
+def mark_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP, least_words: int = 0) -> DataFrame:
     """``docs`` with ``bytes`` (UTF-8 of the text) and ``spans``, the (lo, hi) passages that stand elsewhere (null: none).
 
+    With ``least_words`` the spans are those of windows of so many whole words, each of which
+    stands elsewhere as a whole; such a window must have ``length`` bytes at least.
+
     Null and empty texts and those shorter than ``length`` hold no passage.  Rows that
     repeat a whole text repeat its passages.  Ids are not used but to deal a text's copies
     out, so they may be null or repeat; the other columns of ``docs`` are kept, whatever
@@ -279,6 +325,8 @@ def mark_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, gr
     keyed = docs.select(*_keys(own), own.alias("bytes"), row)
     texts = text_counts(keyed)
     found = repeated_spans(keyed, length, anchor, group, texts)
+    if least_words:
+        found = whole_word_spans(keyed, texts, cut(found, "found"), length, least_words)
     by_text = found.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     marked = cut(texts.select("k1", "k2", "rows").join(by_text.hint("merge"), ["k1", "k2"], "left"), "marked")
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), own.alias("bytes"), *_keys(own), row.alias("deal"))
@@ -289,20 +337,17 @@ def mark_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, gr
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP, least_words: int = 0) -> DataFrame:
     """``docs`` without the bytes that repeated passages cover; a character that loses a byte goes.
 
-    Stretches of fewer than ``least_words`` words (parts of words count) stay.
+    With ``least_words`` only windows of so many words that another place has whole go.
 
     ``text`` changes and, where there is one, ``n_chars``; all rows and other columns stay.
     A text left empty is the empty text, and a null text stays null.  See
     :func:`mark_repeats` for the rest.
     """
-    marked = mark_repeats(docs, length, anchor, group)
-
-    def gone(data: bytes, spans: list) -> list[tuple[int, int]]:
-        return [(a, b) for a, b in removed_stretches(spans, length) if len(data[a:b].split()) >= least_words]
+    marked = mark_repeats(docs, length, anchor, group, least_words)
 
     @F.pandas_udf("string")
     def kept(data: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([x.decode("utf-8", "ignore") if s is None else _without(x, gone(x, s)).decode("utf-8", "ignore") for x, s in zip(data, spans, strict=True)], dtype="object")
+        return pd.Series([x.decode("utf-8", "ignore") if s is None else _without(x, removed_stretches(s, length)).decode("utf-8", "ignore") for x, s in zip(data, spans, strict=True)], dtype="object")
 
     text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(kept("bytes", "spans"))
     out = marked.select("row", text.alias("new_text"))
@@ -327,6 +372,6 @@ def digests(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, group:
     return map_rows(marked, run, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+@in_small_batches()
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))

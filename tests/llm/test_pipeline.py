@@ -101,3 +101,25 @@ def test_a_shared_passage_of_51_words_goes_and_shorter_ones_stay(spark):
     got = [r["text"] for r in corpus_pipeline.drop_passages(spark, docs, SF).collect()]
     assert len(got) == 2
     assert all(long not in x and tiny not in x and short in x for x in got)
+
+
+def test_short_repeats_side_by_side_stay(spark):
+    """Three phrases of 20 words, each of which another document has, are no passage of 51 words that another one has."""
+    words = lambda name, n: " ".join(f"{name}{i}-longer" for i in range(n))
+    phrases = [words(x, 20) for x in "pqr"]
+    texts = [f"{words('a', 30)} {' '.join(phrases)} {words('b', 30)}", *(f"{words(f'own{i}', 70)} {p} {words(f'end{i}', 70)}" for i, p in enumerate(phrases))]
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x)) for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_passages(spark, docs, SF).collect()} == dict(enumerate(texts))
+
+
+def test_runs_leave_each_others_tables(spark):
+    from tallyforge.llm.common import cut, drop_tables, owned_by
+
+    with owned_by("stage 1", run="one"):
+        mine = cut(spark.range(5), "mine")
+    with owned_by("stage 1", run="two"):
+        other = cut(spark.range(7), "other")
+    drop_tables(spark, "stage 1", run="one")
+    assert other.count() == 7
+    with pytest.raises(Exception):
+        mine.count()
