@@ -8,22 +8,27 @@ later stage.
 
 from __future__ import annotations
 
+import contextvars
 import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import line_dedup, near_dedup, packing, quality, suffix_dedup
-from tallyforge.llm.common import cut, drop_tables, owned_by, small_batches, table
+from tallyforge.llm.common import cut, drop_tables, in_small_batches, owned_by, small_batches, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: The run that stages belong to; stages that are called one by one are of the run over their folder.
+_run: contextvars.ContextVar[str | None] = contextvars.ContextVar("run", default=None)
 #: Words of a passage that may not be left twice, and the bytes that so many have at least, in any language.
 PASSAGE_WORDS = 51
 PASSAGE_BYTES = 2 * PASSAGE_WORDS - 1
 
 
+@in_small_batches()
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the ordinal classifier, fitted on the labels, selects.
 
@@ -31,7 +36,6 @@ def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     an empty table stays empty.  Without labels all grades are equally likely, and none is
     selected.
     """
-    small_batches(spark)
     graded = quality.grade(docs.select(*COLUMNS), quality.trained(spark, docs, sf_dir))
     return graded.where("selected").select(*COLUMNS)
 
@@ -52,20 +56,21 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Null and empty texts are copies of each other, a null id counts as greatest, one of
     rows repeated whole stays; extra columns go.
     """
-    small_batches(spark)
-    return near_dedup.near_dedup(docs.select(*COLUMNS))
+    with small_batches(spark):  # what is left to do is a join
+        return near_dedup.near_dedup(docs.select(*COLUMNS))
 
 
+@in_small_batches()
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of more than 50 words that stand anywhere else.
+    """Documents without the passages of more than 50 words that stand anywhere else, each as one whole.
 
     No row goes: a text of such passages alone becomes empty, a null text stays null;
     repeated rows hold each other's passages; extra columns go.
     """
-    small_batches(spark)
     return suffix_dedup.suffix_dedup(docs.select(*COLUMNS), length=PASSAGE_BYTES, anchor=32, least_words=PASSAGE_WORDS)
 
 
+@in_small_batches()
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces and their places in sequences.
 
@@ -74,7 +79,6 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     import public_tokenizers
 
-    small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -82,9 +86,10 @@ def _stage(k: int, name: str, run: Stage) -> tuple[str, Stage]:
     """A stage that first deletes what earlier stages left in the shared folder, since their results are written by now."""
 
     def cleaned(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        of = _run.get() or sf_dir
         for earlier in range(k):
-            drop_tables(spark, f"stage {earlier}")
-        with owned_by(f"stage {k}"):
+            drop_tables(spark, f"stage {earlier}", of)
+        with owned_by(f"stage {k}", of):
             return run(spark, docs, sf_dir)
 
     return name, functools.wraps(run)(cleaned)
@@ -103,7 +108,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each result written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), "".join(c if c.isalnum() else "_" for c in name))
-    return docs
+    docs, before = table(spark, sf_dir, "documents"), _run.set(uuid.uuid4().hex)
+    try:
+        for name, stage in STAGES:
+            docs = cut(stage(spark, docs, sf_dir), "".join(c if c.isalnum() else "_" for c in name))
+        return docs
+    finally:
+        _run.reset(before)
