@@ -5,13 +5,16 @@ Every window of SIZE consecutive words is an edge from its first SIZE - 1 words
 1. Each window elects one anchor, the stretch of ANCHOR words in it with the least hash;
    windows in a row that elect the same one are a *piece*.  Occurrences of an edge lie in
    pieces of one anchor, so pieces whose anchor no other has hold no repeated edge and go.
-2. Pieces of equal content (128 bits) are one class, whose edges are listed once.  Edges
-   are grouped: a repeated one has a source, its occurrence of least doc_id.
+2. Pieces of equal content (128 bits) are one class.  A class that is alone with its anchor
+   is a path as it stands: all its edges have the same documents.  The edges of others are
+   listed, once a class, and grouped: a repeated one has a source, its occurrence of least
+   doc_id.
 3. Where a node has one repeated edge in and one out, these are joined; joins of edges to
    such nodes compact a class's edges to paths, and the paths of consecutive pieces of a
    document that keep to their source are strung together to spans.
 4. Each span's words are read at the document's and at the source's coordinates and
-   compared by SHA-256; only spans that are equal there are removed.
+   compared by SHA-256 (equal texts have been, as wholes); only spans that are equal there
+   are removed.
 
 Hot anchors, classes and edges are counted in each task before they are shuffled, and dealt
 out where they are joined; no step pairs the members of a group.
@@ -27,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, cut, join_spread, map_rows, release_memory, table
+from .common import bytes_of, cut, in_small_batches, join_spread, map_rows, release_memory, table
 from .rolling import WHITE, blocks, mix, signed, words
 from .suffix_dedup import MOST_KEYS, _keys, with_repeated
 
@@ -147,18 +150,28 @@ def list_edges(texts: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for doc_id, k1, data, own in zip(pdf["doc_id"], pdf["k1"], pdf["bytes"], pdf["own"], strict=True):
-                hashes = word_hashes(data)
+            data, lists = pdf["bytes"].tolist(), pdf["own"].tolist()
+            ids, keys = pdf["doc_id"].to_numpy(), pdf["k1"].to_numpy()
+            for x, y in blocks(data, BLOCK_BYTES):
+                if y - x == 1:
+                    hashes = word_hashes(data[x])
+                    counts = np.array([len(hashes)])
+                else:
+                    hashes, counts = words(data[x:y])
+                begins = np.cumsum(counts) - counts
                 one, two = WordHash(hashes), WordHash(hashes, 1)
-                lo, n = (np.array([x[c] for x in own], "i8") for c in ("lo", "n"))
-                for a in range(0, len(lo), 4096):
-                    each = n[a : a + 4096]
-                    piece = np.repeat(np.arange(a, a + len(each)), each)
-                    off = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                of = np.repeat(np.arange(x, y), [len(o) for o in lists[x:y]])
+                told = np.array([(p["lo"], p["n"], p["c1"], p["c2"], p["most"]) for o in lists[x:y] for p in o], "i8").reshape(-1, 5).T
+                for a in range(0, len(of), 4096):  # pieces
+                    lo, n, c1, c2, most = told[:, a : a + 4096]
+                    piece = np.repeat(np.arange(len(n)), n)
+                    off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    row = of[a : a + 4096][piece]
                     at = lo[piece] + off
-                    told = {c: np.array([x[c] for x in own[a : a + 4096]], "i8")[piece - a] for c in ("c1", "c2", "most")}
-                    hashed = {"e1": one.of(at, at + size), "e2": two.of(at, at + size), "u": one.of(at, at + size - 1), "v": one.of(at + 1, at + size)}
-                    yield pd.DataFrame({c: signed(x) for c, x in hashed.items()} | {"c1": told["c1"], "c2": told["c2"], "off": off.astype("i4"), "doc_id": doc_id, "k1": k1, "at": at.astype("i4"), "most": told["most"]})
+                    k = at + begins[row - x]
+                    hashed = {"e1": one.of(k, k + size), "e2": two.of(k, k + size), "u": one.of(k, k + size - 1), "v": one.of(k + 1, k + size)}
+                    own = {"c1": c1[piece], "c2": c2[piece], "off": off.astype("i4"), "doc_id": ids[row], "k1": keys[row], "at": at.astype("i4"), "most": most[piece]}
+                    yield pd.DataFrame({c: signed(h) for c, h in hashed.items()} | own)
         release_memory()
 
     return texts.mapInPandas(run, _EDGE)
@@ -167,14 +180,14 @@ def list_edges(texts: DataFrame, size: int) -> DataFrame:
 def repeated_edges(edges: DataFrame) -> DataFrame:
     """e1, e2, their ``source`` (doc_id, k1, at), rows ``n`` and whether they are ``joined`` to the edge before them, of edges that two documents have.
 
-    That is so where their first node has one repeated edge in and one out.
+    That is so where their first node has one repeated edge out and not several in (none: the edge before it is of a class alone with its anchor).
     """
     source = F.min(F.struct("doc_id", "k1", "at")).alias("source")
     several = edges.groupBy("e1", "e2").agg(source, F.max("most").alias("most"), F.first("u").alias("u"), F.first("v").alias("v"), F.count(F.lit(1)).alias("n"))
     repeated = cut(several.where("source.doc_id < most").drop("most"), "repeated")
-    into = repeated.groupBy("v").agg(F.count(F.lit(1)).alias("into")).where("into = 1")
+    into = repeated.groupBy("v").agg(F.count(F.lit(1)).alias("into"))
     out = repeated.groupBy("u").agg(F.count(F.lit(1)).alias("out"), F.first("e1").alias("e1"), F.first("e2").alias("e2")).where("out = 1")
-    joined = out.join(into, F.col("u") == F.col("v")).select("e1", "e2", F.lit(True).alias("joined"))
+    joined = out.join(into, F.col("u") == F.col("v"), "left").where("coalesce(into, 1) = 1").select("e1", "e2", F.lit(True).alias("joined"))
     return cut(repeated.join(joined, ["e1", "e2"], "left").select("e1", "e2", "source", "n", F.coalesce("joined", F.lit(False)).alias("joined")), "graph")
 
 
@@ -227,10 +240,15 @@ class Words:
         flags = WHITE[np.frombuffer(data, "u1")]
         edges = np.flatnonzero(np.diff(np.concatenate([[True], flags, [True]])))
         self.data, self.starts, self.ends = data, edges[::2], edges[1::2]
+        gaps = self.ends[:-1]
+        other = (self.starts[1:] - gaps != 1) | (np.frombuffer(data, "u1")[gaps] != 32)
+        self.others = np.concatenate([[0], np.cumsum(other)])  # gaps that are no single space
 
     def digest(self, at: int, n: int) -> bytes:
-        a, b = self.starts[at : at + n].tolist(), self.ends[at : at + n].tolist()
-        return hashlib.sha256(b" ".join(self.data[i:j] for i, j in zip(a, b, strict=True))).digest()
+        """SHA-256 of ``n`` words joined by one space."""
+        if self.others[at] == self.others[at + n - 1]:
+            return hashlib.sha256(self.data[self.starts[at] : self.ends[at + n - 1]]).digest()
+        return hashlib.sha256(b" ".join(self.data[self.starts[at] : self.ends[at + n - 1]].split())).digest()
 
 
 def unequal_spans(docs: DataFrame, spans: DataFrame, size: int) -> DataFrame:
@@ -257,7 +275,8 @@ def unequal_spans(docs: DataFrame, spans: DataFrame, size: int) -> DataFrame:
                 yield pd.DataFrame(out, columns=["s_doc", "s_k1", "at", "n", "digest"])
         release_memory()
 
-    own = spans.groupBy("doc_id", "k1").agg(F.collect_list(F.struct("lo", "n", "s_doc", "s_k1", "s_at")).alias("own"))
+    parts = spans.where("k1 <> s_k1 OR lo <> s_at")  # else both are at one place of texts with one SHA-256
+    own = parts.groupBy("doc_id", "k1").agg(F.collect_list(F.struct("lo", "n", "s_doc", "s_k1", "s_at")).alias("own"))
     cells = cut(_with_texts(docs, cut(own, "own")).mapInPandas(claim, _CELL), "cells")
     # a source's list is as long as its text at most: the cells in it, and their beginnings and ends
     asked = cells.select(F.col("s_doc").alias("doc_id"), F.col("s_k1").alias("k1"), "at", "n", "digest").groupBy("doc_id", "k1").agg(F.collect_set(F.struct("at", "n", "digest")).alias("own"))
@@ -270,10 +289,14 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR) -> D
     docs = docs.where("doc_id IS NOT NULL")
     met = cut(with_repeated(cut(find_pieces(docs, size, anchor), "pieces"), "anchor", ["doc_id", "k1", "lo"]), "met")
     least = F.min(F.struct("doc_id", "k1", "lo")).alias("at")
-    classes = met.groupBy("c1", "c2").agg(least, F.max("doc_id").alias("most"), F.first("n").alias("n"))
-    chosen = classes.groupBy("at.doc_id", "at.k1").agg(F.collect_list(F.struct("at.lo", "n", "c1", "c2", "most")).alias("own"))
-    edges = cut(list_edges(_with_texts(docs, cut(chosen, "classes")), size), "edges")
-    paths = cut(compacted(edges, repeated_edges(edges)), "paths")
+    classes = cut(met.groupBy("anchor", "c1", "c2").agg(least, F.max("doc_id").alias("most"), F.first("n").alias("n")), "classes")
+    several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
+    judged = cut(join_spread(classes, several, ["anchor"], None, ["c1", "c2"], classes.count()), "judged")
+    chosen = judged.where("kinds > 1").groupBy("at.doc_id", "at.k1").agg(F.collect_list(F.struct("at.lo", "n", "c1", "c2", "most")).alias("own"))
+    edges = cut(list_edges(_with_texts(docs, cut(chosen, "chosen")), size), "edges")
+    alone = judged.where("kinds = 1 AND at.doc_id < most")
+    path = F.struct(F.lit(0).alias("off"), "n", F.col("at.doc_id").alias("s_doc"), F.col("at.k1").alias("s_k1"), F.col("at.lo").alias("s_at"), F.lit(True).alias("joined"))
+    paths = cut(compacted(edges, repeated_edges(edges)).unionByName(alone.select("c1", "c2", F.array(path).cast(_PATHS).alias("paths"))), "paths")
     found = join_spread(met, paths, ["c1", "c2"], None, ["doc_id", "k1", "lo"], met.count())
     own = found.select("doc_id", "k1", "lo", F.explode("paths").alias("p")).where("p.s_doc < doc_id")
     own = own.groupBy("doc_id", "k1").agg(F.collect_set(F.struct((F.col("lo") + F.col("p.off")).alias("lo"), "p.n", "p.s_doc", "p.s_k1", "p.s_at", "p.joined")).alias("own"))
@@ -381,6 +404,7 @@ def count_words(data: bytes) -> int:
     return int((flags[:-1] & ~flags[1:]).sum()) + int(len(flags) > 0 and not flags[0])
 
 
+@in_small_batches()
 def op12_passage_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
 
