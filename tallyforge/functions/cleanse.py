@@ -45,10 +45,14 @@ def is_null_token(text: Column) -> Column:
     return F.coalesce(F.trim(text).isin(*V.NULL_TOKENS), F.lit(True))
 
 
+#: What a number looks like; a cast would also take Java's forms, such as 1d.
+_NUMBER = r"(?i)^[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf|infinity|nan)$"
+
+
 def numeric_text(text: Column) -> Column:
     """A number from text: full-width digits, thousands commas and null tokens understood; else null."""
     plain = F.regexp_replace(F.translate(F.trim(text), _WIDE, _NARROW), "[,，]", "")
-    return F.when(~is_null_token(text), plain.try_cast("double"))
+    return F.when(~is_null_token(text) & plain.rlike(_NUMBER), plain.try_cast("double"))
 
 
 def parse_numeric(cell: Column) -> Column:

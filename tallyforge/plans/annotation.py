@@ -40,17 +40,18 @@ def guarded(prompts: DataFrame, context: str = "context") -> DataFrame:
 
 
 def answered(prompts: DataFrame, ask: Ask) -> DataFrame:
-    """``prompts`` (id, prompt) with ``answer``, null where the call failed; written down, so that no call is made twice."""
+    """``prompts`` (id, prompt) with ``answer``, or, where the call failed, null and the ``failure``; written down, so that no call is made twice."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            failure = None
             try:
                 found = ask(pdf["prompt"].tolist())
-            except Exception:  # a failed call is an outcome of its rows, which are tried again or reported
-                found = [None] * len(pdf)
-            yield pdf.assign(answer=pd.Series(found, index=pdf.index, dtype="object"))
+            except Exception as failed:  # a failed call is an outcome of its rows, which are tried again or reported
+                found, failure = [None] * len(pdf), f"{type(failed).__name__}: {failed}"
+            yield pdf.assign(answer=pd.Series(found, index=pdf.index, dtype="object"), failure=failure)
 
-    return materialised(prompts.select("id", "prompt").mapInPandas(run, "id string, prompt string, answer string"))
+    return materialised(prompts.select("id", "prompt").mapInPandas(run, "id string, prompt string, answer string, failure string"))
 
 
 def with_retry(prompts: DataFrame, ask: Ask, errors: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame]:
@@ -62,7 +63,7 @@ def with_retry(prompts: DataFrame, ask: Ask, errors: Callable[[Column], Column])
 
     def judged(rows: DataFrame) -> DataFrame:
         json = C.fenced_json(F.col("answer"))
-        wrong = F.when(F.col("answer").isNull(), F.array(F.lit("call failed"))).when(json.isNull(), F.array(F.lit("no JSON"))).otherwise(errors(json))
+        wrong = F.when(F.col("answer").isNull(), F.array(F.concat_ws(": ", F.lit("call failed"), "failure"))).when(json.isNull(), F.array(F.lit("no JSON"))).otherwise(errors(json))
         return rows.select("id", "prompt", F.col("answer").alias("raw"), json.alias("answer"), wrong.alias("errors"))
 
     first = judged(answered(prompts, ask))
@@ -92,7 +93,11 @@ def uncurated(cards: DataFrame, budget: int, again: bool = False) -> DataFrame:
     return own.orderBy(F.desc_nulls_last("rank_score"), "note_id").limit(budget)
 
 
-def valid_lessons(lessons: DataFrame, fields: Sequence[str] = ("hook_type", "structure", "why_it_worked", "transferable_tactic")) -> DataFrame:
+#: The texts of a lesson.
+LESSON = ("hook_type", "structure", "why_it_worked", "transferable_tactic")
+
+
+def valid_lessons(lessons: DataFrame, fields: Sequence[str] = LESSON) -> DataFrame:
     """Lessons all of whose texts are there, trimmed."""
     own = lessons.where(F.size(R.lesson_errors({c: F.col(c) for c in fields})) == 0)
     return own.withColumns({c: F.trim(c) for c in fields})

@@ -11,21 +11,63 @@ from pyspark.sql import functions as F
 
 from ..functions import predicates as P
 from ..operators import aggregates as A
-from ..operators.ranking import duplicates
 from ..operators.state import orphans
 
 #: What a check that could not be made says.
 UNKNOWN = "N/A"
 
 
+@dataclass(frozen=True)
+class There:
+    """Whether a table, or a column of it, is there."""
+
+    table: str
+    column: str | None = None
+
+
+@dataclass(frozen=True)
+class Where:
+    """How many rows of a table meet a condition."""
+
+    table: str
+    condition: Column | str | None = None
+
+
+@dataclass(frozen=True)
+class Once:
+    """Whether no key (null ones aside) is in a table twice; with ``wanted`` false, whether one is.
+
+    A table or column that is missing keeps no key unique.
+    """
+
+    table: str
+    columns: Sequence[str]
+    wanted: bool = True
+
+
+@dataclass(frozen=True)
+class Repeats:
+    """How many keys (null ones aside) are in a table more than once."""
+
+    table: str
+    columns: Sequence[str]
+
+
+@dataclass(frozen=True)
+class Rows:
+    """How many rows a frame has: for what takes more than one table."""
+
+    frame: Callable[[], DataFrame]
+
+
 @dataclass(frozen=True)
 class Check:
-    """What is compared: the rows of a frame as a count, or whether something is there."""
+    """What is compared with what is expected."""
 
     ord: str
     section: str
     name: str
-    actual: Callable[[], DataFrame | bool]
+    rule: There | Where | Once | Repeats | Rows
     expected: str
 
 
@@ -43,26 +85,64 @@ def status(actual: Column, expected: Column) -> Column:
     )
 
 
-def verify(spark: SparkSession, checks: Sequence[Check]) -> DataFrame:
-    """ord, section, name, actual, expected and status of each check, all in one plan.
+def verify(store: Store, checks: Sequence[Check]) -> DataFrame:
+    """ord, section, name, actual, expected and status of each check, all in one plan; none of it runs before that does.
 
-    A check whose tables or columns are missing is unknown, not an error.
+    All conditions on the rows of a table are counted in one scan of it, and all its keys
+    in one shuffle.  A check whose tables or columns are missing is unknown, not an error.
     """
-    columns = ("ord", "section", "name", "expected")
-    out = spark.createDataFrame([], "actual string, ord string, section string, name string, expected string")
+    known: list[tuple[Check, Column]] = []
+    row_checks: dict[str, list[tuple[Check, Column]]] = {}
+    key_checks: dict[str, list[Check]] = {}
+    frames: list[DataFrame] = []
     for c in checks:
-        literals = [F.lit(getattr(c, k)).alias(k) for k in columns]
+        r = c.rule
         try:
-            found = c.actual()
-            if isinstance(found, DataFrame):
-                found.schema  # resolves the plan, so that what is missing shows here  # noqa: B018
-                row = found.agg(F.count(F.lit(1)).cast("string").alias("actual")).select("actual", *literals)
+            if isinstance(r, There):
+                known.append((c, F.lit(str(store.has(r.table, r.column)).lower())))
+            elif isinstance(r, Where):
+                condition = F.lit(True) if r.condition is None else F.expr(r.condition) if isinstance(r.condition, str) else r.condition
+                store(r.table).where(condition).schema  # resolves it, so that what is missing shows here  # noqa: B018
+                row_checks.setdefault(r.table, []).append((c, condition))
+            elif isinstance(r, Rows):
+                frame = r.frame()
+                frames.append(_told(frame.agg(F.count(F.lit(1)).cast("string").alias("_0")), [(c, F.col("_0"))]))
+            elif store.has(r.table) and {*r.columns} <= {*store(r.table).columns}:
+                key_checks.setdefault(r.table, []).append(c)
+            elif isinstance(r, Once):
+                known.append((c, F.lit(str(not r.wanted).lower())))
             else:
-                row = spark.range(1).select(F.lit(str(found).lower()).alias("actual"), *literals)
+                raise AnalysisException(f"no column of {r.table}")
         except AnalysisException:
-            row = spark.range(1).select(F.lit(UNKNOWN).alias("actual"), *literals)
-        out = out.unionByName(row)
-    return out.select("ord", "section", "name", "actual", "expected", status(F.col("actual"), F.col("expected")).alias("status"))
+            known.append((c, F.lit(UNKNOWN)))
+    for table, own in row_checks.items():
+        counts = store(table).agg(*(F.count_if(condition).alias(f"_{i}") for i, (_, condition) in enumerate(own)))
+        frames.append(_told(counts, [(c, F.col(f"_{i}").cast("string")) for i, (c, _) in enumerate(own)]))
+    for table, own in key_checks.items():
+        frames.append(_keys_told(store(table), own))
+    if known:
+        frames.append(_told(store.spark().range(1), known))
+    out = frames[0]
+    for more in frames[1:]:
+        out = out.unionByName(more)
+    return out.withColumn("status", status(F.col("actual"), F.col("expected")))
+
+
+def _told(one: DataFrame, found: Sequence[tuple[Check, Column]]) -> DataFrame:
+    """A row for each check from the one row of ``one``."""
+    rows = [F.struct(*(F.lit(getattr(c, k)).alias(k) for k in ("ord", "section", "name")), actual.alias("actual"), F.lit(c.expected).alias("expected")) for c, actual in found]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def _keys_told(table: DataFrame, checks: Sequence[Check]) -> DataFrame:
+    key = lambda columns: F.to_json(F.array(*(F.col(c).cast("string") for c in columns)))
+    full = lambda columns: F.forall(F.array(*(F.col(c).isNotNull() for c in columns)), lambda x: x)
+    keys = [F.when(full(c.rule.columns), F.struct(F.lit(i).alias("i"), key(c.rule.columns).alias("key"))) for i, c in enumerate(checks)]
+    each = table.select(F.explode(F.array_compact(F.array(*keys))).alias("k")).groupBy("k.i", "k.key").agg(F.count(F.lit(1)).alias("n"))
+    repeated = each.agg(*(F.count_if((F.col("i") == i) & (F.col("n") > 1)).alias(f"_{i}") for i in range(len(checks))))
+    number = [F.col(f"_{i}") for i in range(len(checks))]
+    said = [((n == 0) == c.rule.wanted if isinstance(c.rule, Once) else n).cast("string") for n, c in zip(number, checks, strict=True)]
+    return _told(repeated, list(zip(checks, said, strict=True)))
 
 
 class Store:
@@ -82,9 +162,8 @@ class Store:
         except AnalysisException:
             return False
 
-    def unique(self, table: str, columns: Sequence[str]) -> bool:
-        """Whether no key (null ones aside) is there twice: files have no unique indexes to look for."""
-        return self.has(table) and all(c in self(table).columns for c in columns) and duplicates(self(table).dropna(subset=list(columns)), columns).isEmpty()
+    def spark(self) -> SparkSession:
+        return SparkSession.active()
 
 
 def owner_mismatches(items: DataFrame, batches: DataFrame, projects: DataFrame, source: str) -> DataFrame:
@@ -106,11 +185,9 @@ def state_checks(s: Store, source: str = "library", tactic: str = "library_synce
     versions of the writing channel; samples, sample_projects and outputs of the sample
     channel.  Constraints are judged by their data, and policies by their column.
     """
-    there = lambda t, c=None: lambda: s.has(t, c)
-    rows = lambda t, *conditions: lambda: s(t).where(" AND ".join(conditions)) if conditions else s(t)
-    once = lambda t, *columns: lambda: s.unique(t, columns)
-    lost = lambda c, t, key: lambda: orphans(s("notes"), s(t), c, key)
-    hits = lambda: s("notes").where(P.hit(F.col("tier")))
+    there, once = There, lambda t, *columns: Once(t, columns)
+    rows = lambda t, condition=None: Where(t, condition)
+    lost = lambda c, t, key: Rows(lambda: orphans(s("notes"), s(t), c, key))
     listed = [
         ("01", "A", "library is there", there("notes"), "true"),
         ("02", "A", "writing channel is there", there("items"), "true"),
@@ -124,7 +201,7 @@ def state_checks(s: Store, source: str = "library", tactic: str = "library_synce
         ("22", "C", "items: external source", there("items", "external_source"), "true"),
         ("23", "C", "items: external id", there("items", "external_source_id"), "true"),
         ("24", "C", "items: proposed label", there("items", "example_label_proposal"), "true"),
-        ("25", "C", "external ids may recur among users", lambda: not s.unique("items", ["external_source", "external_source_id"]), "true"),
+        ("25", "C", "external ids may recur among users", Once("items", ["external_source", "external_source_id"], wanted=False), "true"),
         ("26", "C", "external ids are unique for each user", once("items", "user_id", "external_source", "external_source_id"), "true"),
         ("31", "D", "items have an owner to restrict by", there("items", "user_id"), "true"),
         ("32", "D", "batches have an owner to restrict by", there("batches", "user_id"), "true"),
@@ -132,19 +209,19 @@ def state_checks(s: Store, source: str = "library", tactic: str = "library_synce
         ("42", "E", "samples: source note", there("samples", "source_note_id"), "true"),
         ("43", "E", "samples: source note is indexed (any of two ways)", there("samples", "source_note_id"), "true"),
         ("44", "E", "one sample for each source note", once("samples", "source_note_id"), "true"),
-        ("45", "E", "source notes with several samples", lambda: duplicates(s("samples").where("source_note_id IS NOT NULL"), ["source_note_id"]), "0"),
-        ("51", "F", "hits", hits, "> 0"),
+        ("45", "E", "source notes with several samples", Repeats("samples", ["source_note_id"]), "0"),
+        ("51", "F", "hits", rows("notes", P.hit(F.col("tier"))), "> 0"),
         ("52", "F", "notes on the first channel", rows("notes", "synced_to_channel1_at IS NOT NULL"), "> 0"),
         ("53", "F", "notes on the second channel", rows("notes", "synced_to_channel2_at IS NOT NULL"), "> 0"),
         ("54", "F", "sample packs", rows("samples", "source_type = 'pack'"), "own and synced ones"),
         ("55", "F", "samples of the old type", rows("samples", f"source_type = '{source}_sync'"), "0"),
-        ("56", "F", "synced samples with the raw platform", lambda: s("samples").where(P.has(F.col("tags"), f"{source}_sync") & (F.col("platform") == "xiaohongshu")), "0"),
+        ("56", "F", "synced samples with the raw platform", rows("samples", P.has(F.col("tags"), f"{source}_sync") & (F.col("platform") == "xiaohongshu")), "0"),
         ("57", "F", "items from the library", rows("items", f"external_source = '{source}'"), "> 0"),
-        ("58", "F", "items of another owner", lambda: owner_mismatches(s("items"), s("batches"), s("item_projects"), source), "0"),
+        ("58", "F", "items of another owner", Rows(lambda: owner_mismatches(s("items"), s("batches"), s("item_projects"), source)), "0"),
         ("59", "F", "batches of synced items", rows("batches", f"tactic = '{tactic}'"), "as many as synced projects"),
         ("60", "F", "positive examples", rows("items", "example_label = 'positive'"), "> 0"),
-        ("70", "G", "projects that lead to no or an unowned writing project", lambda: dangling(s("projects"), s("item_projects"), "channel2_project_id", "owner_id"), "0"),
-        ("71", "G", "projects that lead to no sample project", lambda: dangling(s("projects"), s("sample_projects"), "channel1_project_id"), "0"),
+        ("70", "G", "projects that lead to no or an unowned writing project", Rows(lambda: dangling(s("projects"), s("item_projects"), "channel2_project_id", "owner_id")), "0"),
+        ("71", "G", "projects that lead to no sample project", Rows(lambda: dangling(s("projects"), s("sample_projects"), "channel1_project_id")), "0"),
         ("80", "H", "notes of a missing item", lost("source_item_id", "items", "item_id"), "0"),
         ("81", "H", "notes of a missing version", lost("source_version_id", "versions", "version_id"), "0"),
         ("82", "H", "notes of a missing output", lost("source_output_id", "outputs", "output_id"), "0"),
@@ -183,14 +260,20 @@ def verdict(samples: DataFrame, audits: DataFrame, as_of: Column, days: float =
     return row.withColumn("healthy", F.size("problems") == 0)
 
 
-def exit_code(outcomes: DataFrame) -> int:
-    """1 if a pass of ``outcomes`` (a row each, by ``outcome``) failed as a whole, else 0.
+def exit_codes(outcomes: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``exit_code`` of each pass of ``outcomes`` (a row each, by ``outcome``): 1 if it failed as a whole, else 0.
 
     Any hygiene failure fails it, systemic ones do if nothing succeeded, and failures of
     content alone never do.
     """
-    n = {r["outcome"]: r["n"] for r in outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return int(bool(n.get("hygiene")) or (bool(n.get("systemic")) and not n.get("ok")))
+    n = lambda kind: F.count_if(F.col("outcome") == kind)
+    failed = (n("hygiene") > 0) | ((n("systemic") > 0) & (n("ok") == 0))
+    return outcomes.groupBy(*by).agg(failed.cast("int").alias("exit_code"))
+
+
+def exit_code(outcomes: DataFrame) -> int:
+    """That of one pass."""
+    return exit_codes(outcomes, []).first()["exit_code"]
 
 
 def pending_annotations(notes: DataFrame) -> DataFrame:

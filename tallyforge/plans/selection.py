@@ -234,7 +234,8 @@ def thread_errors(links: DataFrame, known: DataFrame) -> DataFrame:
     """child and error of a comment threading: unknown ids, repeated children, self loops and cycles.
 
     Cycles are found by doubling: after k steps each child knows its ancestor 2^k above; who
-    still has one after as many steps as the longest thread can need, is on or under a cycle.
+    still has one after as many steps as the longest thread can need, is on or under a cycle;
+    it ends as soon as nobody has one.
     """
     ids = known.select(F.col("comment_id").alias("id"))
     missing = lambda c: links.where(F.col(c).isNotNull()).join(ids, F.col(c) == F.col("id"), "left_anti").select("child", F.lit(f"unknown {c}").alias("error"))
@@ -242,7 +243,7 @@ def thread_errors(links: DataFrame, known: DataFrame) -> DataFrame:
     loops = links.where(F.col("child") == F.col("parent")).select("child", F.lit("self loop").alias("error"))
     up = links.where(F.col("parent").isNotNull() & (F.col("child") != F.col("parent"))).select("child", "parent").dropDuplicates(["child"])
     n, step = up.count(), 1
-    while step <= n:
+    while step <= n and not up.isEmpty():  # threads are short: most often a few steps leave none
         above = up.select(F.col("child").alias("c"), F.col("parent").alias("grand"))
         up = up.join(above, F.col("parent") == F.col("c")).select("child", F.col("grand").alias("parent"))
         up = materialised(up)

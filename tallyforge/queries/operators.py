@@ -83,7 +83,7 @@ QUERIES = {
     "u2_negatives": lambda c: S.negatives(c.items(), c.versions(), c.items().where("item_id % 10 = 0")),
     "r9_thresholds": lambda c: S.recommended_thresholds(c.notes(), 250.0, 400.0),
     "r11_push_eligible": lambda c: S.push_eligible(c.notes(), as_of()).select("note_id"),
-    "r12_to_retract": lambda c: S.to_retract(c.notes(), c.notes().where("note_id % 2 = 0").select("note_id")),
+    "r12_to_retract": lambda c: S.to_retract(c.notes(), c.notes().select("note_id")),
     "r20_reach_estimate": lambda c: S.reach_estimate(c.notes().withColumn("impressions", F.when(F.col("project_id") != "HOUSEHOLD", F.col("impressions")))),
     "v30_batch_item_counts": lambda c: S.batch_item_counts(c.items(), c.items()),
     "v32_duplicate_keys": lambda c: K.duplicates(c.table("lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"]),
@@ -135,7 +135,7 @@ ORACLES = {
     "u2_negatives": _sql(f"SELECT item_id, min(source) AS source FROM (SELECT item_id, 'A' AS source FROM ({_A}) UNION ALL SELECT item_id, 'B' FROM ({_B}) UNION ALL SELECT item_id, 'C' FROM ({_C})) WHERE item_id NOT IN (SELECT item_id FROM items WHERE item_id % 10 = 0) GROUP BY item_id"),
     "r9_thresholds": _sql(f"SELECT *, (hit - 250.0::DOUBLE) / 250.0::DOUBLE AS hit_drift, (mega - 400.0::DOUBLE) / 400.0::DOUBLE AS mega_drift FROM (SELECT *, CAST(round_even(p75, 0) AS BIGINT) AS hit, CAST(round_even(p90, 0) AS BIGINT) AS mega FROM (SELECT project_id, count(interactions) AS n, {_Q.format(c='interactions::DOUBLE')} FROM notes GROUP BY project_id))"),
     "r11_push_eligible": _sql("SELECT note_id FROM notes WHERE tier IN ('爆', '大爆', '参考') AND tier_source <> '数值推断' AND publish_time >= TIMESTAMP '2001-08-02' - INTERVAL 365 DAY AND synced_to_channel1_at IS NULL AND NOT (synthetic AND tier <> '参考')"),
-    "r12_to_retract": _sql("SELECT note_id FROM notes WHERE note_id % 2 = 0 AND synthetic AND tier IN ('爆', '大爆')"),
+    "r12_to_retract": _sql("SELECT note_id FROM notes WHERE synthetic AND tier IN ('爆', '大爆')"),
     "r20_reach_estimate": _sql("""SELECT project_id, hits, CASE WHEN coalesce(imp, 0) = 0 THEN CAST(round(hits * per_hit) AS BIGINT) ELSE imp END AS reach, coalesce(imp, 0) = 0 AS is_estimate
       FROM (SELECT project_id, count(*) FILTER (WHERE tier IN ('爆', '大爆') AND NOT synthetic) AS hits, CAST(sum(CASE WHEN project_id <> 'HOUSEHOLD' THEN impressions END) AS BIGINT) AS imp FROM notes GROUP BY project_id),
       (SELECT avg(impressions) AS per_hit FROM notes WHERE tier IN ('爆', '大爆') AND NOT synthetic AND project_id <> 'HOUSEHOLD')"""),

@@ -164,7 +164,7 @@ CYCLES = {
         {"female": "DOUBLE", "young": "DOUBLE", "shanghai": "DOUBLE", "seconds": "DOUBLE", "raw": "VARCHAR"}, _audience,
     ),
     "c9_coerced": cycled(
-        [(cell("1,234"), 1234.0, "1|234", "1,234"), (cell("１．５"), 1.5, "１．５", "１．５"), (cell(True), None, "True", None), (cell("/"), None, None, "/"), (cell([{"text": "x"}, "y"]), None, "x|y", "x, y"), (cell(7), 7.0, "7", "7"), (None, None, None, None)],
+        [(cell("1,234"), 1234.0, "1|234", "1,234"), (cell("１．５"), 1.5, "１．５", "１．５"), (cell(True), None, "True", None), (cell("/"), None, None, "/"), (cell([{"text": "x"}, "y"]), None, "x|y", "x, y"), (cell(7), 7.0, "7", "7"), (cell("1f"), None, "1f", "1f"), (cell("1d"), None, "1d", "1d"), (cell("1e3"), 1000.0, "1e3", "1e3"), (None, None, None, None)],
         {"number": "DOUBLE", "parts": "VARCHAR", "plain": "VARCHAR"}, lambda c: {"number": C.coerce(c, "numeric"), "parts": F.array_join(C.coerce(c, "array"), "|"), "plain": C.coerce(c, "text")},
     ),
     "c12_sums": cycled(
@@ -221,8 +221,11 @@ CYCLES = {
     ),
     "c28_payload_caps": cycled([("中" * 3, False), ("中" * 4, True), ("x" * 10, False), ("x" * 11, True), (None, False)], {"too_large": "BOOLEAN"}, lambda c: {"too_large": C.too_large(c, 10)}),
     "c29_lessons": cycled(
-        [(cell({"hook": "a", "why": "b"}), ""), (cell({"hook": " ", "why": "b"}), "hook"), (cell({}), "hook;why"), (cell({"why": "x"}), "hook")],
-        {"errors": "VARCHAR"}, lambda c: {"errors": joined(R.lesson_errors({k: F.from_json(c, "hook string, why string")[k] for k in ("hook", "why")}))},
+        [
+            (cell({"hook_type": "a", "structure": "b", "why_it_worked": "c", "transferable_tactic": "d"}), ""), (cell({"hook_type": " ", "structure": "b", "why_it_worked": "c", "transferable_tactic": "d"}), "hook_type"),
+            (cell({}), "hook_type;structure;why_it_worked;transferable_tactic"), (cell({"why_it_worked": "x", "structure": ""}), "hook_type;structure;transferable_tactic"),
+        ],
+        {"errors": "VARCHAR"}, lambda c: {"errors": joined(R.lesson_errors({k: F.get_json_object(c, f"$.{k}") for k in N.LESSON}))},
     ),
     "c32_vocabulary_moves": cycled(
         [(cell({"a": ["旧", "x", "并", "弃"], "s": "旧"}), "新;x", "新"), (cell({"a": ["弃"], "s": "弃"}), "", None), (cell({"a": [], "s": "y"}), "", "y"), (cell({}), None, None)],

@@ -28,10 +28,10 @@ def _store(c: Catalog) -> H.Store:
         "project_id", F.when(F.col("project_id") != "HOUSEHOLD", F.col("created_seq") % 7).alias("channel2_project_id"), F.when(F.col("project_id") == "BUILDING", 999_999).alias("channel1_project_id"), F.lit("2001-01-02").alias("start_date"), F.when(F.col("project_id") == "MACHINERY", "2001-01-01").otherwise("2001-01-03").alias("end_date")
     )
     items = lambda: c.table("orders").select(
-        k.alias("item_id"), (F.col("o_custkey") % 100).alias("batch_id"), (F.col("o_custkey") % 10).alias("user_id"), F.when(k % 3 == 0, "library").alias("external_source"), F.when(k % 3 == 0, k % 1000).alias("external_source_id"), F.lit(None).cast("string").alias("example_label_proposal"),
+        k.alias("item_id"), F.col("o_custkey").alias("batch_id"), (F.col("o_custkey") % 10).alias("user_id"), F.when(k % 3 == 0, "library").alias("external_source"), F.when(k % 3 == 0, k % 1000).alias("external_source_id"), F.lit(None).cast("string").alias("example_label_proposal"),
         F.when(k % 8 == 0, "positive").alias("example_label"), F.col("o_orderdate").alias("created_at"),
     )
-    batches = lambda: c.table("part").where("p_partkey < 100").select(F.col("p_partkey").alias("batch_id"), (F.col("p_partkey") % 6).alias("project_id"), F.lit(1).alias("user_id"), F.when(F.col("p_partkey") % 20 == 0, "library_synced").alias("tactic"))
+    batches = lambda: c.table("part").select(F.col("p_partkey").alias("batch_id"), (F.col("p_partkey") % 6).alias("project_id"), F.lit(1).alias("user_id"), F.when(F.col("p_partkey") % 20 == 0, "library_synced").alias("tactic"))
     owners = lambda: c.spark.range(6).select(F.col("id").alias("project_id"), F.when(F.col("id") != 3, F.col("id")).alias("owner_id"))
     samples = lambda: c.table("part").select(
         F.col("p_partkey").alias("sample_id"), F.col("p_name").alias("post_title"), F.when(F.col("p_partkey") % 2 == 0, F.floor(F.col("p_partkey") / 4)).alias("source_note_id"), F.when(F.col("p_partkey") % 5 == 0, "library_sync").otherwise("pack").alias("source_type"), F.array(F.lit("library_sync"), F.lit(None)).alias("tags"),
@@ -42,7 +42,8 @@ def _store(c: Catalog) -> H.Store:
 
 
 def _verify(c: Catalog):
-    return H.verify(c.spark, H.state_checks(_store(c))).select("ord", "actual", "expected", "status")
+    store = _store(c)
+    return H.verify(store, H.state_checks(store)).select("ord", "actual", "expected", "status")
 
 
 def _audits(c: Catalog):
@@ -63,7 +64,7 @@ def _briefs(c: Catalog):
     k = F.col("c_custkey")
     brief = {"brand": F.col("c_name"), "consumer": F.when(k % 2 == 0, F.lit("writer")), "project_id": F.col("c_mktsegment"), "key_messages": F.when(k % 3 == 0, F.array(F.lit("快"), F.lit('a"b'))), "tone": F.lit("x\ny")}
     keyed = c.table("customer").select("c_custkey", brief["consumer"].alias("consumer"), F.col("c_mktsegment").alias("project_id"), S.brief_digest(brief).alias("digest"))
-    version = S.library_version(c.notes().where("note_id % 7 = 0").select(F.date_format("publish_time", "yyyy-MM-dd").alias("curated_at")), as_of())
+    version = S.library_version(c.notes().select(F.date_format("publish_time", "yyyy-MM-dd").alias("curated_at")), as_of())
     return keyed.crossJoin(version).withColumn("cache_key", S.cache_key(F.col("consumer"), F.col("project_id"), F.col("digest"), F.col("version"))).select("c_custkey", "digest", "version", "cache_key")
 
 
@@ -81,8 +82,8 @@ def _calibrations(c: Catalog):
 
 
 def _picks(c: Catalog):
-    picks = c.table("lineitem").where("l_orderkey % 5 = 0").select(F.col("l_orderkey").alias("request"), (F.col("l_linenumber") - 1).alias("place"), F.when(F.col("l_linenumber") % 3 == 0, -F.col("l_partkey") - 1).otherwise(F.col("l_partkey")).alias("note_id"))
-    known = c.table("part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("note_id"), F.col("p_brand").alias("hook_type"))
+    picks = c.table("lineitem").select(F.col("l_orderkey").alias("request"), (F.col("l_linenumber") - 1).alias("place"), F.when(F.col("l_linenumber") % 3 == 0, -F.col("l_partkey") - 1).otherwise(F.col("l_partkey")).alias("note_id"))
+    known = c.table("part").select(F.col("p_partkey").alias("note_id"), F.col("p_brand").alias("hook_type"))
     return N.picked_cards(picks, known, 3).select("request", "place", "note_id", "hook_type")
 
 
@@ -126,7 +127,7 @@ def _mixed(c: Catalog):
 
 def _embedded(c: Catalog):
     """Pushed notes with their project's brand and platform, where the project is known."""
-    return S.with_project(c.notes().where("note_id % 6 = 0").select("note_id", "project_id"), c.projects().where("project_id <> 'BUILDING'"))
+    return S.with_project(c.notes().select("note_id", "project_id"), c.projects().where("project_id <> 'BUILDING'"))
 
 
 def _copied(c: Catalog):
@@ -145,8 +146,8 @@ QUERIES = {
     "v34_daily_hit_rate": lambda c: S.daily_hit_rate(_audits(c), "db_sourced", "total_vibe_cells").withColumn("day", F.date_format("day", "yyyy-MM-dd")),
     "v35_label_accuracy": _calibrations,
     "r4_retire_stale": lambda c: S.retire_stale(c.table("orders").select("o_orderkey", F.lit("positive").alias("label"), F.col("o_orderdate").alias("created_at")), as_of(), 1800).select("o_orderkey", "label"),
-    "r10_saturated_pools": lambda c: H.saturated(VIEW_QUERIES["v_pool_saturation"](c), 0.4),
-    "r12_to_retract_by_lineage": lambda c: S.to_retract(c.notes(), c.notes().where("note_id % 2 = 0").select(F.when(F.col("note_id") % 4 == 0, F.col("note_id")).alias("note_id"), F.concat(F.lit('{"note_id": "'), F.col("note_id").cast("string"), F.lit('"}')).alias("lineage"))).select("lineage"),
+    "r10_saturated_pools": lambda c: H.saturated(VIEW_QUERIES["v_pool_saturation"](c)),
+    "r12_to_retract_by_lineage": lambda c: S.to_retract(c.notes(), c.notes().select(F.when(F.col("note_id") % 4 == 0, F.col("note_id")).alias("note_id"), F.concat(F.lit('{"note_id": "'), F.col("note_id").cast("string"), F.lit('"}')).alias("lineage"))).select("lineage"),
     "r13_verdict": _verdict,
     "r14_cache_keys": _briefs,
     "r14_cache_hits": _cache_hits,
@@ -188,8 +189,8 @@ def _sql(body: str, *more: str) -> str:
 
 _STORE = """
   k_notes AS (SELECT o_orderkey AS note_id, o_custkey FROM orders),
-  i AS (SELECT o_orderkey AS item_id, o_custkey % 100 AS batch_id, o_custkey % 10 AS user_id, o_orderkey % 3 = 0 AS lib, o_orderkey % 8 = 0 AS pos FROM orders),
-  b AS (SELECT p_partkey AS batch_id, p_partkey % 6 AS project_id FROM part WHERE p_partkey < 100),
+  i AS (SELECT o_orderkey AS item_id, o_custkey AS batch_id, o_custkey % 10 AS user_id, o_orderkey % 3 = 0 AS lib, o_orderkey % 8 = 0 AS pos FROM orders),
+  b AS (SELECT p_partkey AS batch_id, p_partkey % 6 AS project_id FROM part),
   wrong AS (SELECT item_id, user_id, project_id AS owner_id FROM i JOIN b USING (batch_id) WHERE lib AND project_id <> 3 AND project_id <> user_id)"""
 _TRUE = ("01", "02", "03", "11", "12", "13", "21", "22", "23", "24", "31", "32", "41", "42", "43")
 
@@ -216,7 +217,7 @@ _CHECKS = " UNION ALL ".join(
         _state("56", "(SELECT count(*) FROM part WHERE p_partkey % 7 = 0)", "0"),
         _state("57", "(SELECT count(*) FROM i WHERE lib)", "> 0"),
         _state("58", "(SELECT count(*) FROM wrong)", "0"),
-        _state("59", "(SELECT count(*) FROM part WHERE p_partkey < 100 AND p_partkey % 20 = 0)", "as many as synced projects"),
+        _state("59", "(SELECT count(*) FROM part WHERE p_partkey % 20 = 0)", "as many as synced projects"),
         _state("60", "(SELECT count(*) FROM i WHERE pos)", "> 0"),
         _state("70", "(SELECT count(*) FROM projects WHERE project_id <> 'HOUSEHOLD' AND created_seq % 7 IN (3, 6))", "0"),
         _state("80", "(SELECT count(*) FROM k_notes WHERE note_id % 10 = 0 AND note_id * 2 NOT IN (SELECT item_id FROM i))", "0"),
@@ -240,15 +241,15 @@ ORACLES = {
     "v34_daily_hit_rate": f"WITH {_AUDITS} SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(sum(db) AS BIGINT) AS hits, CAST(sum(cells) AS BIGINT) AS total, round(CAST(sum(db) AS DOUBLE) / sum(cells), 3) AS hit_rate FROM audits GROUP BY 1",
     "v35_label_accuracy": "SELECT upper(source) AS category, count(*) AS total, count(*) FILTER (WHERE lang = ['en', 'fr', 'de', 'es'][n_chars % 4 + 1]) AS matches, count(*) FILTER (WHERE lang = ['en', 'fr', 'de', 'es'][n_chars % 4 + 1]) / count(*) AS accuracy FROM documents GROUP BY 1",
     "r4_retire_stale": f"SELECT o_orderkey, CASE WHEN NOT o_orderdate < {_AT} - INTERVAL 1800 DAY THEN 'positive' END AS label FROM orders",
-    "r10_saturated_pools": f"SELECT * FROM ({_POOL}) WHERE dominant_ratio >= 0.4",
-    "r12_to_retract_by_lineage": _sql("""SELECT '{"note_id": "' || note_id || '"}' AS lineage FROM notes WHERE note_id % 2 = 0 AND synthetic AND tier IN ('爆', '大爆')"""),
+    "r10_saturated_pools": f"SELECT * FROM ({_POOL}) WHERE dominant_ratio >= 0.6",
+    "r12_to_retract_by_lineage": _sql("""SELECT '{"note_id": "' || note_id || '"}' AS lineage FROM notes WHERE synthetic AND tier IN ('爆', '大爆')"""),
     "r13_verdict": f"""WITH {_AUDITS}, a AS (SELECT count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-25') AS audit_rows, CAST(coalesce(sum(db) FILTER (WHERE ts >= TIMESTAMP '2024-01-25'), 0) AS BIGINT) AS db_sourced,
         count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-25') AS static_sourced, CAST(coalesce(sum(cells) FILTER (WHERE ts >= TIMESTAMP '2024-01-25'), 0) AS BIGINT) AS total_vibe_cells, count(*) FILTER (WHERE warned AND ts >= TIMESTAMP '2024-01-31') AS warnings FROM audits),
       s AS (SELECT count(*) AS total, count(*) FILTER (WHERE p_partkey % 2 = 0) AS synced, count(*) FILTER (WHERE p_partkey % 2 = 0 AND (p_partkey % 7 = 1 OR p_partkey % 11 = 0)) AS unreachable FROM part),
       r AS (SELECT *, round(CAST(db_sourced AS DOUBLE) / nullif(total_vibe_cells, 0), 6) AS hit_rate FROM s, a)
       SELECT *, array_to_string(list_filter([CASE WHEN hit_rate < 0.3 THEN 'hit rate' END, CASE WHEN warnings > 0 THEN 'warnings' END, CASE WHEN unreachable > 0 THEN 'unreachable samples' END], lambda x: x IS NOT NULL), ';') AS problems,
         array_to_string(list_filter([CASE WHEN synced = 0 THEN 'nothing synced' END, CASE WHEN audit_rows = 0 THEN 'nothing audited' END], lambda x: x IS NOT NULL), ';') AS advisories, NOT (coalesce(hit_rate < 0.3, false) OR warnings > 0 OR unreachable > 0) AS healthy FROM r""",
-    "r14_cache_keys": f"""WITH v AS (SELECT count(*) || ':' || coalesce(max(strftime(o_orderdate, '%Y-%m-%d')), 'none') || ':2001-08' AS version FROM orders WHERE o_orderkey % 7 = 0), d AS (SELECT c_custkey, c_mktsegment, left(sha256({_BRIEF}), 32) AS digest FROM customer)
+    "r14_cache_keys": f"""WITH v AS (SELECT count(*) || ':' || coalesce(max(strftime(o_orderdate, '%Y-%m-%d')), 'none') || ':2001-08' AS version FROM orders), d AS (SELECT c_custkey, c_mktsegment, left(sha256({_BRIEF}), 32) AS digest FROM customer)
       SELECT c_custkey, digest, version, sha256(CASE WHEN c_custkey % 2 = 0 THEN 'writer' ELSE 'None' END || '|' || c_mktsegment || '|' || digest || '|' || version) AS cache_key FROM d, v""",
     "r14_cache_hits": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '[]' END AS selected FROM customer",
     "r15_prunable": f"SELECT o_orderkey FROM orders WHERE CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate ELSE o_orderdate + INTERVAL 900 DAY END < {_AT} - INTERVAL 400 DAY",
@@ -256,7 +257,7 @@ ORACLES = {
         """SELECT "column", value, n, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS k FROM (SELECT 'tier' AS "column", coalesce(tier, '') AS value, count(*) AS n FROM notes GROUP BY ALL
       UNION ALL SELECT 'tier_source', coalesce(tier_source, ''), count(*) FROM notes GROUP BY ALL UNION ALL SELECT 'intent', coalesce(intent, ''), count(*) FROM notes GROUP BY ALL)) WHERE k <= 3"""
     ),
-    "r18_picked_cards": "SELECT l_orderkey AS request, l_linenumber - 1 AS place, l_partkey AS note_id, p_brand AS hook_type FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 5 = 0 AND l_linenumber <= 3 AND l_linenumber % 3 <> 0 AND l_partkey % 2 = 0",
+    "r18_picked_cards": "SELECT l_orderkey AS request, l_linenumber - 1 AS place, l_partkey AS note_id, p_brand AS hook_type FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber <= 3 AND l_linenumber % 3 <> 0",
     "r19_showcase": f"""SELECT round(100.0 * hits_real / notes, 1) AS hit_rate, notes * 14 AS inferences, levers * audiences * 19 AS strategy_space, c * (c - 1) AS transfer_paths, impressions + reads + interactions * 50 AS signal_flux
       FROM ({_OVERVIEW}), (SELECT count(DISTINCT CASE WHEN c_mktsegment IN ('HOUSEHOLD', 'FURNITURE') THEN 'home' ELSE 'trade' END) AS c FROM customer)""",
     "r19_ranked_axes": f"""WITH m AS ({_MATRIX}), t AS (SELECT 'lever' AS axis, lever AS name, CAST(sum(n) AS BIGINT) AS n FROM m GROUP BY ALL UNION ALL SELECT 'audience', audience, CAST(sum(n) AS BIGINT) FROM m GROUP BY ALL)
@@ -280,7 +281,7 @@ ORACLES = {
     "d4_update": "SELECT s_suppkey, CASE WHEN s_nationkey < 5 THEN upper(s_name) ELSE s_name END AS s_name, CASE WHEN s_nationkey < 5 THEN -1 ELSE s_nationkey END AS s_nationkey FROM supplier",
     "d10_pending": _sql("SELECT project_id, count(*) AS notes, count(*) FILTER (WHERE annotated_at IS NULL) AS pending FROM notes GROUP BY project_id"),
     "d14_fill": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'w' WHEN o_orderstatus = 'F' THEN 'default' END AS workspace FROM orders",
-    "j14_with_project": _sql("SELECT note_id, notes.project_id, brand, platform FROM notes LEFT JOIN (SELECT * FROM projects WHERE project_id <> 'BUILDING') p ON notes.project_id = p.project_id WHERE note_id % 6 = 0"),
+    "j14_with_project": _sql("SELECT note_id, notes.project_id, brand, platform FROM notes LEFT JOIN (SELECT * FROM projects WHERE project_id <> 'BUILDING') p ON notes.project_id = p.project_id"),
     "j18_update_from": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey WHEN o_orderkey % 3 = 0 THEN -o_custkey END AS owner FROM orders",
     "io7_copy_missing": "SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN s_name ELSE upper(s_name) END AS s_name, CAST((SELECT count(*) FROM supplier WHERE s_suppkey % 4 = 0) AS INTEGER) AS added FROM supplier",
     "p10_flagged": "SELECT event_id FROM events WHERE event_id % 3 = 0",

@@ -54,17 +54,19 @@ def fields(records: DataFrame) -> DataFrame:
     return cells.groupBy("column").agg(F.count(F.lit(1)).alias("records"), F.sort_array(F.collect_set(C.kind(F.col("cell")))).alias("kinds"))
 
 
-def column_values(records: DataFrame, cap: int = 40) -> DataFrame:
-    """The ``cap`` most frequent values of each column: column, value, n and rank (ties by value); list cells count by element.
+def column_values(records: DataFrame, cap: int = 40, by: Sequence[str] = (), columns: Sequence[str] | None = None) -> DataFrame:
+    """The ``cap`` most frequent values of each column (of each group): column, value, n and rank (ties by value); list cells count by element.
 
     Values are counted before any are ranked, and Spark keeps the first ``cap`` of a column
-    in each task.
+    in each task.  Only ``columns``, if they are given.
     """
     cell = F.col("cell")
     values = F.when(C.kind(cell) == "list", C._elements(cell)).otherwise(F.array(C.flatten_cell(cell)))
-    each = records.select(F.explode("fields").alias("column", "cell")).select("column", F.explode(values).alias("value")).where(F.col("value").isNotNull())
-    counted = each.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    return top_per_group(counted, ["column"], [F.desc("n"), F.asc("value")], cap)
+    cells = records.select(*by, F.explode("fields").alias("column", "cell"))
+    cells = cells if columns is None else cells.where(F.col("column").isin(*columns))
+    each = cells.select(*by, "column", F.explode(values).alias("value")).where(F.col("value").isNotNull())
+    counted = each.groupBy(*by, "column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return top_per_group(counted, [*by, "column"], [F.desc("n"), F.asc("value")], cap)
 
 
 #: Types of a note's columns by target, where a mapping names none; others are text.
@@ -259,9 +261,9 @@ def note_rows(rows: DataFrame) -> DataFrame:
     return rows.drop(*(c for c in ONLY_METRICS if c in rows.columns))
 
 
-def runs_now(sync_interval: str | None, scheduled: bool) -> bool:
+def due(sync_interval: Column, scheduled: Column) -> Column:
     """Whether a project is synced: those on demand are left out of scheduled runs."""
-    return not (scheduled and sync_interval == "on_demand")
+    return ~(scheduled & sync_interval.eqNullSafe("on_demand"))
 
 
 def preflight(records: DataFrame, mapping: Mapping_) -> DataFrame:
@@ -296,6 +298,6 @@ def preflight(records: DataFrame, mapping: Mapping_) -> DataFrame:
     return one.withColumns({"blocking": F.array_compact(F.array(*blocking)), "warnings": F.array_compact(F.array(*warned))})
 
 
-def write_dead_letters(failures: DataFrame, path: str) -> None:
-    """Append failed rows as JSON lines."""
-    failures.write.mode("append").json(path)
+def write_dead_letters(failures: DataFrame, path: str, batch: str) -> None:
+    """Write the failed rows of a batch as JSON lines under its name; a batch that is tried again replaces its own."""
+    failures.write.mode("overwrite").json(f"{path}/batch={batch}")

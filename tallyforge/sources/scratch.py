@@ -5,12 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """``df`` written under ``spark.checkpoint.dir`` and read back; a temporary folder where a local session (tests) sets none."""
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession) -> str:
+    """A new path under ``spark.checkpoint.dir``; under a temporary folder where a local session (tests) sets none."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
@@ -19,6 +18,11 @@ def materialised(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="tallyforge-"))
         folder = context.getCheckpointDir()
-    path = f"{folder}/tables/{uuid.uuid4().hex}"
+    return f"{folder}/tables/{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` written to a :func:`fresh_path` and read back."""
+    path = fresh_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)

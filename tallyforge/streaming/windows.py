@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from ..operators.keyed import KeyedTable
 from ..operators.ranking import newest
-from ..operators.state import upsert, write
 
 
 def windowed(events: DataFrame, at: str, by: Sequence[str], aggregates: Sequence[Column], size: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -30,11 +30,21 @@ def deduplicated(events: DataFrame, at: str, key: Sequence[str], late: str = "10
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark(list(key))
 
 
-def upserting(events: DataFrame, path: str, key: Sequence[str], order: Column) -> DataStreamWriter:
-    """A writer that merges each micro-batch's newest row of a key into the table at ``path``; replays change nothing."""
+def interval_join(left: DataFrame, right: DataFrame, left_at: str, right_at: str, on: Column, within: str, late: str = "10 minutes") -> DataFrame:
+    """Rows of ``right`` at the time of a row of ``left`` or up to ``within`` after it; both sides' state goes as the watermark passes."""
+    timed, later = left.withWatermark(left_at, late), right.withWatermark(right_at, late)
+    return timed.join(later, on & (F.col(right_at) >= F.col(left_at)) & (F.col(right_at) <= F.col(left_at) + F.expr(f"INTERVAL {within}")))
+
+
+def upserting(events: DataFrame, table: KeyedTable, order: Sequence[Column], columns: Sequence[str] | None = None, writer: str = "stream") -> DataStreamWriter:
+    """A writer that merges each micro-batch's first row of a key, by ``order``, into ``table``.
+
+    A batch that is replayed is known by its number and changes nothing; only the buckets
+    that it touches are written.
+    """
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        own = newest(batch, key, [order])
-        write(upsert(batch.sparkSession.read.parquet(path), own, key), path)
+        own = newest(batch, table.key, order)
+        table.merge(own.select(*(columns or table.schema.names)), writer=writer, number=epoch)
 
     return events.writeStream.foreachBatch(merge)

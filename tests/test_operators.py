@@ -11,6 +11,7 @@ from tallyforge.functions import predicates as P
 from tallyforge.operators import aggregates as A
 from tallyforge.operators import ranking as K
 from tallyforge.operators import state as T
+from tallyforge.operators.keyed import KeyedTable
 from tallyforge.plans import annotation as N
 from tallyforge.plans import health as H
 from tallyforge.plans import selection as S
@@ -137,8 +138,8 @@ def test_ingest(spark, tmp_path):
     some, columns = Q.sample(records, 2)
     assert len(some) == 2 and set(columns) <= {"正文", "互动", "状态", "类型", "备注", "发布", "曝光", "odd"}
     assert Q.union(records, records.limit(1)).count() == 6
-    Q.write_dead_letters(parts["quarantine"], f"file://{tmp_path}/dead")
-    Q.write_dead_letters(parts["quarantine"], f"file://{tmp_path}/dead")
+    for batch in ("1", "2", "1"):  # the first is tried again
+        Q.write_dead_letters(parts["quarantine"], f"file://{tmp_path}/dead", batch)
     assert spark.read.json(f"file://{tmp_path}/dead").count() == 4
 
 
@@ -154,23 +155,52 @@ def test_wrong_mappings_are_refused(change):
         Q.load_mapping(CONFIG | change, "p")
 
 
-def test_cron_gate():
-    assert [Q.runs_now(i, s) for i, s in (("on_demand", True), ("on_demand", False), ("daily", True), (None, True))] == [False, True, True, True]
+def test_cron_gate(spark):
+    rows = spark.createDataFrame([("on_demand", True), ("on_demand", False), ("daily", True), (None, True)], "i string, s boolean")
+    assert [r[0] for r in rows.select(Q.due(F.col("i"), F.col("s"))).collect()] == [False, True, True, True]
 
 
-def test_onboarding(spark):
+def told(frame):
+    return sorted(tuple("" if x is None else x for x in r) for r in frame.collect())
+
+
+def test_drafts_are_validated(spark):
     fields = lambda **kw: {k: json.dumps(v, ensure_ascii=False) for k, v in kw.items()}
-    rows = [(str(i), fields(正文=f"text {i}", 状态="爆贴" if i % 2 else "趴", 类型=["traffic", "流量帖"], 备注=i)) for i in range(6)]
-    records = spark.createDataFrame(rows, Q.SCHEMA)
-    made = O.draft("p", records, {"正文": "raw_content", "状态": "_status_raw", "类型": "_intent_raw"}, cap=3)
-    assert made["project_specific_fields_to_raw_extra"] == ["备注"] and made["intent_mapping"] == {"traffic": "traffic", "流量帖": O.PENDING}
-    found = O.validate(made, ["正文", "新列", "_record_id"])
-    assert found["errors"] == [] and found["uncovered_columns"] == ["新列"] and len(found["pending"]) == 3
-    wrong = O.validate({"intent_mapping": {"a": "b"}, "category": "x", "direction_decomposition": {"d": {"sub_directions": [{"name": "s", "content_format": "vlog", "intent_override": "mixed"}]}}}, vocabulary={"category": ["y"], "content_format": ["story"]})
-    assert wrong["errors"] == ["category: 'x'", "intent_mapping[a]: 'b'", "direction[d/s].content_format: 'vlog'"]
-    assert O.validate(None)["errors"]
-    same = O.compare(made, made)
-    assert same["diffs"] == ["tier_thresholds"] and O.compare(made, made | {"field_mapping": {"x": "y"}, "tier_thresholds": {}})["diffs"][0] == "field_mapping: missing ['x'], extra ['正文', '状态', '类型']"
+    rows = [("p", str(i), fields(正文=f"text {i}", 状态="爆贴" if i % 2 else "趴", 类型=["traffic", "流量帖"], 备注=i)) for i in range(6)] + [("q", "1", fields(正文="x", _record_id="r"))]
+    records = spark.createDataFrame(rows, "config_id string, " + Q.SCHEMA)
+    made = O.drafted(records, {"正文": "raw_content", "状态": "_status_raw", "类型": "_intent_raw"}, cap=3)
+    config = {r["config_id"]: json.loads(r["config"]) for r in made.collect()}
+    assert config["p"]["project_specific_fields_to_raw_extra"] == ["备注"] and config["p"]["intent_mapping"] == {"traffic": "traffic", "流量帖": O.PENDING}
+    assert [x["match_contains"] for x in config["p"]["tier_extraction"]["rules"]] == [["爆贴"], ["趴"]] and config["q"]["field_mapping"] == {"正文": "raw_content"}
+    columns = spark.createDataFrame([("p", "正文"), ("p", "新列"), ("p", "_record_id")], "config_id string, column string")
+    found = told(O.validated(made, columns=columns))
+    assert [x[:2] for x in found] == [("p", "pending")] * 3 + [("p", "uncovered")] and found[-1][3] == "新列"
+
+
+def test_values_outside_their_sets(spark):
+    ways = {"d/e": {"content_format": "no", "sub_directions": [{"content_format": "vlog", "intent_override": "mixed"}]}, "f": {"content_format": "story", "target_audience": ["a", "z"], "intent_override": O.PENDING}}
+    config = {"intent_mapping": {"a": "b"}, "category": "x", "schema_family": "any", "tier_extraction": {"rules": [{"tier": None}, {"tier": "好"}]}, "direction_decomposition": ways}
+    configs = spark.createDataFrame([("1", json.dumps(config, ensure_ascii=False)), ("2", "[]"), ("3", "no json"), ("4", "{}"), ("5", None)], "config_id string, config string")
+    found = told(O.validated(configs, {"category": ["y"], "content_format": ["story"], "target_audience": ["a"]}))
+    assert found == [
+        ("1", "error", "/category", "x"),
+        ("1", "error", "/direction_decomposition/d~1e/sub_directions/0/content_format", "vlog"),
+        ("1", "error", "/direction_decomposition/f/target_audience/1", "z"),
+        ("1", "error", "/intent_mapping/a", "b"),
+        ("1", "error", "/tier_extraction/rules/1/tier", "好"),
+        ("2", "error", "", "[]"),
+        ("3", "error", "", "no json"),
+        ("5", "error", "", ""),
+    ]
+
+
+def test_structures_are_compared(spark):
+    made = {"field_mapping": {"a": "x", "b": "y"}, "direction_decomposition": {"d": {"content_format": "s"}}, "tier_extraction": {"source": "s"}, "tier_thresholds": {"爆": 1}}
+    wanted = {"field_mapping": {"a": "other", "c": "y"}, "direction_decomposition": {"d": {"content_format": "t"}}, "tier_extraction": {"source": "t"}}
+    frame = lambda x: spark.createDataFrame([("1", json.dumps(x))], "config_id string, config string")
+    assert told(O.compared(frame(made), frame(made))) == []
+    assert told(O.compared(frame(made), frame(wanted))) == [("1", "columns", "extra", "b"), ("1", "columns", "missing", "c"), ("1", "source of tiers", "extra", "s"), ("1", "source of tiers", "missing", "t")]
+    assert told(O.compared(frame(wanted), frame(wanted))) == [("1", "thresholds", "missing", "")]
 
 
 def test_answers_are_tried_once_more(spark):
@@ -186,7 +216,7 @@ def test_answers_are_tried_once_more(spark):
     try:
         valid, failed = N.with_retry(prompts, ask, wrong)
         assert sorted((r["id"], r["answer"], r["retried"]) for r in valid.collect()) == [("1", '{"x": "good"}', False), ("2", '{"x": "good"}', True), ("3", '{"x": "good"}', True)]
-        assert [(r["id"], r["errors"]) for r in failed.collect()] == [("4", ["call failed"])]
+        assert [(r["id"], r["errors"]) for r in failed.collect()] == [("4", ["call failed: RuntimeError: down"])]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
@@ -254,11 +284,11 @@ def test_streaming_upsert_and_windows(spark, tmp_path):
     rows = [(1, "a", "2024-01-01 00:00:10"), (1, "b", "2024-01-01 00:00:50"), (2, "c", "2024-01-01 00:06:00")]
     events = spark.createDataFrame(rows, "k int, x string, ts string").withColumn("ts", F.to_timestamp("ts"))
     events.coalesce(1).write.parquet(source)
-    T.write(events.limit(0), table)
+    state = KeyedTable(spark, table, ["k"], events.schema, buckets=4)
     stream = spark.readStream.schema(events.schema).parquet(source)
-    q = W.upserting(stream, table, ["k"], F.desc("ts")).option("checkpointLocation", f"{tmp_path}/c1").trigger(availableNow=True).start()
+    q = W.upserting(stream, state, [F.desc("ts")]).option("checkpointLocation", f"{tmp_path}/c1").trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert sorted((r["k"], r["x"]) for r in spark.read.parquet(table).collect()) == [(1, "b"), (2, "c")]
+    assert sorted((r["k"], r["x"]) for r in state.read().collect()) == [(1, "b"), (2, "c")]
     counts = W.windowed(stream, "ts", ["k"], [F.count(F.lit(1)).alias("n")], "5 minutes")
     q = counts.writeStream.outputMode("complete").format("memory").queryName("w").trigger(availableNow=True).start()
     q.awaitTermination(120)
