@@ -20,7 +20,8 @@ def _configs(c: Catalog) -> DataFrame:
     way = F.when(F.col("l_linestatus") == "F", F.struct(F.lit("ignored").alias("content_format"), F.lit(None).cast("array<string>").alias("target_audience"), F.array(form).alias("sub_directions"))).otherwise(
         F.struct(form["content_format"].alias("content_format"), form["target_audience"].alias("target_audience"), F.lit(None).cast(f"array<{form_type}>").alias("sub_directions"))
     )
-    lines = c.table("lineitem").groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("line/"), "l_linenumber").alias("key"), way.alias("value")))).alias("ways"))
+    lines = c.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag"), F.min("l_linestatus").alias("l_linestatus"))
+    lines = lines.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("line/"), "l_linenumber").alias("key"), way.alias("value")))).alias("ways"))
     intents = F.create_map(F.lit("traffic"), F.when(F.col("o_orderstatus") == "P", O.PENDING).otherwise("traffic"))
     source = F.when(F.col("o_orderstatus") == "O", V.BY_STATUS).otherwise(F.col("o_orderstatus"))
     config = F.struct(
@@ -107,12 +108,13 @@ def _due(c: Catalog) -> DataFrame:
 
 
 def _threads(c: Catalog) -> DataFrame:
-    """Lines as comments that answer the line before them; some answer themselves, each other or none that is there."""
-    k, n = F.col("l_orderkey") * 10, F.col("l_linenumber")
-    lines = c.table("lineitem").select((k + n).alias("child"), "l_orderkey", n.alias("n"))
-    key = F.col("l_orderkey")
-    parent = F.when(F.col("n") == 1, F.when(key % 11 == 0, key * 10 + 2)).when((F.col("n") == 3) & (key % 7 == 0), F.col("child")).when((F.col("n") == 4) & (key % 5 == 0), -F.col("child")).otherwise(F.col("child") - 1)
-    return S.thread_errors(lines.select("child", parent.alias("parent")), lines.select(F.col("child").alias("comment_id")))
+    """Lines as comments that answer their order's first; some answer themselves, each other or none that is there."""
+    key, n = F.col("l_orderkey"), F.col("l_linenumber")
+    child = (key * 10 + n).alias("child")
+    first = key * 10 + 1
+    parent = F.when(n == 1, F.when(key % 11 == 0, key * 10 + 2)).when((n == 3) & (key % 7 == 0), key * 10 + n).when((n == 4) & (key % 5 == 0), -first).otherwise(first)
+    lines = c.table("lineitem").select("l_orderkey", "l_linenumber").distinct().select(child, parent.alias("parent"))
+    return S.thread_errors(lines, lines.select(F.col("child").alias("comment_id")))
 
 
 QUERIES = {
@@ -130,18 +132,19 @@ QUERIES = {
 
 _WAY = "'/direction_decomposition/line~1' || l_linenumber || CASE WHEN l_linestatus = 'F' THEN '/sub_directions/0' ELSE '' END"
 ORACLES = {
-    "c31_validated": f"""SELECT o_orderkey, 'error' AS kind, '/category' AS path, o_orderpriority AS value FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM')
+    "c31_validated": f"""WITH l AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus FROM lineitem GROUP BY 1, 2)
+      SELECT o_orderkey, 'error' AS kind, '/category' AS path, o_orderpriority AS value FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM')
       UNION ALL SELECT o_orderkey, 'pending', '/intent_mapping/traffic', '[待确认]' FROM orders WHERE o_orderstatus = 'P'
       UNION ALL SELECT o_orderkey, 'error', '/tier_extraction/source', o_orderstatus FROM orders WHERE o_orderstatus <> 'O'
-      UNION ALL SELECT l_orderkey, 'error', {_WAY} || '/content_format', l_returnflag FROM lineitem WHERE l_returnflag NOT IN ('A', 'N')
-      UNION ALL SELECT l_orderkey, 'error', {_WAY} || '/target_audience/0', l_linestatus FROM lineitem WHERE l_linestatus NOT IN ('O', 'A', 'N', 'R')
+      UNION ALL SELECT l_orderkey, 'error', {_WAY} || '/content_format', l_returnflag FROM l WHERE l_returnflag NOT IN ('A', 'N')
+      UNION ALL SELECT l_orderkey, 'error', {_WAY} || '/target_audience/0', l_linestatus FROM l WHERE l_linestatus NOT IN ('O', 'A', 'N', 'R')
       UNION ALL SELECT o_orderkey, 'uncovered', '', '1-URGENT' FROM orders WHERE o_orderpriority <> '1-URGENT'""",
     "c33_compared": """WITH e AS (SELECT o_custkey, min(o_orderkey) AS a, max(o_orderkey) AS b FROM orders GROUP BY o_custkey),
       p AS (SELECT o_orderkey, unnest(['family', 'columns', 'directions']) AS part, unnest([o_orderstatus, o_orderpriority, 'd' || (dayofweek(o_orderdate) + 1)]) AS item FROM orders),
       m AS (SELECT o_custkey, part, item FROM e JOIN p ON o_orderkey = a), w AS (SELECT o_custkey, part, item FROM e JOIN p ON o_orderkey = b)
       SELECT o_custkey, part, 'extra' AS side, item FROM (FROM m EXCEPT FROM w) UNION ALL SELECT o_custkey, part, 'missing', item FROM (FROM w EXCEPT FROM m)
       UNION ALL SELECT o_custkey, 'thresholds', 'missing', NULL FROM e WHERE a % 2 = 1""",
-    "r26_drafted": """WITH s AS (SELECT o_orderstatus AS config_id, o_orderpriority AS v, row_number() OVER (PARTITION BY o_orderstatus ORDER BY count(*) DESC, o_orderpriority) - 1 AS k FROM orders GROUP BY ALL),
+    "r26_drafted": """WITH s AS (SELECT config_id, v, row_number() OVER (PARTITION BY config_id ORDER BY n DESC, v) - 1 AS k FROM (SELECT o_orderstatus AS config_id, o_orderpriority AS v, count(*) AS n FROM orders GROUP BY 1, 2)),
       c AS (SELECT DISTINCT o_orderstatus AS config_id, o_orderkey % 2 = 0 AS even, o_orderkey % 4 = 0 AS four FROM orders)
       SELECT config_id, '/project_id' AS path, config_id AS value FROM c GROUP BY ALL UNION ALL SELECT config_id, '/field_mapping/body', 'raw_content' FROM c GROUP BY ALL UNION ALL SELECT config_id, '/field_mapping/state', '_status_raw' FROM c GROUP BY ALL
       UNION ALL SELECT config_id, '/field_mapping/kind', '_intent_raw' FROM c WHERE even GROUP BY ALL UNION ALL SELECT config_id, '/project_specific_fields_to_raw_extra/0', 'price' FROM c GROUP BY ALL
@@ -157,9 +160,9 @@ ORACLES = {
     "r17_exit_codes": """WITH o AS (SELECT o_custkey, CASE WHEN o_orderstatus = 'P' THEN 'hygiene' WHEN o_orderkey % 5 = 0 THEN 'ok' WHEN o_orderkey % 3 = 0 THEN 'content' ELSE 'systemic' END AS outcome FROM orders)
       SELECT o_custkey, CASE WHEN bool_or(outcome = 'hygiene') OR (bool_or(outcome = 'systemic') AND NOT bool_or(outcome = 'ok')) THEN 1 ELSE 0 END AS exit_code FROM o GROUP BY o_custkey""",
     "r27_due": "SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0",
-    "c30_threads": """WITH l AS (SELECT l_orderkey * 10 + l_linenumber AS child, l_orderkey AS k, l_linenumber AS n FROM lineitem),
-      p AS (SELECT child, k, n, CASE WHEN n = 1 THEN CASE WHEN k % 11 = 0 THEN k * 10 + 2 END WHEN n = 3 AND k % 7 = 0 THEN child WHEN n = 4 AND k % 5 = 0 THEN -child ELSE child - 1 END AS parent FROM l),
-      c AS (SELECT k FROM l WHERE k % 11 = 0 AND n = 2)
+    "c30_threads": """WITH l AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n, l_orderkey * 10 + l_linenumber AS child FROM lineitem),
+      p AS (SELECT child, k, n, CASE WHEN n = 1 THEN CASE WHEN k % 11 = 0 THEN k * 10 + 2 END WHEN n = 3 AND k % 7 = 0 THEN child WHEN n = 4 AND k % 5 = 0 THEN -(k * 10 + 1) ELSE k * 10 + 1 END AS parent FROM l),
+      c AS (SELECT k FROM l WHERE k % 11 = 0 GROUP BY k HAVING bool_or(n = 1) AND bool_or(n = 2))
       SELECT child, 'unknown parent' AS error FROM p WHERE parent IS NOT NULL AND parent NOT IN (SELECT child FROM l) UNION ALL SELECT child, 'self loop' FROM p WHERE child = parent
-      UNION ALL SELECT child, 'cycle' FROM p JOIN c USING (k) WHERE n <= 2 OR (k % 7 <> 0 AND (n = 3 OR k % 5 <> 0))""",
+      UNION ALL SELECT child, 'cycle' FROM p JOIN c USING (k) WHERE n = 1 OR parent = k * 10 + 1""",
 }
