@@ -55,3 +55,8 @@ def has(tags: Column, tag: str) -> Column:
 def has_any(tags: Column, wanted) -> Column:
     """Array overlap under the same rule."""
     return F.coalesce(F.arrays_overlap(F.array_compact(tags), F.array(*(F.lit(x) for x in wanted))), F.lit(False))
+
+
+def matches(text: Column, pattern: str, like: bool = False) -> Column:
+    """Whether a text has a regular expression in it, or is LIKE a pattern; null stays null."""
+    return text.like(pattern) if like else text.rlike(pattern)

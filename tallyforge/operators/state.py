@@ -157,7 +157,10 @@ def fill(table: DataFrame, column: str, value: Column, where: Column | None = No
     return update(table, F.col(column).isNull() & (F.lit(True) if where is None else where), {column: value})
 
 
-def column_difference(table: DataFrame, declared: Sequence[str]) -> DataFrame:
-    """column and side of what ``table`` and a declaration don't share: undeclared or missing."""
-    rows = [(c, "undeclared") for c in sorted({*table.columns} - {*declared})] + [(c, "missing") for c in sorted({*declared} - {*table.columns})]
-    return table.sparkSession.createDataFrame(rows, "column string, side string")
+def field_difference(rows: DataFrame, declared: Sequence[str], fields: str = "fields") -> DataFrame:
+    """column, side and rows of the keys of a map column that a declaration lacks (undeclared), and of declared ones that no row has (missing)."""
+    present = rows.select(F.explode(F.map_keys(fields)).alias("column")).groupBy("column").agg(F.count(F.lit(1)).alias("rows"))
+    named = rows.sparkSession.createDataFrame([(c,) for c in declared], "declared string")
+    both = present.join(F.broadcast(named), F.col("column") == F.col("declared"), "full").where(F.col("column").isNull() | F.col("declared").isNull())
+    side = F.when(F.col("declared").isNull(), "undeclared").otherwise("missing")
+    return both.select(F.coalesce("column", "declared").alias("column"), side.alias("side"), F.coalesce("rows", F.lit(0)).alias("rows"))

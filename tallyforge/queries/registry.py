@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..catalog import Catalog
-from . import ingest, operators, rules, store, streams, tables, views
+from . import extras, ingest, operators, rules, store, streams, tables, views
 
-MODULES = (views, operators, rules, store, tables, streams, ingest)
+MODULES = (views, operators, rules, store, tables, streams, ingest, extras)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

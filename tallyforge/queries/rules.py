@@ -254,7 +254,6 @@ CYCLES = {
         [("品牌与人群", ""), ("实际表现：互动数 9", "互动数;实际表现"), ("frontier 大爆贴", "tier;大爆;爆贴"), ("", "")],
         {"leaks": "VARCHAR"}, lambda c: {"leaks": joined(N.leaks(c))},
     ),
-    "p13_patterns": cycled([("12", True, False), ("1a", False, False), ("n_1", False, True), ("", False, False), (None, None, None)], {"number": "BOOLEAN", "named": "BOOLEAN"}, lambda c: {"number": c.rlike(r"^\d+$"), "named": c.like(r"n\_%")}),
 }
 
 CONFIG = {

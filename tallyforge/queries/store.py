@@ -74,13 +74,6 @@ def _cache_hits(c: Catalog):
     return S.cache_hits(requests, cache).select("c_custkey", "selected")
 
 
-def _calibrations(c: Catalog):
-    """Two labellings of documents: language said by the source table and by a rule of the text's length."""
-    docs = c.table("documents").select("doc_id", "lang", "source", (F.col("n_chars") % 4).alias("m"))
-    inferred = docs.select("doc_id", F.element_at(F.array(*map(F.lit, ("en", "fr", "de", "es"))), (F.col("m") + 1).cast("int")).alias("inferred"))
-    return W.label_accuracy(inferred, docs.select("doc_id", "lang", "source"), docs.select(F.col("source")).distinct().select("source", F.upper("source").alias("category")))
-
-
 def _picks(c: Catalog):
     picks = c.table("lineitem").select(F.col("l_orderkey").alias("request"), (F.col("l_linenumber") - 1).alias("place"), F.when(F.col("l_linenumber") % 3 == 0, -F.col("l_partkey") - 1).otherwise(F.col("l_partkey")).alias("note_id"))
     known = c.table("part").select(F.col("p_partkey").alias("note_id"), F.col("p_brand").alias("hook_type"))
@@ -144,7 +137,6 @@ QUERIES = {
     "v31_verify_state": _verify,
     "v36_owner_mismatches": lambda c: H.owner_mismatches(_store(c)("items"), _store(c)("batches"), _store(c)("item_projects"), "library").select("item_id", "user_id", "owner_id"),
     "v34_daily_hit_rate": lambda c: S.daily_hit_rate(_audits(c), "db_sourced", "total_vibe_cells").withColumn("day", F.date_format("day", "yyyy-MM-dd")),
-    "v35_label_accuracy": _calibrations,
     "r4_retire_stale": lambda c: S.retire_stale(c.table("orders").select("o_orderkey", F.lit("positive").alias("label"), F.col("o_orderdate").alias("created_at")), as_of(), 1800).select("o_orderkey", "label"),
     "r10_saturated_pools": lambda c: H.saturated(VIEW_QUERIES["v_pool_saturation"](c)),
     "r12_to_retract_by_lineage": lambda c: S.to_retract(c.notes(), c.notes().select(F.when(F.col("note_id") % 4 == 0, F.col("note_id")).alias("note_id"), F.concat(F.lit('{"note_id": "'), F.col("note_id").cast("string"), F.lit('"}')).alias("lineage"))).select("lineage"),
@@ -178,7 +170,6 @@ QUERIES = {
     "s3_best_cards": lambda c: S.best_cards(cards(c).withColumn("note_id", F.col("source_note_id"))).select("note_id"),
     "s5_mixed_examples": _mixed,
     "s6_next_job": lambda c: S.next_job(c.table("events").select(F.col("event_id").alias("job_id"), (F.col("user_id") % 5).alias("priority"), F.col("ts").alias("created_at"), F.when(F.col("event_id") % 3 == 0, "queued").otherwise("done").alias("status"))).select("job_id"),
-    "u4_missing_columns": lambda c: T.column_difference(c.table("orders").select("o_orderkey", "o_custkey"), ["o_orderkey", "o_total"]),
     "u5_any_of": lambda c: S.any_of(c.notes(), [F.col("lever") == "1-URGENT", F.array_contains("trends", "节日")], "note_id"),
 }
 
@@ -239,7 +230,6 @@ ORACLES = {
     "v31_verify_state": _sql(_VERIFY, _STORE),
     "v36_owner_mismatches": f"WITH {_STORE} SELECT item_id, user_id, owner_id FROM wrong",
     "v34_daily_hit_rate": f"WITH {_AUDITS} SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(sum(db) AS BIGINT) AS hits, CAST(sum(cells) AS BIGINT) AS total, round(CAST(sum(db) AS DOUBLE) / sum(cells), 3) AS hit_rate FROM audits GROUP BY 1",
-    "v35_label_accuracy": "SELECT upper(source) AS category, count(*) AS total, count(*) FILTER (WHERE lang = ['en', 'fr', 'de', 'es'][n_chars % 4 + 1]) AS matches, count(*) FILTER (WHERE lang = ['en', 'fr', 'de', 'es'][n_chars % 4 + 1]) / count(*) AS accuracy FROM documents GROUP BY 1",
     "r4_retire_stale": f"SELECT o_orderkey, CASE WHEN NOT o_orderdate < {_AT} - INTERVAL 1800 DAY THEN 'positive' END AS label FROM orders",
     "r10_saturated_pools": f"SELECT * FROM ({_POOL}) WHERE dominant_ratio >= 0.6",
     "r12_to_retract_by_lineage": _sql("""SELECT '{"note_id": "' || note_id || '"}' AS lineage FROM notes WHERE synthetic AND tier IN ('爆', '大爆')"""),
@@ -290,6 +280,5 @@ ORACLES = {
     "s5_mixed_examples": """SELECT project_id, item_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY lib, k) AS INTEGER) AS place FROM (SELECT o_custkey AS project_id, o_orderkey AS item_id, o_orderkey % 2 = 0 AS lib,
       row_number() OVER (PARTITION BY o_custkey, o_orderkey % 2 = 0 ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders WHERE o_orderkey % 4 <> 0) WHERE k <= CASE WHEN lib THEN 3 ELSE 2 END""",
     "s6_next_job": "SELECT event_id AS job_id FROM events WHERE event_id % 3 = 0 ORDER BY user_id % 5 DESC, ts, event_id LIMIT 1",
-    "u4_missing_columns": "SELECT * FROM (VALUES ('o_custkey', 'undeclared'), ('o_total', 'missing')) t(\"column\", side)",
     "u5_any_of": _sql("SELECT note_id FROM notes WHERE lever = '1-URGENT' OR list_contains(trends, '节日')"),
 }
