@@ -135,13 +135,14 @@ class KeyedTable:
             return {"version": state["version"], "rows": 0, "refused": 0, "buckets": []}
         typed = batch.select(*(F.col(c).cast(self.schema[c].dataType).alias(c) for c in batch.columns))
         held = materialised(typed.withColumn("_bucket", self.bucket()))
-        full = held.dropna(subset=self.key)
-        counts = held.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if(self._null_key()).alias("refused")).collect()
-        own = full
+        null = self._null_key()
+        keys = held.groupBy("_bucket", *self.key).agg(F.count(F.lit(1)).alias("n"))
+        counts = keys.groupBy("_bucket").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(null, F.col("n"))), F.lit(0)).alias("refused"), F.max(F.when(~null, F.col("n"))).alias("most")).collect()
+        own = held.dropna(subset=self.key)
         if order:
             first = Window.partitionBy(*self.key).orderBy(*order)
-            own = full.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
-        elif not full.groupBy(*self.key).count().where("count > 1").isEmpty():
+            own = own.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
+        elif any((r["most"] or 0) > 1 for r in counts):
             raise ValueError("a key has several rows, and no order says which counts")
         buckets = sorted(r["_bucket"] for r in counts if r["n"] > r["refused"])
         old = self._frame([state["buckets"][str(b)] for b in buckets if str(b) in state["buckets"]])

@@ -1,13 +1,7 @@
-"""Keyed state: upserts, audit diffs, cascades and constraint checks.
-
-Tables are whole frames.  :func:`write` replaces one by two renames whose results are
-checked: between them the table is away for a moment, and if the second fails the old one
-is put back.
-"""
+"""Keyed state: upserts, audit diffs, cascades and constraint checks, on whole frames; :mod:`.keyed` has tables that are changed by batches."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -108,41 +102,6 @@ def violations(table: DataFrame, key: str, closed: Mapping[str, Sequence[str]] |
     return out
 
 
-def write(table: DataFrame, path: str) -> None:
-    """Replace the Parquet table at ``path``: written beside it, then swapped in by renames.
-
-    Nothing is deleted before the new table is in place.  Readers that begin between the two
-    renames find no table and have to try again; those that began before read the old files
-    until these are deleted.  If a rename fails the old table stays at ``path`` (or, should
-    putting it back fail too, beside it, as the error says), and the error is raised.
-    """
-    spark = table.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    beside, old = f"{path}.{uuid.uuid4().hex}", f"{path}.{uuid.uuid4().hex}"
-    table.write.parquet(beside)
-    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    there = fs.exists(hadoop(path))
-    if there:
-        _move(fs, hadoop(path), hadoop(old))
-    try:
-        _move(fs, hadoop(beside), hadoop(path))
-    except Exception as failed:
-        if there and not _moved(fs, hadoop(old), hadoop(path)):
-            raise OSError(f"{path} could not be replaced; its old table is at {old}") from failed
-        raise
-    if there:
-        fs.delete(hadoop(old), True)
-
-
-def _moved(fs, source, target) -> bool:
-    return not fs.exists(target) and bool(fs.rename(source, target))
-
-
-def _move(fs, source, target) -> None:
-    if not _moved(fs, source, target):
-        raise OSError(f"could not rename {source.toString()} to {target.toString()}")
-
-
 def copy_missing(source: DataFrame, target: DataFrame, key: Sequence[str]) -> tuple[DataFrame, dict[str, int]]:
     """``target`` with the rows it lacks, and counts that reconcile the copy, taken in one pass over the keys of both."""
     missing = source.join(target.select(*key), list(key), "left_anti")
