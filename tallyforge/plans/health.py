@@ -150,11 +150,14 @@ class Store:
 
     def __init__(self, tables: Mapping[str, Callable[[], DataFrame]]):
         self.tables = tables
+        self._read: dict[str, DataFrame] = {}  # a table's schema is looked up once
 
     def __call__(self, name: str) -> DataFrame:
         if name not in self.tables:
             raise AnalysisException(f"no table {name}")
-        return self.tables[name]()
+        if name not in self._read:
+            self._read[name] = self.tables[name]()
+        return self._read[name]
 
     def has(self, table: str, column: str | None = None) -> bool:
         try:

@@ -33,3 +33,21 @@ def test_functions_in_sql_text(spark):
         assert told("SELECT w, is_workspace_admin(w) FROM VALUES (10L), (11L), (12L) AS t(w)") == list(zip((10, 11, 12), admin, strict=True))
     assert told("SELECT * FROM batch_item_counts(array(5L, 7L))") == [(5, 2, 1, 1, 0)]
     assert told("SELECT batch_id, total FROM batch_item_counts(NULL) WHERE batch_id IS NOT NULL") == [(5, 2), (6, 1)]
+
+
+def test_checks_of_a_table_take_one_scan_and_no_job_beforehand(spark, tmp_path):
+    from tallyforge.plans import health as H
+
+    spark.range(50).selectExpr("id AS k", "id % 7 AS u", "IF(id % 2 = 0, 'x', NULL) AS t").write.parquet(f"{tmp_path}/one")
+    store = H.Store({"one": lambda: spark.read.parquet(f"{tmp_path}/one")})
+    rules = [H.Where("one", "k > 9"), H.Where("one", F.col("t").isNull()), H.Where("one"), H.Where("one", "gone > 1"), H.Once("one", ["k"]), H.Once("one", ["u"]), H.Once("one", ["u"], wanted=False), H.Repeats("one", ["u", "t"]), H.Once("one", ["gone"]), H.Repeats("two", ["k"]), H.There("two"), H.There("one", "t")]
+    store("one").schema  # noqa: B018
+    spark.sparkContext.setJobGroup("planning", "planning")
+    found = H.verify(store, [H.Check(str(i), "s", "n", r, "true") for i, r in enumerate(rules)])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert plan.count("Scan parquet") == 2  # one for its rows' checks, one for its keys'
+    assert len(jobs) == 0
+    got = {int(r["ord"]): r["actual"] for r in found.collect()}
+    assert got == {0: "40", 1: "25", 2: "50", 3: "N/A", 4: "true", 5: "false", 6: "true", 7: "7", 8: "false", 9: "N/A", 10: "false", 11: "true"}
