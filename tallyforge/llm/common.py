@@ -93,6 +93,13 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % n
 
 
+def drawn(share: Column, *keys: Column | str) -> Column:
+    """True for about ``share`` (1e-12 or more) of all rows, by a hash of ``keys``."""
+    steps = 1_000_000
+    first, finer = F.pmod(F.xxhash64(*keys), F.lit(steps)), F.pmod(F.xxhash64(*keys, F.lit(1)), F.lit(steps))
+    return first + finer / steps < share * steps
+
+
 #: Rows of one key that may meet in one task, and keys with more that a broadcast may hold.
 LEAST_SPREAD, MOST_HOT = 400, 4096
 

@@ -19,12 +19,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, crc_mod, in_small_batches, release_memory
+from .common import bytes_of, crc_mod, drawn, in_small_batches, release_memory
 
 #: Bytes of context.
 ORDER = 3
 #: Expected bytes of training text for each language; bounds the model, whatever the corpus.
 TRAIN_BYTES = 2_000_000
+#: Bytes of all languages together.
+MOST_BYTES = 64_000_000
 #: Bytes of a piece of text that is drawn for training, so that few long texts don't decide alone.
 PIECE = 4096
 #: Bytes scored at once; bounds memory alone.
@@ -168,16 +170,18 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def train(labelled: DataFrame, train_bytes: int = TRAIN_BYTES) -> PpmModel:
-    """Trees from about ``train_bytes`` for each value of ``lang`` in (doc_id, text, lang), drawn as pieces of texts by the hash of doc_id and piece."""
+    """Trees from about ``train_bytes`` for each value of ``lang`` in (doc_id, text, lang), drawn as pieces of texts by the hash of doc_id and piece.
+
+    However many values there are, MOST_BYTES are drawn in all, which bounds what reaches the driver.
+    """
     rows = labelled.where(F.col("lang").isNotNull()).select("doc_id", "lang", bytes_of(F.col("text")).alias("bytes"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("bytes")).alias("n")).collect()}
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1.0, train_bytes / max(n, 1))).otherwise(share)
+    each = min(train_bytes, MOST_BYTES // max(1, len(sizes)))
+    shares = rows.sparkSession.createDataFrame([(lang, min(1.0, each / max(n, 1))) for lang, n in sizes.items()], "lang string, share double")
     pieces = F.sequence(F.lit(0), F.floor((F.octet_length("bytes") - 1) / PIECE).cast("int"))
-    chosen = F.filter(pieces, lambda k: F.pmod(F.xxhash64("doc_id", k), F.lit(1_000_000)) < F.col("share") * 1_000_000)
-    drawn = rows.where(F.octet_length("bytes") > 0).withColumn("share", share).select("lang", "bytes", F.explode(chosen).alias("k"))
-    counts = drawn.select("lang", F.substring("bytes", F.col("k") * PIECE + 1, F.lit(PIECE)).alias("bytes")).mapInPandas(_count, "lang string, order int, gram long, n long")
+    chosen = F.filter(pieces, lambda k: drawn(F.col("share"), "doc_id", k))
+    found = rows.where(F.octet_length("bytes") > 0).join(F.broadcast(shares), "lang").select("lang", "bytes", F.explode(chosen).alias("k"))
+    counts = found.select("lang", F.substring("bytes", F.col("k") * PIECE + 1, F.lit(PIECE)).alias("bytes")).mapInPandas(_count, "lang string, order int, gram long, n long")
     summed = counts.groupBy("lang", "order", "gram").agg(F.sum("n").alias("n")).toPandas()
     return PpmModel(summed, sorted(summed["lang"].unique()))
 

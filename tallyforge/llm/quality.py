@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, in_small_batches, release_memory
+from .common import cut, drawn, in_small_batches, release_memory
 
 #: log2 of the number of hashed weights.
 BITS = 20
@@ -149,14 +149,14 @@ def train(docs: DataFrame, ratings: DataFrame, n_grades: int = 3, per_grade: int
     chosen = F.lit(0.0)
     for g, x in share.items():
         chosen = F.when(F.col("grade") == g, x).otherwise(chosen)
-    drawn = rated.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < chosen * 1_000_000)
+    own = rated.where(drawn(chosen, "doc_id"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         features = Features()
         for pdf in batches:
             yield pd.DataFrame({"grade": pdf["grade"], "f": [np.fromiter(features(x), "int32").tobytes() for x in pdf["text"]]})
 
-    ids = cut(drawn.select("doc_id", "grade"), "drawn")
+    ids = cut(own.select("doc_id", "grade"), "drawn")
     ids = F.broadcast(ids) if ids.count() <= MOST_DRAWN else ids.hint("merge")  # the texts of others stay where they are
     sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id").select("grade", "text").mapInPandas(run, "grade int, f binary").toPandas()
     grades = sample["grade"].to_numpy("int64")
