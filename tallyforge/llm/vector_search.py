@@ -30,7 +30,7 @@ GRAPH_ROWS = 1024
 #: Queries that search a shard's graph at once; bounds memory alone.
 QUERY_ROWS = 512
 DEGREE = 32
-BEAM = 128
+BEAM = 256
 BUILD_BEAM = 80
 #: How much nearer a kept neighbour must be to a candidate for it to go.
 RELAX = 1.2
