@@ -234,8 +234,8 @@ def state_checks(s: Store, source: str = "library", tactic: str = "library_synce
 
 
 def saturated(pools: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """Pools of positives of which one lever takes ``threshold`` or more."""
-    return pools.where(F.col("dominant_ratio") >= threshold)
+    """All pools of positives, with ``saturated``: whether one lever takes ``threshold`` or more."""
+    return pools.withColumn("saturated", F.coalesce(F.col("dominant_ratio") >= threshold, F.lit(False)))
 
 
 def verdict(samples: DataFrame, audits: DataFrame, as_of: Column, days: float = 7, least: float = 0.3) -> DataFrame:

@@ -231,7 +231,7 @@ ORACLES = {
     "v36_owner_mismatches": f"WITH {_STORE} SELECT item_id, user_id, owner_id FROM wrong",
     "v34_daily_hit_rate": f"WITH {_AUDITS} SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(sum(db) AS BIGINT) AS hits, CAST(sum(cells) AS BIGINT) AS total, round(CAST(sum(db) AS DOUBLE) / sum(cells), 3) AS hit_rate FROM audits GROUP BY 1",
     "r4_retire_stale": f"SELECT o_orderkey, CASE WHEN NOT o_orderdate < {_AT} - INTERVAL 1800 DAY THEN 'positive' END AS label FROM orders",
-    "r10_saturated_pools": f"SELECT * FROM ({_POOL}) WHERE dominant_ratio >= 0.6",
+    "r10_saturated_pools": f"SELECT *, coalesce(dominant_ratio >= 0.6, false) AS saturated FROM ({_POOL})",
     "r12_to_retract_by_lineage": _sql("""SELECT '{"note_id": "' || note_id || '"}' AS lineage FROM notes WHERE synthetic AND tier IN ('爆', '大爆')"""),
     "r13_verdict": f"""WITH {_AUDITS}, a AS (SELECT count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-25') AS audit_rows, CAST(coalesce(sum(db) FILTER (WHERE ts >= TIMESTAMP '2024-01-25'), 0) AS BIGINT) AS db_sourced,
         count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-25') AS static_sourced, CAST(coalesce(sum(cells) FILTER (WHERE ts >= TIMESTAMP '2024-01-25'), 0) AS BIGINT) AS total_vibe_cells, count(*) FILTER (WHERE warned AND ts >= TIMESTAMP '2024-01-31') AS warnings FROM audits),

@@ -51,3 +51,10 @@ def test_checks_of_a_table_take_one_scan_and_no_job_beforehand(spark, tmp_path):
     assert len(jobs) == 0
     got = {int(r["ord"]): r["actual"] for r in found.collect()}
     assert got == {0: "40", 1: "25", 2: "50", 3: "N/A", 4: "true", 5: "false", 6: "true", 7: "7", 8: "false", 9: "N/A", 10: "false", 11: "true"}
+
+
+def test_every_pool_is_told_whether_it_is_saturated(spark):
+    from tallyforge.plans import health as H
+
+    pools = spark.createDataFrame([("a", 0.6), ("b", 0.59), ("c", None)], "project_id string, dominant_ratio double")
+    assert {r["project_id"]: r["saturated"] for r in H.saturated(pools).collect()} == {"a": True, "b": False, "c": False}
