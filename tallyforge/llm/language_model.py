@@ -7,7 +7,7 @@ beside it, which the base score asks for, and which are quantised in the same wa
 their hash; each region is counted and filled in one task and as large as its entries ask
 for, so that false positives don't grow with the input.  A small model is broadcast, a few
 megabytes at a time; of a larger one each region stays a row of a table, and the distinct
-grams of packs of texts are sent to the regions and their levels back
+grams of packs of texts are sent to shards of neighbouring regions and their levels back
 (:func:`_with_answers`).
 
 The probability of a word leans on what was seen after the same history:
@@ -41,10 +41,14 @@ LINE = 512
 #: Bytes of training text for each region, and the least number of regions; a power of 2 is taken.
 REGION_BYTES = 4_000_000
 LEAST_REGIONS = 64
-#: Bytes of filter and word counts that are broadcast at most; larger models are asked region by region.
+#: Bytes of filter and word counts that are broadcast at most; larger models are asked shard by shard.
 MOST_BYTES = 192_000_000
 #: About the bytes of one broadcast.
 PART_BYTES = 8_000_000
+#: About the bytes of the neighbouring regions that are asked together.
+SHARD_BYTES = 2_000_000
+#: Grams that are looked up at once in a shard; bounds memory alone.
+LOOKUP = 300_000
 #: Bytes of texts whose grams are counted, scored, or looked up together; bound memory alone.
 COUNT_BLOCK, SCORE_BLOCK, PACK_BYTES = 3_000_000, 250_000, 2_000_000
 #: Counts of words from here on are kept apart; smaller ones take a byte.
@@ -122,14 +126,15 @@ class Regions:
         return region, np.append(start, len(sorted_grams))
 
     def packed(self, grams: np.ndarray) -> bytes:
-        """Narrowed grams of one region, six bytes each."""
+        """Narrowed grams without their regions, six bytes each."""
         return np.ascontiguousarray((grams >> self.dropped).astype("<u8").view("u1").reshape(-1, 8)[:, :6]).tobytes()
 
-    def unpacked(self, data: bytes, region: int) -> np.ndarray:
+    def unpacked(self, data: bytes, region: np.ndarray | int) -> np.ndarray:
+        """Packed grams of one region, or each of its own."""
         out = np.zeros((len(data) // 6, 8), "u1")
         out[:, :6] = np.frombuffer(data, "u1").reshape(-1, 6)
         within = (1 << 64 - self.bits) - 1
-        return ((out.view("<u8").ravel() << self.dropped) & np.uint64(within)) | np.uint64(region << 64 - self.bits)
+        return ((out.view("<u8").ravel() << self.dropped) & np.uint64(within)) | np.asarray(region, "u8") << np.uint64(64 - self.bits)
 
 
 def regions_for(n_bytes: int) -> Regions:
@@ -275,18 +280,21 @@ def count_regions(texts: DataFrame, regions: Regions, bits_per_entry: int = BITS
                 gram, n = np.unique(grams, return_counts=True)
                 word, times = np.unique(token, return_counts=True)
                 del grams, token
+                # all rows are cut from the block's own bytes, as there are as many as blocks times regions
                 region, at = regions.split(gram)
-                rows = {int(r): [b"", b"", regions.packed(gram[i:j]), _often(n[i:j])] for r, i, j in zip(region, at, at[1:], strict=False)}
+                packed, (often, of) = regions.packed(gram), _often(n, at)
+                rows = {r: [b"", b"", packed[6 * i : 6 * j], often[8 * k : 8 * m]] for r, i, j, k, m in zip(region.tolist(), *_ends(at), *_ends(of), strict=True)}
                 region, at = regions.split(word)
-                for r, i, j in zip(region, at, at[1:], strict=False):
-                    rows.setdefault(int(r), [b"", b"", b"", b""])[:2] = word[i:j].tobytes(), times[i:j].astype("u4").tobytes()
+                data_, n_ = word.tobytes(), times.astype("u4").tobytes()
+                for r, i, j in zip(region.tolist(), *_ends(at), strict=True):
+                    rows.setdefault(r, [b"", b"", b"", b""])[:2] = data_[8 * i : 8 * j], n_[4 * i : 4 * j]
                 yield pd.DataFrame([(r, *x) for r, x in rows.items()], columns=["region", "words", "times", "grams", "often"])
         release_memory()
 
     def unite(pdf: pd.DataFrame) -> pd.DataFrame:
         region = int(pdf["region"].iloc[0])
         word, times = _summed(np.frombuffer(b"".join(pdf["words"]), "u8"), np.frombuffer(b"".join(pdf["times"]), "u4"))
-        n = np.concatenate([_counts(x, len(g) // 6) for x, g in zip(pdf["often"], pdf["grams"], strict=True)])
+        n = _counts(pdf["often"].tolist(), [len(g) // 6 for g in pdf["grams"]])
         gram, n = _summed(regions.unpacked(b"".join(pdf["grams"]), region), n)
         out = (region, fill(gram, n, bits_per_entry).tobytes(), word.tobytes(), times.tobytes(), int(times.sum()), len(word))
         return pd.DataFrame([out], columns=["region", "bits", "words", "counts", "tokens", "kinds"])
@@ -295,15 +303,23 @@ def count_regions(texts: DataFrame, regions: Regions, bits_per_entry: int = BITS
     return cut(sent.groupBy("region").applyInPandas(unite, "region int, bits binary, words binary, counts binary, tokens long, kinds long"), "model")
 
 
-def _often(n: np.ndarray) -> bytes:
-    """The counts that are not 1, each after its index."""
-    at = np.flatnonzero(n != 1)
-    return np.stack([at, n[at]], axis=1).astype("u4").tobytes()
+def _ends(at: np.ndarray) -> tuple[list[int], list[int]]:
+    at = at.tolist()
+    return at[:-1], at[1:]
 
 
-def _counts(often: bytes, size: int) -> np.ndarray:
-    out, own = np.ones(size, "i8"), np.frombuffer(often, "u4").reshape(-1, 2)
-    out[own[:, 0]] = own[:, 1]
+def _often(n: np.ndarray, at: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The counts that are not 1, each after its index within its part of ``at``, and where the parts' begin and end."""
+    own = np.flatnonzero(n != 1)
+    of = np.searchsorted(own, at)
+    return np.stack([own - np.repeat(at[:-1], np.diff(of)), n[own]], axis=1).astype("u4").tobytes(), of
+
+
+def _counts(often: list[bytes], sizes: list[int]) -> np.ndarray:
+    """All counts of parts of ``sizes``, from their :func:`_often`."""
+    out, own = np.ones(sum(sizes), "i8"), np.frombuffer(b"".join(often), "u4").reshape(-1, 2)
+    first = np.cumsum(sizes) - sizes
+    out[own[:, 0] + np.repeat(first, [len(x) // 8 for x in often])] = own[:, 1]
     return out
 
 
@@ -374,13 +390,21 @@ def _asked(token: np.ndarray, counts: np.ndarray, regions: Regions) -> tuple[np.
     return np.unique(regions.narrow(np.concatenate([[START], own.pair, own.triple]))), np.unique(token)
 
 
+def shard_bits(model: LanguageModel) -> int:
+    """How many of the regions' bits tell those of a shard apart: as many as fit about SHARD_BYTES."""
+    fit = (SHARD_BYTES << model.regions.bits) // max(model.n_bytes, 1)
+    return min(model.regions.bits, max(fit, 1).bit_length() - 1)
+
+
 def _with_answers(rows: DataFrame, model: LanguageModel) -> DataFrame:
-    """Packs of ``rows`` (doc_id, held_out, bytes), as arrays, with ``parts``: (region, levels, counts) of the pack's sorted grams and words.
+    """Packs of ``rows`` (doc_id, held_out, bytes), as arrays, with ``parts``: (shard, levels, counts) of the pack's sorted grams and words.
 
-    A region's row of the model comes before the packs' in one sorted partition, so a task
-    has one region in memory; a gram goes out once for each pack and comes back as one byte.
+    The rows of a shard's regions come before the packs' in one sorted partition, so a task
+    has one shard in memory; a gram goes out once for each pack and comes back as one byte.
+    Shards are of about one size and many fewer than regions, and the requests of many packs
+    are looked up together, so that the number of requests costs little.
     """
-    regions = model.regions
+    regions, low = model.regions, shard_bits(model)
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -392,32 +416,52 @@ def _with_answers(rows: DataFrame, model: LanguageModel) -> DataFrame:
     packs = cut(rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(gather, "pack string, doc_id array<string>, held_out array<boolean>, bytes array<binary>"), "packs")
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        edges = np.arange(1 << regions.bits, dtype="u8") << np.uint64(64 - regions.bits)
         for pdf in batches:
             for pack, texts in zip(pdf["pack"], pdf["bytes"], strict=True):
-                sent: dict[int, list[bytes]] = {}
-                for k, x in enumerate(_asked(*tokens(list(texts)), regions)):
-                    for r, i, j in zip(*(lambda region, at: (region, at[:-1], at[1:]))(*regions.split(x)), strict=True):
-                        sent.setdefault(int(r), [b"", b""])[k] = x[i:j].tobytes() if k else regions.packed(x[i:j])
-                yield pd.DataFrame([(r, pack, *x, b"") for r, x in sent.items()], columns=["region", "pack", "grams", "words", "counts"])
+                grams, word = _asked(*tokens(list(texts)), regions)
+                at, of = (np.append(np.searchsorted(x, edges), len(x)) for x in (grams, word))
+                sizes, packed, data = np.diff(at).astype("u4").reshape(-1, 1 << low), regions.packed(grams), word.tobytes()
+                cuts = zip(*_ends(at[:: 1 << low]), *_ends(of[:: 1 << low]), strict=True)
+                out = [(r, pack, -1, packed[6 * i : 6 * j], data[8 * k : 8 * m], sizes[r].tobytes()) for r, (i, j, k, m) in enumerate(cuts) if i < j or k < m]
+                yield pd.DataFrame(out, columns=["shard", "pack", "region", "grams", "words", "counts"])
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, own = -1, None
+        at, held, own = -1, [], None
+
+        def looked_up(asked: list) -> list[tuple]:
+            sizes = np.concatenate([np.frombuffer(x.counts, "u4") for x in asked])
+            of = np.repeat(np.tile(np.arange(at << low, at + 1 << low), len(asked)), sizes)
+            level = own.levels(regions.unpacked(b"".join(x.grams for x in asked), of), regions).tobytes()
+            count = own.counts(np.frombuffer(b"".join(x.words for x in asked), "u8")).astype("i8").tobytes()
+            grams, words = (np.cumsum([0, *(len(x) for x in each)]) for each in ([x.grams for x in asked], [x.words for x in asked]))
+            return [(x.pack, at, level[i // 6 : j // 6], count[k:m]) for x, i, j, k, m in zip(asked, *_ends(grams), *_ends(words), strict=True)]
+
         for pdf in batches:
-            out = []
+            out, asked, n = [], [], 0
             for x in pdf.itertuples(index=False):
+                if asked and (x.shard != at or n > 6 * LOOKUP):
+                    out += looked_up(asked)
+                    asked, n = [], 0
+                if x.shard != at:
+                    at, held, own = x.shard, [], None
                 if x.pack == "":
-                    at, own = x.region, part_of([{"region": x.region, "bits": x.grams, "words": x.words, "counts": x.counts}], x.region, x.region)
+                    held.append({"region": x.region, "bits": x.grams, "words": x.words, "counts": x.counts})
                     continue
-                grams, word = regions.unpacked(x.grams, x.region), np.frombuffer(x.words, "u8")
-                level = own.levels(grams, regions) if x.region == at else np.zeros(len(grams), "u1")
-                count = own.counts(word) if x.region == at else np.zeros(len(word), "i8")
-                out.append((x.pack, x.region, level.tobytes(), count.astype("i8").tobytes()))
-            yield pd.DataFrame(out, columns=["pack", "region", "levels", "counts"])
-
-    asked = packs.select("pack", "bytes").mapInPandas(ask, "region int, pack string, grams binary, words binary, counts binary")
-    met = model.table.select("region", F.lit("").alias("pack"), F.col("bits").alias("grams"), "words", "counts").unionByName(asked)
-    answered = met.repartition("region").sortWithinPartitions("region", "pack").mapInPandas(answer, "pack string, region int, levels binary, counts binary")
-    parts = answered.groupBy("pack").agg(F.collect_list(F.struct("region", "levels", "counts")).alias("parts"))
+                if own is None:
+                    own, held = part_of(held, at << low, (at + 1 << low) - 1), []
+                asked.append(x)
+                n += len(x.grams)
+            if asked:
+                out += looked_up(asked)
+            yield pd.DataFrame(out, columns=["pack", "shard", "levels", "counts"])
+        release_memory()
+
+    asked = packs.select("pack", "bytes").mapInPandas(ask, "shard int, pack string, region int, grams binary, words binary, counts binary")
+    met = model.table.select(F.shiftright("region", low).alias("shard"), F.lit("").alias("pack"), "region", F.col("bits").alias("grams"), "words", "counts").unionByName(asked)
+    order = ["shard", "pack", "region"]
+    answered = met.repartition(2 << regions.bits - low, "shard").sortWithinPartitions(*order).mapInPandas(answer, "pack string, shard int, levels binary, counts binary")
+    parts = answered.groupBy("pack").agg(F.collect_list(F.struct("shard", "levels", "counts")).alias("parts"))
     return packs.join(parts.hint("merge"), "pack")
 
 
@@ -426,7 +470,7 @@ def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     Null and empty texts have one token, their end.  Rows are independent, so repeated
     ones and null ids are scored alike; extra columns are ignored; an empty table gives an
-    empty result.  The model is broadcast while it is small, else asked region by region.
+    empty result.  The model is broadcast while it is small, else asked shard by shard.
     """
     n, v, regions = model.n_tokens, model.n_words, model.regions
     rows = docs.select("doc_id", "held_out", bytes_of(F.col("text")).alias("bytes"))
@@ -460,7 +504,7 @@ def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
         for pdf in batches:
             for x in pdf.itertuples():
                 token, counts = tokens(list(x.bytes))
-                parts = sorted(x.parts, key=lambda p: p["region"])
+                parts = sorted(x.parts, key=lambda p: p["shard"])
                 level, count = (np.frombuffer(b"".join(p[c] for p in parts), t) for c, t in (("levels", "u1"), ("counts", "i8")))
                 grams, word = _asked(token, counts, regions)
                 out = pd.DataFrame({"doc_id": list(x.doc_id), "held_out": list(x.held_out)})

@@ -147,3 +147,18 @@ def test_nothing_to_learn_and_empty_table(spark):
     assert lm.score(none, model).collect() == []
     row = lm.score(spark.createDataFrame([(1, "a b", True)], SCHEMA), model).first()
     assert (row["n_tokens"], row["n_known"], row["train_tokens"], row["base_score"]) == (3, 0, 0, 0.0)
+
+
+def test_large_models_are_asked_by_few_shards(spark, monkeypatch):
+    docs = spark.createDataFrame(corpus(), SCHEMA)
+    model = trained(docs, most_bytes=0)
+    rows = docs.select("doc_id", "held_out", bytes_of(F.col("text")).alias("bytes"))
+    answered = lm._with_answers(rows, model).select(F.size("parts").alias("n")).collect()
+    assert max(r["n"] for r in answered) == 1  # 64 small regions, asked together
+    fields = ["n_tokens", "n_known", "base_score", "score"]
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["held_out"])
+    told = lambda m: [tuple(r[f] for f in fields) for r in sorted(lm.score(docs, m).collect(), key=key)]
+    want = told(trained(docs))
+    for size in (model.n_bytes // 5, model.n_bytes // 500):  # shards of several regions, and of one
+        monkeypatch.setattr(lm, "SHARD_BYTES", size)
+        assert all(a == pytest.approx(b) for a, b in zip(told(model), want, strict=True))
