@@ -58,3 +58,14 @@ def test_an_interval_join_meets_what_comes_within_the_time(spark, tmp_path):
     query = W.interval_join(l, r, "t", "s", F.col("u") == F.col("w"), "1 hour").writeStream.format("memory").queryName("joined").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted((x["a"], x["b"]) for x in spark.table("joined").collect()) == [(1, 10), (1, 11)]
+
+
+def test_keys_of_one_shard_keep_entries_of_their_own(spark, tmp_path):
+    source, out, state = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state"
+    for requests in ([("a", 0), ("b", 50), (None, 55)], [("b", 100), ("c", 131)], [("c", 400)]):
+        spark.createDataFrame([(k, at(m)) for k, m in requests], "cache_key string, at timestamp").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("cache_key string, at timestamp").parquet(source)
+        writer = cache.cached_requests(stream, 3600, shards=1).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True)
+        _started(spark, writer, [cache.ROCKS]).awaitTermination()
+    found = sorted((r["cache_key"] or "", int((r["at"] - at(0)).total_seconds() // 60), r["outcome"], r["hits"]) for r in spark.read.schema(cache.OUTCOMES).parquet(out).collect())
+    assert found == [("", 55, "miss", 0), ("", 115, "expiry", 0), ("a", 0, "miss", 0), ("a", 60, "expiry", 0), ("b", 50, "miss", 0), ("b", 100, "hit", 1), ("b", 160, "expiry", 1), ("c", 131, "miss", 0), ("c", 191, "expiry", 0), ("c", 400, "miss", 0)]
