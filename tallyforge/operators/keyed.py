@@ -136,8 +136,8 @@ class KeyedTable:
         typed = batch.select(*(F.col(c).cast(self.schema[c].dataType).alias(c) for c in batch.columns))
         held = materialised(typed.withColumn("_bucket", self.bucket()))
         null = self._null_key()
-        keys = held.groupBy("_bucket", *self.key).agg(F.count(F.lit(1)).alias("n"))
-        counts = keys.groupBy("_bucket").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(null, F.col("n"))), F.lit(0)).alias("refused"), F.max(F.when(~null, F.col("n"))).alias("most")).collect()
+        keys = held.groupBy("_bucket", *self.key).agg(F.count(F.lit(1)).alias("_n"))
+        counts = keys.groupBy("_bucket").agg(F.sum("_n").alias("n"), F.coalesce(F.sum(F.when(null, F.col("_n"))), F.lit(0)).alias("refused"), F.max(F.when(~null, F.col("_n"))).alias("most")).collect()
         own = held.dropna(subset=self.key)
         if order:
             first = Window.partitionBy(*self.key).orderBy(*order)
