@@ -87,8 +87,12 @@ def transform_all(records: DataFrame, mappings: Sequence[Mapping_]) -> DataFrame
     listed = lambda name, target: F.coalesce(F.try_element_at(r(name), F.lit(target)), none)
     first = lambda values: F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
     raw = lambda target: first(F.transform(listed("sources", target), cell))
-    direction = C.flatten_cell(raw("_direction_raw"))
-    way = F.try_element_at(r("ways"), direction)
+    # what several columns ask for is computed in steps, once a record, or it would be repeated in each of them
+    tier_cell = F.when(r("remark"), raw("_note_for_tier")).otherwise(raw("_status_raw"))
+    joined = joined.select("*", C.flatten_cell(raw("_direction_raw")).alias("_direction"), tier_cell.alias("_tier_cell"), raw("_intent_raw").alias("_intent_cell"))
+    direction, tier_cell, intent_cell = F.col("_direction"), F.col("_tier_cell"), F.col("_intent_cell")
+    joined = joined.select("*", F.try_element_at(r("ways"), direction).alias("_way"))
+    way = F.col("_way")
 
     def value(target: str, kind: str) -> Column:
         # of several columns the last that has a value counts
@@ -105,17 +109,20 @@ def transform_all(records: DataFrame, mappings: Sequence[Mapping_]) -> DataFrame
             out = F.when(promoted.isNotNull(), F.nullif(F.trim(C.flatten_cell(cell(promoted))), F.lit(""))).otherwise(out)
         return out
 
-    targets = {t: value(t, k) for t, k in types.items()}
-    tier_cell = F.when(r("remark"), raw("_note_for_tier")).otherwise(raw("_status_raw"))
+    values_of = [value(t, k).alias(f"_target_{t}") for t, k in types.items()]
+    targets = {t: F.col(f"_target_{t}") for t in types}
     ruled = tier_cell.isNotNull() & (F.size(r("tier_rules")) > 0)
     of = lambda token: first(F.transform(F.filter(r("tier_rules"), lambda x: F.exists(x["needles"], lambda n: F.contains(token, n))), lambda x: x["tier"]))
     rank = lambda tier: F.coalesce(F.try_element_at(R._map(V.TIER_RANK), tier), F.lit(0))
     ranked = F.transform(F.filter(F.transform(C.status_tokens(tier_cell), of), lambda t: t.isNotNull()), lambda t: F.struct(rank(t).alias("rank"), t.alias("tier")))
     tier = F.when(ruled, F.coalesce(F.array_max(ranked)["tier"], r("tier_default")))
     source = F.when(ruled, r("tier_source"))
-    intent_cell = raw("_intent_raw")
     values = F.when(C.kind(intent_cell) == "list", C._elements(intent_cell)).otherwise(F.array_compact(F.array(C.flatten_cell(intent_cell))))
+    joined = joined.select("*", *values_of, tier.alias("_tier"), values.alias("_values"))
+    tier, values = F.col("_tier"), F.col("_values")
     mapped = F.array_distinct(F.filter(F.transform(values, lambda v: F.coalesce(F.try_element_at(r("intents"), v), v)), lambda v: v.isin(*V.INTENTS)))
+    joined = joined.select("*", mapped.alias("_mapped"))
+    mapped = F.col("_mapped")
     intent = F.when(F.coalesce(F.size(values), F.lit(0)) <= 0, None).when(F.size(mapped) == 1, mapped[0]).when(F.size(mapped) > 1, "mixed").otherwise("other")
     out_of = F.coalesce(F.array_contains(r("excluded"), direction), F.lit(False))
     tier, source = F.when(out_of, V.ANOMALOUS).otherwise(tier), F.when(out_of, V.ANOMALOUS).otherwise(source)
