@@ -6,8 +6,8 @@ each other.  In each tree every text matches the longest prefix it shares with a
 before it and links itself to the first text under that node, which lists no pairs; so
 prefixes are as long as each text's nearest match allows.  They are shortened down to the
 length at which a pair at the threshold is found with the target recall by reckoning
-(:func:`depth_for`), and from there one by one as long as a sample of the links that a
-shorter prefix adds, compared exactly, shows that more than the recall allows was missed
+(:func:`depth_for`), and from there one by one as long as the links that a shorter prefix
+adds, all of them compared exactly, show that a similar pair was missed
 (:func:`adapted_links`).  Links make components; within a component all pairs are then
 compared exactly, by blocks of bounded size.
 """
@@ -32,8 +32,8 @@ LONGEST = 8
 RECALL = 0.9999
 #: Prefixes are not shortened beyond this; each value has 16 bits.
 SHORTEST = 3
-#: Links that are compared to measure what a length of prefixes has missed.
-SAMPLE = 2000
+#: Texts that links name, up to which their names are sent to the texts rather than shuffled with them.
+MOST_NAMES = 500_000
 #: Labels that one task sorts.
 SORT_ROWS = 250_000
 #: Shingle bytes and texts of a component that are compared in one task; larger ones are compared block by block.
@@ -150,22 +150,32 @@ def depth_for(threshold: float = THRESHOLD, trees: int = TREES, recall: float =
     return depth
 
 
-def similar_share(pairs: DataFrame, texts: DataFrame, signed_texts: DataFrame, size: int, threshold: float) -> tuple[float, int]:
-    """The share of ``pairs`` (a, b) at ``threshold`` or more, judged by a sample of SAMPLE at most, and how many there are."""
+def similar_pairs(pairs: DataFrame, texts: DataFrame, signed_texts: DataFrame, size: int, threshold: float) -> int:
+    """How many of ``pairs`` (a, b), which may repeat, are at ``threshold`` or more; all are compared."""
     pairs = cut(pairs.distinct(), "pairs")
-    n = pairs.count()
+    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(signed_texts.select("node", "row"), "node"), "named")
+    n = nodes.count()
     if not n:
-        return 0.0, 0
-    drawn = cut(pairs.orderBy(F.xxhash64("a", "b"), "a", "b").limit(SAMPLE), "sample")
-    nodes = drawn.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(signed_texts.select("node", "row"), "node")
+        return 0
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            values = [np.unique(shingles([x], size)[0]).tobytes() for x in pdf["bytes"]]
-            yield pd.DataFrame({"node": pdf["node"], "set": pd.Series(values, index=pdf.index, dtype="object")})
+            data = pdf["bytes"].tolist()
+            for a, b in blocks(data):
+                values, counts = shingles(data[a:b], size)
+                ends = np.cumsum(counts)
+                yield pd.DataFrame({"node": pdf["node"].iloc[a:b].to_numpy(), "set": [np.unique(values[e - n : e]).tobytes() for e, n in zip(ends, counts, strict=True)]})
+        release_memory()
 
-    own = texts.join(F.broadcast(nodes), ["node", "row"]).mapInPandas(sets, "node binary, set binary")
-    held = cut(own.groupBy("node").agg(F.first("set").alias("set")), "sampled")
+    own = texts.join(nodes.hint("broadcast" if n <= MOST_NAMES else "merge"), ["node", "row"]).mapInPandas(sets, "node binary, set binary")
+    held = cut(own.groupBy("node").agg(F.first("set").alias("set")), "compared")
+    named = pairs
+    for end in ("a", "b"):
+        sized = held.select(F.col("node").alias(end), (F.octet_length("set") / 8).alias(f"n_{end}"))
+        named = named.join(sized, end)
+    # sets of too different sizes can't be similar
+    close = cut(named.where(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9).select("a", "b"), "close")
+    total = close.count()
 
     @F.pandas_udf("boolean")
     def similar(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -176,17 +186,16 @@ def similar_share(pairs: DataFrame, texts: DataFrame, signed_texts: DataFrame, s
 
         return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="boolean")
 
-    met = drawn.join(held.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(held.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
-    yes = met.where(similar("sa", "sb")).count()
-    return yes / min(n, SAMPLE), n
+    met = join_spread(close, held.select(F.col("node").alias("a"), F.col("set").alias("sa")), ["a"], None, ["b"], total)
+    met = join_spread(met, held.select(F.col("node").alias("b"), F.col("set").alias("sb")), ["b"], None, ["a"], total)
+    return met.where(similar("sa", "sb")).count()
 
 
 def adapted_links(met: DataFrame, texts: DataFrame, signed_texts: DataFrame, size: int, threshold: float, trees: int, recall: float) -> DataFrame:
-    """node and root of the components that the links ``met`` (a, b, depth) make, by prefixes as short as the recall asks.
+    """node and root of the components that the links ``met`` (a, b, depth) make, by prefixes as short as they need be.
 
-    A length is short enough if the links that one value less would add between different
-    components, times the share of them that is similar, are fewer than 1 - ``recall`` of
-    the similar ones known by then.
+    A length is short enough if none of the links that one value less would add between
+    different components is similar.
     """
     depth = depth_for(threshold, trees, recall)
     while True:
@@ -197,11 +206,7 @@ def adapted_links(met: DataFrame, texts: DataFrame, signed_texts: DataFrame, siz
         for end in ("a", "b"):
             own = parts.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
             more = more.join(own, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-        share, n = similar_share(more.where("root_a <> root_b").select("a", "b"), texts, signed_texts, size, threshold)
-        if not share:
-            return parts
-        known_share, known = similar_share(met.where(F.col("depth") >= depth).select("a", "b"), texts, signed_texts, size, threshold)
-        if share * n <= (1 - recall) * (known_share * known + share * n):
+        if not similar_pairs(more.where("root_a <> root_b").select("a", "b"), texts, signed_texts, size, threshold):
             return parts
         depth -= 1
 

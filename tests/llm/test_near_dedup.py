@@ -136,3 +136,14 @@ def test_prefixes_are_shortened_as_long_as_that_finds_more(spark):
         parts = adapted_links(met, own, own, 5, 0.8, 24, 0.9999).collect()
         roots = {bytes(r["node"])[0]: bytes(r["root"]) for r in parts}
         assert {g for g in range(3) if g in roots and roots[g] == roots.get(10 + g)} == joined
+
+
+def test_all_links_are_compared(spark):
+    """One similar pair among 5,000 is found, wherever it stands."""
+    words = lambda k: " ".join(f"{k}w{i}" for i in range(30)).encode()
+    rows = [(f"{k:016d}".encode(), k, words(k)) for k in range(5000)] + [(b"copy", 5000, words(77) + b" more")]
+    texts = spark.createDataFrame(rows, "node binary, row long, bytes binary").repartition(4).cache()
+    pairs = [(rows[k][0], rows[(k + 1) % 5000][0]) for k in range(5000)]
+    for more, n in (([], 0), ([(rows[77][0], b"copy")] * 2, 1)):
+        found = module.similar_pairs(spark.createDataFrame(pairs + more, "a binary, b binary"), texts, texts.select("node", "row"), 5, 0.8)
+        assert found == n
