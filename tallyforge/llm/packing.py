@@ -23,6 +23,8 @@ from .common import cut, in_small_batches, map_rows, release_memory
 from .tokens import CachedEncoder, merge_ranks, slices
 
 CAPACITY = 2048
+#: Characters of texts whose words are held at once, a text at least; bounds memory alone.
+SLICE = 500_000
 #: Rows of a task's and length's first rank that are broadcast.
 MOST_FIRSTS = 200_000
 
@@ -169,11 +171,12 @@ def cut_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
     from pyspark import TaskContext
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release_memory()  # of what an earlier step's tasks left in this worker
         own, end = CachedEncoder(path, str.split, _word_ids(path)), end_id.to_bytes(4, "little")
         task, ranks = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for pdf in batches:
             texts, ids = pdf["text"].tolist(), pdf["doc_id"].tolist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE):
                 rows = []
                 for doc_id, tokens in zip(ids[a:b], own.encode(texts[a:b]), strict=True):
                     tokens += end

@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words in the cache above which those not used just now are dropped; bounds memory alone.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: White space to Python but not to the tokenizers' patterns: such texts are encoded whole.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 

@@ -75,3 +75,26 @@ def test_places_joined_instead_of_broadcast(spark, monkeypatch):
     for own in used.values():
         own.sort()
         assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and sum(n for _, n in own) <= 64
+
+
+def test_a_packing_worker_holds_little_at_once():
+    """Beside its cache, a worker holds the words of a slice; nothing that hashed texts before is left in it."""
+    import tracemalloc
+
+    import numpy as np
+
+    from tallyforge.llm import packing, rolling
+    from tallyforge.llm.common import release_memory
+    from tallyforge.llm.tokens import CachedEncoder, slices
+
+    before = rolling.PrefixHash(np.arange(300_000, dtype="u8").astype("u1")).of(np.array([7]), np.array([299_000]))
+    release_memory()
+    assert sum(x.nbytes for kept in rolling._POWERS for x in kept) < 1000
+    assert rolling.PrefixHash(np.arange(300_000, dtype="u8").astype("u1")).of(np.array([7]), np.array([299_000])) == before
+    texts, own = ["some words of text " * 500] * 400, CachedEncoder(PATH, str.split, packing._word_ids(PATH))
+    tracemalloc.start()
+    try:
+        n = sum(len(x) for a, b in slices(texts, packing.SLICE) for x in own.encode(texts[a:b]))
+        assert n == 400 * 2000 * 4 and tracemalloc.get_traced_memory()[1] < 15e6
+    finally:
+        tracemalloc.stop()
