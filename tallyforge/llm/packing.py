@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, in_small_batches, map_rows, release_memory
-from .tokens import CachedEncoder, merge_ranks, slices
+from .tokens import CachedEncoder, StreamEncoder, merge_ranks, slices
 
 CAPACITY = 2048
 #: Characters of texts whose words are held at once, a text at least; bounds memory alone.
@@ -172,19 +172,20 @@ def cut_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         release_memory()  # of what an earlier step's tasks left in this worker
-        own, end = CachedEncoder(path, str.split, _word_ids(path)), end_id.to_bytes(4, "little")
+        own = StreamEncoder(path, CachedEncoder(path, str.split, _word_ids(path)), end_id, SLICE)
         task, ranks = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for pdf in batches:
             texts, ids = pdf["text"].tolist(), pdf["doc_id"].tolist()
             for a, b in slices(texts, SLICE):
-                rows = []
-                for doc_id, tokens in zip(ids[a:b], own.encode(texts[a:b]), strict=True):
-                    tokens += end
-                    for piece, start in enumerate(range(0, len(tokens), 4 * capacity)):
-                        part = tokens[start : start + 4 * capacity]
-                        n = len(part) // 4
-                        rows.append((doc_id, piece, start // 4, n, zlib.crc32(part), task, ranks[n]))
+                rows, first = [], 0
+                tokens, ends = own.encode(texts[a:b])
+                for doc_id, last in zip(ids[a:b], ends.tolist(), strict=True):
+                    for piece, start in enumerate(range(first, last, capacity)):
+                        part = tokens[start : min(last, start + capacity)]
+                        n = len(part)
+                        rows.append((doc_id, piece, start - first, n, zlib.crc32(part), task, ranks[n]))
                         ranks[n] += 1
+                    first = last
                 yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
         del own
         release_memory()

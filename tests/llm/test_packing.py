@@ -98,3 +98,26 @@ def test_a_packing_worker_holds_little_at_once():
         assert n == 400 * 2000 * 4 and tracemalloc.get_traced_memory()[1] < 15e6
     finally:
         tracemalloc.stop()
+
+
+@pytest.mark.parametrize("most", [7, 60, 500_000])
+def test_new_words_are_encoded_together(most):
+    """Words of letters, digits and signs don't go to the library or the cache one by one; all ids equal the library's."""
+    from tallyforge.llm import packing
+    from tallyforge.llm.tokens import CachedEncoder, StreamEncoder
+
+    library, r = Tokenizer.from_file(PATH), random.Random(3)
+    own = StreamEncoder(PATH, CachedEncoder(PATH, str.split, packing._word_ids(PATH)), 0, most)
+
+    def same(texts):
+        ids, ends = own.encode(texts)
+        want = [[*e.ids, 0] for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert ids.tolist() == list(itertools.chain(*want))
+        assert ends.tolist() == list(itertools.accumulate(map(len, want)))
+
+    same([" ".join("".join(r.choices("abÉßü.,&%<-07", k=r.randint(1, 9))) for _ in range(300)) for _ in range(20)])
+    assert not own.others.cache
+    odd = [*"abXÉß×²½'''strvmld<|>.,!-09\t\n\r\x1c\x1f\x85\xa0 \x00\x01\x02İΣς’“日́٣", *["<|endoftext|>", "'ll", "'RE", " ", " "]]
+    for _ in range(100):
+        same(["".join(r.choices(odd, k=r.randint(0, 50))) for _ in range(r.randint(0, 9))])
+    same([x or "" for x in TEXTS] + ["x" * 1500 + " y", "ab " * 3000])
